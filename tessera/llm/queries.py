@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, secret_scan, token_counts
-from .tables import table
+from . import bpe_codec, secret_scan, token_counts, token_files
+from .tables import shared_folder, table
 
 
 def vocabulary(name: str) -> str:
@@ -54,10 +55,17 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    shards = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), folder, end_id=1)
+    return token_files.read_token_files(spark, shards, with_ids=False).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_codec": op2_bpe_codec,
     "op6_secret_scans": op6_secret_scans,
+    "op7_token_files": op7_token_files,
 }
 
 ORACLES: dict[str, str] = {}
