@@ -33,7 +33,7 @@ BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 REMEMBERED = 400_000
 
 #: Characters whose class is the same in all Unicode versions in use.
-_SETTLED = re.compile("[^\x00-՗‐-‧€]")
+_SETTLED = re.compile("[^\x00-\u0557\u2010-\u2027\u20ac]")
 
 
 @lru_cache(1)
