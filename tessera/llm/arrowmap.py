@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 #: Code points handled at once, so that memory doesn't follow the batch size.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
