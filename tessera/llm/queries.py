@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, langid, secret_scan, token_counts, token_files
+from . import bpe_codec, chat_format, langid, quality_rules, secret_scan, token_counts, token_files
 from .tables import shared_folder, table
 
 
@@ -88,12 +88,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_codec": op2_bpe_codec,
     "op5_language_id": op5_language_id,
     "op6_secret_scans": op6_secret_scans,
     "op7_token_files": op7_token_files,
+    "op8_quality_rules": op8_quality_rules,
     "op10_chat_format": op10_chat_format,
 }
 
