@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, langid, quality_rules, secret_scan, token_counts, token_files
+from . import bpe_codec, chat_format, decontaminate, langid, quality_rules, secret_scan, token_counts, token_files
 from .tables import shared_folder, table
 
 
@@ -93,9 +93,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_codec": op2_bpe_codec,
+    "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_secret_scans": op6_secret_scans,
     "op7_token_files": op7_token_files,
@@ -103,4 +108,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLES: dict[str, str] = {}
+# Containment of every item in every document, by joining all shingles.
+OP4_SQL = """
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), b as (
+  select item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from benchmark
+), items as (
+  select item_id, least(5, len(w)) as width, unnest(list_distinct([w[i:i + least(5, len(w)) - 1] for i in range(1, len(w) - least(5, len(w)) + 2)])) as s
+  from b where len(w) > 0
+), sizes as (
+  select item_id, count(*) as n from items group by item_id
+), held as (
+  select distinct doc_id, width, unnest([w[i:i + width - 1] for i in range(1, len(w) - width + 2)]) as s
+  from d, (select distinct width from items) as widths where len(w) >= width
+), shared as (
+  select doc_id, item_id, count(*) as n_shared from held join items using (width, s) group by doc_id, item_id
+)
+select doc_id, item_id, n_shared, n as n_item_shingles from shared join sizes using (item_id) where 100 * n_shared >= 80 * n
+"""
+
+# The template's output is measured, not written: 10 characters before the
+# role, 1 after it, 13 after the text, and one for each escape.
+OP10_SQL = """
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized as (
+  select *, 24 + length(role) + length(text) + (length(text) - length(replace(text, '\\', '')))
+    + (length(text) - length(replace(text, '<s>', ''))) // 3 + (length(text) - length(replace(text, '</s>', ''))) // 4
+    + (length(text) - length(replace(text, '[INST]', ''))) // 6 + (length(text) - length(replace(text, '[/INST]', ''))) // 7 as chars
+  from c
+), told as (
+  select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
+    coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as loss, sum(chars)::bigint as formatted_chars
+  from sized group by conv_id
+)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from told
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_decontamination": OP4_SQL,
+    "op10_chat_format": OP10_SQL,
+}
