@@ -63,7 +63,7 @@ _PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u02ff]")
 # The split pattern of word-level BPE tokenizers, and its like
 # for plain text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_PLAIN_WORDS = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\s\w]|_)+")
 #: Words that the library gets in one text.
 JOINED = 2000
 
@@ -101,20 +101,32 @@ class WordEncoder:
         self.split = regex.compile(WORD_PATTERN)
         self.special = [x["content"] for x in added]
         self.wide = self.library.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._forget()
         self.last = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
         if self.by_word:
             suffix = spec["model"]["end_of_word_suffix"]
             self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
 
-    def _words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each word; a word's last id is one that ends words."""
-        out: list[tuple[int, ...]] = []
-        for lo in range(0, len(words), JOINED):
-            ids = self._whole([" ".join(words[lo : lo + JOINED])])[0]
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            out += [tuple(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-        return out
+    def _forget(self) -> None:
+        """The ids of remembered words stand in one array; a word has the
+        number of its start and size there."""
+        self.known: dict[str, int] = {}
+        self.starts = self.sizes = np.empty(0, np.int64)
+        self.ids = np.empty(0, np.int32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Ask the library for the ids of new words, many in one text; a
+        word's last id is one that ends words."""
+        ids = [np.array(self._whole([" ".join(words[lo : lo + JOINED])])[0], np.int32) for lo in range(0, len(words), JOINED)]
+        found = np.concatenate([np.empty(0, np.int32), *ids])
+        ends = np.flatnonzero(self.last[found]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the library has split the words otherwise")
+        sizes = np.diff(ends, prepend=0)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, ends - sizes + len(self.ids)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, found])
 
     def _split(self, text: str) -> list[str] | None:
         """Words of a text; None if the library has to see it whole."""
@@ -129,17 +141,26 @@ class WordEncoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
         if not self.by_word:
-            return self._whole(texts)
-        words = [self._split(t) for t in texts]
+            return [np.array(x, np.int32) for x in self._whole(texts)]
+        split = [self._split(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self._forget()
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for some in words if some for w in some if w not in known})
-        known.update(zip(new, self._words(new), strict=True))
-        odd = iter(self._whole([t for t, some in zip(texts, words, strict=True) if some is None]))
-        return [next(odd) if some is None else list(chain.from_iterable(map(known.__getitem__, some))) for some in words]
+        self._learn(list({w for some in split if some for w in some if w not in known}))
+        counts = np.fromiter((len(some or ()) for some in split), np.int64, len(split))
+        slots = np.fromiter(map(known.__getitem__, chain.from_iterable(some or () for some in split)), np.int64, int(counts.sum()))
+        sizes = self.sizes[slots]
+        until = np.cumsum(sizes)
+        flat = self.ids[np.arange(until[-1] if len(until) else 0) + np.repeat(self.starts[slots] - until + sizes, sizes)]
+        cuts = np.concatenate([[0], until])[np.cumsum(counts)]
+        out = np.split(flat, cuts[:-1])
+        odd = [k for k, some in enumerate(split) if some is None]
+        for k, ids in zip(odd, self._whole([texts[k] for k in odd]), strict=True):
+            out[k] = np.array(ids, np.int32)
+        return out
 
 
 @lru_cache(2)
@@ -303,9 +324,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
                     writer = ShardWriter(out, "u4" if encoder.wide else "u2")
                 keys = batch.column("key").slice(start, len(texts)).to_pylist()
                 for k, ids in zip(keys, encoder.encode(texts), strict=True):
-                    if end_id is not None:
-                        ids.append(end_id)
-                    writer.add(k, ids)
+                    writer.add(k, ids if end_id is None else np.append(ids, end_id))
         if writer is not None:
             written, tokens = writer.close()
             out.close()
