@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, decontaminate, langid, quality_rules, secret_scan, token_counts, token_files
+from . import bpe_codec, chat_format, decontaminate, langid, near_dedup, quality_rules, secret_scan, token_counts, token_files
 from .tables import shared_folder, table
 
 
@@ -93,6 +93,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -100,6 +104,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_codec": op2_bpe_codec,
+    "op3_near_dedup": op3_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_secret_scans": op6_secret_scans,
@@ -108,6 +113,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 
+# All pairs with a common shingle, then labels spread along links.
+OP3_SQL = """
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+  from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end) as s
+  from d where len(w) > 0
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as m from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by x, y
+), links as (
+  select x, y from pairs join n p on p.doc_id = x join n q on q.doc_id = y where 100 * m >= 85 * (p.n + q.n - m)
+), reach as (
+  select doc_id, doc_id as least from documents
+  union
+  select links.y, reach.least from reach join links on reach.doc_id = links.x
+), least as (
+  select doc_id, min(least) as component_id from reach group by doc_id
+)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
+from documents left join n using (doc_id) join least using (doc_id)
+"""
+
 # Containment of every item in every document, by joining all shingles.
 OP4_SQL = """
 with d as (
@@ -149,6 +179,7 @@ select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_cha
 """
 
 ORACLES: dict[str, str] = {
+    "op3_near_dedup": OP3_SQL,
     "op4_decontamination": OP4_SQL,
     "op10_chat_format": OP10_SQL,
 }

@@ -5,6 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers up to which a table is broadcast (some 30 MB).
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +40,9 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     at = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, marked for broadcasting if it has few enough rows; a larger one is
+    left to be shuffled."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
