@@ -22,6 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import sent_if_small, settled
 from .words import SHINGLE_WORDS, hashes, runs, words
 
 SKETCH = 16
@@ -29,13 +30,6 @@ THRESHOLD_PERCENT = 80
 #: Standard deviations of the sketch's hit count that the candidate threshold
 #: allows for: at 5, less than one pair in a million at the threshold is lost.
 DEVIATIONS = 5.0
-#: Rows of the sketches, or of all the items' shingles, up to which they are
-#: broadcast (some 30 MB); larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
-
-
-def _sent(small: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
 def item_shingles(benchmark: DataFrame, item: str, text: str) -> DataFrame:
@@ -97,13 +91,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     sketch = F.transform(F.slice(F.array_sort(F.transform("shingles", lambda s: F.struct(F.xxhash64(s, F.lit(7)).alias("order"), s.alias("s")))), 1, SKETCH), lambda x: x["s"])
     least_class = _size_class(F.ceil(F.col("size") * THRESHOLD_PERCENT / 100))
     sketches = items.select("item", "variant", least_hits(F.col("size")).alias("least_hits"), least_class.alias("least_class"), F.explode_outer(sketch).alias("shingle"))
-    probed = _shingled(documents, widths).join(_sent(sketches, sketch_rows), "shingle").filter(F.col("class") >= F.col("least_class"))
-    candidates = (
-        probed.select("doc", "item", "variant", "least_hits", "shingle").distinct().groupBy("doc", "item", "variant", "least_hits").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= F.col("least_hits")).select("doc", "item", "variant")
-    )
-    suspects = documents.join(candidates.select("doc").distinct(), "doc", "left_semi")
+    probed = _shingled(documents, widths).join(sent_if_small(sketches, sketch_rows), "shingle").filter(F.col("class") >= F.col("least_class"))
+    hits = probed.select("doc", "item", "variant", "least_hits", "shingle").distinct().groupBy("doc", "item", "variant", "least_hits").agg(F.count(F.lit(1)).alias("hits"))
+    candidates = settled(hits.filter(F.col("hits") >= F.col("least_hits")).select("doc", "item", "variant"), "candidates")
+    suspects = documents.join(sent_if_small(candidates.select("doc").distinct(), candidates.count()), "doc", "left_semi")
     every = items.select("item", "variant", "size", F.explode_outer("shingles").alias("shingle"))
-    shared = _shingled(suspects, widths).join(_sent(every, rows), "shingle").select("doc", "item", "variant", "size", "shingle").distinct()
+    shared = _shingled(suspects, widths).join(sent_if_small(every, rows), "shingle").select("doc", "item", "variant", "size", "shingle").distinct()
     exact = shared.groupBy("doc", "item", "variant", "size").agg(F.count(F.lit(1)).alias("n_shared")).filter(100 * F.col("n_shared") >= THRESHOLD_PERCENT * F.col("size"))
     found = exact.join(candidates, ["doc", "item", "variant"], "left_semi")
     best = found.groupBy("doc", "item").agg(F.max(F.struct(F.col("n_shared") / F.col("size"), "n_shared", F.col("size").cast("long").alias("size"))).alias("best"))
