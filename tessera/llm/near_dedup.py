@@ -46,8 +46,8 @@ COORDINATES = 64
 #: Equal coordinates that make a pair a candidate: five standard deviations
 #: below what a similarity of 0.85 gives.
 ALIKE = 40
-LEAF = 1000
-LEVELS = 5
+LEAF = 4000
+LEVELS = 3
 #: Rounds in which crowded nodes are thinned out.
 ROUNDS = 8
 #: Documents and shingles that a group may have to be confirmed in one task.
@@ -85,7 +85,8 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc, n, print1, print2, tokens, coordinates) of docs (doc, text)."""
+    """(doc, text_id, n, print1, print2, tokens, coordinates) of docs (doc,
+    text_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,11 +96,11 @@ def sketched(docs: DataFrame) -> DataFrame:
                 signed = prints.view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BRANCHES, pa.int32()), pa.array(tokens.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(start, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed[:, 0]), pa.array(signed[:, 1]), lists, pa.array([r.tobytes() for r in coordinates], pa.binary())],
-                    ["doc", "n", "print1", "print2", "tokens", "coordinates"],
+                    [*(batch.column(c).slice(start, len(texts)) for c in ("doc", "text_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed[:, 0]), pa.array(signed[:, 1]), lists, pa.array([r.tobytes() for r in coordinates], pa.binary())],
+                    ["doc", "text_id", "n", "print1", "print2", "tokens", "coordinates"],
                 )
 
-    return docs.mapInArrow(run, "doc long, n long, print1 long, print2 long, tokens array<long>, coordinates binary")
+    return docs.mapInArrow(run, "doc long, text_id long, n long, print1 long, print2 long, tokens array<long>, coordinates binary")
 
 
 def by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -252,7 +253,7 @@ def _confirmed(texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row.
+    """(key, text_id, n_shingles, component_id, kept) of every row.
 
     Words are runs of characters other than space and U+0009 to U+000D, A-Z
     lower-cased; a row's set is its distinct shingles of five words, or all
@@ -263,10 +264,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     A null or empty text, or one without words, has an empty set and is linked
     with nothing. A null key never names a component: such a row gets that of
     its text's copies and neighbours, or null, and is kept in that last case.
-    Rows that share a key are judged by their own texts. Other columns aren't
+    Rows that share a key are judged by their own texts, told apart by text_id,
+    the text's xxhash64. Other columns aren't
     read; an empty table gives no rows. Keys are integers.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("text_id"), F.col(text).cast("string").alias("text"))
     sketch = settled(sketched(rows), "sketches")
     same = ["print1", "print2", "n"]
     # Classes of equal sets, with the sketch of the least row.
@@ -282,9 +284,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     groups = settled(whole.union(parted), "groups")
     texts = rows.join(sent_if_small(groups, groups.count()), "doc").select("group", "doc", "text")
     confirmed = settled(_confirmed(texts), "links")
-    final = components(confirmed).select(F.col("node").alias("least"), "component")
+    # Links found in whole components are stars that meet no other.
+    spread = confirmed if parted.isEmpty() else components(confirmed).select(F.col("component").alias("a"), F.col("node").alias("b"))
+    final = spread.select(F.col("b").alias("least"), F.col("a").alias("component"))
     named = classes.select(*same, F.col("doc").alias("least")).join(final, "least", "left").select(*same, F.coalesce("component", "least").alias("component_id"))
-    judged = sketch.select("doc", *same).join(named, same, "left").select(
-        F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id")).alias("component_id")
+    judged = sketch.select("doc", "text_id", *same).join(named, same, "left").select(
+        F.col("doc").alias(key), "text_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id")).alias("component_id")
     )
     return judged.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that near_duplicates keeps, with all their columns.
+
+    Of rows that are kept and share both key and text, or a null key and the
+    text, one stays.
+    """
+    judged = settled(near_duplicates(docs, key, text), "judged")
+    gone = judged.filter(~F.col("kept")).select(F.col(key).alias("gone_key"), F.col("text_id").alias("gone_text")).distinct()
+    gone = sent_if_small(gone, judged.filter(~F.col("kept")).count())
+    stay = docs.join(gone, F.col(key).eqNullSafe(gone["gone_key"]) & (F.xxhash64(F.col(text).cast("string")) == gone["gone_text"]), "left_anti")
+    kept = judged.filter("kept").select(key, "text_id")
+    # Texts are only compared if some rows repeat.
+    if kept.groupBy(key, "text_id").count().filter("count > 1").isEmpty():
+        return stay
+    return stay.dropDuplicates([key, text])
