@@ -101,3 +101,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     found = exact.join(candidates, ["doc", "item", "variant"], "left_semi")
     best = found.groupBy("doc", "item").agg(F.max(F.struct(F.col("n_shared") / F.col("size"), "n_shared", F.col("size").cast("long").alias("size"))).alias("best"))
     return best.select(F.col("doc").alias(key), F.col("item").alias(item), F.col("best.n_shared").alias("n_shared"), F.col("best.size").alias("n_item_shingles"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` whose key isn't that of a contaminated document, with
+    all their columns; rows with a null key stay."""
+    leaked = settled(contaminated(docs, benchmark, key, text).select(F.col(key).alias("leaked_key")).distinct(), "leaked")
+    leaked = sent_if_small(leaked, leaked.count())
+    return docs.join(leaked, F.col(key) == leaked["leaked_key"], "left_anti")

@@ -176,3 +176,21 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
                 yield batch_of(schema, batch.column("key").slice(start, len(texts)), names, scores)
 
     return source.mapInArrow(run, f"key {kind.simpleString()}, lang_pred string, score double").withColumnRenamed("key", key)
+
+
+def identified(docs: DataFrame, model: LanguageModel, text: str = "text", least_score: float = 0.5) -> DataFrame:
+    """The rows of `docs` whose text has a language, known with at least
+    `least_score`; all columns stay as they are.
+
+    Rows with a null or empty text, or without a letter, go.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in text_slices(batch, text):
+                names, scores = shipped.value.predict(texts)
+                keep = [n != UNDETERMINED and s >= least_score for n, s in zip(names, scores, strict=True)]
+                yield batch.slice(start, len(texts)).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -100,7 +100,7 @@ def trigram_query(pattern: str) -> Query:
     def walk(items) -> tuple[Query, set[str] | None]:
         """Query of a sequence, and its spellings if they're all known."""
         query, ends, exact = True, {""}, True
-        for kind, arg in items:
+        for kind, arg in unrolled(items):
             part, spellings = one(kind, arg)
             query = _joined("and", [query, part])
             if spellings is None:
@@ -115,6 +115,18 @@ def trigram_query(pattern: str) -> Query:
             ends = grown
         return (query, ends) if exact else (_joined("and", [query, _of_strings(ends)]), None)
 
+    def unrolled(items) -> Iterator[tuple]:
+        """What has to come at least once, spelled out, then the optional rest."""
+        for kind, arg in items:
+            if kind in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT) and arg[0]:
+                least, most, inner = arg
+                for _ in range(min(least, 4)):
+                    yield from inner
+                if least > 4 or most > least:
+                    yield kind, (0, most, inner)
+            else:
+                yield kind, arg
+
     def one(kind, arg) -> tuple[Query, set[str] | None]:
         if kind is op.LITERAL:
             return True, {chr(arg).lower()}
@@ -136,15 +148,9 @@ def trigram_query(pattern: str) -> Query:
                 return True, both
             return _joined("or", [_joined("and", [q, True if s is None else _of_strings(s)]) for q, s in sides]), None
         if kind in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT):
-            least, most, inner = arg
-            query, spellings = walk(inner)
-            if (least, most) == (0, 1) and spellings is not None:
-                return True, spellings | {""}
-            if least == 0:
-                return True, None
-            if least == most == 1:
-                return query, spellings
-            return _joined("and", [query, True if spellings is None else _of_strings(spellings)]), None
+            _, most, inner = arg
+            spellings = walk(inner)[1] if most == 1 else None
+            return True, None if spellings is None else spellings | {""}
         if kind is op.AT:
             return True, {""}
         return True, None

@@ -301,7 +301,7 @@ class Answers:
         return found
 
 
-def _shared_grams(source: DataFrame, buckets: int, most: int) -> DataFrame:
+def _shared_grams(source: DataFrame, buckets: int, most: int, hot: int) -> DataFrame:
     """(slice, bucket, data): for each gram of the slice in the bucket, 0 if
     no other document has it, 1 if one may, 2 if it is hot."""
 
@@ -320,7 +320,7 @@ def _shared_grams(source: DataFrame, buckets: int, most: int) -> DataFrame:
             sizes = np.diff(np.append(starts, len(gram)))
             many = np.maximum.reduceat(values[order] & np.uint64(1), starts) > 0
             units = np.add.reduceat(np.int64(1) << ((values[order] >> np.uint64(1)) & np.uint64(15)).astype(np.int64), starts)
-            flag = np.where((sizes > 1) | many, np.where(units > HOT, 2, 1), 0).astype(np.uint8)
+            flag = np.where((sizes > 1) | many, np.where(units > hot, 2, 1), 0).astype(np.uint8)
             flags = np.empty(len(values), np.uint8)
             flags[order] = np.repeat(flag, sizes)
             at = np.cumsum([0, *map(len, blobs)])
@@ -419,7 +419,7 @@ def _repeated_strings(source: DataFrame, flags: Answers, buckets: int, most: int
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "slice").mapInArrow(answer, "slice long, bucket int, data binary")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None, settle: bool = True, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None, settle: bool = True, slice_bytes: int = SLICE_BYTES, hot: int = HOT) -> DataFrame:
     """(key, kept binary, n_bytes, n_removed, n_spans) of every row.
 
     Each byte covered by a string of 50 bytes that also starts in a row with a
@@ -432,7 +432,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buc
     The texts are read three times and have to come in the same portions each
     time. Files do; anything else is first written to the shared folder
     (`settle`). `buckets` are the shares of the anchors that are sorted in one
-    task, by default spark.sql.shuffle.partitions.
+    task, by default spark.sql.shuffle.partitions; `slice_bytes` of text are
+    handled together, and a gram of more than `hot` units is dealt out string
+    by string.
     """
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -441,7 +443,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buc
         source = settled(source, "texts")
     folder = f"{shared_folder(spark)}/repeats-{uuid.uuid4().hex}"
     flags, masks = Answers(f"{folder}/grams"), Answers(f"{folder}/strings")
-    flags.write(_shared_grams(source, buckets, slice_bytes))
+    flags.write(_shared_grams(source, buckets, slice_bytes, hot))
     masks.write(_repeated_strings(source, flags, buckets, slice_bytes))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,8 +128,8 @@ class PieceCounter:
 
 
 @lru_cache(4)
-def _counter(content: bytes):
-    return WholeTokenCounter(content.decode()) if content[:1].isspace() or content[:1] == b"{" else PieceCounter(content)
+def _counter(content: bytes, is_json: bool):
+    return WholeTokenCounter(content.decode()) if is_json else PieceCounter(content)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
@@ -139,16 +139,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     tokens inside a text count as the library's default has them. A null or
     empty text has 0 bytes and 0 tokens. A null key stays null; repeated rows
     give repeated rows; other columns, whatever their names, aren't read. An
-    empty table gives an empty result. `tokenizer` is read on the driver and
-    its content sent to the workers (its size is that of one vocabulary).
+    empty table gives an empty result. `tokenizer`, a .json or
+    .model file, is read on the driver and its content sent to the workers (its size is that of one vocabulary).
     """
     with open(tokenizer, "rb") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
+    is_json = tokenizer.endswith(".json")
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = source.schema["key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(content.value)
+        counter = _counter(content.value, is_json)
         for batch in batches:
             schema = pa.schema([("key", batch.schema.field("key").type), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
             for start, texts in text_slices(batch, "text"):
