@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import text_slices
+from .arrowmap import mapped, text_slices
 
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Bytes up to which pre-tokens are merged side by side.
 SIDE_BY_SIDE = 64
 #: Tree leaves worked on at once.
@@ -183,7 +183,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.merger = RankMerger(ranks)
         self.split = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
         size = max(ranks.values()) + 1
         tokens = [b""] * size
         for token, rank in ranks.items():
@@ -192,14 +192,34 @@ class Codec:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        pieces = [self.split.findall(t) for t in texts]
+    def forget(self) -> None:
+        """The ids of known pre-tokens stand in one array; a pre-token has the
+        number of its start and size there."""
+        self.known: dict[str, int] = {}
+        self.first = self.count = np.empty(0, np.int64)
+        self.ids = np.empty(0, np.int32)
+
+    def _learn(self, pieces: list[str]) -> None:
+        merged = self.merger.merge([p.encode() for p in pieces])
+        count = np.fromiter(map(len, merged), np.int64, len(merged))
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.first = np.concatenate([self.first, np.cumsum(count) - count + len(self.ids)])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(merged), np.int32, int(count.sum()))])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where those of each text end."""
+        split = [self.split.findall(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.forget()
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({p for some in pieces for p in some if p not in known})
-        known.update(zip(new, self.merger.merge([p.encode() for p in new]), strict=True))
-        return [list(chain.from_iterable(map(known.__getitem__, some))) for some in pieces]
+        self._learn(list({p for some in split for p in some if p not in known}))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        slots = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        sizes = self.count[slots]
+        until = np.cumsum(sizes)
+        ids = self.ids[np.arange(until[-1] if len(until) else 0) + np.repeat(self.first[slots] - until + sizes, sizes)]
+        return ids, np.concatenate([[0], until])[np.cumsum(counts)]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """Bytes of the id lists that end at `ends` in `ids`."""
@@ -237,13 +257,13 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", t
         codec = _codec(content.value, pattern)
         for batch in batches:
             for start, texts in text_slices(batch, "text"):
-                found = codec.encode(texts)
-                ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-                flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
+                ids, ends = codec.encode(texts)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(start, len(texts)), lists], ["key", "ids"])
+        # Workers outlive tasks; what they remember shouldn't.
+        codec.forget()
 
-    out = source.mapInArrow(run, T.StructType([T.StructField("key", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    out = mapped(source, run, T.StructType([T.StructField("key", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return out.withColumnRenamed("key", key)
 
 
@@ -269,4 +289,4 @@ def decode(encoded: DataFrame, rank_file: str, ids: str = "ids", data: str = "de
                 names = [n for n in part.schema.names if n != ids]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.binary())], [*names, data])
 
-    return encoded.mapInArrow(run, T.StructType([*rest, T.StructField(data, T.BinaryType())]))
+    return mapped(encoded, run, T.StructType([*rest, T.StructField(data, T.BinaryType())]))

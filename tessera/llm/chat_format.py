@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrowmap import mapped
+
 Turns = list[tuple[str, str]]
 #: A private-use character that stands for a text while its place is sought.
 PROBE = "\ue000"
@@ -126,7 +128,7 @@ def format_conversations(conversations: DataFrame, template: Callable[[Turns], s
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(texts, pa.string()), pa.array(spans, pa.list_(_SPAN)), pa.array(masks, mask), pa.array(odd, pa.bool_())], ["key", "formatted", "spans", "loss_mask", "rewrites_history"])
 
     spans = "array<struct<role:string,start:int,end:int,text_start:int,text_end:int>>"
-    out = whole.mapInArrow(run, f"key {kind.simpleString()}, formatted string, spans {spans}, loss_mask array<struct<start:int,end:int>>, rewrites_history boolean")
+    out = mapped(whole, run, f"key {kind.simpleString()}, formatted string, spans {spans}, loss_mask array<struct<start:int,end:int>>, rewrites_history boolean")
     return out.withColumnRenamed("key", key)
 
 
@@ -148,5 +150,5 @@ def read_back(formatted: DataFrame, template: MarkedTemplate | None = None, key:
                 losses.append("".join(template.unescape(text[m["start"] : m["end"]]) for m in mask))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(turns, pa.list_(_TURN)), pa.array(losses, pa.string())], ["key", "turns", "loss_text"])
 
-    out = source.mapInArrow(run, f"key {kind.simpleString()}, turns array<struct<role:string,text:string>>, loss_text string")
+    out = mapped(source, run, f"key {kind.simpleString()}, turns array<struct<role:string,text:string>>, loss_text string")
     return out.withColumnRenamed("key", key)

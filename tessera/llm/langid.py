@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowmap import batch_of, text_slices
+from .arrowmap import batch_of, mapped, text_slices
 
 #: The answer for texts without a letter.
 UNDETERMINED = "und"
@@ -143,7 +143,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
             at = np.flatnonzero(own)
             yield batch_of(_COUNTS, [language] * len(at), at.astype(np.int32), own[at])
 
-    counted = sample.select("label", "text").repartition(FIT_TASKS).mapInArrow(run, "label string, bucket int, n long")
+    counted = mapped(sample.select("label", "text").repartition(FIT_TASKS), run, "label string, bucket int, n long")
     rows = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = {k: np.zeros(1 << BUCKET_BITS) for k in sizes}
     labels, buckets, ns = (rows.column(c).to_numpy() for c in ("label", "bucket", "n"))
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
                 names, scores = shipped.value.predict(texts)
                 yield batch_of(schema, batch.column("key").slice(start, len(texts)), names, scores)
 
-    return source.mapInArrow(run, f"key {kind.simpleString()}, lang_pred string, score double").withColumnRenamed("key", key)
+    return mapped(source, run, f"key {kind.simpleString()}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def identified(docs: DataFrame, model: LanguageModel, text: str = "text", least_score: float = 0.5) -> DataFrame:
@@ -193,4 +193,4 @@ def identified(docs: DataFrame, model: LanguageModel, text: str = "text", least_
                 keep = [n != UNDETERMINED and s >= least_score for n, s in zip(names, scores, strict=True)]
                 yield batch.slice(start, len(texts)).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowmap import text_slices
+from .arrowmap import mapped, text_slices
 from .graph import components
 from .shingles import mix, shingle_sets
 from .tables import sent_if_small, settled
@@ -100,7 +100,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                     ["doc", "text_id", "n", "print1", "print2", "tokens", "coordinates"],
                 )
 
-    return docs.mapInArrow(run, "doc long, text_id long, n long, print1 long, print2 long, tokens array<long>, coordinates binary")
+    return mapped(docs, run, "doc long, text_id long, n long, print1 long, print2 long, tokens array<long>, coordinates binary")
 
 
 def by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -168,7 +168,7 @@ def _alike(leaves: DataFrame) -> DataFrame:
                 nodes, roots, docs = [], [], []
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, roots, docs)], ["node", "root", "doc"])
 
-    return leaves.repartition("node").sortWithinPartitions("node", "doc").mapInArrow(run, "node long, root long, doc long")
+    return mapped(leaves.repartition("node").sortWithinPartitions("node", "doc"), run, "node long, root long, doc long")
 
 
 def _children(node: Column, first: Column, second: Column) -> Column:
@@ -249,7 +249,7 @@ def _confirmed(texts: DataFrame) -> DataFrame:
                 b += rest
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return texts.repartition("group").sortWithinPartitions("group", "doc").mapInArrow(run, "a long, b long")
+    return mapped(texts.repartition("group").sortWithinPartitions("group", "doc"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

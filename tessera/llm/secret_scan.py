@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import text_slices
+from .arrowmap import mapped, text_slices
 
 
 @dataclass(frozen=True)
@@ -244,7 +244,7 @@ def _mapped(df: DataFrame, text: str, rules: tuple[Rule, ...], made: Callable, f
                 made_column = made(scanner, part.column(at), texts)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), made_column], [*(part.schema.names[k] for k in keep), field.name])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

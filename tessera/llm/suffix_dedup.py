@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrowmap import mapped
 from .near_dedup import by_group
 from .shingles import _down, _up, mix
 from .suffix_array import deep_shallow_order
@@ -288,7 +289,7 @@ class Answers:
                 written += 1
             yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["n"])
 
-        answers.repartition("slice").sortWithinPartitions("slice", "bucket").mapInArrow(run, "n long").agg(F.sum("n")).first()
+        mapped(answers.repartition("slice").sortWithinPartitions("slice", "bucket"), run, "n long").agg(F.sum("n")).first()
 
     def read(self, name: int, dtype: str, expected: int) -> np.ndarray:
         if not expected:
@@ -328,7 +329,7 @@ def _shared_grams(source: DataFrame, buckets: int, most: int, hot: int) -> DataF
             yield _rows(["slice", "bucket", "data"], [pa.int64(), pa.int32(), pa.binary()], [(s, bucket, flags[lo:hi].tobytes()) for s, lo, hi in zip(table.column("slice").to_pylist(), at[:-1], at[1:], strict=True)])
 
     schema = "slice long, bucket int, data binary"
-    return source.mapInArrow(deal, schema).repartition("bucket").sortWithinPartitions("bucket", "slice").mapInArrow(answer, schema)
+    return mapped(mapped(source, deal, schema).repartition("bucket").sortWithinPartitions("bucket", "slice"), answer, schema)
 
 
 def string_masks(key: np.ndarray, doc: np.ndarray, anchor: np.ndarray, strings: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -415,8 +416,8 @@ def _repeated_strings(source: DataFrame, flags: Answers, buckets: int, most: int
             bucket = table.column("bucket")[0].as_py()
             yield _rows(["slice", "bucket", "data"], [pa.int64(), pa.int32(), pa.binary()], [(s, bucket, out[lo:hi].tobytes()) for s, lo, hi in zip(table.column("slice").to_pylist(), cuts[:-1], cuts[1:], strict=True)])
 
-    dealt = source.mapInArrow(deal, "slice long, bucket int, key binary, context binary, doc binary, anchor binary, strings binary, bytes binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "slice").mapInArrow(answer, "slice long, bucket int, data binary")
+    dealt = mapped(source, deal, "slice long, bucket int, key binary, context binary, doc binary, anchor binary, strings binary, bytes binary")
+    return mapped(dealt.repartition("bucket").sortWithinPartitions("bucket", "slice"), answer, "slice long, bucket int, data binary")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None, settle: bool = True, slice_bytes: int = SLICE_BYTES, hot: int = HOT) -> DataFrame:
@@ -464,4 +465,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buc
                     rows = []
             yield _rows(names, kinds, rows)
 
-    return source.mapInArrow(cut, "key long, kept binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("key", key)
+    return mapped(source, cut, "key long, kept binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("key", key)

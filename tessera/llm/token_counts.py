@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowmap import batch_of, text_slices
+from .arrowmap import batch_of, mapped, text_slices
 
 # The split pattern of byte-level BPE tokenizers.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -81,6 +81,9 @@ class WholeTokenCounter:
         self.known: dict[str, int] = {}
         self.whole = self._proven() if self.shortcut else frozenset()
 
+    def forget(self) -> None:
+        self.known.clear()
+
     def _proven(self) -> frozenset[str]:
         strings = [self.library.decoder.decode([t]) for t in self.library.get_vocab(with_added_tokens=False)]
         single = [s for s in strings if s and "�" not in s and not needs_library(s) and self.split.findall(s) == [s]]
@@ -123,6 +126,9 @@ class PieceCounter:
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=content)
 
+    def forget(self) -> None:
+        """Nothing is remembered."""
+
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.library.encode(texts, num_threads=1)]
 
@@ -155,6 +161,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
             for start, texts in text_slices(batch, "text"):
                 keys = batch.column("key").slice(start, len(texts))
                 yield batch_of(schema, keys, [len(t.encode()) for t in texts], counter.counts(texts))
+        # Workers outlive tasks; what they remember shouldn't.
+        counter.forget()
 
-    out = source.mapInArrow(run, f"key {kind.simpleString()}, n_bytes long, n_tokens long")
+    out = mapped(source, run, f"key {kind.simpleString()}, n_bytes long, n_tokens long")
     return out.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

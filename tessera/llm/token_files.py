@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowmap import batch_of, text_slices
+from .arrowmap import batch_of, mapped, text_slices
 from .token_counts import needs_library
 
 # Fixed values of the zstandard format and of its seekable extension.
@@ -101,13 +101,13 @@ class WordEncoder:
         self.split = regex.compile(WORD_PATTERN)
         self.special = [x["content"] for x in added]
         self.wide = self.library.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self._forget()
+        self.forget()
         self.last = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
         if self.by_word:
             suffix = spec["model"]["end_of_word_suffix"]
             self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """The ids of remembered words stand in one array; a word has the
         number of its start and size there."""
         self.known: dict[str, int] = {}
@@ -147,7 +147,7 @@ class WordEncoder:
             return [np.array(x, np.int32) for x in self._whole(texts)]
         split = [self._split(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self._forget()
+            self.forget()
         known = self.known
         self._learn(list({w for some in split if some for w in some if w not in known}))
         counts = np.fromiter((len(some or ()) for some in split), np.int64, len(split))
@@ -326,12 +326,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
                 for k, ids in zip(keys, encoder.encode(texts), strict=True):
                     writer.add(k, ids if end_id is None else np.append(ids, end_id))
         if writer is not None:
+            encoder.forget()
             written, tokens = writer.close()
             out.close()
             store.move(trial, final)
             yield batch_of(_MANIFEST, [number], [f"{folder}/shard-{number:06d}.ids.zst"], [written], [tokens])
 
-    found = dealt.mapInArrow(run, "number int, path string, docs long, tokens long").collect()
+    found = mapped(dealt, run, "number int, path string, docs long, tokens long").collect()
     out, start = [], 0
     for r in sorted(found, key=lambda r: r.number):
         out.append(Shard(r.path, r.docs, r.tokens, start))
@@ -370,4 +371,4 @@ def read_token_files(spark: SparkSession, shards: list[Shard], keys: set[int] |
                         yield batch_of(_READ, *map(list, zip(*held, strict=True)))
 
     files = spark.createDataFrame([(s.path, s.start) for s in shards], "path string, start long")
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return mapped(files, run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")

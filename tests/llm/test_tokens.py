@@ -72,10 +72,9 @@ TIKTOKEN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, sp
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=200), max_size=5))
 def test_codec_is_tiktoken_and_goes_back(texts):
-    ids = CODEC.encode(texts)
-    assert ids == [TIKTOKEN.encode_ordinary(t) for t in texts]
-    flat = np.array([i for some in ids for i in some], np.int64)
-    assert CODEC.decode(flat, np.cumsum([len(x) for x in ids]).astype(np.int64)) == [t.encode() for t in texts]
+    ids, ends = CODEC.encode(texts)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])][: len(texts)] == [TIKTOKEN.encode_ordinary(t) for t in texts]
+    assert CODEC.decode(ids, ends) == [t.encode() for t in texts]
 
 
 @pytest.mark.parametrize("piece", [b"a" * 65, b"ab" * 500, bytes(range(256)) * 3, "é".encode() * 77])
