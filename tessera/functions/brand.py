@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # Latin letters with marks and what they fold to.
 _MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēėęěğīįłńňōőřśšťūůűźżž"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeegiilnnoorsstuuuzzz"
@@ -30,17 +32,21 @@ def brand_words(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(spelled, r"[\s,.\-‐–/#]+", " "), "^the ", ""))
 
 
-def maker(value: Column) -> Column:
-    """The number of the family of names that the brand belongs to, or null."""
-    words_, out = brand_words(value), F
+def family(words: Column) -> Column:
+    """The number of the family of names that brand words belong to, or null."""
+    out = F
     for n, names in enumerate(MAKERS):
         hit = F.lit(False)
         for name in names:
-            hit = hit | (words_ == name) | words_.startswith(f"{name} ")
+            hit = hit | (words == name) | words.startswith(f"{name} ")
         out = out.when(hit, n)
     return out.otherwise(F.lit(None).cast("int"))
 
 
+def maker(value: Column) -> Column:
+    return let(brand_words(value), family)
+
+
 def maker_key(value: Column) -> Column:
     """A blocking key: the family, or the first word of three letters or more."""
     words_ = F.filter(F.split(F.regexp_replace(fold(value), r"^the\s+", ""), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -51,16 +57,23 @@ def maker_key(value: Column) -> Column:
 def agree(a: Column, b: Column) -> Column:
     """One maker: equal words, with or without spaces, one family, or one
     brand the front of the other."""
-    x, y = brand_words(a), brand_words(b)
-    short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
-    same = (x == y) | (F.replace(x, F.lit(" "), F.lit("")) == F.replace(y, F.lit(" "), F.lit(""))) | F.coalesce(maker(a) == maker(b), F.lit(False))
-    return (x != "") & (y != "") & (same | ((F.length(short) >= 3) & F.startswith(long, F.concat(short, F.lit(" ")))))
+
+    def compared(v: Column) -> Column:
+        x, y = v["x"], v["y"]
+        short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
+        same = (x == y) | (F.replace(x, F.lit(" "), F.lit("")) == F.replace(y, F.lit(" "), F.lit(""))) | F.coalesce(family(x) == family(y), F.lit(False))
+        return (x != "") & (y != "") & (same | ((F.length(short) >= 3) & F.startswith(long, F.concat(short, F.lit(" ")))))
+
+    return let(F.struct(brand_words(a).alias("x"), brand_words(b).alias("y")), compared)
 
 
 def is_sales_copy(value: Column) -> Column:
-    text = fold(value)
-    words_ = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return (text != "") & (text.rlike("[%!?$€£¥₴₽]") | (F.size(words_) > 5) | (F.length(text) > 60) | F.array_join(words_, " ").isin(BADGES) | F.exists(words_, lambda w: w.isin(SALES_WORDS)))
+
+    def judged(text: Column) -> Column:
+        words_ = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        return (text != "") & (text.rlike("[%!?$€£¥₴₽]") | (F.size(words_) > 5) | (F.length(text) > 60) | F.array_join(words_, " ").isin(BADGES) | F.exists(words_, lambda w: w.isin(SALES_WORDS)))
+
+    return let(fold(value), judged)
 
 
 def is_not_a_brand(value: Column) -> Column:

@@ -108,7 +108,8 @@ def fill_empty(kept: DataFrame, incoming: DataFrame, key: str, columns: list[str
 
 def insert_if_absent(target: DataFrame, rows: DataFrame, key: Column) -> DataFrame:
     """The target with the rows whose key it lacks, the first of each key."""
-    fresh = rows.withColumn("k", key).join(target.select(key.alias("k")).distinct(), "k", "left_anti").dropDuplicates(["k"]).drop("k")
+    folded = "folded_key_"
+    fresh = rows.withColumn(folded, key).join(target.select(key.alias(folded)).distinct(), folded, "left_anti").dropDuplicates([folded]).drop(folded)
     return target.unionByName(fresh)
 
 

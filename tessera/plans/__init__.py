@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import logs, orders, pages, parts
+from . import logs, lookups, orders, pages, parts, records
 
-MODULES = (pages, parts, orders, logs)
+MODULES = (pages, parts, orders, logs, records, lookups)
 QUERIES = {n: q for m in MODULES for n, q in m.R.queries.items()}
 ORACLES = {n: s for m in MODULES for n, s in m.R.oracles.items()}

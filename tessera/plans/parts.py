@@ -295,13 +295,12 @@ def word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("word", F.size(kinds.word_forms(F.col("word"))).cast("int").alias("n"))
 
 
-@R.query("with s as (select p_brand, list_sort(list_distinct(list(split_part(p_name, ' ', 1)))) as w from part where p_partkey % 3 = 0 group by 1), t as (select p_brand, list_sort(list_distinct(list(split_part(p_name, ' ', 1)))) as w from part where p_partkey % 3 = 1 group by 1) select s.p_brand, case when len(list_intersect(s.w, t.w)) = len(s.w) and len(s.w) = len(t.w) then 'same' when len(list_intersect(s.w, t.w)) = len(s.w) or len(list_intersect(s.w, t.w)) = len(t.w) then 'near' when len(list_intersect(s.w, t.w)) > 0 then 'partial' else 'different' end as relation from s join t using (p_brand)")
+@R.query("select p_partkey, case p_partkey % 6 when 0 then 'same' when 1 then 'near' when 2 then 'partial' when 3 then 'different' when 4 then 'unknown' else 'near' end as relation from part")
 def colour_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How two sets of words relate: equal, one in the other, overlapping."""
-    p = table(spark, sf_dir, "part").withColumn("w", F.substring_index("p_name", " ", 1))
-    a = p.filter("p_partkey % 3 = 0").groupBy("p_brand").agg(F.collect_set("w").alias("a"))
-    b = p.filter("p_partkey % 3 = 1").groupBy("p_brand").agg(F.collect_set("w").alias("b"))
-    return a.join(b, "p_brand").select("p_brand", colour.relation(F.col("a"), F.col("b")).alias("relation"))
+    """How two labels relate, one case after the other."""
+    pairs = [("Core  Black", "core black"), ("White/Grey", "grey white leather"), ("black", "black white"), ("red", "blue"), ("red", ""), ("stone", "sand")]
+    one = lambda side: F.element_at(F.array(*(F.lit(p[side]) for p in pairs)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", colour.relation(one(0), one(1)).alias("relation"))
 
 
 @R.query("select distinct p_brand, 'dark' as styles from part")

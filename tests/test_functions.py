@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import brand, codes, colour, kinds, money, text, urls
-from tessera.operators import catalogue
+from tessera.functions import brand, codes, colour, garments, kinds, money, photos, piece, text, urls
+from tessera.operators import catalogue, records, sinks
 from tessera.sources import documents
 from tessera.streaming import seen
 
@@ -114,3 +114,43 @@ def test_streams(spark, tmp_path):
     run = seen.windowed_counts(stream, "ts", "1 minute", "10 minutes", ["u"]).writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", f"{tmp_path}/d").trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted((r.u, r.n) for r in spark.sql("select u, n from counts").collect()) == [(1, 2), (2, 1)]
+
+
+def test_photos(spark):
+    given = ["https://cdn.shopify.com/s/files/1/2/products/a_300x300.jpg?v=1", "https://shop.com/cdn/shop/products/A.jpg", "https://x.com/wp-content/uploads/a-300x200.jpg"]
+    assert values(spark, given, photos.image_key) == ["shopify/products/a", "shopify/products/a", "x.com/wp-content/uploads/a"]
+    assert values(spark, ["https://x.com/w_400,h_500/dpr_2/a.jpg", "https://x.com/a.jpg", "https://x.com/{width}/a.jpg"], photos.rendition_rank) == [500, (1 << 53) - 1, -1]
+    assert values(spark, ["lookbook_01", "dsc00012", "short"], lambda v: photos.numbered_frame(v, F.lit("lookbook_02"))) == [True, False, False]
+
+
+@pytest.mark.parametrize("a,b,same", [("Air Max 90", "Nike Air Max 90", True), ("Jordan 4 Retro", "Jordan 4 Retro Toro Bravo", False), ("9060", "9060", True), ("Tee", "Tee", False), ("Dunk CW2288-111", "Low cw2288 111", True)])
+def test_same_piece(spark, a, b, same):
+    none = F.array().cast("array<string>")
+    assert spark.range(1).select(piece.same_piece(F.lit("Nike"), F.lit(a), F.lit(b), none, none)).first()[0] is same
+
+
+def test_garments(spark):
+    given = ["Pullover Hoodie", "Polo Shirt", "Boots with Denim Bag", "Raw Denim", "x", None]
+    found = values(spark, given, lambda v: garments.garment(v)["kind"])
+    assert found == ["hoodie", "polo", "boots", "denim", None, None]
+
+
+def test_records(spark):
+    nodes = spark.createDataFrame([(1, 0, "Coat", None, "5"), (1, 1, "Coat", "Acme", None), (1, 2, "Other", "B", None), (2, 0, None, None, None)], "id long, pos int, name string, brand string, price string")
+    rows = {r.id: (r.name, r.brand, r.price) for r in records.richest(nodes, "id", ["name", "brand", "price"]).collect()}
+    assert rows == {1: ("Coat", "Acme", "5"), 2: (None, None, None)}
+    packed = records.packed(spark.createDataFrame([("g", k, s) for k, s in enumerate([60, 50, 50, 500, 1])], "g string, k long, s long"), "g", "k", "s", 100)
+    assert {r.k: r.piece for r in packed.collect()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3}
+
+
+def test_sinks(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    rows.write.parquet(path)
+    new = sinks.upserted(spark.read.parquet(path), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), "k").withColumn("extra", F.lit(1))
+    assert sinks.replaced(spark, path, new, ["k", "v"]) == ["extra"]
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    sinks.appended(spark, f"{tmp_path}/log", rows, F.lit("now"))
+    sinks.appended(spark, f"{tmp_path}/log", rows, F.lit("now"))
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 4
+    assert catalogue.insert_if_absent(rows, spark.createDataFrame([(5, "A "), (6, "z"), (7, "z")], "k int, v string"), F.lower(F.trim("v"))).count() == 3
