@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,11 +27,11 @@ from pyspark.sql import types as T
 from .arrowmap import mapped, text_slices
 
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Bytes up to which pre-tokens are merged side by side.
 SIDE_BY_SIDE = 64
 #: Tree leaves worked on at once.
-LEAVES = 1 << 20
+LEAVES = 1 << 18
 
 _NONE = np.int64(1 << 62)
 _BITS = 31
@@ -181,7 +181,7 @@ class Codec:
     """Encodes texts to ids and decodes ids to bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.merger = RankMerger(ranks)
+        self.ranks = ranks
         self.split = regex.compile(pattern)
         self.forget()
         size = max(ranks.values()) + 1
@@ -192,6 +192,11 @@ class Codec:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
+    @cached_property
+    def merger(self) -> RankMerger:
+        """Made on first use: decoding needs none."""
+        return RankMerger(self.ranks)
+
     def forget(self) -> None:
         """The ids of known pre-tokens stand in one array; a pre-token has the
         number of its start and size there."""

@@ -49,8 +49,8 @@ LENGTH = 50
 GRAM = 16
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text handled together, and hashed at once.
-SLICE_BYTES = 16 << 20
-BLOCK_BYTES = 2 << 20
+SLICE_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 19
 #: Occurrences from which a gram's strings are dealt out one by one.
 HOT = 200_000
 

@@ -157,3 +157,24 @@ def test_pipeline(spark):
     assert {k: r.ids for k, r in rows.items()} == want
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and len(want) < len(docs)
+
+
+def test_stages_with_odd_rows(spark):
+    long = " ".join(f"wort{k}" for k in range(60))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, kept int, component_id long, gone_key long, leaked_key long, secrets int"
+    rows = [(k, t, lang, None, n, "k", 1, 2, 3, 4, 5) for k, t, lang, n in [(1, long, "de", 1), (1, long, "de", 1), (None, long, None, None), (2, None, None, None), (3, "", "de", 0), (4, "1 2 3", None, 5), (5, "the token = abcdefghijklmnop", "en", 28), (None, "only here, the text", None, 9)]]
+    docs = spark.createDataFrame(rows, schema)
+    kept = dict.fromkeys(["language_id", "near_dedup", "decontamination", "secret_masking"])
+    want = {"language_id": [None, None, 1, 1, 5], "near_dedup": [None, 1, 5], "decontamination": [None, 1, 5], "secret_masking": [None, 1, 5]}
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, "/root/testdata/sf0.001").collect(), schema)
+        assert now.columns == docs.columns
+        kept[name] = sorted((r.doc_id for r in now.collect()), key=lambda k: (k is not None, k))
+    assert kept == want
+    assert now.filter("doc_id = 5").first().text == "the [secret]"
+    assert now.filter("doc_id = 5").first().n_chars == 12
+    encoded = corpus_pipeline.STAGES[-1][1](spark, now, "").collect()
+    assert len(encoded) == 3 and all(r.n_tokens == len(r.ids) > 0 for r in encoded)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
