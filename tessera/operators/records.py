@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import brand, codes, colour, kinds, money, piece, text, urls
 from ..functions.binding import let
@@ -107,18 +111,26 @@ def best_match(pairs: DataFrame, incoming: str, order: list[Column]) -> DataFram
 
 
 def packed(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
-    """rows with the number of the piece they go into: pieces are filled in
+    """(group, order, piece) of rows dealt into pieces: these are filled in
     order and closed before they'd exceed the budget; one row may exceed it.
 
-    The walk over a group is sequential, but holds only two numbers at a time.
+    Rows stream through in order with two numbers of state, so a group needn't
+    fit in memory, though it is walked by one task.
     """
-    listed = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, size))).alias("l"))
-    start = F.struct(F.lit(0).alias("piece"), F.lit(0).cast("long").alias("sum"), F.array().cast(f"array<struct<{order}:{dict(rows.dtypes)[order]},piece:int>>").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        opens = (a["sum"] > 0) & (a["sum"] + r[size] > budget)
-        number = a["piece"] + F.when(opens, 1).otherwise(0)
-        total = F.when(opens, r[size]).otherwise(a["sum"] + r[size]).cast("long")
-        return F.struct(number.alias("piece"), total.alias("sum"), F.array_append(a["out"], F.struct(r[order].alias(order), number.alias("piece"))).alias("out"))
-
-    return listed.select(group, F.explode(F.aggregate("l", start, step)["out"]).alias("o")).select(group, f"o.{order}", "o.piece")
+    source = rows.select(group, order, F.col(size).cast("long").alias(size))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, piece_, total = object(), 0, 0
+        for batch in batches:
+            out = []
+            for g, s in zip(batch[group].tolist(), batch[size].fillna(0).tolist(), strict=True):
+                if g != held:
+                    held, piece_, total = g, 0, 0
+                elif total and total + s > budget:
+                    piece_, total = piece_ + 1, 0
+                total += s
+                out.append(piece_)
+            yield pd.DataFrame({group: batch[group], order: batch[order], "piece": out})
+
+    schema = T.StructType([source.schema[group], source.schema[order], T.StructField("piece", T.IntegerType())])
+    return source.repartition(group).sortWithinPartitions(group, order).mapInPandas(walk, schema)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import brand, codes, colour, garments, kinds, money, photos, piece, text, urls
+from tessera.functions import brand, codes, colour, garments, kinds, markup, money, photos, piece, text, urls
 from tessera.operators import catalogue, records, sinks
 from tessera.sources import documents
 from tessera.streaming import seen
@@ -154,3 +154,11 @@ def test_sinks(spark, tmp_path):
     sinks.appended(spark, f"{tmp_path}/log", rows, F.lit("now"))
     assert spark.read.parquet(f"{tmp_path}/log").count() == 4
     assert catalogue.insert_if_absent(rows, spark.createDataFrame([(5, "A "), (6, "z"), (7, "z")], "k int, v string"), F.lower(F.trim("v"))).count() == 3
+
+
+def test_markup(spark):
+    assert values(spark, ["a.jpg 1x, b,c.jpg 2x", "a.jpg", ""], markup.srcset_urls) == [["a.jpg", "b,c.jpg"], ["a.jpg"], []]
+    titles = ["Shop online | Coat - Red — Acme", "Sale Rail Tote | Acme", "Acme", "", None]
+    assert values(spark, titles, lambda t: markup.tidy_title(t, F.array(F.lit("acme")))) == ["Coat - Red", "Sale Rail Tote", "", "", ""]
+    assert values(spark, ["Retro runner, retro", ""], markup.inferred_styles) == [["vintage"], []]
+    assert values(spark, ["&#x27;&eacute;", None], markup.decode_all_entities) == ["'é", None]
