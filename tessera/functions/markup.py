@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text, urls
 from .binding import let
@@ -78,16 +79,16 @@ def tidy_title(title: Column, shops: Column) -> Column:
     return F.regexp_replace(F.array_join(inner, " - "), r"[\s|—–·•-]+$", "")
 
 
-@F.pandas_udf("string")
-def decode_all_entities(value: pd.Series) -> pd.Series:
-    """Entities of all kinds, numeric ones too."""
+def _unescaped(value: pd.Series) -> pd.Series:
     return value.map(_html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
-def apply_rule(html: pd.Series, rule: pd.Series) -> pd.Series:
-    """What a site's own expression finds: its first group, or the whole; null
-    if the expression is invalid or finds nothing."""
+def decode_all_entities(value: Column) -> Column:
+    """Entities of all kinds, numeric ones too."""
+    return F.pandas_udf(_unescaped, T.StringType())(value)
+
+
+def _searched(html: pd.Series, rule: pd.Series) -> pd.Series:
     def one(page: str, pattern: str) -> str | None:
         if page is None or not pattern:
             return None
@@ -100,6 +101,12 @@ def apply_rule(html: pd.Series, rule: pd.Series) -> pd.Series:
     return pd.Series([one(h, r) for h, r in zip(html, rule, strict=True)])
 
 
+def apply_rule(html: Column, rule: Column) -> Column:
+    """What a site's own expression finds: its first group, or the whole; null
+    if the expression is invalid or finds nothing."""
+    return F.pandas_udf(_searched, T.StringType())(html, rule)
+
+
 def style_evidence(value: Column, terms: dict[str, str] = STYLE_TERMS) -> Column:
     """map of style to the first of its terms in a text."""
     low = F.lower(F.coalesce(value, F.lit("")))
