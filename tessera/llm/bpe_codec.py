@@ -246,30 +246,34 @@ def _shipped(df: DataFrame, rank_file: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: str | None = None) -> DataFrame:
     """(key, ids array<int>) of every row; each match of `pattern` is merged alone.
 
-    A null or empty text gives an empty array. Strings of special tokens are
-    ordinary text. Null keys, repeated rows and empty tables pass through;
-    other columns aren't read. The rank file (one vocabulary) is read on the
-    driver and sent to the workers.
+    `decoded` names a further column, the bytes that the ids decode to, made
+    in the same pass. A null or empty text gives an empty array (and no
+    bytes). Strings of special tokens are ordinary text. Null keys, repeated
+    rows and empty tables pass through; other columns aren't read. The rank
+    file (one vocabulary) is read on the driver and sent to the workers.
     """
     content = _shipped(docs, rank_file)
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    kind = source.schema["key"].dataType
+    fields = [T.StructField("key", source.schema["key"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    if decoded:
+        fields.append(T.StructField(decoded, T.BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(content.value, pattern)
         for batch in batches:
             for start, texts in text_slices(batch, "text"):
                 ids, ends = codec.encode(texts)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(start, len(texts)), lists], ["key", "ids"])
+                columns = [batch.column("key").slice(start, len(texts)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))]
+                if decoded:
+                    columns.append(pa.array(codec.decode(ids, ends), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
         # Workers outlive tasks; what they remember shouldn't.
         codec.forget()
 
-    out = mapped(source, run, T.StructType([T.StructField("key", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return out.withColumnRenamed("key", key)
+    return mapped(source, run, T.StructType(fields)).withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, rank_file: str, ids: str = "ids", data: str = "decoded") -> DataFrame:

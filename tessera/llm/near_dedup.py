@@ -4,12 +4,13 @@
    fingerprint of its shingle set, BRANCHES minwise tokens of 64 bits to branch
    on and COORDINATES of 16 bits to compare by. Equal sets form a class; from
    here on a class is one document, so exact copies cost nothing.
-2. TREES independent trees branch over the classes. A node holds the documents
+2. Independent trees branch over the classes. A node holds the documents
    that share the minwise tokens chosen on the path to it; each node chooses
    two coordinates, and a document goes to the child that its token there
-   names. With two chances a level, a pair of similarity 0.85 stays together
-   with probability 0.969 or more at any depth, and misses all four trees in
-   fewer than one case in a million. Nodes are only counted (by an aggregation
+   names. With two chances a level, a pair of similarity s stays together at
+   any depth with probability (2 s - 1) / s**2 or more, and there are as many
+   trees as it takes for a pair at the threshold to miss them all in fewer than
+   one case in a million (four at 0.85, five at 0.8). Nodes are only counted (by an aggregation
    that combines on the map side) until they hold at most LEAF documents.
 3. The documents of a small node are compared exhaustively by their
    coordinates. What looks alike there is joined to candidate groups: a
@@ -20,13 +21,16 @@
    compared again, as that can't change a component.
 5. Components of the confirmed links are found by star steps.
 
-A node that is still large after LEVELS levels holds documents that agree on
-all tokens so far. It is dealt out in chunks of LEAF, and one document of each
-cluster found there goes on to the next round, until the rest fits a node.
+A node that is still crowded after LEVELS levels is cut into blocks, and every
+two blocks are compared, so that no pair is lost. Nodes of more than BLOCKS
+blocks (200,000 different documents that agree on all tokens so far) branch on
+by one coordinate a level, which makes no more copies; what is still as large
+after ROUNDS more levels is compared within blocks only.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,16 +43,20 @@ from .graph import components
 from .shingles import mix, shingle_sets
 from .tables import sent_if_small, settled
 
-LINK_PERCENT = 85
-TREES = 4
+#: Similarity, in per cent, from which documents are linked.
+LINK_PERCENT = 80
 BRANCHES = 16
 COORDINATES = 64
-#: Equal coordinates that make a pair a candidate: five standard deviations
-#: below what a similarity of 0.85 gives.
-ALIKE = 40
+#: Standard deviations below the threshold's share of equal coordinates from
+#: which a pair is a candidate.
+DEVIATIONS = 5
+#: Share of pairs at the threshold that may miss all trees.
+MISSED = 1e-6
 LEAF = 4000
 LEVELS = 3
-#: Rounds in which crowded nodes are thinned out.
+#: Blocks of LEAF documents in which a node that is still crowded is compared,
+#: each with each; a larger node branches on, up to ROUNDS more levels.
+BLOCKS = 50
 ROUNDS = 8
 #: Documents and shingles that a group may have to be confirmed in one task.
 GROUP_DOCS = 3000
@@ -58,6 +66,19 @@ _SEEDS = mix(np.arange(1, BRANCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97
 _FACTORS = (mix(np.arange(101, COORDINATES + 101, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
+def trees(percent: int) -> int:
+    """Trees that keep all but MISSED of the pairs at the threshold."""
+    s = percent / 100
+    apart = 1 - (2 * s - 1) / s**2
+    return min(BRANCHES // 2, max(1, math.ceil(math.log(MISSED) / math.log(apart)))) if apart > 0 else 1
+
+
+def alike(percent: int) -> int:
+    """Equal coordinates that make a pair a candidate."""
+    s = percent / 100
+    return max(1, math.floor(COORDINATES * s - DEVIATIONS * math.sqrt(COORDINATES * s * (1 - s))))
+
+
 def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprints (n, 2), branch tokens (n, BRANCHES) and coordinates
     (n, COORDINATES) of shingle sets; zeros for empty sets."""
@@ -123,7 +144,7 @@ def by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def clusters(sizes: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[list[int]]:
+def clusters(sizes: np.ndarray, percent: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[list[int]]:
     """Connected groups of two or more among len(sizes) items.
 
     `linked(p, rest)` flags the items of `rest` that p is linked with. Items
@@ -136,7 +157,7 @@ def clusters(sizes: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray])
         rest = rest[1:]
         while at < len(group) and len(rest):
             p = group[at]
-            near = rest[(100 * sizes[rest] >= LINK_PERCENT * sizes[p]) & (100 * sizes[p] >= LINK_PERCENT * sizes[rest])]
+            near = rest[(100 * sizes[rest] >= percent * sizes[p]) & (100 * sizes[p] >= percent * sizes[rest])]
             if len(near):
                 new = near[linked(p, near)]
                 if len(new):
@@ -148,17 +169,19 @@ def clusters(sizes: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray])
     return out
 
 
-def _alike(leaves: DataFrame) -> DataFrame:
+def _alike(leaves: DataFrame, percent: int) -> DataFrame:
     """(node, root, doc) of the clusters in each node of leaves (node, doc, n,
     coordinates); the root, least of its cluster, is listed too."""
 
+    least = alike(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, roots, docs = [], [], []
         for table in by_group(batches, "node"):
             ids = table.column("doc").to_numpy()
             rows = np.frombuffer(b"".join(table.column("coordinates").to_pylist()), np.uint16).reshape(-1, COORDINATES)
             node = table.column("node")[0].as_py()
-            for group in clusters(table.column("n").to_numpy(), lambda p, rest, rows=rows: (rows[rest] == rows[p]).sum(1) >= ALIKE):
+            for group in clusters(table.column("n").to_numpy(), percent, lambda p, rest, rows=rows: (rows[rest] == rows[p]).sum(1) >= least):
                 members = ids[group].tolist()
                 nodes += [node] * len(members)
                 roots += [min(members)] * len(members)
@@ -171,17 +194,17 @@ def _alike(leaves: DataFrame) -> DataFrame:
     return mapped(leaves.repartition("node").sortWithinPartitions("node", "doc"), run, "node long, root long, doc long")
 
 
-def _children(node: Column, first: Column, second: Column) -> Column:
-    """Keys of the children that a document goes to for two coordinates."""
-    return F.array(*(F.xxhash64(node, c, F.col("tokens")[c]) for c in (first, second)))
+def _children(node: Column, *chosen: Column) -> Column:
+    """Keys of the children that a document goes to for chosen coordinates."""
+    return F.array(*(F.xxhash64(node, c, F.col("tokens")[c]) for c in chosen))
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
+def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     """(node, root, doc): the clusters of all leaves of all trees.
 
     classes: (doc, n, tokens, coordinates).
     """
-    roots = [_children(F.lit(-1 - t).cast("long"), F.lit(2 * t), F.lit(2 * t + 1)) for t in range(TREES)]
+    roots = [_children(F.lit(-1 - t).cast("long"), F.lit(2 * t), F.lit(2 * t + 1)) for t in range(trees(percent))]
     state = classes.select("doc", F.explode(F.concat(*roots)).alias("node"))
     sketch = classes.select("doc", "n", "coordinates")
     found: list[DataFrame] = []
@@ -190,34 +213,32 @@ def _candidates(classes: DataFrame) -> DataFrame:
         counts = state.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         sized = settled(state.join(counts, "node"), "sized")
         crowded = sized.filter(F.col("size") > LEAF)
-        more = not crowded.isEmpty()
-        if more and level > LEVELS:
-            parts = F.ceil(F.col("size") / LEAF)
-            sized = sized.select(F.when(F.col("size") > LEAF, F.xxhash64("node", F.pmod(F.xxhash64("doc", F.lit(level)), parts))).otherwise(F.col("node")).alias("node"), "doc", F.when(F.col("size") > LEAF, F.col("node")).alias("whole"))
-            if level == LEVELS + ROUNDS:
-                sized = sized.withColumn("whole", F.lit(None).cast("long"))
-            leaves = sized
-        else:
-            leaves = sized.filter(F.col("size") <= LEAF)
-        alike = settled(_alike(leaves.select("node", "doc").join(sketch, "doc")), "alike")
-        found.append(alike)
-        if not more:
+        leaves = sized.filter(F.col("size") <= LEAF).select("node", "doc")
+        if level > LEVELS:
+            # Blocks of a crowded node meet in pairs, so all its documents do.
+            last = level == LEVELS + ROUNDS
+            parts = F.ceil(F.col("size") / LEAF).cast("int")
+            own = F.pmod(F.xxhash64("doc", F.lit(level)), parts).cast("int")
+            huge = F.col("size") > LEAF * BLOCKS
+            pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.xxhash64("node", F.least(own, j), F.greatest(own, j)))
+            leaves = leaves.union(crowded.filter(~huge).select(F.explode(pairs).alias("node"), "doc"))
+            if last:
+                leaves = leaves.union(crowded.filter(huge).select(F.xxhash64("node", own, own).alias("node"), "doc"))
+            crowded = crowded.filter(huge & ~F.lit(last))
+        found.append(settled(_alike(leaves.join(sketch, "doc"), percent), "alike"))
+        if crowded.isEmpty():
             break
-        if level <= LEVELS:
-            first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(BRANCHES)).cast("int")
-            second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(BRANCHES - 1)), F.lit(BRANCHES)).cast("int")
-            state = crowded.join(classes.select("doc", "tokens"), "doc").select("doc", F.explode(_children(F.col("node"), first, second)).alias("node"))
-        else:
-            # Those that aren't a cluster's root stay with it.
-            bound = alike.filter("doc <> root").select("node", "doc")
-            state = sized.filter(F.col("whole").isNotNull()).join(bound, ["node", "doc"], "left_anti").select("doc", F.col("whole").alias("node"))
+        first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(BRANCHES)).cast("int")
+        second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(BRANCHES - 1)), F.lit(BRANCHES)).cast("int")
+        chosen = (first, second) if level <= LEVELS else (first,)
+        state = crowded.join(classes.select("doc", "tokens"), "doc").select("doc", F.explode(_children(F.col("node"), *chosen)).alias("node"))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out
 
 
-def _confirmed(texts: DataFrame) -> DataFrame:
+def _confirmed(texts: DataFrame, percent: int) -> DataFrame:
     """(a, b): links confirmed on full sets in texts (group, doc, text), as
     stars around the least document of each connected part of a group."""
 
@@ -237,11 +258,11 @@ def _confirmed(texts: DataFrame) -> DataFrame:
                 at = np.arange(ends[-1]) + np.repeat(starts[rest] - ends + sizes[rest], sizes[rest])
                 both = np.add.reduceat(inside[number[at]].astype(np.int64), ends - sizes[rest])
                 inside[own] = False
-                return 100 * both >= LINK_PERCENT * (sizes[rest] + sizes[p] - both)
+                return 100 * both >= percent * (sizes[rest] + sizes[p] - both)
 
             some = np.flatnonzero(sizes)
             a, b = [], []
-            for group in clusters(sizes[some], lambda p, rest, some=some, linked=linked: linked(int(some[p]), some[rest])):
+            for group in clusters(sizes[some], percent, lambda p, rest, some=some, linked=linked: linked(int(some[p]), some[rest])):
                 members = ids[some[group]]
                 least = int(members.min())
                 rest = members[members != least].tolist()
@@ -252,13 +273,13 @@ def _confirmed(texts: DataFrame) -> DataFrame:
     return mapped(texts.repartition("group").sortWithinPartitions("group", "doc"), run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = LINK_PERCENT) -> DataFrame:
     """(key, text_id, n_shingles, component_id, kept) of every row.
 
     Words are runs of characters other than space and U+0009 to U+000D, A-Z
     lower-cased; a row's set is its distinct shingles of five words, or all
-    its words where there are fewer. Rows whose sets have a similarity of 0.85
-    or more are linked; component_id is the least key reachable, the row's own
+    its words where there are fewer. Rows whose sets have a similarity of
+    `percent` (0.8 by default; over a half) or more are linked; component_id is the least key reachable, the row's own
     included, and kept says whether it is the row's own.
 
     A null or empty text, or one without words, has an empty set and is linked
@@ -274,7 +295,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # Classes of equal sets, with the sketch of the least row.
     least = sketch.filter("n > 0 and doc is not null").groupBy(*same).agg(F.min(F.struct("doc", "tokens", "coordinates")).alias("r"))
     classes = settled(least.select(*same, "r.doc", "r.tokens", "r.coordinates"), "classes")
-    found = settled(_candidates(classes), "clusters")
+    found = settled(_candidates(classes, percent), "clusters")
     coarse = settled(components(found.select(F.col("root").alias("a"), F.col("doc").alias("b"))), "groups")
     sizes = classes.select(F.col("doc").alias("node"), "n").join(coarse, "node").groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     fits = (F.col("docs") <= GROUP_DOCS) & (F.col("shingles") <= GROUP_SHINGLES)
@@ -283,7 +304,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     parted = found.join(wide, "root", "left_semi").select(F.xxhash64("node", "root").alias("group"), "doc").distinct()
     groups = settled(whole.union(parted), "groups")
     texts = rows.join(sent_if_small(groups, groups.count()), "doc").select("group", "doc", "text")
-    confirmed = settled(_confirmed(texts), "links")
+    confirmed = settled(_confirmed(texts, percent), "links")
     # Links found in whole components are stars that meet no other.
     spread = confirmed if parted.isEmpty() else components(confirmed).select(F.col("component").alias("a"), F.col("node").alias("b"))
     final = spread.select(F.col("b").alias("least"), F.col("a").alias("component"))
@@ -294,13 +315,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return judged.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = LINK_PERCENT) -> DataFrame:
     """The rows of `docs` that near_duplicates keeps, with all their columns.
 
     Of rows that are kept and share both key and text, or a null key and the
     text, one stays.
     """
-    judged = settled(near_duplicates(docs, key, text), "judged")
+    judged = settled(near_duplicates(docs, key, text, percent), "judged")
     gone = judged.filter(~F.col("kept")).select(F.col(key).alias("gone_key"), F.col("text_id").alias("gone_text")).distinct()
     gone = sent_if_small(gone, judged.filter(~F.col("kept")).count())
     stay = docs.join(gone, F.col(key).eqNullSafe(gone["gone_key"]) & (F.xxhash64(F.col(text).cast("string")) == gone["gone_text"]), "left_anti")

@@ -43,7 +43,7 @@ from .near_dedup import by_group
 from .shingles import _down, _up, mix
 from .suffix_array import deep_shallow_order
 from .tables import settled, shared_folder
-from .token_files import _opened
+from .token_files import _opened, put_in_place
 
 LENGTH = 50
 GRAM = 16
@@ -54,6 +54,7 @@ BLOCK_BYTES = 1 << 19
 #: Occurrences from which a gram's strings are dealt out one by one.
 HOT = 200_000
 
+_LEAST_PARTS = "spark.sql.files.minPartitionNum"
 _PLACE = 24
 _LOW = np.uint64((1 << _PLACE) - 1)
 _NO_KEY = np.iinfo(np.int64).max
@@ -285,7 +286,7 @@ class Answers:
                 with store.open_output_stream(trial) as out:
                     for bucket in sorted(once):
                         out.write(once[bucket])
-                store.move(trial, f"{root}/{table.column('slice')[0].as_py()}")
+                put_in_place(store, trial, f"{root}/{table.column('slice')[0].as_py()}")
                 written += 1
             yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["n"])
 
@@ -442,6 +443,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buc
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     if settle:
         source = settled(source, "texts")
+    if spark.conf.get(_LEAST_PARTS, None) is None:
+        # Else the portions of small files follow the number of cores, which
+        # changes when executors come and go.
+        spark.conf.set(_LEAST_PARTS, str(spark.sparkContext.defaultParallelism))
     folder = f"{shared_folder(spark)}/repeats-{uuid.uuid4().hex}"
     flags, masks = Answers(f"{folder}/grams"), Answers(f"{folder}/strings")
     flags.write(_shared_grams(source, buckets, slice_bytes, hot))

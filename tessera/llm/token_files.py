@@ -291,6 +291,16 @@ def _opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def put_in_place(store: fs.FileSystem, trial: str, final: str) -> None:
+    """Move a written file to its name, over that of an earlier attempt."""
+    try:
+        store.move(trial, final)
+    except OSError:
+        # Some file systems don't replace files.
+        store.delete_file(final)
+        store.move(trial, final)
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 1, key: str = "doc_id", text: str = "text", shards: int | None = None) -> list[Shard]:
     """Encode all rows and write them to `folder` in ascending key order.
 
@@ -329,7 +339,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             encoder.forget()
             written, tokens = writer.close()
             out.close()
-            store.move(trial, final)
+            put_in_place(store, trial, final)
             yield batch_of(_MANIFEST, [number], [f"{folder}/shard-{number:06d}.ids.zst"], [written], [tokens])
 
     found = mapped(dealt, run, "number int, path string, docs long, tokens long").collect()

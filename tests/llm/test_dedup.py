@@ -36,28 +36,28 @@ def corpus():
     return [(k, t, "clash") for k, t in enumerate(texts)]
 
 
-def brute_components(rows):
+def brute_components(rows, percent=80):
     sets = {k: shingles(t) for k, t, *_ in rows}
     label = {k: k for k in sets}
     while True:
         changed = False
         for a in sets:
             for b in sets:
-                if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and label[a] != label[b]:
                     label[a] = label[b] = min(label[a], label[b])
                     changed = True
         if not changed:
             return {k: (len(sets[k]), label[k], label[k] == k) for k in sets}
 
 
-@pytest.mark.parametrize("limits", [{}, {"GROUP_DOCS": 10, "LEAF": 20, "LEVELS": 2}])
-def test_near_duplicates(spark, monkeypatch, limits):
+@pytest.mark.parametrize("percent,limits", [(85, {}), (80, {}), (80, {"GROUP_DOCS": 10, "LEAF": 20, "LEVELS": 2})])
+def test_near_duplicates(spark, monkeypatch, percent, limits):
     for name, value in limits.items():
         monkeypatch.setattr(near_dedup, name, value)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
-    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
-    assert found == brute_components(rows)
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, percent=percent).collect()}
+    assert found == brute_components(rows, percent)
 
 
 def test_near_duplicates_of_odd_rows(spark):

@@ -89,6 +89,8 @@ def test_codec_operators(docs):
     rows = bpe_codec.decode(encoded, ranks).collect()
     assert sorted(bytes(r.decoded) for r in rows) == sorted((t or "").encode() for _, t, *_ in ROWS)
     assert sorted(tuple(r.ids) for r in encoded.collect()) == sorted(tuple(TIKTOKEN.encode_ordinary(t or "")) for _, t, *_ in ROWS)
+    both = bpe_codec.encode(docs, ranks, P.PATTERN, decoded="bytes").collect()
+    assert sorted(bytes(r.bytes) for r in both) == sorted((t or "").encode() for _, t, *_ in ROWS)
     assert bpe_codec.decode(bpe_codec.encode(docs.limit(0), ranks, P.PATTERN), ranks).count() == 0
 
 
