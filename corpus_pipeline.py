@@ -43,13 +43,12 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the token ids, and
     digests of them and of what they decode to."""
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe_codec.encode(docs, ranks, public_tokenizers.PATTERN).withColumn("kept_ids", F.col("ids"))
-    decoded = bpe_codec.decode(encoded, ranks)
-    return decoded.select(
+    found = bpe_codec.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded")
+    return found.select(
         "doc_id",
-        F.size("kept_ids").cast("long").alias("n_tokens"),
-        F.col("kept_ids").alias("ids"),
-        F.sha2(F.array_join(F.col("kept_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
