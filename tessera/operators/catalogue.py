@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 
 def ordered_hydrate(items: DataFrame, products: DataFrame, owner: str, place: str, key: str, product_key: str, shown: list[str]) -> DataFrame:
     """One row per owner with its items' product columns in order; items
@@ -55,10 +57,9 @@ def linked_groups(edges: DataFrame) -> DataFrame:
     """(node, component) by spreading the least label along links; each round
     is written to the session's checkpoint folder."""
     spark = edges.sparkSession
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file:///tmp/tessera-shared"
 
     def kept(df: DataFrame) -> DataFrame:
-        path = f"{at.rstrip('/')}/labels-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 

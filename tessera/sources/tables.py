@@ -7,3 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: the cluster names it in
+    spark.checkpoint.dir; a local session without one gets a folder in /tmp."""
+    key = "spark.checkpoint.dir"
+    at = spark.sparkContext.getConf().get(key, "") or spark.conf.get(key, "")
+    return (at or "file:///tmp/tessera-shared").rstrip("/")

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 
 def fresh(rows: DataFrame, seen: DataFrame | None, keys: list[str], order: str) -> DataFrame:
     """Rows whose keys weren't seen before, the first of each in order."""
@@ -33,8 +35,7 @@ def counted_stream(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     """
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file:///tmp/tessera-shared"
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*")
     out = f"{at}/out"
 
