@@ -67,3 +67,32 @@ def distinct_photos(photos: Column) -> Column:
     keys = F.array_distinct(F.transform(rows, lambda r: r["k"]))
     best = F.transform(keys, lambda k: F.array_max(F.transform(F.filter(rows, lambda r: r["k"] == k), lambda r: F.struct(r["rank"], -r["i"], r["u"]))))
     return F.transform(F.filter(best, lambda b: b["rank"] >= 0), lambda b: b["u"])
+
+
+def common_stem(a: Column, b: Column) -> Column:
+    """Characters that two names start with alike."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x == y)
+    first = F.array_position(F.transform(same, lambda s: F.coalesce(s, F.lit(False))), False)
+    return F.when(first == 0, F.least(F.length(a), F.length(b))).otherwise(first - 1)
+
+
+def gallery(candidates: Column, trusted: Column, name: Column, most: int = 20) -> Column:
+    """Photos of the same piece among a page's addresses: the trusted ones,
+    then those on a trusted photo's host whose file name holds the piece's
+    first two words, starts with ten characters like a trusted one and differs
+    in twelve at most, or is another frame of its series; one of each photo."""
+    words = F.slice(F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= 3), 1, 2)
+
+    def accepted(u: Column) -> Column:
+        own = file_name(u)
+        named = (F.size(words) == 2) & F.forall(words, lambda w: F.contains(own, w))
+
+        def kin(t: Column) -> Column:
+            other = file_name(t)
+            stem = common_stem(own, other)
+            tail = F.greatest(F.length(own), F.length(other)) - stem
+            return urls.same_store(u, t) & (named | ((stem >= 10) & (tail <= 12)) | numbered_frame(own, other))
+
+        return ~is_placeholder(u) & F.exists(trusted, kin)
+
+    return F.slice(distinct_photos(F.concat(trusted, F.filter(candidates, accepted))), 1, most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import markup, urls
+from ..functions import markup, photos, urls
 from ..sources import documents
 from ..sources.tables import table
 from .pages import ROBOTS_SQL, _robots, sql
@@ -74,3 +74,25 @@ def robots_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
     asked = F.concat(urls.path(u), F.when(urls.query(u) == "", "").otherwise(F.concat(F.lit("?"), urls.query(u))))
     return documents.allowed(pages.select(urls.store_host(u).alias("host"), asked.alias("path")).distinct(), rules)
+
+
+@R.query("select page_id, 'Tee' as group_name, 'Red' as color, 'S,M' as sizes, 10.0::double as least_price, 12.5::double as most_price, 'https://x.com/b' as other_colours, 'Men > Tees' as trail from pages")
+def page_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variant groups put into the pages: the first variant's colour, its
+    sizes and prices, the other colours' addresses, and the breadcrumbs."""
+    group = '{"@type":"ProductGroup","name":"Tee","hasVariant":[{"color":"Red","size":"S","url":"https://x.com/a?v=1","offers":{"price":"10"}},{"color":"Red","size":"M","url":"https://x.com/a","offers":{"price":"12,50"}},{"color":"Blue","size":"M","url":"https://x.com/b","offers":{"price":9}}]}'
+    crumbs = '{"@type":"BreadcrumbList","itemListElement":[{"position":2,"name":"Tees"},{"position":1,"item":{"name":"Men"}}]}'
+    block = "".join(f'<script type="application/ld+json">{b}</script>' for b in (group, crumbs))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.lit(block), F.col("html")).alias("html"))
+    shown = documents.shown_variants(documents.product_variants(pages, "page_id", "html"), pages, "page_id", "url")
+    trail = pages.select("page_id", F.array_join(documents.breadcrumbs(F.col("html")), " > ").alias("trail"))
+    return shown.join(trail, "page_id").select("page_id", "group_name", "color", F.array_join("sizes", ",").alias("sizes"), "least_price", "most_price", F.array_join("other_colours", ",").alias("other_colours"), "trail")
+
+
+@R.query("select page_id, 'https://x.com/i/look-' || page_id || '-0001.jpg,https://x.com/i/look-' || page_id || '-0002.jpg,https://x.com/i/red-wool-coat.jpg' as gallery from pages")
+def page_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos of one piece among a page's addresses."""
+    at = lambda n: F.concat(F.lit("https://x.com/i/look-"), F.col("page_id").cast("string"), F.lit(f"-{n}.jpg"))
+    others = [F.lit(f"https://x.com/i/{n}.jpg") for n in ("red-wool-coat", "unrelated", "placeholder")] + [F.lit("https://y.com/i/red-wool-coat.jpg")]
+    found = photos.gallery(F.array(at("0002"), *others), F.array(at("0001")), F.lit("Red Wool Coat"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(found, ",").alias("gallery"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import money, urls
+
 # The shape of a storefront's product JSON.
 STOREFRONT = "struct<title:string,vendor:string,product_type:string,images:array<struct<src:string,position:int>>,options:array<struct<name:string,values:array<string>>>,variants:array<struct<price:string,compare_at_price:string,option1:string,available:boolean>>>"
 PRODUCT_TYPES = ("Product", "ProductGroup")
@@ -105,6 +107,88 @@ def product_nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
     return source.mapInPandas(read, T.StructType(fields)).withColumnRenamed("key", key)
 
 
+GTIN_KEYS = ("gtin", "gtin8", "gtin12", "gtin13", "gtin14", "ean", "isbn")
+
+
+def _texts(value) -> list[str]:
+    """The texts of a value that may be one, a list, or an object with a name."""
+    if isinstance(value, list):
+        return [t for v in value for t in _texts(v)]
+    if isinstance(value, dict):
+        return _texts(value.get("name") or value.get("value"))
+    return [] if value is None else [str(value).strip()]
+
+
+def _listed(value) -> list[dict]:
+    found = value if isinstance(value, list) else [value]
+    return [v for v in found if isinstance(v, dict)]
+
+
+def product_variants(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, pos, group_name, brand, group_id, color, size, gtin, url, price,
+    currency) of every variant of the product groups in a page's JSON-LD, in
+    order; a product without variants is its own. Bad JSON is skipped."""
+    names = ["key", "pos", "group_name", "brand", "group_id", "color", "size", "gtin", "url", "price", "currency"]
+
+    def variants(block) -> Iterator[tuple]:
+        queue = [block]
+        while queue:
+            node = queue.pop(0)
+            if isinstance(node, list):
+                queue += node
+            elif isinstance(node, dict):
+                kinds = node.get("@type")
+                kinds = kinds if isinstance(kinds, list) else [kinds]
+                if not any(k in PRODUCT_TYPES for k in kinds):
+                    queue += [v for v in node.values() if isinstance(v, (dict, list))]
+                    continue
+                for v in _listed(node.get("hasVariant")) or [node]:
+                    offer = (_listed(v.get("offers")) or [{}])[0]
+                    first = lambda *values: next((t for x in values for t in _texts(x) if t), None)
+                    extra = {str(x.get("name", "")).lower(): x for x in _listed(v.get("additionalProperty"))}
+                    code = first(*(x.get(k) for x in (v, offer, node) for k in GTIN_KEYS))
+                    yield (first(node.get("name")), first(node.get("brand")), first(node.get("productGroupID")), first(v.get("color"), extra.get("color")), first(v.get("size"), extra.get("size")), code, first(v.get("url"), offer.get("url")), first(offer.get("price"), offer.get("lowPrice")), first(offer.get("priceCurrency")))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page, bodies in zip(batch["key"], batch["bodies"], strict=True):
+                found = []
+                for body in bodies if bodies is not None else ():
+                    try:
+                        found += variants(json.loads(body))
+                    except ValueError:
+                        continue
+                rows += [(page, pos, *v) for pos, v in enumerate(found)]
+            yield pd.DataFrame(rows, columns=names)
+
+    source = pages.select(F.col(key).alias("key"), json_ld(F.col(html)).alias("bodies"))
+    fields = [T.StructField("key", source.schema["key"].dataType), T.StructField("pos", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in names[2:])]
+    return source.mapInPandas(read, T.StructType(fields)).withColumnRenamed("key", key)
+
+
+def shown_variants(variants: DataFrame, pages: DataFrame, key: str, url: str) -> DataFrame:
+    """One record per page: the variant whose address is the page's, else the
+    first; the sizes, least and greatest price of its colour, and the addresses
+    of other colours."""
+    own = variants.join(pages.select(key, F.col(url).alias("page_url")), key).withColumn("shown", F.coalesce(urls.same_listing(F.col("url"), F.col("page_url")), F.lit(False)))
+    lead = own.groupBy(key).agg(F.min_by(F.struct("group_name", "brand", "group_id", "color", "gtin"), F.struct((~F.col("shown")).alias("later"), "pos")).alias("lead"))
+    joined = own.join(lead, key).withColumn("same", F.col("color").eqNullSafe(F.col("lead.color"))).withColumn("amount", money.parse_price(F.col("price")))
+    listed = lambda keep, value: F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(keep & F.col(value).isNotNull(), F.struct("pos", value)))), lambda x: x[value]))
+    return joined.groupBy(key).agg(
+        F.first("lead").alias("lead"), listed(F.col("same"), "size").alias("sizes"), F.min(F.when(F.col("same") & (F.col("amount") > 0), F.col("amount"))).alias("least_price"),
+        F.max(F.when(F.col("same"), F.col("amount"))).alias("most_price"), listed(~F.col("same"), "url").alias("other_colours"),
+    ).select(key, "lead.*", "sizes", "least_price", "most_price", "other_colours")
+
+
+def breadcrumbs(html: Column) -> Column:
+    """Names of a page's breadcrumb list, by position."""
+    item = "struct<position:int,name:string,item:struct<name:string>>"
+    lists = F.filter(F.transform(json_ld(html), lambda b: F.from_json(b, f"`@type` string, itemListElement array<{item}>")), lambda b: b["@type"] == "BreadcrumbList")
+    items = F.array_sort(F.transform(F.try_element_at(lists, F.lit(1))["itemListElement"], lambda i: F.struct(i["position"].alias("p"), F.coalesce(i["name"], i["item"]["name"]).alias("n"))))
+    return F.coalesce(F.filter(F.transform(items, lambda i: i["n"]), lambda n: n.isNotNull()), F.array().cast("array<string>"))
+
+
 def storefront_product(body: Column) -> Column:
     """struct of a storefront's product JSON: images by place, least price,
     greatest former price above it, sizes, sold out or not."""

@@ -162,3 +162,22 @@ def test_markup(spark):
     assert values(spark, titles, lambda t: markup.tidy_title(t, F.array(F.lit("acme")))) == ["Coat - Red", "Sale Rail Tote", "", "", ""]
     assert values(spark, ["Retro runner, retro", ""], markup.inferred_styles) == [["vintage"], []]
     assert values(spark, ["&#x27;&eacute;", None], markup.decode_all_entities) == ["'é", None]
+
+
+def test_product_variants(spark):
+    group = '{"@type":"ProductGroup","name":"Tee","brand":{"name":"B"},"productGroupID":"g","hasVariant":[{"color":"Red","size":"S","url":"https://x.com/a?v=1","offers":{"price":"10","priceCurrency":"EUR","gtin13":"1"}},{"color":"Red","size":"M","url":"https://x.com/a","offers":[{"price":"12,50"}]},{"color":"Blue","size":"M","url":"https://x.com/b","offers":{"price":9}}]}'
+    crumbs = '{"@type":"BreadcrumbList","itemListElement":[{"position":2,"name":"Tees"},{"position":1,"item":{"name":"Men"}}]}'
+    page = "".join(f'<script type="application/ld+json">{b}</script>' for b in (group, "{bad", crumbs))
+    pages = spark.createDataFrame([(1, "http://www.x.com/a/", page), (2, "https://x.com/z", "<p>")], "id long, url string, html string")
+    rows = documents.product_variants(pages, "id", "html")
+    assert [(r.color, r.size, r.price, r.gtin) for r in rows.orderBy("pos").collect()] == [("Red", "S", "10", "1"), ("Red", "M", "12,50", None), ("Blue", "M", "9", None)]
+    r = documents.shown_variants(rows, pages, "id", "url").first()
+    assert (r.group_name, r.brand, r.color, r.sizes, r.least_price, r.most_price, r.other_colours) == ("Tee", "B", "Red", ["S", "M"], 10.0, 12.5, ["https://x.com/b"])
+    assert [x.b for x in pages.select("id", documents.breadcrumbs(F.col("html")).alias("b")).orderBy("id").collect()] == [["Men", "Tees"], []]
+
+
+def test_gallery(spark):
+    trusted = F.array(F.lit("https://x.com/i/lookbook_01.jpg"))
+    found = [f"https://x.com/i/{n}.jpg" for n in ("lookbook_02", "red-wool-coat", "other", "placeholder")] + ["https://y.com/i/lookbook_03.jpg", "https://x.com/i/lookbook_01_300x300.jpg"]
+    got = spark.range(1).select(photos.gallery(F.array(*map(F.lit, found)), trusted, F.lit("Red Wool Coat"))).first()[0]
+    assert got == [f"https://x.com/i/{n}.jpg" for n in ("lookbook_01", "lookbook_02", "red-wool-coat")]
