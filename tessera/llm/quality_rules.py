@@ -3,10 +3,11 @@
 Two fixed rules set the base: too few words, or too many words in repeated
 passages. Beyond it a document is compared with its own kind: for each
 language and source, mergeable quantile sketches (percentile_approx, combined
-on the map side) of some ratios give the median and the spread, and a document
-is dropped if a ratio lies far outside. The text is read once; its measures
-are written to the shared folder, and sketches and the joined filter read
-those. No Python runs on the executors.
+on the map side) of some ratios give the median and the quartiles, which up to
+a quarter of outliers can't move, and a document is dropped if a ratio lies
+far outside. The text is read once; its measures are written to the shared
+folder, and sketches and the joined filter read those. No Python runs on the
+executors.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ WINDOW = 8
 LEAST_WORDS = 20
 REPEAT_PERCENT = 30
 
-#: Ratio: (spreads beyond the median, least distance from it) at which a
+#: Ratio: (distances of the quartile beyond the median, least distance from it) at which a
 #: document counts as an outlier, upwards and downwards.
 RATIOS = {
     "symbol_share": ((8.0, 0.05), None),
-    "dup_line_share": ((8.0, 0.3), None),
+    "dup_line_share": ((8.0, 0.5), None),
     "mean_word": ((8.0, 2.0), (8.0, 2.0)),
 }
 #: Base-passing documents that a language and source need for thresholds of
@@ -84,7 +85,7 @@ def _ratios(measured: DataFrame) -> DataFrame:
 
 def thresholds(measured: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """The least and greatest accepted ratios of each group, with its size."""
-    quantiles = [F.percentile_approx(r, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.lit(ACCURACY)).alias(r) for r in RATIOS]
+    quantiles = [F.percentile_approx(r, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(ACCURACY)).alias(r) for r in RATIOS]
     groups = measured.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *quantiles)
     bounds: list[Column] = []
     for r, (up, down) in RATIOS.items():

@@ -162,6 +162,39 @@ with d as (
 select doc_id, item_id, n_shared, n as n_item_shingles from shared join sizes using (item_id) where 100 * n_shared >= 80 * n
 """
 
+# Thresholds are exact quantiles here; the sketches' are, too, for tables that
+# fit their buffers.
+OP8_SQL = """
+with w as (
+  select doc_id, lang, source, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l
+  from documents
+), windows as (
+  select doc_id, unnest(range(1, len(w) - 6)) as i, unnest([array_to_string(w[i:i + 7], ' ') for i in range(1, len(w) - 6)]) as k from w where len(w) >= 8
+), twice as (
+  select doc_id, unnest(range(i, i + 8)) as i from (select *, count(*) over (partition by doc_id, k) as n from windows) where n > 1
+), covered as (
+  select doc_id, count(distinct i) as n from twice group by doc_id
+), m as (
+  select doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
+    (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, len(l) as n_lines, coalesce(n, 0) as n_repeat_words
+  from w left join covered using (doc_id)
+), r as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, n_symbols / greatest(word_chars, 1) as s, n_dup_lines / greatest(n_lines, 1) as d, word_chars / greatest(n_words, 1) as c from m
+), own as (
+  select lang, source, count(*) as n, quantile_disc(s, [0.25, 0.5, 0.75]) as s, quantile_disc(d, [0.25, 0.5, 0.75]) as d, quantile_disc(c, [0.25, 0.5, 0.75]) as c from r where not base_failed group by lang, source
+), whole as (
+  select lang, quantile_disc(s, [0.25, 0.5, 0.75]) as s, quantile_disc(d, [0.25, 0.5, 0.75]) as d, quantile_disc(c, [0.25, 0.5, 0.75]) as c from r where not base_failed group by lang
+), q as (
+  select own.lang, own.source, case when n >= 50 then own.s else whole.s end as qs, case when n >= 50 then own.d else whole.d end as qd, case when n >= 50 then own.c else whole.c end as qc
+  from own join whole on own.lang is not distinct from whole.lang
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not coalesce(s > qs[2] + greatest(8 * (qs[3] - qs[2]), 0.05) or d > qd[2] + greatest(8 * (qd[3] - qd[2]), 0.5)
+    or c > qc[2] + greatest(8 * (qc[3] - qc[2]), 2.0) or c < qc[2] - greatest(8 * (qc[2] - qc[1]), 2.0), false) as kept
+from r left join q on r.lang is not distinct from q.lang and r.source is not distinct from q.source
+"""
+
 # The template's output is measured, not written: 10 characters before the
 # role, 1 after it, 13 after the text, and one for each escape.
 OP10_SQL = """
@@ -185,5 +218,6 @@ select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_cha
 ORACLES: dict[str, str] = {
     "op3_near_dedup": OP3_SQL,
     "op4_decontamination": OP4_SQL,
+    "op8_quality_rules": OP8_SQL,
     "op10_chat_format": OP10_SQL,
 }
