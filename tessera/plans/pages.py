@@ -333,7 +333,8 @@ SITEMAP = sql("select {host} as host, '<sitemapindex ><sitemap>' || string_agg('
 def sitemap_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations read back from a sitemap of each store's pages."""
     p = table(spark, sf_dir, "pages").select(urls.store_host(F.col("url")).alias("host"), "page_id", F.concat(F.lit("<url><loc><![CDATA[ "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("]]></loc></url>")).alias("entry"))
-    xml = p.groupBy("host").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "entry"))), lambda x: x["entry"]), "").alias("xml"))
+    # A sitemap holds 50,000 addresses at most; larger stores have several.
+    xml = p.groupBy("host", F.floor(F.col("page_id") / 50_000)).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "entry"))), lambda x: x["entry"]), "").alias("xml"))
     locs = xml.select("host", F.explode(documents.locations(F.col("xml"))).alias("url"))
     return locs.groupBy("host").agg(F.count(F.lit(1)).alias("n_locations"), F.countDistinct("url").alias("n_distinct"), F.min("url").alias("first_location"))
 
@@ -362,9 +363,12 @@ def store_title_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     last separator on."""
     host = urls.store_host(F.col("url"))
     p = table(spark, sf_dir, "pages").select(host.alias("host"), F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(" | "), host).alias("title"))
-    t = p.groupBy("host").agg(F.sort_array(F.collect_set("title")).alias("titles")).withColumn("shared", text.longest_common_suffix(F.col("titles")))
-    cut = F.regexp_extract("shared", r"( \| [^|]*)$", 1)
-    return t.select("host", F.size("titles").cast("long").alias("n_titles"), F.when(F.size("titles") >= 3, cut).otherwise("").alias("suffix"))
+    # What all strings share at the end, the least and the greatest of the
+    # reversed ones share at the front, so no store's titles are gathered.
+    back = F.reverse("title")
+    t = p.groupBy("host").agg(F.countDistinct("title").alias("n_titles"), F.array(F.reverse(F.min(back)), F.reverse(F.max(back))).alias("ends"))
+    cut = F.regexp_extract(text.longest_common_suffix(F.col("ends")), r"( \| [^|]*)$", 1)
+    return t.select("host", "n_titles", F.when(F.col("n_titles") >= 3, cut).otherwise("").alias("suffix"))
 
 
 @R.query()
