@@ -68,6 +68,19 @@ _PLAIN_WORDS = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\s\w]|_)+"
 JOINED = 2000
 
 
+class _Numbered(dict):
+    """Words by number; a new word gets the next one, and is listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordEncoder:
     """Ids of texts as the tokenizers library gives them.
 
@@ -110,22 +123,22 @@ class WordEncoder:
     def forget(self) -> None:
         """The ids of remembered words stand in one array; a word has the
         number of its start and size there."""
-        self.known: dict[str, int] = {}
-        self.starts = self.sizes = np.empty(0, np.int64)
+        self.known = _Numbered()
+        self.starts = self.sizes = np.empty(0, np.int32)
         self.ids = np.empty(0, np.int32)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self) -> None:
         """Ask the library for the ids of new words, many in one text; a
         word's last id is one that ends words."""
+        words, self.known.new = self.known.new, []
         ids = [np.array(self._whole([" ".join(words[lo : lo + JOINED])])[0], np.int32) for lo in range(0, len(words), JOINED)]
         found = np.concatenate([np.empty(0, np.int32), *ids])
         ends = np.flatnonzero(self.last[found]) + 1
         if len(ends) != len(words):
             raise ValueError("the library has split the words otherwise")
         sizes = np.diff(ends, prepend=0)
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, ends - sizes + len(self.ids)])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        self.starts = np.concatenate([self.starts, (ends - sizes + len(self.ids)).astype(np.int32)])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
         self.ids = np.concatenate([self.ids, found])
 
     def _split(self, text: str) -> list[str] | None:
@@ -148,13 +161,12 @@ class WordEncoder:
         split = [self._split(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.forget()
-        known = self.known
-        self._learn(list({w for some in split if some for w in some if w not in known}))
         counts = np.fromiter((len(some or ()) for some in split), np.int64, len(split))
-        slots = np.fromiter(map(known.__getitem__, chain.from_iterable(some or () for some in split)), np.int64, int(counts.sum()))
+        slots = np.fromiter(map(self.known.__getitem__, chain.from_iterable(some or () for some in split)), np.int32, int(counts.sum()))
+        self._learn()
         sizes = self.sizes[slots]
-        until = np.cumsum(sizes)
-        flat = self.ids[np.arange(until[-1] if len(until) else 0) + np.repeat(self.starts[slots] - until + sizes, sizes)]
+        until = np.cumsum(sizes, dtype=np.int32)
+        flat = self.ids[np.arange(until[-1] if len(until) else 0, dtype=np.int32) + np.repeat(self.starts[slots] - until + sizes, sizes)]
         cuts = np.concatenate([[0], until])[np.cumsum(counts)]
         out = np.split(flat, cuts[:-1])
         odd = [k for k, some in enumerate(split) if some is None]
@@ -336,7 +348,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
                 for k, ids in zip(keys, encoder.encode(texts), strict=True):
                     writer.add(k, ids if end_id is None else np.append(ids, end_id))
         if writer is not None:
-            encoder.forget()
             written, tokens = writer.close()
             out.close()
             put_in_place(store, trial, final)
