@@ -21,11 +21,10 @@
    compared again, as that can't change a component.
 5. Components of the confirmed links are found by star steps.
 
-A node that is still crowded after LEVELS levels is cut into blocks, and every
-two blocks are compared, so that no pair is lost. Nodes of more than BLOCKS
-blocks (200,000 different documents that agree on all tokens so far) branch on
-by one coordinate a level, which makes no more copies; what is still as large
-after ROUNDS more levels is compared within blocks only.
+A node that is still crowded after LEVELS levels, or whose children would hold
+as many pairs as it does, is cut into blocks, and every two blocks are compared,
+whatever its size, so that no pair of a node is lost. That work grows with the
+square of the node, and is dealt out by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -54,10 +53,6 @@ DEVIATIONS = 5
 MISSED = 1e-6
 LEAF = 4000
 LEVELS = 3
-#: Blocks of LEAF documents in which a node that is still crowded is compared,
-#: each with each; a larger node branches on, up to ROUNDS more levels.
-BLOCKS = 50
-ROUNDS = 8
 #: Documents and shingles that a group may have to be confirmed in one task.
 GROUP_DOCS = 3000
 GROUP_SHINGLES = 3_000_000
@@ -199,6 +194,15 @@ def _children(node: Column, *chosen: Column) -> Column:
     return F.array(*(F.xxhash64(node, c, F.col("tokens")[c]) for c in chosen))
 
 
+def _blocks(crowded: DataFrame) -> DataFrame:
+    """(node, doc): a node for every two blocks of LEAF documents of the nodes
+    of crowded (node, doc, size), so that all documents of a node meet."""
+    parts = F.ceil(F.col("size") / LEAF).cast("int")
+    own = F.pmod(F.xxhash64("doc", F.lit(1)), parts).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.xxhash64("node", F.least(own, j), F.greatest(own, j)))
+    return crowded.select(F.explode(pairs).alias("node"), "doc")
+
+
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     """(node, root, doc): the clusters of all leaves of all trees.
 
@@ -208,30 +212,27 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     state = classes.select("doc", F.explode(F.concat(*roots)).alias("node"))
     sketch = classes.select("doc", "n", "coordinates")
     found: list[DataFrame] = []
-    for level in range(1, LEVELS + ROUNDS + 1):
+    for level in range(LEVELS + 1):
         state = settled(state, "nodes")
         counts = state.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         sized = settled(state.join(counts, "node"), "sized")
         crowded = sized.filter(F.col("size") > LEAF)
         leaves = sized.filter(F.col("size") <= LEAF).select("node", "doc")
-        if level > LEVELS:
-            # Blocks of a crowded node meet in pairs, so all its documents do.
-            last = level == LEVELS + ROUNDS
-            parts = F.ceil(F.col("size") / LEAF).cast("int")
-            own = F.pmod(F.xxhash64("doc", F.lit(level)), parts).cast("int")
-            huge = F.col("size") > LEAF * BLOCKS
-            pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.xxhash64("node", F.least(own, j), F.greatest(own, j)))
-            leaves = leaves.union(crowded.filter(~huge).select(F.explode(pairs).alias("node"), "doc"))
-            if last:
-                leaves = leaves.union(crowded.filter(huge).select(F.xxhash64("node", own, own).alias("node"), "doc"))
-            crowded = crowded.filter(huge & ~F.lit(last))
+        done = crowded.isEmpty()
+        if not done and level == LEVELS:
+            leaves, done = leaves.union(_blocks(crowded)), True
+        elif not done:
+            first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(BRANCHES)).cast("int")
+            second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(BRANCHES - 1)), F.lit(BRANCHES)).cast("int")
+            grown = settled(crowded.join(classes.select("doc", "tokens"), "doc").select("doc", "node", "size", F.explode(_children(F.col("node"), first, second)).alias("child")), "children")
+            # Where branching saves no comparisons, the node is compared as it is.
+            pairs = grown.groupBy("node", "size", "child").agg(F.count(F.lit(1)).alias("c")).groupBy("node", "size").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
+            stuck = settled(pairs.filter(F.col("work") >= F.col("size") * F.col("size")).select("node"), "stuck")
+            leaves = leaves.union(_blocks(crowded.join(stuck, "node", "left_semi")))
+            state = grown.join(stuck, "node", "left_anti").select("doc", F.col("child").alias("node"))
         found.append(settled(_alike(leaves.join(sketch, "doc"), percent), "alike"))
-        if crowded.isEmpty():
+        if done:
             break
-        first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(BRANCHES)).cast("int")
-        second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(BRANCHES - 1)), F.lit(BRANCHES)).cast("int")
-        chosen = (first, second) if level <= LEVELS else (first,)
-        state = crowded.join(classes.select("doc", "tokens"), "doc").select("doc", F.explode(_children(F.col("node"), *chosen)).alias("node"))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

@@ -70,6 +70,16 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 9] and kept.columns == ["doc_id", "text", "kept"]
 
 
+def test_near_duplicates_in_a_hot_node(spark, monkeypatch):
+    # Documents that agree on nearly every token, in a node of 65 blocks.
+    monkeypatch.setattr(near_dedup, "LEAF", 2)
+    monkeypatch.setattr(near_dedup, "LEVELS", 1)
+    page = " ".join(f"w{k}" for k in range(1000))
+    docs = spark.createDataFrame([(k, f"{page} own{k}") for k in range(130)], "doc_id long, text string")
+    found = near_dedup.near_duplicates(docs, percent=95).collect()
+    assert len(found) == 130 and {r.component_id for r in found} == {0}
+
+
 def test_components(spark):
     path = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (5, 5), (None, 3)]
     found = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
