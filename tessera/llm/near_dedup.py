@@ -1,17 +1,18 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
 1. Every text is read once and reduced to a sketch: the size and a 128-bit
-   fingerprint of its shingle set, BRANCHES minwise tokens of 64 bits to branch
-   on and COORDINATES of 16 bits to compare by. Equal sets form a class; from
+   fingerprint of its shingle set, minwise tokens of 64 bits to branch on and
+   COORDINATES of 16 bits to compare by. Equal sets form a class; from
    here on a class is one document, so exact copies cost nothing.
 2. Independent trees branch over the classes. A node holds the documents
-   that share the minwise tokens chosen on the path to it; each node chooses
-   two coordinates, and a document goes to the child that its token there
-   names. With two chances a level, a pair of similarity s stays together at
-   any depth with probability (2 s - 1) / s**2 or more, and there are as many
-   trees as it takes for a pair at the threshold to miss them all in fewer than
-   one case in a million (four at 0.85, five at 0.8). Nodes are only counted (by an aggregation
-   that combines on the map side) until they hold at most LEAF documents.
+   that share the minwise tokens chosen on the path to it; each level of each
+   tree has two tokens of its own, used nowhere else, and a document goes to
+   the children that its two tokens name. A pair of similarity s stays together
+   down to the last level with probability (1 - (1 - s)**2)**(LEVELS + 1), and
+   there are as many trees as it takes for a pair at the threshold to miss them
+   all in fewer than one case in a million, even if all its nodes are crowded
+   (six at 0.85, eight at 0.8). Nodes are only counted (by an aggregation that
+   combines on the map side) until they hold at most LEAF documents.
 3. The documents of a small node are compared exhaustively by their
    coordinates. What looks alike there is joined to candidate groups: a
    connected component of them all or, where that is too large for one task,
@@ -44,7 +45,6 @@ from .tables import sent_if_small, settled
 
 #: Similarity, in per cent, from which documents are linked.
 LINK_PERCENT = 80
-BRANCHES = 16
 COORDINATES = 64
 #: Standard deviations below the threshold's share of equal coordinates from
 #: which a pair is a candidate.
@@ -57,15 +57,20 @@ LEVELS = 3
 GROUP_DOCS = 3000
 GROUP_SHINGLES = 3_000_000
 
-_SEEDS = mix(np.arange(1, BRANCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _FACTORS = (mix(np.arange(101, COORDINATES + 101, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def trees(percent: int) -> int:
-    """Trees that keep all but MISSED of the pairs at the threshold."""
+    """Trees that keep all but MISSED of the pairs at the threshold together
+    down to the last level."""
     s = percent / 100
-    apart = 1 - (2 * s - 1) / s**2
-    return min(BRANCHES // 2, max(1, math.ceil(math.log(MISSED) / math.log(apart)))) if apart > 0 else 1
+    apart = 1 - (1 - (1 - s) ** 2) ** (LEVELS + 1)
+    return max(1, math.ceil(math.log(MISSED) / math.log(apart))) if apart > 0 else 1
+
+
+def branches(percent: int) -> int:
+    """Minwise tokens of a sketch: two for each level of each tree."""
+    return 2 * (LEVELS + 1) * trees(percent)
 
 
 def alike(percent: int) -> int:
@@ -74,11 +79,11 @@ def alike(percent: int) -> int:
     return max(1, math.floor(COORDINATES * s - DEVIATIONS * math.sqrt(COORDINATES * s * (1 - s))))
 
 
-def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints (n, 2), branch tokens (n, BRANCHES) and coordinates
+def sketches(sets: list[np.ndarray], n_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints (n, 2), branch tokens (n, n_tokens) and coordinates
     (n, COORDINATES) of shingle sets; zeros for empty sets."""
     n = len(sets)
-    prints, tokens = np.zeros((n, 2), np.uint64), np.zeros((n, BRANCHES), np.uint64)
+    prints, tokens = np.zeros((n, 2), np.uint64), np.zeros((n, n_tokens), np.uint64)
     coordinates = np.zeros((n, COORDINATES), np.uint16)
     sizes = np.fromiter(map(len, sets), np.int64, n)
     some = np.flatnonzero(sizes)
@@ -88,7 +93,8 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     starts = (np.cumsum(sizes) - sizes)[some]
     prints[some, 0] = np.add.reduceat(flat, starts)
     prints[some, 1] = np.add.reduceat(mix(flat + np.uint64(0x165667B19E3779F9)), starts)
-    for k, seed in enumerate(_SEEDS):
+    seeds = mix(np.arange(1, n_tokens + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    for k, seed in enumerate(seeds):
         hashed = (flat ^ (flat >> np.uint64(29))) * seed
         tokens[some, k] = np.minimum.reduceat(hashed ^ (hashed >> np.uint64(32)), starts)
     short = (flat >> np.uint64(32)).astype(np.uint32) ^ flat.astype(np.uint32)
@@ -100,17 +106,19 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return prints, tokens, coordinates
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, percent: int) -> DataFrame:
     """(doc, text_id, n, print1, print2, tokens, coordinates) of docs (doc,
     text_id, text)."""
 
+    n_tokens = branches(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_slices(batch, "text"):
                 sets = shingle_sets(texts)
-                prints, tokens, coordinates = sketches(sets)
+                prints, tokens, coordinates = sketches(sets, n_tokens)
                 signed = prints.view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BRANCHES, pa.int32()), pa.array(tokens.view(np.int64).ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * n_tokens, pa.int32()), pa.array(tokens.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(start, len(texts)) for c in ("doc", "text_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed[:, 0]), pa.array(signed[:, 1]), lists, pa.array([r.tobytes() for r in coordinates], pa.binary())],
                     ["doc", "text_id", "n", "print1", "print2", "tokens", "coordinates"],
@@ -189,9 +197,11 @@ def _alike(leaves: DataFrame, percent: int) -> DataFrame:
     return mapped(leaves.repartition("node").sortWithinPartitions("node", "doc"), run, "node long, root long, doc long")
 
 
-def _children(node: Column, *chosen: Column) -> Column:
-    """Keys of the children that a document goes to for chosen coordinates."""
-    return F.array(*(F.xxhash64(node, c, F.col("tokens")[c]) for c in chosen))
+def _children(node: Column, tree: Column, level: int) -> Column:
+    """Keys of the children that a document goes to, by the two tokens of the
+    tree's level."""
+    first = 2 * ((LEVELS + 1) * tree + level)
+    return F.array(*(F.xxhash64(node, c, F.col("tokens")[c]) for c in (first, first + 1)))
 
 
 def _blocks(crowded: DataFrame) -> DataFrame:
@@ -208,8 +218,8 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
 
     classes: (doc, n, tokens, coordinates).
     """
-    roots = [_children(F.lit(-1 - t).cast("long"), F.lit(2 * t), F.lit(2 * t + 1)) for t in range(trees(percent))]
-    state = classes.select("doc", F.explode(F.concat(*roots)).alias("node"))
+    roots = classes.select("doc", "tokens", F.explode(F.sequence(F.lit(0), F.lit(trees(percent) - 1))).alias("tree"))
+    state = roots.select("doc", "tree", F.explode(_children(F.lit(-1).cast("long"), F.col("tree"), 0)).alias("node"))
     sketch = classes.select("doc", "n", "coordinates")
     found: list[DataFrame] = []
     for level in range(LEVELS + 1):
@@ -222,14 +232,13 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
         if not done and level == LEVELS:
             leaves, done = leaves.union(_blocks(crowded)), True
         elif not done:
-            first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(BRANCHES)).cast("int")
-            second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(BRANCHES - 1)), F.lit(BRANCHES)).cast("int")
-            grown = settled(crowded.join(classes.select("doc", "tokens"), "doc").select("doc", "node", "size", F.explode(_children(F.col("node"), first, second)).alias("child")), "children")
+            joined = crowded.join(classes.select("doc", "tokens"), "doc")
+            grown = settled(joined.select("doc", "tree", "node", "size", F.explode(_children(F.col("node"), F.col("tree"), level + 1)).alias("child")), "children")
             # Where branching saves no comparisons, the node is compared as it is.
             pairs = grown.groupBy("node", "size", "child").agg(F.count(F.lit(1)).alias("c")).groupBy("node", "size").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
             stuck = settled(pairs.filter(F.col("work") >= F.col("size") * F.col("size")).select("node"), "stuck")
             leaves = leaves.union(_blocks(crowded.join(stuck, "node", "left_semi")))
-            state = grown.join(stuck, "node", "left_anti").select("doc", F.col("child").alias("node"))
+            state = grown.join(stuck, "node", "left_anti").select("doc", "tree", F.col("child").alias("node"))
         found.append(settled(_alike(leaves.join(sketch, "doc"), percent), "alike"))
         if done:
             break
@@ -291,7 +300,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     read; an empty table gives no rows. Keys are integers.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("text_id"), F.col(text).cast("string").alias("text"))
-    sketch = settled(sketched(rows), "sketches")
+    sketch = settled(sketched(rows, percent), "sketches")
     same = ["print1", "print2", "n"]
     # Classes of equal sets, with the sketch of the least row.
     least = sketch.filter("n > 0 and doc is not null").groupBy(*same).agg(F.min(F.struct("doc", "tokens", "coordinates")).alias("r"))

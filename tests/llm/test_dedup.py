@@ -80,6 +80,21 @@ def test_near_duplicates_in_a_hot_node(spark, monkeypatch):
     assert len(found) == 130 and {r.component_id for r in found} == {0}
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_recall_below_crowded_nodes(percent):
+    # Pairs at the threshold whose nodes are crowded at every level.
+    pairs, rng = 20_000, np.random.default_rng(5)
+    own = 100 - percent >> 1
+    union = rng.integers(1 << 64, size=(pairs, 100), dtype=np.uint64)
+    both = lambda cut: [np.ascontiguousarray(u) for u in np.delete(union, cut, 1)]
+    n_tokens = near_dedup.branches(percent)
+    a, b = (near_dedup.sketches(both(cut), n_tokens)[1] for cut in (np.s_[:own], np.s_[own : 100 - percent]))
+    level = (a == b).reshape(pairs, near_dedup.trees(percent), near_dedup.LEVELS + 1, 2).any(3)
+    together = level.all(2)
+    assert abs(together.mean() - (1 - (1 - percent / 100) ** 2) ** (near_dedup.LEVELS + 1)) < 0.01
+    assert together.any(1).all()
+
+
 def test_components(spark):
     path = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (5, 5), (None, 3)]
     found = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
