@@ -50,8 +50,14 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 )
+# A private key goes on to its END line or, where that is missing before the next
+# BEGIN, to the end of its base64 block; line breaks may be written as escapes.
+_BREAK = r"(?:\s|\\[nrt])*+"
+_PEM_HEADERS = rf"(?:{_BREAK}(?:Proc-Type|DEK-Info): [^\r\n\\]*)*+"
+_PEM_LAST = rf"""{_BREAK}[A-Za-z0-9+/]{{1,15}}+(?:={{1,2}}|(?=[ \t]*(?:[\r\n"']|\\[nr]|$)))"""
+_PEM_BLOCK = rf"(?:{_PEM_HEADERS}(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+={{0,2}})++(?:{_PEM_LAST})?)?"
 ADDED_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]{{0,40}}PRIVATE KEY-----|{_PEM_BLOCK})"),
     Rule("github", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{20,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),

@@ -79,6 +79,17 @@ def test_secret_operators(spark):
     assert secret_scan.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_private_keys_are_masked_whole():
+    scanner = secret_scan._scanner(secret_scan.RULES)
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "MIIEpAIBAAKCAQEA+x/Yz" + "Qw7" * 14 + "\n" + "kLm9" * 16 + "\nAb3/Zg=="
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    for key in (f"{begin}\n{body}\n{end}", f"{begin}\n{headers}{body}\n{end}", f"{begin}\n{body}", f"{begin}\n{headers}{body}", f"{begin}\n{body[:-2]}", f"{begin} {body} {end}".replace("\n", " "), f"{begin}\n{body}\n{end}".replace("\n", "\\n"), f"{begin}\n{body}".replace("\n", "\\n"), begin):
+        for text in (key, f"before {key}\nand words after", f"{key}\n{key}\nand"):
+            masked = secret_scan.masked(text, scanner.scan([text])[0], "[secret]")
+            assert masked == text.replace(key, "[secret]")
+
+
 @pytest.mark.parametrize("pattern,text", [("ab(cd|ef)+g", "abcdefg"), ("x?abc[de]f", "abcef"), ("[0-9]{4}-key", "1234-key"), ("(?:a|bcd)efg", "aefg")])
 def test_trigram_queries_hold_for_matches(pattern, text):
     import numpy as np
