@@ -36,7 +36,9 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("text_id")
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,47 @@ def brute_components(rows, percent=80):
             return {k: (len(sets[k]), label[k], label[k] == k) for k in sets}
 
 
+def brute_rows(rows, percent=80):
+    """(n, component, kept) of each row, whatever keys repeat or are null."""
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(rows)):
+            for b in range(a):
+                if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and label[a] != label[b]:
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    out = []
+    for (key, _), own, name in zip(rows, sets, label):
+        keys = [k for (k, _), x in zip(rows, label) if x == name and k is not None]
+        out.append((key, len(own), min(keys, default=None) if own else key))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("limits", [{}, {"GROUP_SHINGLES": 300, "LEAF": 6, "LEVELS": 1}])
+def test_near_duplicates_with_repeated_and_null_keys(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(11)
+    rows = [(rng.choice([None, *range(25)]), t) for s in range(14) for t in family(s, 5, 60, 6)]
+    a, b = family(50, 1, 60, 0)[0], family(51, 1, 60, 0)[0]
+    rows += [(103, a), (105, a + " more"), (105, b), (107, b + " two more"), (105, b), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute_rows(rows)
+    stay = near_dedup.one_of_each(docs).collect()
+    # One text of each component stays, that of its least key.
+    left = [(r.doc_id, len(shingles(r.text))) for r in stay if shingles(r.text)]
+    whole = {(c, k) for k, n, c in brute_rows(rows) if n}
+    assert len(left) == len(brute_rows([(None, r.text) for r in stay if shingles(r.text)]))
+    assert all(k is None or (k, k) in whole for k, _ in left)
+    sets = [shingles(r.text) for r in stay if shingles(r.text)]
+    assert not any(100 * len(x & y) >= 80 * len(x | y) for i, x in enumerate(sets) for y in sets[:i])
+    assert {105} <= {k for k, _ in left} and sum(t is None for _, t in ((r.doc_id, r.text) for r in stay)) == 1
+
+
 @pytest.mark.parametrize("percent,limits", [(85, {}), (80, {}), (80, {"GROUP_DOCS": 10, "LEAF": 20, "LEVELS": 2})])
 def test_near_duplicates(spark, monkeypatch, percent, limits):
     for name, value in limits.items():
@@ -80,6 +121,24 @@ def test_near_duplicates_in_a_hot_node(spark, monkeypatch):
     assert len(found) == 130 and {r.component_id for r in found} == {0}
 
 
+@pytest.mark.parametrize("leaf", [8, 30])
+def test_pairs_in_crowded_nodes(spark, monkeypatch, leaf):
+    # Pages of one template: in every node, linked with few of the others.
+    monkeypatch.setattr(near_dedup, "LEAF", leaf)
+    monkeypatch.setattr(near_dedup, "LEVELS", 1)
+    rng = random.Random(8)
+    page = [f"w{k}" for k in range(300)]
+    rows = []
+    for pair in range(60):
+        own = [f"p{pair}.{k}" for k in range(60)]
+        for _ in range(2):
+            rows.append((len(rows), " ".join(page + own + [f"x{rng.randrange(10**9)}" for _ in range(4)])))
+    rows += [(len(rows) + k, " ".join([*page, f"y{k}"])) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, percent=85).collect()}
+    assert found == brute_components(rows, 85)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_recall_below_crowded_nodes(percent):
     # Pairs at the threshold whose nodes are crowded at every level.
