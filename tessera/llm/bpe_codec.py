@@ -254,7 +254,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", t
     bytes). Strings of special tokens are ordinary text. Null keys, repeated
     rows and empty tables pass through; other columns aren't read. The rank
     file (one vocabulary) is read on the driver and sent to the workers.
+    `decoded` can't be the name of another column of the result.
     """
+    if decoded in (key, "ids", "key"):
+        raise ValueError(f"{decoded} names another column")
     content = _shipped(docs, rank_file)
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     fields = [T.StructField("key", source.schema["key"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
@@ -280,8 +283,11 @@ def decode(encoded: DataFrame, rank_file: str, ids: str = "ids", data: str = "de
     """`encoded` with the array `ids` replaced by its bytes in `data`.
 
     A null or empty array gives empty bytes; ids outside the vocabulary are an
-    error. All other columns are kept as they are.
+    error. All other columns are kept as they are; `data` can't be the name of
+    one of them.
     """
+    if data != ids and data in encoded.columns:
+        raise ValueError(f"{data} names another column")
     content = _shipped(encoded, rank_file)
     rest = [f for f in encoded.schema.fields if f.name != ids]
 

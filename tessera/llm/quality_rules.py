@@ -3,9 +3,10 @@
 Two fixed rules set the base: too few words, or too many words in repeated
 passages. Beyond it a document is compared with its own kind: for each
 language and source, mergeable quantile sketches (percentile_approx, combined
-on the map side) of some ratios give the median and the quartiles, which up to
-a quarter of outliers can't move, and a document is dropped if a ratio lies
-far outside. The text is read once; its measures are written to the shared
+on the map side) of some ratios (letters and digits among the characters of
+words, repeated lines, length of words) give the median and a quantile on
+either side, and a document is dropped if a ratio lies many times their
+distance outside. The text is read once; its measures are written to the shared
 folder, and sketches and the joined filter read those. No Python runs on the
 executors.
 """
@@ -23,13 +24,19 @@ WINDOW = 8
 LEAST_WORDS = 20
 REPEAT_PERCENT = 30
 
-#: Ratio: (distances of the quartile beyond the median, least distance from it) at which a
-#: document counts as an outlier, upwards and downwards.
+#: Ratio: the rank of its lower quantile (and, from above, of the upper one),
+#: then (distances of that quantile from the median, least distance from it)
+#: at which a document counts as an outlier, upwards and downwards. The
+#: sketches decide but for groups without any spread. Repeated lines are absent
+#: from most documents, so that their quartiles only widen the least distance.
 RATIOS = {
-    "symbol_share": ((8.0, 0.05), None),
-    "dup_line_share": ((8.0, 0.5), None),
-    "mean_word": ((8.0, 2.0), (8.0, 2.0)),
+    "plain_share": (0.25, None, (12.0, 0.02)),
+    "dup_line_share": (0.25, (12.0, 0.5), None),
+    "mean_word": (0.1, (5.0, 0.25), (5.0, 0.25)),
 }
+#: Share of its language's spread that a group's is taken for at least, so that
+#: a group of copies, which has none, doesn't drop all other documents.
+LEAST_SPREAD = 0.5
 #: Base-passing documents that a language and source need for thresholds of
 #: their own; with fewer, those of the language as a whole hold.
 LEAST_GROUP = 50
@@ -44,7 +51,12 @@ def _repeat_words(starts: Column) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """`keep` and the measures of each row; see `judge` for their meaning."""
+    """`keep` and the measures of each row; see `judge` for their meaning.
+
+    n_marks are the characters in words that are neither letters nor numbers.
+    A null text has none of anything; repeated rows and empty tables pass
+    through; other columns aren't read.
+    """
     t = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     split = docs.select(*keep, t).select(*keep, "text", words(F.col("text")).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
@@ -52,6 +64,7 @@ def measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         *keep,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count(F.array_join("words", ""), F.lit("[^\\p{L}\\p{N}]")).cast("long").alias("n_marks"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         hashes(F.col("words")).alias("hashes"),
@@ -60,6 +73,7 @@ def measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         *keep,
         "n_words",
         "word_chars",
+        "n_marks",
         "n_symbols",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -79,20 +93,36 @@ def measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 def _ratios(measured: DataFrame) -> DataFrame:
     chars, count, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("word_chars", "n_words", "n_lines"))
     return measured.withColumns(
-        {"symbol_share": F.col("n_symbols") / chars, "dup_line_share": F.col("n_dup_lines") / lines, "mean_word": F.col("word_chars") / count}
+        {
+            "plain_share": (F.col("word_chars") - F.col("n_marks")) / chars,
+            "dup_line_share": F.col("n_dup_lines") / lines,
+            "mean_word": F.col("word_chars") / count,
+        }
     )
 
 
-def thresholds(measured: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """The least and greatest accepted ratios of each group, with its size."""
-    quantiles = [F.percentile_approx(r, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(ACCURACY)).alias(r) for r in RATIOS]
-    groups = measured.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *quantiles)
+def quantiles(measured: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The quantiles of each group's ratios, by sketches, and its size."""
+    points = lambda low: F.array(F.lit(low), F.lit(0.5), F.lit(1 - low))
+    sketches = [F.percentile_approx(r, points(low), F.lit(ACCURACY)).alias(r) for r, (low, _, _) in RATIOS.items()]
+    return measured.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sketches)
+
+
+def thresholds(measured: DataFrame) -> DataFrame:
+    """(of_lang, of_source, least_ratio, most_ratio ...): the accepted ratios of
+    each language and source; null where a side has no bound."""
+    own = quantiles(measured, ("lang", "source"))
+    whole = quantiles(measured, ("lang",)).select(F.col("lang").alias("of"), *(F.col(r).alias(f"whole_{r}") for r in RATIOS))
+    both = own.join(whole, F.col("lang").eqNullSafe(F.col("of")), "left")
     bounds: list[Column] = []
-    for r, (up, down) in RATIOS.items():
-        low, mid, high = (F.col(r)[k] for k in range(3))
-        bounds.append((mid + F.greatest(up[0] * (high - mid), F.lit(up[1]))).alias(f"most_{r}"))
-        bounds.append((mid - F.greatest(down[0] * (mid - low), F.lit(down[1])) if down else F.lit(None).cast("double")).alias(f"least_{r}"))
-    return groups.select(*by, "n", *bounds)
+    for r, (_, *sides) in RATIOS.items():
+        low, mid, high = (F.when(F.col("n") >= LEAST_GROUP, F.col(r)[k]).otherwise(F.col(f"whole_{r}")[k]) for k in range(3))
+        whole_low, whole_mid, whole_high = (F.col(f"whole_{r}")[k] for k in range(3))
+        spreads = (high - mid, LEAST_SPREAD * (whole_high - whole_mid)), (mid - low, LEAST_SPREAD * (whole_mid - whole_low))
+        for name, sign, side, (spread, least) in zip(("most", "least"), (1, -1), sides, spreads, strict=True):
+            bound = mid + sign * F.greatest(side[0] * F.greatest(spread, least), F.lit(side[1])) if side else F.lit(None).cast("double")
+            bounds.append(bound.alias(f"{name}_{r}"))
+    return both.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *bounds)
 
 
 def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", language: str = "lang", source: str = "source") -> DataFrame:
@@ -108,19 +138,17 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", language: st
 
     Null and empty texts have no words and fail. Repeated rows and null keys
     are judged like others; other columns aren't read; an empty table gives no
-    rows. Thresholds come from sketches of all base-passing rows.
+    rows. Thresholds come from sketches of all base-passing rows; a language
+    and source with fewer than LEAST_GROUP of them takes those of its language.
     """
-    source_rows = docs.select(F.col(key).alias("key"), F.col(language).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
+    source_rows = docs.select(
+        F.col(key).alias("key"), F.col(language).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")
+    )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     measured = settled(measures(source_rows, keep=("key", "lang", "source")).withColumn("base_failed", failed), "measures")
     rated = _ratios(measured)
     sound = rated.filter(~F.col("base_failed"))
-    names = [f"{side}_{r}" for r in RATIOS for side in ("least", "most")]
-    own = thresholds(sound, ("lang", "source"))
-    whole = thresholds(sound, ("lang",)).select(F.col("lang").alias("of"), *(F.col(c).alias(f"whole_{c}") for c in names))
-    bounds = own.join(whole, F.col("lang").eqNullSafe(F.col("of")), "left").select(
-        F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *(F.when(F.col("n") >= LEAST_GROUP, F.col(c)).otherwise(F.col(f"whole_{c}")).alias(c) for c in names)
-    )
+    bounds = thresholds(sound)
     joined = rated.join(bounds, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     outlier = F.lit(False)
     for r in RATIOS:

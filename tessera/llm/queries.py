@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -14,18 +13,16 @@ from . import bpe_codec, chat_format, decontaminate, langid, near_dedup, quality
 from .tables import shared_folder, table
 
 
-def vocabulary(name: str) -> str:
-    """Place of a public vocabulary file; TOKENIZER_DIR overrides the folder."""
-    folder = os.environ.get("TOKENIZER_DIR")
-    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
-
-
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    """Token counts of whole documents, by the vocabulary byte_bpe_50k.json. Nulls, repeats and
+    empty tables: as in the operator."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
+    """Digests of the ids of whole documents and of what they decode to. Nulls, repeats and
+    empty tables: as in the operator."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     found = bpe_codec.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded="decoded")
     return found.select(
         "doc_id",
@@ -36,16 +33,22 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents alike to 85 per cent; kept if the row names its group. Nulls, repeats and
+    empty tables: as in the operator."""
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("kept"))
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 80 per cent of a benchmark item, with the counts. Nulls, repeats and
+    empty tables: as in the operator."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt from those that aren't held out. Nulls, repeats and
+    empty tables: as in the operator."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
     found = langid.predict(docs, model)
@@ -53,6 +56,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of whole documents: counts and spans of the base kinds, all spans. Nulls, repeats and
+    empty tables: as in the operator."""
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     base = [r.kind for r in secret_scan.BASE_RULES]
 
@@ -71,22 +76,30 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, sizes and checksums of documents, read back from token files. Nulls, repeats and
+    empty tables: as in the operator."""
     folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
-    shards = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), folder, end_id=1)
+    shards = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
     return token_files.read_token_files(spark, shards, with_ids=False).drop("ids")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all documents. Nulls, repeats and
+    empty tables: as in the operator."""
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of documents after repeats of earlier ones are cut. Nulls, repeats and
+    empty tables: as in the operator."""
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), settle=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and learned texts read back from formatted conversations. Nulls, repeats and
+    empty tables: as in the operator."""
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
@@ -178,22 +191,25 @@ with w as (
 ), covered as (
   select doc_id, count(distinct i) as n from twice group by doc_id
 ), m as (
-  select doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
+  select doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(array_to_string(w, ''), '[^\\p{L}\\p{N}]')) as n_marks, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
     (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, len(l) as n_lines, coalesce(n, 0) as n_repeat_words
   from w left join covered using (doc_id)
 ), r as (
-  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, n_symbols / greatest(word_chars, 1) as s, n_dup_lines / greatest(n_lines, 1) as d, word_chars / greatest(n_words, 1) as c from m
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, (word_chars - n_marks) / greatest(word_chars, 1) as s, n_dup_lines / greatest(n_lines, 1) as d, word_chars / greatest(n_words, 1) as c from m
 ), own as (
-  select lang, source, count(*) as n, quantile_disc(s, [0.25, 0.5, 0.75]) as s, quantile_disc(d, [0.25, 0.5, 0.75]) as d, quantile_disc(c, [0.25, 0.5, 0.75]) as c from r where not base_failed group by lang, source
+  select lang, source, count(*) as n, quantile_disc(s, [0.25, 0.5, 0.75]) as s, quantile_disc(d, [0.25, 0.5, 0.75]) as d, quantile_disc(c, [0.1, 0.5, 0.9]) as c from r where not base_failed group by lang, source
 ), whole as (
-  select lang, quantile_disc(s, [0.25, 0.5, 0.75]) as s, quantile_disc(d, [0.25, 0.5, 0.75]) as d, quantile_disc(c, [0.25, 0.5, 0.75]) as c from r where not base_failed group by lang
+  select lang, quantile_disc(s, [0.25, 0.5, 0.75]) as s, quantile_disc(d, [0.25, 0.5, 0.75]) as d, quantile_disc(c, [0.1, 0.5, 0.9]) as c from r where not base_failed group by lang
 ), q as (
-  select own.lang, own.source, case when n >= 50 then own.s else whole.s end as qs, case when n >= 50 then own.d else whole.d end as qd, case when n >= 50 then own.c else whole.c end as qc
+  select own.lang, own.source, whole.s as ws, whole.d as wd, whole.c as wc,
+    case when n >= 50 then own.s else whole.s end as qs, case when n >= 50 then own.d else whole.d end as qd, case when n >= 50 then own.c else whole.c end as qc
   from own join whole on own.lang is not distinct from whole.lang
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not coalesce(s > qs[2] + greatest(8 * (qs[3] - qs[2]), 0.05) or d > qd[2] + greatest(8 * (qd[3] - qd[2]), 0.5)
-    or c > qc[2] + greatest(8 * (qc[3] - qc[2]), 2.0) or c < qc[2] - greatest(8 * (qc[2] - qc[1]), 2.0), false) as kept
+  not base_failed and not coalesce(s < qs[2] - greatest(12 * greatest(qs[2] - qs[1], 0.5 * (ws[2] - ws[1])), 0.02)
+    or d > qd[2] + greatest(12 * greatest(qd[3] - qd[2], 0.5 * (wd[3] - wd[2])), 0.5)
+    or c > qc[2] + greatest(5 * greatest(qc[3] - qc[2], 0.5 * (wc[3] - wc[2])), 0.25)
+    or c < qc[2] - greatest(5 * greatest(qc[2] - qc[1], 0.5 * (wc[2] - wc[1])), 0.25), false) as kept
 from r left join q on r.lang is not distinct from q.lang and r.source is not distinct from q.source
 """
 

@@ -53,6 +53,9 @@ SLICE_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 19
 #: Occurrences from which a gram's strings are dealt out one by one.
 HOT = 200_000
+#: Bytes of text for each bucket of anchors, which is what a task holds.
+BUCKET_BYTES = 32 << 20
+MOST_TASKS = 20_000
 
 _LEAST_PARTS = "spark.sql.files.minPartitionNum"
 _PLACE = 24
@@ -252,6 +255,13 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Slice]:
         yield Slice(keys, texts)
 
 
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """`rows`, the buckets of a task one after the other. Sorting spills, so a
+    task holds one bucket at a time however many it is dealt."""
+    parts = min(buckets, MOST_TASKS)
+    return rows.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "slice")
+
+
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(bucket, rows) of an ascending bucket column."""
     if len(bucket):
@@ -330,7 +340,7 @@ def _shared_grams(source: DataFrame, buckets: int, most: int, hot: int) -> DataF
             yield _rows(["slice", "bucket", "data"], [pa.int64(), pa.int32(), pa.binary()], [(s, bucket, flags[lo:hi].tobytes()) for s, lo, hi in zip(table.column("slice").to_pylist(), at[:-1], at[1:], strict=True)])
 
     schema = "slice long, bucket int, data binary"
-    return mapped(mapped(source, deal, schema).repartition("bucket").sortWithinPartitions("bucket", "slice"), answer, schema)
+    return mapped(_dealt(mapped(source, deal, schema), buckets), answer, schema)
 
 
 def string_masks(key: np.ndarray, doc: np.ndarray, anchor: np.ndarray, strings: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -418,7 +428,7 @@ def _repeated_strings(source: DataFrame, flags: Answers, buckets: int, most: int
             yield _rows(["slice", "bucket", "data"], [pa.int64(), pa.int32(), pa.binary()], [(s, bucket, out[lo:hi].tobytes()) for s, lo, hi in zip(table.column("slice").to_pylist(), cuts[:-1], cuts[1:], strict=True)])
 
     dealt = mapped(source, deal, "slice long, bucket int, key binary, context binary, doc binary, anchor binary, strings binary, bytes binary")
-    return mapped(dealt.repartition("bucket").sortWithinPartitions("bucket", "slice"), answer, "slice long, bucket int, data binary")
+    return mapped(_dealt(dealt, buckets), answer, "slice long, bucket int, data binary")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None, settle: bool = True, slice_bytes: int = SLICE_BYTES, hot: int = HOT) -> DataFrame:
@@ -433,16 +443,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buc
 
     The texts are read three times and have to come in the same portions each
     time. Files do; anything else is first written to the shared folder
-    (`settle`). `buckets` are the shares of the anchors that are sorted in one
-    task, by default spark.sql.shuffle.partitions; `slice_bytes` of text are
-    handled together, and a gram of more than `hot` units is dealt out string
-    by string.
+    (`settle`). `buckets` are the shares of the anchors that are sorted at
+    once, by default one for each BUCKET_BYTES of text; `slice_bytes` of text
+    are handled together, and a gram of more than `hot` units is dealt out
+    string by string.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     if settle:
         source = settled(source, "texts")
+    if not buckets:
+        size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = -(-max(size, 1) // BUCKET_BYTES)
     if spark.conf.get(_LEAST_PARTS, None) is None:
         # Else the portions of small files follow the number of cores, which
         # changes when executors come and go.

@@ -19,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors see.
 
-    A cluster names it in spark.checkpoint.dir. Where that is unset (a local
-    session, as in tests) a folder under /tmp is set.
+    A cluster names it in spark.checkpoint.dir. Where that is unset in a local
+    session, as in tests, a folder under /tmp is set; elsewhere that is an
+    error, as executors wouldn't see each other's files there.
     """
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file:///tmp/tessera-shared"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

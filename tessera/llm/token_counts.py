@@ -1,6 +1,6 @@
 """Token counts by the whole-token shortcut.
 
-Before any text is read, every vocabulary string that a byte-level BPE file
+Before any text is read, on the driver, every vocabulary string that a byte-level BPE file
 spells as one pre-token is encoded alone; those that come back as exactly
 themselves are proven whole tokens. In texts, a pre-token of that set counts
 one at once, and only the distinct remaining pre-tokens are merged.
@@ -58,7 +58,8 @@ def needs_library(text: str) -> bool:
 class WholeTokenCounter:
     """Counts tokens of texts as a tokenizers JSON file does."""
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, whole: frozenset[str] | None = None):
+        """whole: the strings proven before, if any."""
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(content)
@@ -79,7 +80,7 @@ class WholeTokenCounter:
         self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.split = regex.compile(BYTE_LEVEL_PATTERN)
         self.known: dict[str, int] = {}
-        self.whole = self._proven() if self.shortcut else frozenset()
+        self.whole = (self._proven() if whole is None else whole) if self.shortcut else frozenset()
 
     def forget(self) -> None:
         self.known.clear()
@@ -134,8 +135,14 @@ class PieceCounter:
 
 
 @lru_cache(4)
-def _counter(content: bytes, is_json: bool):
-    return WholeTokenCounter(content.decode()) if is_json else PieceCounter(content)
+def proven(content: bytes) -> frozenset[str]:
+    """The whole tokens of a tokenizers JSON file."""
+    return WholeTokenCounter(content.decode()).whole
+
+
+@lru_cache(4)
+def _counter(content: bytes, whole: frozenset[str] | None):
+    return PieceCounter(content) if whole is None else WholeTokenCounter(content.decode(), whole)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
@@ -145,17 +152,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     tokens inside a text count as the library's default has them. A null or
     empty text has 0 bytes and 0 tokens. A null key stays null; repeated rows
     give repeated rows; other columns, whatever their names, aren't read. An
-    empty table gives an empty result. `tokenizer`, a .json or
-    .model file, is read on the driver and its content sent to the workers (its size is that of one vocabulary).
+    empty table gives an empty result. `tokenizer`, a .json or .model file, is
+    read on the driver, and its content and the proven strings are sent to the
+    workers (their size is that of one vocabulary).
     """
     with open(tokenizer, "rb") as f:
-        content = docs.sparkSession.sparkContext.broadcast(f.read())
-    is_json = tokenizer.endswith(".json")
+        content = f.read()
+    shipped = docs.sparkSession.sparkContext.broadcast((content, proven(content) if tokenizer.endswith(".json") else None))
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = source.schema["key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(content.value, is_json)
+        counter = _counter(*shipped.value)
         for batch in batches:
             schema = pa.schema([("key", batch.schema.field("key").type), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
             for start, texts in text_slices(batch, "text"):

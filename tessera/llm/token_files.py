@@ -53,6 +53,12 @@ HAS_CHECKSUMS = 0x80
 
 #: Plain bytes after which a frame is closed.
 FRAME_BYTES = 1 << 20
+#: Bytes of text, and of 64 for each document, that a task encodes; tasks at most.
+TASK_BYTES = 64 << 20
+MOST_TASKS = 20_000
+#: Plain bytes and documents after which a shard is closed.
+SHARD_BYTES = 256 << 20
+SHARD_DOCS = 1_000_000
 #: Words whose ids a worker remembers.
 REMEMBERED = 500_000
 
@@ -190,7 +196,7 @@ class ShardWriter:
     def __init__(self, out, dtype: str):
         self.out, self.dtype = out, np.dtype(dtype).newbyteorder("<")
         self.pending: list[np.ndarray] = []
-        self.bytes, self.frames = 0, []
+        self.bytes, self.whole, self.frames = 0, 0, []
         self.keys: list[int | None] = []
         self.counts: list[int] = []
         self.pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
@@ -202,9 +208,13 @@ class ShardWriter:
         self.counts.append(len(array))
         self.pending.append(array)
         self.bytes += array.nbytes
+        self.whole += array.nbytes
         if self.bytes >= FRAME_BYTES:
             self._frame()
 
+    def full(self, most_docs: int) -> bool:
+        return self.whole >= SHARD_BYTES or len(self.keys) >= most_docs
+
     def _frame(self) -> None:
         plain = b"".join(a.tobytes() for a in self.pending)
         packed = self.pack.compress(plain)
@@ -313,55 +323,67 @@ def put_in_place(store: fs.FileSystem, trial: str, final: str) -> None:
         store.move(trial, final)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 1, key: str = "doc_id", text: str = "text", shards: int | None = None) -> list[Shard]:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 1, key: str = "doc_id", text: str = "text", tasks: int | None = None, shard_docs: int = SHARD_DOCS) -> list[Shard]:
     """Encode all rows and write them to `folder` in ascending key order.
 
     Rows are dealt out by ranges of (key, hash of the text), so equal keys,
     however many, don't have to meet in one task; rows of one key are ordered
     by that hash and then by text, null keys come first, and a null text is
-    empty. `end_id` is appended to each document. A shard is written under a
-    name of its own attempt and then moved, so a task that runs again or twice
-    leaves whole files only. The driver gets one row per shard. An empty table
-    gives no shard. `folder` must be shared by all executors (any file system
+    empty. `end_id` is appended to each document. There are as many tasks as
+    the size of the texts asks for, and a task closes its shard and begins
+    another when that is large (SHARD_BYTES, `shard_docs`), so that no index grows without bound. A shard
+    is written under a name of its own attempt and then moved, so a task that
+    runs again or twice leaves whole files only. The driver gets one row per
+    shard. An empty table gives no shard. `folder` must be shared by all executors (any file system
     that pyarrow knows); the ids are 16 bits wide if the vocabulary allows.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    dealt = source.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie", "text").select("key", "text")
+    if not tasks:
+        size = source.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64)).first()[0] or 0
+        tasks = min(MOST_TASKS, -(-max(size, 1) // TASK_BYTES))
+    dealt = source.withColumn("tie", F.xxhash64("text")).repartitionByRange(tasks, "key", "tie").sortWithinPartitions("key", "tie", "text").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content.value)
         number = TaskContext.get().partitionId()
         store, root = _opened(folder)
-        final, trial = f"{root}/shard-{number:06d}.ids.zst", f"{root}/.trial-{uuid.uuid4().hex}"
-        writer = out = None
+        piece, writer, out, trial = 0, None, None, ""
+
+        def done() -> pa.RecordBatch:
+            written, tokens = writer.close()
+            out.close()
+            name = f"shard-{number:06d}-{piece:06d}.ids.zst"
+            put_in_place(store, trial, f"{root}/{name}")
+            return batch_of(_MANIFEST, [number], [piece], [f"{folder}/{name}"], [written], [tokens])
+
         for batch in batches:
             for start, texts in text_slices(batch, "text"):
+                if writer is not None and writer.full(shard_docs):
+                    yield done()
+                    piece, writer = piece + 1, None
                 if writer is None:
                     store.create_dir(root, recursive=True)
+                    trial = f"{root}/.trial-{uuid.uuid4().hex}"
                     out = store.open_output_stream(trial)
                     writer = ShardWriter(out, "u4" if encoder.wide else "u2")
                 keys = batch.column("key").slice(start, len(texts)).to_pylist()
                 for k, ids in zip(keys, encoder.encode(texts), strict=True):
                     writer.add(k, ids if end_id is None else np.append(ids, end_id))
         if writer is not None:
-            written, tokens = writer.close()
-            out.close()
-            put_in_place(store, trial, final)
-            yield batch_of(_MANIFEST, [number], [f"{folder}/shard-{number:06d}.ids.zst"], [written], [tokens])
+            yield done()
 
-    found = mapped(dealt, run, "number int, path string, docs long, tokens long").collect()
+    found = mapped(dealt, run, "number int, piece int, path string, docs long, tokens long").collect()
     out, start = [], 0
-    for r in sorted(found, key=lambda r: r.number):
+    for r in sorted(found, key=lambda r: (r.number, r.piece)):
         out.append(Shard(r.path, r.docs, r.tokens, start))
         start += r.tokens
     return out
 
 
-_MANIFEST = pa.schema([("number", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
+_MANIFEST = pa.schema([("number", pa.int32()), ("piece", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
@@ -370,8 +392,9 @@ def read_token_files(spark: SparkSession, shards: list[Shard], keys: set[int] |
 
     `start` is the number of ids of all documents before; ids_crc32 is taken
     over the ids as little-endian 32-bit integers. `keys` limits the result to
-    these documents, and then only their frames are decompressed; `with_ids`
-    False leaves ids null. A frame that doesn't match its checksum is an error.
+    these documents, and then only their frames are decompressed; documents
+    without a key are found by None. `with_ids` False leaves ids null. No shard
+    gives no rows. A frame that doesn't match its checksum is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -245,6 +245,29 @@ def test_contamination(spark):
     found = decontaminate.contaminated(frame, bench).collect()
     assert len(want) > 20 and {tuple(r) for r in found} == want and len(found) == len(want)
     assert decontaminate.contaminated(frame.limit(0), bench).count() == decontaminate.contaminated(frame, bench.limit(0)).count() == 0
-    clean = decontaminate.clean(frame, bench)
-    leaked = {k for k, *_ in want}
-    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(k) for k, _ in docs if k not in leaked)
+    # Rows are judged by their texts, with a null key or one that others have.
+    frame = frame.union(spark.createDataFrame([(0, "ok words here", 0), (None, items[5][1], 0), (1, items[5][1], 0)], frame.schema))
+    docs += [(0, "ok words here"), (None, items[5][1]), (1, items[5][1])]
+    leaked = {t for k, t in docs if t and any(k == w[0] for w in want) and t != "ok words here"} | {items[4][1], items[5][1]}
+    stay = sorted((str(k), str(t)) for k, t in docs if t not in leaked)
+    assert sorted((str(r.doc_id), str(r.text)) for r in decontaminate.clean(frame, bench).collect()) == stay and len(stay) < len(docs)
+    with pytest.raises(ValueError):
+        decontaminate.contaminated(frame, bench, key="item_id")
+
+
+def test_a_small_bitmap_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 64)
+    items = [(k, " ".join(f"i{k}.{j}" for j in range(30))) for k in range(40)]
+    docs = [(k, " ".join([f"own{k}.{j}" for j in range(50)] + ([items[k % 40][1]] if k % 2 else []))) for k in range(80)]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k % 40) for k in range(80) if k % 2}
+
+
+def test_repeats_in_long_texts(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    filler = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    at_edge = suffix_dedup.BLOCK_BYTES - 130
+    rows = [(1, filler(100) + passage), (2, filler(at_edge) + passage + filler(700_000) + passage[:60]), (3, passage[200:])]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), buckets=3).collect()
+    assert sorted(((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in found), key=str) == brute_repeats(rows)

@@ -7,6 +7,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import bpe_codec, chat_format, langid, quality_rules, secret_scan
@@ -116,11 +117,68 @@ def test_quality(spark):
         r = found[k]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.base_failed and r.kept)
-    assert not found[7].kept or len(texts) < quality_rules.LEAST_GROUP
     assert all(found[100 + k].kept for k in range(60))
     assert quality_rules.judge(docs.limit(0)).count() == 0
 
 
+def test_thresholds_follow_the_group(spark):
+    # One source writes plain words, the other marks up every other word.
+    def page(k, marks):
+        return " ".join(f"{chr(97 + (k * 7 + j) % 26)}word{j}{'#' * ((k + j) % marks) if marks else ''}" for j in range(40))
+
+    rows = [(k, page(k, 0) + "." * (k % 4), "en", "plain") for k in range(60)] + [(100 + k, page(k, 4), "en", "marked") for k in range(60)]
+    rows += [(200, page(1, 4), "en", "plain"), (201, page(2, 4), "en", "marked"), (202, " ".join("#" * 9 for _ in range(15)) + page(3, 0), "en", "marked")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
+    assert all(found[k] for k in range(60)) and all(found[100 + k] for k in range(60))
+    assert not found[200] and found[201] and not found[202]
+    rated = quality_rules._ratios(quality_rules.measures(docs).withColumn("base_failed", F.lit(False)))
+    bounds = {r.of_source: r.least_plain_share for r in quality_rules.thresholds(rated).collect()}
+    assert bounds["marked"] < bounds["plain"]
+
+
+def brute_language(model_rows, texts):
+    """Multinomial naive Bayes, one gram at a time, over the same buckets."""
+    import math
+
+    def grams(text):
+        chars = [c if c.isalpha() else " " for c in text.lower()] + [" "] * 3
+        for order in range(3):
+            for k in range(len(text.lower())):
+                state = 0
+                for j in range(order + 1):
+                    state = (state * 0x9E3779B1 + ord(chars[k + j]) + j * 0x51ED27) % (1 << 32)
+                mixed = ((state ^ (state >> 15)) * 0x85EBCA77) % (1 << 32)
+                yield mixed >> (32 - langid.BUCKET_BITS)
+
+    counts = {}
+    for text, label in model_rows:
+        own = counts.setdefault(label, {})
+        for g in grams(text):
+            own[g] = own.get(g, 0) + 1
+    out = []
+    for text in texts:
+        logs = {}
+        for label, own in counts.items():
+            whole = sum(own.values()) + 0.1 * (1 << langid.BUCKET_BITS)
+            logs[label] = sum(math.log((own.get(g, 0) + 0.1) / whole) for g in grams(text))
+        best = max(sorted(logs), key=logs.get)
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+def test_language_by_brute_force(spark):
+    rows = [(1, "the cat, and the hat!", "en"), (2, "der Hund und die Katze", "de"), (3, "le chat et la souris", "fr"), (4, "İstanbul'da 3 kedi", "tr"), (5, "den Hut und", "de")]
+    asked = ["a hat", "und so", "la", "kedi!", "x", "The cat and der Hund", "12 é"]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = brute_language([(t, x) for _, t, x in rows], asked)
+    names, scores = model.predict(asked)
+    assert names == [w[0] for w in want]
+    assert all(abs(s - w[1]) < 1e-3 for s, w in zip(scores, want))
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()} == dict(enumerate(names))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a b\n%", ""]), st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "\\", "\n", "<", "s>", "ok"]), max_size=8).map("".join)), max_size=5))
 def test_chat_round_trip(turns):
@@ -172,8 +230,8 @@ def test_pipeline(spark):
 
 def test_stages_with_odd_rows(spark):
     long = " ".join(f"wort{k}" for k in range(60))
-    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, kept int, component_id long, gone_key long, leaked_key long, secrets int"
-    rows = [(k, t, lang, None, n, "k", 1, 2, 3, 4, 5) for k, t, lang, n in [(1, long, "de", 1), (1, long, "de", 1), (None, long, None, None), (2, None, None, None), (3, "", "de", 0), (4, "1 2 3", None, 5), (5, "the token = abcdefghijklmnop", "en", 28), (None, "only here, the text", None, 9)]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, kept int, component_id long, gone_key long, leaked_key long, secrets int, print0 long, its_key long, its_text long"
+    rows = [(k, t, lang, None, n, "k", 1, 2, 3, 4, 5, 6, 7, 8) for k, t, lang, n in [(1, long, "de", 1), (1, long, "de", 1), (None, long, None, None), (2, None, None, None), (3, "", "de", 0), (4, "1 2 3", None, 5), (5, "the token = abcdefghijklmnop", "en", 28), (None, "only here, the text", None, 9)]]
     docs = spark.createDataFrame(rows, schema)
     kept = dict.fromkeys(["language_id", "near_dedup", "decontamination", "secret_masking"])
     want = {"language_id": [None, None, 1, 1, 5], "near_dedup": [None, 1, 5], "decontamination": [None, 1, 5], "secret_masking": [None, 1, 5]}

@@ -102,7 +102,7 @@ def test_rank_file_must_have_all_bytes():
 
 def test_token_files(spark, docs, tmp_path):
     encode = library("word_bpe_49k.json")
-    shards = token_files.write_token_files(docs, P.path("word_bpe_49k.json"), f"file://{tmp_path}/a", shards=3)
+    shards = token_files.write_token_files(docs, P.path("word_bpe_49k.json"), f"file://{tmp_path}/a", tasks=3)
     rows = token_files.read_token_files(spark, shards).collect()
     want = [(k, [*encode(t), 1]) for k, t, *_ in ROWS]
     assert sorted((str(r.doc_id), r.ids) for r in rows) == sorted((str(k), x) for k, x in want)
@@ -117,6 +117,47 @@ def test_token_files(spark, docs, tmp_path):
     assert token_files.write_token_files(docs.limit(0), P.path("word_bpe_49k.json"), f"file://{tmp_path}/b") == []
 
 
+def test_shards_are_closed_when_large(spark, docs, tmp_path):
+    name, rows = P.path("word_bpe_49k.json"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, 2)
+    try:
+        whole = token_files.write_token_files(docs, name, f"file://{tmp_path}/a", tasks=2)
+        cut = token_files.write_token_files(docs, name, f"file://{tmp_path}/b", tasks=2, shard_docs=2)
+    finally:
+        spark.conf.set(rows, before)
+    assert len(cut) > len(whole) == 2
+    one, other = (sorted(map(tuple, token_files.read_token_files(spark, x).drop("doc_id").collect())) for x in (whole, cut))
+    assert one == other
+
+
+def test_names_that_clash(docs):
+    ranks = P.path("byte_bpe_multi_50k.tiktoken")
+    for wrong in ("ids", "doc_id"):
+        with pytest.raises(ValueError):
+            bpe_codec.encode(docs, ranks, P.PATTERN, decoded=wrong)
+    encoded = bpe_codec.encode(docs, ranks, P.PATTERN, decoded="decoded")
+    with pytest.raises(ValueError):
+        bpe_codec.decode(encoded, ranks)
+
+
+LONG = "Wort für Wörter 12 " * 60_000
+
+
+def test_texts_over_a_million_characters(spark, tmp_path):
+    assert len(LONG) > 1_000_000
+    rows = [(1, LONG), (2, "short"), (3, LONG + "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    encode = library("byte_bpe_50k.json")
+    found = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, P.path("byte_bpe_50k.json")).collect()}
+    assert found == {k: len(encode(t)) for k, t in rows}
+    ids = {r.doc_id: (r.ids, bytes(r.back)) for r in bpe_codec.encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, decoded="back").collect()}
+    assert ids == {k: (TIKTOKEN.encode_ordinary(t), t.encode()) for k, t in rows}
+    words = library("word_bpe_49k.json")
+    shards = token_files.write_token_files(docs, P.path("word_bpe_49k.json"), f"file://{tmp_path}/a")
+    assert {r.doc_id: r.ids for r in token_files.read_token_files(spark, shards).collect()} == {k: [*words(t), 1] for k, t in rows}
+
+
 def test_frames_are_read_alone_and_checked(tmp_path):
     at = tmp_path / "x"
     with open(at, "wb") as out:
