@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe_codec, decontaminate, langid, near_dedup, secret_scan
-from tessera.llm.queries import vocabulary
 from tessera.llm.tables import settled, table
 
 
@@ -24,25 +23,42 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least doc_id in each group of near-duplicates."""
+    """Keep the document of least doc_id in each group of near-duplicates.
+
+    Empty texts resemble nothing and stay; rows that share a doc_id are judged
+    by their own texts, rows without one like others; of repeated rows one
+    stays. An empty table stays empty.
+    """
     return near_dedup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold an item of the benchmark."""
+    """Drop documents that hold an item of the benchmark.
+
+    Each row is judged by its own text, whatever its doc_id; null and empty
+    texts and an empty benchmark drop nothing.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts by a mark, and bring n_chars up to date."""
+    """Replace secrets in the texts by a mark, and bring n_chars up to date.
+
+    Null texts stay null with their n_chars; all rows stay.
+    """
     masked = secret_scan.mask_secrets(docs)
-    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else masked
+    if "n_chars" not in docs.columns:
+        return masked
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the token ids, and
-    digests of them and of what they decode to."""
-    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
+    digests of them and of what they decode to.
+
+    A null or empty text has no ids; null doc_ids and repeated rows pass.
+    """
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     found = bpe_codec.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded")
     return found.select(
         "doc_id",
