@@ -54,7 +54,7 @@ BLOCK_BYTES = 1 << 19
 #: Occurrences from which a gram's strings are dealt out one by one.
 HOT = 200_000
 #: Bytes of text for each bucket of anchors, which is what a task holds.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 MOST_TASKS = 20_000
 
 _LEAST_PARTS = "spark.sql.files.minPartitionNum"

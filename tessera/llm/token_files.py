@@ -54,7 +54,7 @@ HAS_CHECKSUMS = 0x80
 #: Plain bytes after which a frame is closed.
 FRAME_BYTES = 1 << 20
 #: Bytes of text, and of 64 for each document, that a task encodes; tasks at most.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
 MOST_TASKS = 20_000
 #: Plain bytes and documents after which a shard is closed.
 SHARD_BYTES = 256 << 20
