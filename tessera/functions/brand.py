@@ -47,11 +47,40 @@ def maker(value: Column) -> Column:
     return let(brand_words(value), family)
 
 
-def maker_key(value: Column) -> Column:
-    """A blocking key: the family, or the first word of three letters or more."""
+def maker_names(value: Column) -> Column:
+    """The brand, and all names of its family if it has one."""
+    known = F.array(*(F.array(*map(F.lit, names)) for names in MAKERS))
+    return F.concat(F.array(value), F.coalesce(F.try_element_at(known, maker(value) + 1), F.array().cast("array<string>")))
+
+
+def fits(brand_a: Column, name_a: Column, brand_b: Column, name_b: Column) -> Column:
+    """Whether one piece's brand holds for another: one maker; or, where only
+    one has a brand, the other's name spells it."""
+    facts = F.struct(real_brand(brand_a).alias("a"), real_brand(brand_b).alias("b"))
+
+    def judged(f: Column) -> Column:
+        a, b = f["a"] != "", f["b"] != ""
+        return F.when(a & b, agree(f["a"], f["b"])).when(a, position_in(name_b, f["a"]) >= 0).when(b, position_in(name_a, f["b"]) >= 0).otherwise(False)
+
+    return let(facts, judged)
+
+
+def search_word(value: Column) -> Column:
+    """The word to look a brand up by: its first of three letters or more."""
     words_ = F.filter(F.split(F.regexp_replace(fold(value), r"^the\s+", ""), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    first = F.coalesce(F.try_element_at(F.filter(words_, lambda w: F.length(w) >= 3), F.lit(1)), F.try_element_at(words_, F.lit(1)), F.lit(""))
-    return F.coalesce(F.concat(F.lit("maker:"), maker(value).cast("string")), first)
+    return F.coalesce(F.try_element_at(F.filter(words_, lambda w: F.length(w) >= 3), F.lit(1)), F.try_element_at(words_, F.lit(1)), F.lit(""))
+
+
+def maker_key(value: Column) -> Column:
+    """A blocking key: the family, or the word to look the brand up by."""
+    return F.coalesce(F.concat(F.lit("maker:"), maker(value).cast("string")), search_word(value))
+
+
+def fronts(value: Column) -> Column:
+    """The brand's words up to each of them: a brand with a line after its name
+    agrees with each."""
+    words_ = F.split(brand_words(value), " ")
+    return F.transform(F.sequence(F.lit(1), F.size(words_)), lambda n: F.array_join(F.slice(words_, F.lit(1), n), " "))
 
 
 def agree(a: Column, b: Column) -> Column:

@@ -76,6 +76,23 @@ def garment_category(text: Column, garments: tuple[Garment, ...] = GARMENTS) ->
     return let(garment(text, garments), lambda g: F.when(g["strong"], g["category"]))
 
 
+def garment_label(text: Column, tree: Column, garments: tuple[Garment, ...] = GARMENTS) -> Column:
+    """The label of a tree (map of label to category) that is called like the
+    head noun's kind or one of its terms, in any number and spelling, and is
+    filed under the kind's category; null if there is none."""
+    key = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    plain = lambda c: F.regexp_replace(key(c), "e?s$", "")
+    called = F.create_map(*[x for g in garments for x in (F.lit(g.kind), F.array(*(F.lit(t) for t in dict.fromkeys((g.kind, *g.terms)))))])
+    labels = F.map_entries(tree)
+
+    def found(g: Column) -> Column:
+        fit = lambda wanted: F.filter(labels, lambda e: (plain(e["key"]) == plain(wanted)) & (e["value"] == g["category"]))
+        each = F.transform(F.try_element_at(called, g["kind"]), lambda wanted: F.try_element_at(fit(wanted), F.lit(1))["key"])
+        return F.try_element_at(F.filter(each, lambda x: x.isNotNull()), F.lit(1))
+
+    return let(garment(text, garments), found)
+
+
 def garments_conflict(a: Column, b: Column, garments: tuple[Garment, ...] = GARMENTS) -> Column:
     """Both names name a kind, different ones, and neither is generic."""
     both = F.struct(garment(a, garments).alias("a"), garment(b, garments).alias("b"))

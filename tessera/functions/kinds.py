@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import urls
+
 # Category rules, the first that matches wins.
 CATEGORY_RULES = [
     (r"\bdress\s*shirt\b", "shirts"),
@@ -59,6 +61,28 @@ def read_gender(text: Column) -> Column:
     return F.when(low.rlike("unisex|genderless") | (women & men), "unisex").when(women, "women").when(men, "men")
 
 
+def gender_from_page(name: Column, url: Column, breadcrumbs: Column, description: Column) -> Column:
+    """struct<gender, source> of a page's strongest statement: its name, its
+    address, its breadcrumbs, its description; null if it is silent. In an
+    address the singular counts too; a description that speaks of both, the
+    singular included, says nothing."""
+    either = lambda c, one, many: F.coalesce(F.lower(c).rlike(rf"\b(?:{one}|{many})\b"), F.lit(False))
+    women, men = (lambda c: either(c, "woman", "women|womens|female|ladies|femme|damen")), (lambda c: either(c, "man", "men|mens|male|gents|homme|herren"))
+
+    def address(c: Column) -> Column:
+        said = F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", " ")
+        singular = F.when(women(said) & men(said), "unisex").when(women(said), "women").when(men(said), "men")
+        return F.coalesce(read_gender(said), singular)
+
+    stated = [
+        (read_gender(name), "name"),
+        (address(urls.path(url)), "address"),
+        (address(breadcrumbs), "address"),
+        (F.when(~(women(description) & men(description)), read_gender(description)), "description"),
+    ]
+    return F.coalesce(*(F.when(g.isNotNull(), F.struct(g.alias("gender"), F.lit(source).alias("source"))) for g, source in stated))
+
+
 def normal_styles(values: Column, vocabulary: list[str] = STYLES) -> Column:
     """Known styles, in the vocabulary's order."""
     return F.array_intersect(F.array(*map(F.lit, vocabulary)), F.transform(values, lambda v: F.lower(F.trim(v))))

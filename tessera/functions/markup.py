@@ -127,4 +127,4 @@ def repaired_retailers(retailers: Column, brand: Column) -> Column:
 
 def shuffled_order(key: Column, seed: int = 42) -> Column:
     """A fixed order that looks shuffled: sort by this, then by the key."""
-    return F.xxhash64(F.lit(seed), key)
+    return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), key.cast("string")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import urls
+from .binding import let
 
 # Parameters that size a photo, suffixes of renditions, file names without a photo.
 SIZE_PARAMS = [
@@ -17,6 +18,11 @@ FORMATS = r"(?i)(?:\.(?:jpe?g|png|webp|avif))+$"
 NO_PHOTO = r"^(?:missing|default|blank|empty|none|null|undefined|logo)$|(?:^|[-_.])(?:placeholder|no[-_]?(?:image|photo|picture|img)|coming[-_]?soon|missing[-_]?(?:image|photo|picture|product))"
 CAMERA = r"^(?:dsc|dscf|dscn|img|mg|imag|dji|gopr|pxl|photo|image)?[0-9]+$|^p[0-9]{7}$"
 LEAST_FRAME, MOST_DIFFERING = 8, 2
+# Where an image host keeps uploads, its transformations, and blanks that a page fills in.
+UPLOAD = "/(?:[^/]+/)?image/(?:upload|private)/"
+STEP = "^(?:a|ac|af|ar|b|bo|br|c|co|cs|d|dl|dn|dpr|du|e|eo|f|fl|fn|fps|g|h|ki|l|o|p|pg|q|r|so|sp|t|u|vc|vs|w|x|y|z)_[^,/]*$"
+BLANK = r"(?i)^(?:__[a-z0-9_]+__|\{[^{}/]*\}|%7b(?:(?!%7d).)*%7d)$"
+WIDTH_BLANK = r"(?i)_(?:\{width\}|%7Bwidth%7D)x(?=\.[a-z0-9]+$)"
 
 
 def file_name(url: Column) -> Column:
@@ -31,21 +37,65 @@ def image_key(url: Column) -> Column:
     place = F.regexp_replace(place, RENDITION, "")
     place = F.when(place.contains("/wp-content/uploads/"), F.regexp_replace(place, r"-[0-9]{2,4}x[0-9]{2,4}(?=\.[a-z0-9]+$)", "")).otherwise(place)
     place = F.regexp_replace(F.regexp_replace(F.regexp_replace(place, r"@[23]x(?=\.[a-z0-9]+$)", ""), r"\.(?:jpe?g|png)\.(?:webp|avif)$", ".jpg"), FORMATS, "")
-    return F.concat(host, place)
+    # Of an upload with transformations, the account and the upload tell.
+    upload = let(chain(url), lambda c: F.concat(c["account"], F.lit("/"), F.regexp_replace(F.regexp_replace(F.lower(c["tail"]), "^v[0-9]+/", ""), FORMATS, "")))
+    return F.coalesce(upload, F.concat(host, place))
+
+
+def chain(url: Column) -> Column:
+    """struct<account, head, steps, tail> of an address that names an upload
+    and the transformations on the way to it; null for other addresses."""
+    place = F.regexp_extract(url, f"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*({UPLOAD})", 1)
+    head = F.concat(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), place)
+    rest = F.split(F.regexp_replace(F.substr(url, F.length(head) + 1), "[?#].*$", ""), "/")
+    step = lambda s: s.rlike(BLANK) | F.forall(F.split(s, ","), lambda part: part.rlike(STEP))
+    # The last part is the upload's name, whatever it looks like.
+    first = F.array_position(F.transform(rest, lambda s, n: step(s) & (n < F.size(rest) - 1)), False) - 1
+    account = F.concat(urls.store_host(url), F.lit("/"), F.regexp_extract(place, "^/([^/]+)/image/", 1))
+
+    def parted(n: Column) -> Column:
+        tail = F.array_join(F.slice(rest, n + 1, F.greatest(F.size(rest) - n, F.lit(1))), "/")
+        steps = F.when(n > 0, F.slice(rest, F.lit(1), n)).otherwise(F.array().cast("array<string>"))
+        return F.struct(account.alias("account"), head.alias("head"), steps.alias("steps"), tail.alias("tail"))
+
+    return F.when(place != "", let(first.cast("int"), parted))
 
 
 def rendition_rank(url: Column) -> Column:
-    """The size an address asks for: the smallest step of a chain of
-    transformations; without any, the largest number; -1 for a template."""
-    steps = F.filter(F.split(urls.path(url), "/"), lambda s: s.rlike("(^|,)[wh]_[0-9]+"))
-    sizes = F.transform(steps, lambda s: F.array_max(F.transform(F.regexp_extract_all(s, F.lit("(?:^|,)[wh]_([0-9]+)"), 1), lambda n: n.cast("long"))))
-    return F.when(url.rlike(r"\{[a-z_]+\}"), F.lit(-1).cast("long")).otherwise(F.coalesce(F.array_min(sizes), F.lit((1 << 53) - 1)))
+    """How good a copy an address is: -1 with a blank to be filled; the size
+    that a chain of transformations leaves, which is its smallest step times the
+    density; the largest number for a chain without a size; 0 for addresses
+    without a chain."""
+
+    def ranked(c: Column) -> Column:
+        sizes = F.transform(c["steps"], lambda s: F.array_max(F.transform(F.regexp_extract_all(s, F.lit("(?:^|,)[wh]_([0-9]+)(?=,|$)"), 1), lambda n: n.cast("double"))))
+        densities = F.flatten(F.transform(c["steps"], lambda s: F.regexp_extract_all(s, F.lit(r"(?:^|,)dpr_([0-9]+(?:\.[0-9]+)?)(?=,|$)"), 1)))
+        density = F.coalesce(F.try_element_at(densities, F.lit(-1)).cast("double"), F.lit(1.0))
+        whole = F.coalesce(F.array_min(sizes) * density, F.lit(float((1 << 53) - 1)))
+        blank = F.exists(c["steps"], lambda s: s.rlike(BLANK))
+        return F.when(c.isNotNull(), F.when(blank, F.lit(-1.0)).otherwise(whole))
+
+    return F.coalesce(let(chain(url), ranked), F.when(F.exists(F.split(urls.path(url), "/"), lambda s: s.rlike(BLANK)) | url.rlike(WIDTH_BLANK), -1.0).otherwise(0.0))
+
+
+def filled_template(url: Column, siblings: Column) -> Column:
+    """An address whose blank transformation takes the chain of the best of the
+    same account's siblings, or is dropped where there is none; null for an
+    address without a chain."""
+
+    def filled(c: Column) -> Column:
+        own = F.filter(F.transform(siblings, lambda s, i: F.struct(rendition_rank(s).alias("rank"), (-i).alias("place"), chain(s).alias("chain"))), lambda x: (x["chain"]["account"] == c["account"]) & (x["rank"] >= 0))
+        best = F.array_max(F.transform(own, lambda x: F.struct(x["rank"], x["place"], x["chain"]["steps"].alias("steps"))))["steps"]
+        steps = F.flatten(F.transform(c["steps"], lambda s: F.when(s.rlike(BLANK), F.coalesce(best, F.array().cast("array<string>"))).otherwise(F.array(s))))
+        return F.concat(c["head"], F.array_join(F.array_append(steps, c["tail"]), "/"))
+
+    return let(chain(url), filled)
 
 
 def full_size(url: Column) -> Column:
     """The address without size parameters and rendition suffix."""
     kept = F.filter(F.split(urls.query(url), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(SIZE_PARAMS))
-    bare = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), RENDITION, "")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), WIDTH_BLANK, ""), RENDITION, "")
     return F.concat(bare, F.when(F.size(kept) == 0, "").otherwise(F.concat(F.lit("?"), F.array_join(kept, "&"))))
 
 

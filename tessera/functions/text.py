@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # Named entities, size suffixes of names, bot-check titles.
 ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "ndash": "–", "mdash": "—", "hellip": "…", "amp": "&"}
 NAME_SIZE = r"(?i)\s+-\s+(?:one\s*size|one|os|xxs|xs|s|m|l|xl|xxl|2xl|3xl|4xl|[0-9]{1,3}(?:\.[0-9])?)$"
@@ -30,14 +32,44 @@ def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\n]+", " "), " ([,.;:!?])", "$1"))
 
 
+# How many JSON-LD blocks go first and how long each may be, the
+# attributes that only style or repeat, and what parts a title from the shop's name.
+MOST_BLOCKS, MOST_BLOCK = 3, 4_000
+LEAST_BUDGET = 1_000
+NEEDLESS = r"class|style|srcset|sizes|data-(?!src(?!set)|original|image|zoom|large|hires|full)[\w-]+|aria-[\w-]+|id|role|tabindex"
+SEPARATOR = r"\s+[|—–·•]\s+|\s+-\s+"
+_JSON_LD = r"(?is)<script\b[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
+
+
 def without_code(html: Column) -> Column:
-    """Without scripts, styles, inline images, comments and attributes that only style."""
-    out = F.regexp_replace(html, "(?is)<(script|style|noscript|svg)[^>]*>.*?</(script|style|noscript|svg)>", "")
-    return F.regexp_replace(F.regexp_replace(out, "(?s)<!--.*?-->", ""), "(?i) (?:class|style|id)=\"[^\"]*\"", "")
+    """Without scripts, styles, inline images, comments, and attributes that
+    only style or repeat; single spaces."""
+    out = F.regexp_replace(html, _JSON_LD, " ")
+    for tag in ("script", "style", "noscript", "svg"):
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
+    out = F.regexp_replace(out, "(?s)<!--.*?-->", " ")
+    out = F.regexp_replace(out, r"(?i)(?:src|href)\s*=\s*([\"'])data:[^\"']*\1", " ")
+    out = F.regexp_replace(out, rf"(?is)\s(?:{NEEDLESS})\s*=\s*([\"']).*?\1", "")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
 def condensed(html: Column, most: int = 90_000) -> Column:
-    return F.substring(F.trim(F.regexp_replace(without_code(html), r"[ \t\r\n]+", " ")), 1, most)
+    """A page as a model would be shown it: the first JSON-LD blocks, then the
+    text and the telling attributes, `most` characters in all."""
+    blocks = F.slice(F.transform(F.regexp_extract_all(html, F.lit(_JSON_LD), 1), lambda b: F.substring(b, 1, MOST_BLOCK)), 1, MOST_BLOCKS)
+    told = F.concat(F.lit("<!-- json-ld -->"), F.array_join(blocks, "\n"), F.lit("\n<!-- /json-ld -->\n"))
+
+    def whole(head: Column) -> Column:
+        return F.concat(head, F.substr(without_code(html), F.lit(1), F.greatest(F.lit(LEAST_BUDGET), most - F.length(head))))
+
+    return let(F.when(F.size(blocks) > 0, told).otherwise(""), whole)
+
+
+def title_suffix(common: Column) -> Column:
+    """What of a shared ending belongs to the shop: from the first separator
+    on; nothing where there is none, or nothing but separators."""
+    cut = F.regexp_substr(common, F.lit(f"(?:{SEPARATOR})[\\s\\S]*$"))
+    return F.when(F.length(F.regexp_replace(F.coalesce(cut, F.lit("")), r"[\s|—–·•-]", "")) > 0, cut).otherwise("")
 
 
 def headings(html: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -105,6 +105,94 @@ def with_retailer(existing: Column, entry: Column) -> Column:
     return F.slice(F.when(F.exists(existing, page), swap(page)).when(F.exists(existing, store), swap(store)).otherwise(F.array_append(existing, entry)), 1, MOST_RETAILERS)
 
 
+def with_other_stores(existing: Column, ours: Column, least: Column, most: Column) -> Column:
+    """struct<retailers, least, most> of a card that is read again at one store
+    while others sell it too: the others' entries stay, each store of ours has
+    one place, the first it held, and the range of prices in dollars takes in
+    the others' (array<struct<url, name, price, currency>>)."""
+
+    def same(r: Column, o: Column) -> Column:
+        named = (F.coalesce(r["name"], F.lit("")) != "") & (F.lower(r["name"]) == F.lower(o["name"]))
+        both = (F.coalesce(r["url"], F.lit("")) != "") & (F.coalesce(o["url"], F.lit("")) != "")
+        return F.coalesce(F.when(both, urls.same_store(r["url"], o["url"])).otherwise(named), F.lit(False))
+
+    ours_at = lambda r: F.array_position(F.transform(ours, lambda o: same(r, o)), True)
+    placed = F.transform(existing, lambda r: F.struct(ours_at(r).alias("at"), r.alias("r")))
+
+    def kept(p: Column) -> Column:
+        others = F.filter(p, lambda x: x["at"] == 0)
+        swapped = F.filter(F.transform(p, lambda x, i: F.when((x["at"] == 0), x["r"]).when(F.forall(F.slice(p, F.lit(1), i), lambda y: y["at"] != x["at"]), F.get(ours, x["at"] - 1))), lambda r: r.isNotNull())
+        held = F.transform(p, lambda x: x["at"])
+        new = F.filter(F.transform(ours, lambda o, i: F.when(~F.array_contains(held, (i + 1).cast("long")), o)), lambda o: o.isNotNull())
+        theirs = F.filter(F.transform(others, lambda x: money.to_usd(x["r"]["price"].cast("double"), F.coalesce(x["r"]["currency"], F.lit("USD")))), lambda v: v > 0)
+        every = F.concat(F.when(least > 0, F.array(least.cast("double"))).otherwise(F.array().cast("array<double>")), theirs)
+        alone = (F.size(others) == 0) | (F.size(every) == 0)
+        return F.struct(
+            F.slice(F.concat(swapped, new), 1, MOST_RETAILERS).alias("retailers"),
+            F.when(alone, least.cast("double")).otherwise(F.array_min(every)).alias("least"),
+            F.when(alone, most.cast("double")).otherwise(F.greatest(most.cast("double"), F.array_max(every))).alias("most"),
+        )
+
+    return let(placed, kept)
+
+
+# Photos below which a model's are asked for.
+THIN_GALLERY = 2
+
+
+def filled_by_model(raw: Column, said: Column, fields: list[str], accepted: Column) -> Column:
+    """struct<fields, images, used>: a record whose gaps a model's answer fills;
+    what the page stated always stays. `accepted` are the model's photos that
+    are frames of the page's own (see photos.gallery): they're added behind
+    them, to a thin gallery only, and never without a photo of the page's."""
+    taken = lambda f: stated(raw[f]).isNull() & stated(said[f]).isNotNull()
+    own = F.coalesce(raw["images"], F.array().cast("array<string>"))
+    more = F.when((F.size(own) > 0) & (F.size(own) < THIN_GALLERY), F.array_except(accepted, own)).otherwise(F.array().cast("array<string>"))
+    used = F.array_compact(F.array(*(F.when(taken(f), f) for f in fields), F.when(F.size(more) > 0, "images")))
+    return F.struct(*(F.coalesce(stated(raw[f]), stated(said[f])).alias(f) for f in fields), F.concat(own, more).alias("images"), used.alias("used"))
+
+
+def own_shop_brands(hosts: DataFrame, brands: DataFrame, host: str, name: str, rank: str) -> DataFrame:
+    """(host, brand) of the hosts that are a known brand's own shop: the first
+    brand by rank whose name is the shop's label. A join on that label."""
+    label = urls.shop_label(F.col(host))
+    shops = hosts.select(host).distinct().filter((F.length(label) >= 3) & ~label.isin(urls.MARKETPLACES)).withColumn("label", label)
+    known = brands.filter(~brand.is_not_a_brand(F.col(name))).select(urls.compact(F.col(name)).alias("label"), F.struct(rank, name).alias("first"))
+    first = known.groupBy("label").agg(F.min("first").alias("first"))
+    return shops.join(first, "label").select(host, F.col(f"first.{name}").alias("brand"))
+
+
+def siblings_by_name(pieces: DataFrame, key: str, same: Callable[[Column, Column], Column]) -> DataFrame:
+    """(a, b): pieces of one name, `same(left, right)` deciding on two structs
+    of pieces (key, brand, name, colours). Two meet where they are of one
+    family, or the brand of one is the other's or its front, and their model
+    words (without one, their whole names) are equal."""
+    word = stated(brand.model_word(F.col("name"), F.col("brand")))
+    kin = F.filter(F.array(brand.maker_key(F.col("brand"))), lambda k: k.startswith("maker:"))
+    keyed = pieces.select(
+        F.col(key).alias("k"), F.struct("brand", "name", "colours").alias("p"),
+        F.coalesce(word, piece.full_key(F.col("name"), F.col("brand"))).alias("word"), brand.fronts(F.col("brand")).alias("fronts"), kin.alias("kin"),
+    ).filter("word <> ''")
+    left = keyed.select(F.col("k").alias("a"), F.col("p").alias("left"), "word", F.explode(F.concat("kin", "fronts")).alias("front"))
+    right = keyed.select(F.col("k").alias("b"), F.col("p").alias("right"), "word", F.explode(F.concat("kin", F.slice("fronts", -1, 1))).alias("front"))
+    pairs = left.join(right, ["word", "front"]).filter(F.col("a") != F.col("b"))
+    return pairs.filter(same(F.col("left"), F.col("right"))).select("a", "b").distinct()
+
+
+def linked_variants(pieces: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """(a, b): pieces of one model: those that a page's colour row leads to
+    (links: key, url), if they are of its family, and those of one name.
+
+    pieces: key, url, brand, name, colours.
+    """
+    by_url = pieces.select(F.col(key).alias("b"), urls.listing_key(F.col("url")).alias("page"), F.struct("brand", "name").alias("right"))
+    asked = links.select(F.col(key).alias("a"), urls.listing_key(F.col("url")).alias("page")).join(pieces.select(F.col(key).alias("a"), F.struct("brand", "name").alias("left")), "a")
+    led = asked.join(by_url, "page").filter(F.col("a") != F.col("b"))
+    kin = brand.agree(F.col("left.brand"), F.col("right.brand")) & piece.same_family(F.col("left.brand"), F.col("left.name"), F.col("right.name"))
+    named = siblings_by_name(pieces, key, lambda x, y: piece.same_piece(x["brand"], x["name"], y["name"], x["colours"], y["colours"]))
+    return led.filter(kin).select("a", "b").union(named).distinct()
+
+
 def best_match(pairs: DataFrame, incoming: str, order: list[Column]) -> DataFrame:
     """The best candidate of each incoming row."""
     return pairs.withColumn("n", F.row_number().over(W.partitionBy(incoming).orderBy(*order))).filter("n = 1").drop("n")

@@ -27,11 +27,12 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("over"), F.sum("value").alias("total"))
 
 
-@R.query("select distinct user_id from events where event_type = 'purchase' and user_id not in (select user_id from events where event_type = 'error' and user_id is not null)")
+@R.query("select distinct user_id, ts::date::varchar as day from events where event_type = 'purchase' and (user_id, ts::date) not in (select (user_id, ts::date) from events where event_type = 'error' and user_id is not null and ts is not null)")
 def event_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What isn't in the set of those seen."""
-    e = table(spark, sf_dir, "events")
-    return e.filter("event_type = 'purchase'").select("user_id").distinct().join(e.filter("event_type = 'error'").select("user_id"), "user_id", "left_anti")
+    """What isn't in the set of those seen, by two keys."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("date").cast("string").alias("day"))
+    seen_ = e.filter("event_type = 'error'").select("user_id", "day").distinct()
+    return e.filter("event_type = 'purchase'").select("user_id", "day").distinct().join(seen_, ["user_id", "day"], "left_anti")
 
 
 @R.query("with g as (select user_id, event_id, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) as gap from events) select user_id, count(gap) as n, min(gap) as least_gap_us from g group by user_id")

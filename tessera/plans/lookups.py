@@ -14,10 +14,11 @@ from .registry import Registry
 R = Registry()
 
 
-@R.query("select o_orderkey, o_orderdate::date::varchar as day from orders order by o_orderdate desc, o_orderkey limit 100")
+@R.query("select o_orderkey, o_orderdate::date::varchar as day from orders")
 def newest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of the newest rows: two columns, sorted, limited."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("day"))
+    """Two columns of a whole table, the newest rows first."""
+    ordered = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey")
+    return ordered.select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("day"))
 
 
 @R.query("select p_partkey, p_name, (select string_agg(b.p_partkey::varchar, ',' order by b.p_partkey) from part b where b.p_brand = part.p_brand and b.p_name = part.p_name) as swatches from part where p_partkey = 5")

@@ -103,11 +103,12 @@ def price_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(spark, sf_dir).select("l_orderkey", "l_linenumber", "text", money.parse_price(t).alias("price"), money.currency_from_text(t).alias("currency"))
 
 
+# A code that touches its amount isn't a word, so 'GBP12,345.67' isn't found.
 # An amount is grouped in threes, so of "12345 000 грн" only the last group counts.
-@R.query(PRICED + "select l_orderkey, l_linenumber, case when l_orderkey % 5 = 4 and c > 999 then '000 грн' else text end as found from t where l_orderkey % 5 <> 3")
+@R.query(PRICED + "select l_orderkey, l_linenumber, case when l_orderkey % 5 = 3 then '' when l_orderkey % 5 = 4 and c > 999 then '000 грн' else text end as found from t")
 def price_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The price inside a rendered text that starts with a size."""
-    t = _written(spark, sf_dir).filter(F.col("l_orderkey") % SHAPES != 3)
+    t = _written(spark, sf_dir)
     return t.select("l_orderkey", "l_linenumber", money.price_in_text(F.concat(F.lit("Size 18\nNow "), F.col("text"), F.lit(" in stock"))).alias("found"))
 
 

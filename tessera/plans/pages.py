@@ -246,13 +246,37 @@ def page_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.label_from_path(F.col("url")).alias("label"))
 
 
-CONDENSED = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|svg)[^>]*>.*?</(script|style|noscript|svg)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), ' (?:class|style|id)=\"[^\"]*\"', '', 'gi'), '[ \\t\\r\\n]+', ' ', 'g'))[1:90000]"
+#: What a shop's page carries besides its text: data in scripts, inline images, attributes that only style.
+NOISE = "<script type=\"application/ld+json\">{\"@type\":\"Product\",\"sku\":\"S{id}\"}</script><script>var a = {id};</script><style>b{}</style><svg><path d=\"M{id}\"/></svg><!-- {id} --><img class=\"c{id}\" data-src=\"p{id}.jpg\" srcset=\"p{id}-2.jpg 2x\" src=\"data:image/gif;base64,R{id}\" aria-label='x {id}' data-track=\"t\">"
+NOISY = "replace('" + NOISE.replace("'", "''") + "', '{id}', page_id::varchar) || html"
+# Each cut is written out, as this dialect has neither back references nor looking ahead.
+CUTS = [
+    r"(?is)<script\b[^>]*type=[\"'']application/ld\+json[\"''][^>]*>.*?</script>",
+    *(rf"(?is)<{t}\b[^>]*>.*?</{t}>" for t in ("script", "style", "noscript", "svg")),
+    r"(?s)<!--.*?-->",
+    r"(?i)(?:src|href)\s*=\s*(?:\"data:[^\"'']*\"|''data:[^\"'']*'')",
+]
+ATTRIBUTES = r"(?is)\s(?:class|style|srcset|sizes|data-track|aria-[\w-]+|id|role|tabindex)\s*=\s*(?:\".*?\"|''.*?'')"
+
+
+def _condensed_sql() -> str:
+    out = "h"
+    for cut in CUTS:
+        out = f"regexp_replace({out}, '{cut}', ' ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({out}, '{ATTRIBUTES}', '', 'g'), '\\s+', ' ', 'g'))"
 
 
-@R.query(f"select page_id, length({CONDENSED}) as n_condensed, regexp_matches(html, '{text.BOT_TITLE}') as bot_check from pages")
+@R.query(
+    f"with p as (select page_id, html, {NOISY} as h from pages), c as (select page_id, html, '<!-- json-ld -->' || regexp_extract(h, '<script type=\"application/ld.json\">(.*?)</script>', 1) || chr(10) || '<!-- /json-ld -->' || chr(10) as head, {_condensed_sql()} as body from p) "
+    + f"select page_id, md5(head || body[1:2000 - length(head)]) as condensed, length(head) + least(length(body), 2000 - length(head)) as n_condensed, regexp_matches(html, '{text.BOT_TITLE}') as bot_check from c"
+)
 def page_condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", F.length(text.condensed(h)).cast("long").alias("n_condensed"), text.bot_check(h).alias("bot_check"))
+    """Pages cut down for a model: their data first, then text without noise;
+    and pages that only ask whether a visitor is human."""
+    noise = F.replace(F.lit(NOISE), F.lit("{id}"), F.col("page_id").cast("string"))
+    short = text.condensed(F.concat(noise, F.col("html")), 2000)
+    rows = table(spark, sf_dir, "pages").select("page_id", short.alias("s"), text.bot_check(F.col("html")).alias("bot_check"))
+    return rows.select("page_id", F.md5("s").alias("condensed"), F.length("s").cast("long").alias("n_condensed"), "bot_check")
 
 
 COUNTRY = "case " + " ".join(f"when {{x}} = '{k}' then '{v}'" for k, v in money.COUNTRY_CURRENCY.items()) + " end"
@@ -293,6 +317,43 @@ def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.allowed(paths, rules)
 
 
+# Hosts with names of even length write one file, others another.
+HOST_RULES = {
+    0: "User-agent: a\nSitemap: /s\nUser-agent: *\nNoindex: /\nDisallow: /en/ # all of it\nAllow: /en/*5$\n\nUser-agent: b\nDisallow: /",
+    1: "User-agent: *\nDisallow: /*2\nAllow: /*/1\nCrawl-delay: 1\nDisallow:\n",
+}
+HOST_RULES_SQL = """case when length(host) % 2 = 0 then not starts_with(path, '/en/') or regexp_matches(path, '^/en/.*5$')
+  else not regexp_matches(path, '^/.*2') or regexp_matches(path, '^/.*/1') end"""
+
+
+@R.query(sql("with p as (select distinct {host} as host, case when {path} = '' then '/' else {path} end as path from pages) select host, path, " + HOST_RULES_SQL + " as allowed from p"))
+def robots_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths under a robots.txt of each host's own."""
+    path = F.when(urls.path(F.col("url")) == "", "/").otherwise(urls.path(F.col("url")))
+    paths = table(spark, sf_dir, "pages").select(urls.store_host(F.col("url")).alias("host"), path.alias("path")).distinct()
+    robots = paths.select("host").distinct().withColumn("robots_txt", F.when(F.length("host") % 2 == 0, HOST_RULES[0]).otherwise(HOST_RULES[1]))
+    return documents.allowed(paths, documents.robots_rules(robots))
+
+
+SITEMAPPED = CLASSIFIED.replace("{source}", "select page_id, url, path_of from (" + SHAPED_SQL + ")")
+
+
+@R.query(SITEMAPPED.replace(" select page_id, refused as non_product", sql(", c as (select page_id, refused, (not refused) and shaped as product from f), h as (select page_id, {host} as host, url from pages) select host, count(*) as n, min(c.page_id) as first_page from c join h using (page_id) where case when c.page_id % 2 = 0 then not refused else product end group by host --")))
+def sitemap_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product pages out of two sitemaps of each store, one of them named after
+    products."""
+    p = _shaped(table(spark, sf_dir, "pages")).withColumn("host", urls.store_host(F.col("url")))
+    # The page's number travels as a parameter, so that no two addresses are one.
+    address = F.concat(F.lit("https://www."), F.col("host"), F.col("path_of"), F.lit("?n="), F.col("page_id").cast("string"))
+    entry = F.concat(F.lit("<loc>"), F.replace(address, F.lit("&"), F.lit("&amp;")), F.lit("</loc>"))
+    named = F.when(F.col("page_id") % 2 == 0, "product-sitemap.xml").otherwise("sitemap.xml")
+    # A sitemap holds 50,000 addresses at most; larger stores have several.
+    maps = p.groupBy("host", named.alias("named"), F.floor(F.col("page_id") / 50_000)).agg(F.concat_ws("", F.collect_list(entry)).alias("xml"))
+    found = documents.sitemap_products(maps.select("host", F.concat(F.lit("https://"), "host", F.lit("/"), "named").alias("url"), "xml"))
+    number = F.regexp_extract("location", r"\?n=([0-9]+)$", 1).cast("long")
+    return found.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.min(number).alias("first_page"))
+
+
 @R.query(
     KEYED
     + sql(""", c as (select *, {path} as path, row_number() over (partition by listing_key order by page_id) as n from keyed), k as (select * from c where n = 1 and """)
@@ -326,9 +387,6 @@ def link_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.groupBy("host", "batch").agg(F.count(F.lit(1)).alias("n_links"), F.min("href").alias("first_link"))
 
 
-SITEMAP = sql("select {host} as host, '<sitemapindex ><sitemap>' || string_agg('<loc>' || replace(url, '&', '&amp;') || '</loc>', '' order by page_id) as xml from pages group by 1")
-
-
 @R.query(sql("with u as (select {host} as host, url from pages) select host, count(*) as n_locations, count(distinct url) as n_distinct, min(url) as first_location from u group by host"))
 def sitemap_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations read back from a sitemap of each store's pages."""
@@ -354,24 +412,24 @@ def sitemap_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     sql(
-        r"""with t as (select {host} as host, list_sort(list_distinct(list(regexp_extract(html, '<title>([^<]*)</title>', 1) || ' | ' || {host}))) as titles from pages group by 1)
-select host, len(titles) as n_titles, case when len(titles) >= 3 then ' | ' || host else '' end as suffix from t"""
+        r"""with t as (select {host} as host, list_sort(list_distinct(list(regexp_extract(html, '<title>([^<]*)</title>', 1) || ' – Shop | ' || {host}))) as titles from pages group by 1)
+select host, len(titles) as n_titles, case when len(titles) >= 3 then ' – Shop | ' || host else '' end as suffix from t"""
     )
 )
 def store_title_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What at least three different titles of a store all end in, from its
-    last separator on."""
+    first separator on."""
     host = urls.store_host(F.col("url"))
-    p = table(spark, sf_dir, "pages").select(host.alias("host"), F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(" | "), host).alias("title"))
+    p = table(spark, sf_dir, "pages").select(host.alias("host"), F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(" – Shop | "), host).alias("title"))
     # What all strings share at the end, the least and the greatest of the
     # reversed ones share at the front, so no store's titles are gathered.
     back = F.reverse("title")
     t = p.groupBy("host").agg(F.countDistinct("title").alias("n_titles"), F.array(F.reverse(F.min(back)), F.reverse(F.max(back))).alias("ends"))
-    cut = F.regexp_extract(text.longest_common_suffix(F.col("ends")), r"( \| [^|]*)$", 1)
+    cut = text.title_suffix(text.longest_common_suffix(F.col("ends")))
     return t.select("host", "n_titles", F.when(F.col("n_titles") >= 3, cut).otherwise("").alias("suffix"))
 
 
-@R.query()
+@R.query("select page_id, 0 as pos, 'piece ' || page_id as name, 'B' as brand, null as url, '4006381333931' as gtin, (page_id % 90 + 10)::varchar as price, 'EUR' as currency, false as in_list from pages union all select page_id, 1, 'other', null, null, null, null, null, true from pages")
 def page_product_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product nodes of JSON-LD put into the pages, walked breadth first."""
     p = table(spark, sf_dir, "pages")
@@ -383,7 +441,8 @@ def page_product_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.product_nodes(p.select("page_id", F.concat("html", block).alias("html")), "page_id", "html")
 
 
-@R.query()
+@R.query(r"""with t as (select page_id, unnest(regexp_extract_all('<meta name="description" content="a &amp; b"><meta name="description" content="second">' || html, '(?is)<meta\s[^>]*>')) as t from pages),
+k as (select page_id, lower(regexp_extract(t, '(?i)(?:property|name|itemprop)=["'']([^"'']+)', 1)) as k from t) select page_id, count(distinct k) as n_tags, 'a & b' as description from k where k <> '' group by page_id""")
 def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Meta tags of each page: how many, and the description."""
     m = table(spark, sf_dir, "pages").select("page_id", text.meta(F.concat(F.lit('<meta name="description" content="a &amp; b"><meta name="description" content="second">'), F.col("html"))).alias("m"))

@@ -19,8 +19,14 @@ def _lexicon(with_field: bool) -> str:
     return "map {" + ", ".join(f"'{w}': '{b}'" for w, b in pairs.items()) + "}"
 
 
+def _sql_map(pairs: dict[str, str]) -> str:
+    return "map {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "}"
+
+
 NAME = "p_name || ' / ' || case p_partkey % 4 when 0 then 'navy and white' when 1 then 'core black' when 2 then 'stone' else 'plain' end"
 
+LAST_WORD = "string_split(" + NAME + ", ' ')[-1]"
+
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(F.col("p_partkey") % 4 == 0, "navy and white").when(F.col("p_partkey") % 4 == 1, "core black").when(F.col("p_partkey") % 4 == 2, "stone").otherwise("plain")
@@ -33,11 +39,11 @@ with w as (select p_partkey, list_filter(list_transform(list_filter(regexp_split
 """
 
 
-@R.query(COLOURED + "select p_partkey, array_to_string(strong, ' ') as colour_words, coalesce(strong[-1], either[-1]) as canonical, coalesce(map {" + ", ".join(f"'{k}': '{v}'" for k, v in colour.HEX.items()) + f"}}[coalesce(strong[-1], either[-1])], '{colour.UNKNOWN_HEX}') as hex from w")
+@R.query(COLOURED + "select p_partkey, array_to_string(strong, ' ') as colour_words, coalesce(strong[-1], either[-1]) as canonical, coalesce(" + _sql_map(colour.HEX) + f"[coalesce(strong[-1], either[-1])], '{colour.UNKNOWN_HEX}') as hex, coalesce(" + _sql_map(colour.NAMED_HEX) + "[" + LAST_WORD + "], " + _sql_map(colour.HEX) + "[" + _lexicon(True) + "[" + LAST_WORD + f"]], '{colour.UNKNOWN_HEX}') as last_hex from w join part using (p_partkey)")
 def part_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour words, the canonical colour and its swatch."""
     label = F.col("label")
-    return _named(spark, sf_dir).select("p_partkey", F.array_join(colour.colour_words(label), " ").alias("colour_words"), colour.canonical(label, True).alias("canonical"), colour.to_hex(label).alias("hex"))
+    return _named(spark, sf_dir).select("p_partkey", F.array_join(colour.colour_words(label), " ").alias("colour_words"), colour.canonical(label, True).alias("canonical"), colour.to_hex(label).alias("hex"), colour.to_hex(F.substring_index(label, " ", -1)).alias("last_hex"))
 
 
 GROUPED = f"""
@@ -126,33 +132,36 @@ def part_duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("node").alias("p_partkey"), "component")
 
 
-PAIRS = "p as (select a.p_partkey as a, b.p_partkey as b, least(a.p_retailprice, b.p_retailprice) / greatest(a.p_retailprice, b.p_retailprice) as score from part a join part b on a.p_brand = b.p_brand and a.p_name = b.p_name and a.p_type = b.p_type and a.p_partkey % 2 = 0 and b.p_partkey % 2 = 1 where greatest(a.p_retailprice, b.p_retailprice) / least(a.p_retailprice, b.p_retailprice) <= 4)"
+PAIRS = "q as (select a.p_partkey as a, b.p_partkey as b, least(a.p_retailprice, b.p_retailprice) / greatest(a.p_retailprice, b.p_retailprice) as score from part a join part b on a.p_brand = b.p_brand and a.p_name = b.p_name and a.p_type = b.p_type and a.p_partkey <> b.p_partkey where greatest(a.p_retailprice, b.p_retailprice) / least(a.p_retailprice, b.p_retailprice) <= 4)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of an even and an odd part of one brand, name and type with agreeing
-    prices, found by a join on those, not by comparing all with all."""
+    """Pairs of parts of one brand, name and type with agreeing prices, each
+    both ways round, found by a join on those, not by comparing all with all."""
     p = table(spark, sf_dir, "part")
     own = ["p_brand", "p_name", "p_type"]
-    a = p.filter("p_partkey % 2 = 0").select(*own, F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("price_a"))
-    b = p.filter("p_partkey % 2 = 1").select(*own, F.col("p_partkey").alias("b"), F.col("p_retailprice").alias("price_b"))
-    return a.join(b, own).filter(money.prices_agree(F.col("price_a"), F.col("price_b"))).withColumn("score", F.least("price_a", "price_b") / F.greatest("price_a", "price_b"))
+    a = p.select(*own, F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("price_a"))
+    b = p.select(*own, F.col("p_partkey").alias("b"), F.col("p_retailprice").alias("price_b"))
+    near = a.join(b, own).filter("a <> b").filter(money.prices_agree(F.col("price_a"), F.col("price_b")))
+    return near.withColumn("score", F.least("price_a", "price_b") / F.greatest("price_a", "price_b"))
 
 
-@R.query("with " + PAIRS + " select a, b, score from p")
+@R.query("with " + PAIRS + " select a, b, score from q where a < b")
 def part_price_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("a", "b", "score")
+    """Two listings that may be one piece, by brand, name, type and price."""
+    return _pairs(spark, sf_dir).filter("a < b").select("a", "b", "score")
 
 
-@R.query("with " + PAIRS + ", x as (select a, b, score, max(score) over (partition by a) as ta, max(score) over (partition by b) as tb from p), ua as (select a from x where score = ta group by a having count(*) = 1), ub as (select b from x where score = tb group by b having count(*) = 1) select a, b from x where score = ta and score = tb and a in (select a from ua) and b in (select b from ub)")
+@R.query("with " + PAIRS + ", x as (select a, b, score, max(score) over (partition by a) as top from q), u as (select a from x where score = top group by a having count(*) = 1), t as (select a, b from x where score = top and a in (select a from u)) select t.a, t.b from t join t r on t.a = r.b and t.b = r.a where t.a < t.b")
 def part_mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue.mutual_best(_pairs(spark, sf_dir), "a", "b", "score")
+    """Parts that are each other's single best; ties choose nobody."""
+    return catalogue.mutual_best(_pairs(spark, sf_dir), "a", "b", "score").filter("a < b")
 
 
-@R.query("with " + PAIRS + " select a, b from p where (a + b) % 5 <> 0")
+@R.query("with " + PAIRS + " select a, b from q where a < b and (a + b) % 5 <> 0")
 def part_pairs_not_dismissed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs less those dismissed, whichever way round they were."""
-    p = _pairs(spark, sf_dir).select("a", "b")
+    p = _pairs(spark, sf_dir).filter("a < b").select("a", "b")
     gone = p.filter("(a + b) % 5 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"))
     return catalogue.without_dismissed(p, gone, "a", "b")
 

@@ -35,15 +35,26 @@ def photo_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", photos.image_key(u).alias("image_key"), photos.is_placeholder(u).alias("placeholder"))
 
 
-@R.query("select p_partkey, 'https://x.com/w_' || p_size * 10 || '/' || p_partkey || '.jpg,https://y.com/a.jpg' as photos, 'https://x.com/a.jpg?v=2' as full_size, (p_size * 10)::bigint as rank from part")
+UPLOADS = "'https://img.x.com/acct/image/upload/'"
+
+
+@R.query(f"""select p_partkey, {UPLOADS} || case when p_size * 10 >= 200 then 'w_' || p_size * 10 || '/v1/' else 'w_200,q_80/' end || p_partkey || '.jpg,https://y.com/a' || p_size || '.jpg' as photos,
+  'https://y.com/' || p_name || '.jpg?v=' || p_size as full_size, (p_size * 10)::double as rank, {UPLOADS} || case when p_size * 10 >= 200 then 'w_' || p_size * 10 else 'w_200,q_80' end || '/' || p_partkey || '.jpg' as filled from part""")
 def photo_renditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of several renditions of a photo the largest, in the order of first
-    appearance; size parameters dropped; the size that an address asks for."""
-    key = F.col("p_partkey").cast("string")
-    ten = F.concat(F.lit("https://x.com/w_"), (F.col("p_size") * 10).cast("string"), F.lit("/"), key, F.lit(".jpg"))
-    many = F.array(ten, F.lit("https://y.com/a_small.jpg"), F.lit("https://y.com/a.jpg"), F.lit("https://z.com/{width}/b.jpg"))
-    best = F.transform(photos.distinct_photos(many), lambda u: F.replace(u, F.lit("a_small"), F.lit("a")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(best, ",").alias("photos"), photos.full_size(F.lit("https://x.com/a_200x.jpg?w=10&v=2&H=3")).alias("full_size"), photos.rendition_rank(ten).alias("rank"))
+    appearance; size parameters dropped; the size that an address asks for; a
+    template filled in from its siblings."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    at = lambda steps, tail: F.concat(F.lit("https://img.x.com/acct/image/upload/"), steps, F.lit("/"), tail, F.lit(".jpg"))
+    ten = at(F.concat(F.lit("w_"), (F.col("p_size") * 10).cast("string")), F.concat(F.lit("v1/"), key))
+    other, blank = at(F.lit("w_200,q_80"), key), at(F.lit("__PARAMS__"), key)
+    many = F.array(blank, ten, F.concat(F.lit("https://y.com/a"), size, F.lit("_small.jpg")), other, F.concat(F.lit("https://y.com/a"), size, F.lit(".jpg")), F.lit("https://z.com/b_{width}x.jpg"))
+    sized = F.concat(F.lit("https://y.com/"), "p_name", F.lit("_200x.jpg?w=10&v="), size, F.lit("&H=3"))
+    best = F.transform(photos.distinct_photos(many), lambda u: F.regexp_replace(u, "_small", ""))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.array_join(best, ",").alias("photos"), photos.full_size(sized).alias("full_size"),
+        photos.rendition_rank(ten).alias("rank"), photos.filled_template(blank, F.array(ten, other)).alias("filled"),
+    )
 
 
 @R.query("select p_partkey, p_partkey % 3 = 0 as frame from part")
@@ -172,7 +183,7 @@ def budgeted_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(
-    """with c as (select a.p_partkey as incoming, b.p_partkey as card, (a.p_type = b.p_type) as fit, abs(a.p_retailprice - b.p_retailprice) as gap from part a join part b on a.p_brand = b.p_brand and a.p_name = b.p_name and a.p_partkey % 2 = 1 and b.p_partkey % 2 = 0),
+    """with c as (select a.p_partkey as incoming, b.p_partkey as card, (a.p_type = b.p_type) as fit, abs(a.p_retailprice - b.p_retailprice) as gap from part a join part b on a.p_brand = b.p_brand and a.p_name = b.p_name and a.p_partkey <> b.p_partkey),
 r as (select *, row_number() over (partition by incoming order by fit desc, gap, card) as n from c) select incoming, card, fit from r where n = 1"""
 )
 def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,9 +191,9 @@ def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked by fit, then price, then age."""
     p = table(spark, sf_dir, "part")
     own = ["p_brand", "p_name"]
-    a = p.filter("p_partkey % 2 = 1").select(*own, F.col("p_partkey").alias("incoming"), F.col("p_type").alias("type_a"), F.col("p_retailprice").alias("price_a"))
-    b = p.filter("p_partkey % 2 = 0").select(*own, F.col("p_partkey").alias("card"), F.col("p_type").alias("type_b"), F.col("p_retailprice").alias("price_b"))
-    pairs = a.join(b, own).withColumn("fit", F.col("type_a") == F.col("type_b")).withColumn("gap", F.abs(F.col("price_a") - F.col("price_b")))
+    a = p.select(*own, F.col("p_partkey").alias("incoming"), F.col("p_type").alias("type_a"), F.col("p_retailprice").alias("price_a"))
+    b = p.select(*own, F.col("p_partkey").alias("card"), F.col("p_type").alias("type_b"), F.col("p_retailprice").alias("price_b"))
+    pairs = a.join(b, own).filter("incoming <> card").withColumn("fit", F.col("type_a") == F.col("type_b")).withColumn("gap", F.abs(F.col("price_a") - F.col("price_b")))
     return records.best_match(pairs, "incoming", [F.desc("fit"), F.col("gap"), F.col("card")]).select("incoming", "card", "fit")
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,35 +29,59 @@ def is_index(xml: Column) -> Column:
     return xml.rlike(r"(?i)<sitemapindex[\s>]")
 
 
+def sitemap_products(sitemaps: DataFrame, host: str = "host", url: str = "url", xml: str = "xml") -> DataFrame:
+    """(host, location) of the product pages that stores' sitemaps list.
+
+    A sitemap that is named after products is believed but for addresses that
+    can't be a product's; in others an address has to look like one. Addresses
+    on other hosts are left out, an index lists no pages, and each page is
+    given once.
+    """
+    maps = sitemaps.filter(~is_index(F.col(xml))).select(F.col(host).alias("host"), urls.names_products(F.col(url)).alias("trusted"), F.explode(locations(F.col(xml))).alias("location"))
+    path = urls.path(F.col("location"))
+    kept = F.when(F.col("trusted"), ~urls.non_product_path(path)).otherwise(urls.product_path(path))
+    own = maps.filter((urls.store_host(F.col("location")) == F.col("host")) & kept)
+    return own.select("host", urls.without_fragment(F.col("location")).alias("location")).distinct()
+
+
 def robots_rules(robots: DataFrame, host: str = "host", text: str = "robots_txt") -> DataFrame:
-    """(host, kind, pattern) rules of the `*` group of each robots.txt.
+    """(host, kind, pattern, regex) rules of the `*` groups of each robots.txt.
 
-    A line belongs to the last user-agent line before it that follows another
-    kind of line, or to the run of user-agent lines that it ends.
+    User-agent lines that follow one another, whatever lines of no group stand
+    between, share the rules after them. A rule without a pattern says nothing,
+    and neither does a text that is a web page. regex holds for the paths that
+    the pattern covers: `*` is any run of characters, `$` at the end is the end,
+    and all else stands for itself.
     """
-    lines = robots.select(F.col(host), F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("n", "raw"))
-    tidy = lines.withColumn("raw", F.trim(F.regexp_replace("raw", "#.*$", ""))).filter(F.col("raw").contains(":"))
+    known = ["user-agent", "allow", "disallow", "crawl-delay"]
+    lines = robots.filter(~F.col(text).rlike(r"^\s*<")).select(F.col(host), F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("n", "raw"))
+    tidy = lines.withColumn("raw", F.trim(F.substring_index("raw", "#", 1))).filter(F.col("raw").contains(":"))
     parts = tidy.select(host, "n", F.lower(F.trim(F.substring_index("raw", ":", 1))).alias("kind"), F.trim(F.regexp_replace("raw", "^[^:]*:", "")).alias("pattern"))
-    from pyspark.sql import Window as W
-
     by = W.partitionBy(host).orderBy("n")
-    agents = parts.withColumn("is_agent", F.col("kind") == "user-agent").withColumn("starts", F.col("is_agent") & ~F.coalesce(F.lag("is_agent").over(by), F.lit(False)))
-    grouped = agents.withColumn("group", F.sum(F.col("starts").cast("int")).over(by))
-    star = grouped.filter((F.col("kind") == "user-agent") & (F.col("pattern") == "*")).select(host, "group").distinct()
-    rules = grouped.filter(F.col("kind").isin("allow", "disallow", "crawl-delay") & (F.col("pattern") != "")).join(star, [host, "group"], "left_semi")
-    return rules.select(host, "kind", "pattern")
+    agents = parts.filter(F.col("kind").isin(known)).withColumn("is_agent", F.col("kind") == "user-agent")
+    starts = F.col("is_agent") & ~F.coalesce(F.lag("is_agent").over(by), F.lit(False))
+    grouped = agents.withColumn("group", F.sum(starts.cast("int")).over(by))
+    star = grouped.filter(F.col("is_agent") & (F.col("pattern") == "*")).select(host, "group").distinct()
+    rules = grouped.filter(~F.col("is_agent") & (F.col("pattern") != "")).join(star, [host, "group"], "left_semi")
+    return rules.select(host, "kind", "pattern", pattern_regex(F.col("pattern")).alias("regex"))
 
 
 def pattern_regex(pattern: Column) -> Column:
     """A robots pattern as a regular expression anchored at the start."""
-    plain = F.regexp_replace(pattern, r"([.\[\]{}()+?^|\\])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(plain, r"\*", ".*"))
+    ends = pattern.endswith("$")
+    body = F.when(ends, F.substr(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(pattern)
+    plain = F.regexp_replace(body, r"([.\[\]{}()+?^$|\\])", r"\\$1")
+    return F.concat(F.lit("^"), F.replace(plain, F.lit("*"), F.lit(".*")), F.when(ends, "$").otherwise(""))
 
 
 def allowed(paths: DataFrame, rules: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
-    """paths with `allowed`: the longest matching rule decides, allow on ties."""
-    hits = paths.join(rules.filter("kind <> 'crawl-delay'").withColumnRenamed(host, "rule_host"), (F.col(host) == F.col("rule_host")) & F.expr(f"{path} rlike concat('^', replace(regexp_replace(pattern, '([.?+^|(){{}}\\\\[\\\\]])', '[$1]'), '*', '.*'))"), "left")
-    best = hits.groupBy(host, path).agg(F.max(F.when(F.col("kind") == "allow", F.length("pattern"))).alias("a"), F.max(F.when(F.col("kind") == "disallow", F.length("pattern"))).alias("d"))
+    """paths with `allowed`: the longest matching rule decides, allow on ties.
+    An empty path is the root."""
+    rules = rules.filter("kind <> 'crawl-delay'").select(F.col(host).alias("rule_host"), "kind", "pattern", "regex")
+    asked = F.when(F.coalesce(F.col(path), F.lit("")) == "", "/").otherwise(F.col(path))
+    hits = paths.join(rules, (F.col(host) == F.col("rule_host")) & F.call_function("rlike", asked, F.col("regex")), "left")
+    longest = lambda kind: F.max(F.when(F.col("kind") == kind, F.length("pattern")))
+    best = hits.groupBy(host, path).agg(longest("allow").alias("a"), longest("disallow").alias("d"))
     return best.select(host, path, (F.coalesce("a", F.lit(0)) >= F.coalesce("d", F.lit(0))).alias("allowed"))
 
 
@@ -69,9 +95,9 @@ def product_nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
     product node in a page's JSON-LD, breadth first; bad JSON is skipped."""
 
     def walk(blocks: list) -> Iterator[tuple[dict, bool]]:
-        queue = [(b, False) for b in blocks]
+        queue = deque((b, False) for b in blocks)
         while queue:
-            node, in_list = queue.pop(0)
+            node, in_list = queue.popleft()
             if isinstance(node, list):
                 queue += [(x, in_list) for x in node]
             elif isinstance(node, dict):
@@ -131,9 +157,9 @@ def product_variants(pages: DataFrame, key: str, html: str) -> DataFrame:
     names = ["key", "pos", "group_name", "brand", "group_id", "color", "size", "gtin", "url", "price", "currency"]
 
     def variants(block) -> Iterator[tuple]:
-        queue = [block]
+        queue = deque([block])
         while queue:
-            node = queue.pop(0)
+            node = queue.popleft()
             if isinstance(node, list):
                 queue += node
             elif isinstance(node, dict):

@@ -11,7 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: the cluster names it in
-    spark.checkpoint.dir; a local session without one gets a folder in /tmp."""
+    spark.checkpoint.dir; a local session without one gets a folder in /tmp,
+    elsewhere that is an error."""
     key = "spark.checkpoint.dir"
     at = spark.sparkContext.getConf().get(key, "") or spark.conf.get(key, "")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (at or "file:///tmp/tessera-shared").rstrip("/")

@@ -27,16 +27,18 @@ def windowed_counts(rows: DataFrame, time: str, late: str, width: str, keys: lis
     return rows.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def counted_stream(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+def counted_stream(spark: SparkSession, path: str, keys: list[str], folder: str | None = None) -> DataFrame:
     """Counts by key of the files at `path`, read as a stream.
 
     The run takes what there is and stops; its checkpoint and result stand in
-    the session's shared folder, so a run that breaks off can be resumed.
+    `folder`, so the same call goes on where a run broke off and adds files that
+    came since. Without a folder a new one in the session's shared folder is
+    taken, and the call starts from nothing.
     """
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*")
+    parent, _, name = path.rpartition("/")
+    at = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{parent}/{name}*")
     out = f"{at}/out"
 
     def put(batch: DataFrame, epoch: int) -> None:

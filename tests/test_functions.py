@@ -119,7 +119,7 @@ def test_streams(spark, tmp_path):
 def test_photos(spark):
     given = ["https://cdn.shopify.com/s/files/1/2/products/a_300x300.jpg?v=1", "https://shop.com/cdn/shop/products/A.jpg", "https://x.com/wp-content/uploads/a-300x200.jpg"]
     assert values(spark, given, photos.image_key) == ["shopify/products/a", "shopify/products/a", "x.com/wp-content/uploads/a"]
-    assert values(spark, ["https://x.com/w_400,h_500/dpr_2/a.jpg", "https://x.com/a.jpg", "https://x.com/{width}/a.jpg"], photos.rendition_rank) == [500, (1 << 53) - 1, -1]
+    assert values(spark, ["https://x.com/w_400,h_500/dpr_2/a.jpg", "https://x.com/a.jpg", "https://x.com/{width}/a.jpg"], photos.rendition_rank) == [0, 0, -1]
     assert values(spark, ["lookbook_01", "dsc00012", "short"], lambda v: photos.numbered_frame(v, F.lit("lookbook_02"))) == [True, False, False]
 
 
@@ -181,3 +181,42 @@ def test_gallery(spark):
     found = [f"https://x.com/i/{n}.jpg" for n in ("lookbook_02", "red-wool-coat", "other", "placeholder")] + ["https://y.com/i/lookbook_03.jpg", "https://x.com/i/lookbook_01_300x300.jpg"]
     got = spark.range(1).select(photos.gallery(F.array(*map(F.lit, found)), trusted, F.lit("Red Wool Coat"))).first()[0]
     assert got == [f"https://x.com/i/{n}.jpg" for n in ("lookbook_01", "lookbook_02", "red-wool-coat")]
+
+
+def test_robots_patterns_stand_for_themselves(spark):
+    specials = ".^$+?()[]{}|\\"
+    robots = "User-agent: x\nSitemap: s\nUser-agent: *\n" + "\n".join(f"Disallow: /a{c}b" for c in specials) + "\nDisallow: /*.php$\nDisallow: /p\nAllow: /p$\n"
+    rules = documents.robots_rules(spark.createDataFrame([("h", robots), ("page", "<html>User-agent: *\nDisallow: /")], "host string, robots_txt string"))
+    paths = [f"/a{c}b/x" for c in specials] + ["/axb", "/ab", "/x.php", "/x.php5", "/xphp", "/p", "/p/1", "", None]
+    asked = spark.createDataFrame([("h", p) for p in paths] + [("page", "/a"), ("none", "/a")], "host string, path string")
+    found = {(r.host, r.path): r.allowed for r in documents.allowed(asked, rules).collect()}
+    assert not any(found["h", f"/a{c}b/x"] for c in specials)
+    assert {p: found["h", p] for p in paths[len(specials):]} == {"/axb": True, "/ab": True, "/x.php": False, "/x.php5": True, "/xphp": True, "/p": True, "/p/1": False, "": True, None: True}
+    assert found["page", "/a"] and found["none", "/a"]
+
+
+def test_chains_of_photos(spark):
+    at = "https://res.x.com/acc/image/upload/"
+    ranks = {f"{at}w_400,h_600/dpr_2.0,f_auto/v12/a.jpg": 1200.0, f"{at}f_auto/a.jpg": float(2**53 - 1), f"{at}__P__/a.jpg": -1.0, "https://x.com/{size}/a.jpg": -1.0, "https://x.com/a.jpg": 0.0, f"{at}w_9": float(2**53 - 1)}
+    assert values(spark, list(ranks), photos.rendition_rank) == list(ranks.values())
+    siblings = F.array(F.lit(f"{at}w_200/v1/b.jpg"), F.lit(f"{at}w_900/c.jpg"), F.lit("https://res.x.com/other/image/upload/w_2000/d.jpg"))
+    assert values(spark, [f"{at}%7Bp%7D/v2/a.jpg", "https://x.com/a.jpg"], lambda u: photos.filled_template(u, siblings)) == [f"{at}w_900/v2/a.jpg", None]
+    assert values(spark, [f"{at}__P__/v2/a.jpg"], lambda u: photos.filled_template(u, F.array().cast("array<string>"))) == [f"{at}v2/a.jpg"]
+
+
+def test_names_of_makers(spark):
+    rows = spark.createDataFrame([("Nike", "Air Max 90", "Jordan", "x"), ("", "Stussy Basic Logo Hoodie", "Stussy", "Hoodie"), ("Acme", "Tee", "", "Other Tee"), ("", "a", "", "a"), ("Carhartt", "x", "Carhartt WIP", "y"), (None, "x", "Off", "y")], "a string, na string, b string, nb string")
+    assert [r[0] for r in rows.select(brand.fits(F.col("a"), F.col("na"), F.col("b"), F.col("nb"))).collect()] == [True, True, False, False, True, False]
+    assert values(spark, ["Air Jordan 1", "Acme", None], brand.maker_names) == [["Air Jordan 1", "nike", "jordan", "air jordan", "nike jordan"], ["Acme"], [None]]
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    from tessera.streaming import seen
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, n int")
+    at, folder = f"{tmp_path}/in.parquet", f"file://{tmp_path}/state"
+    rows.write.parquet(at)
+    first = {r.k: r.n for r in seen.counted_stream(spark, at, ["k"], folder).collect()}
+    rows.limit(1).write.mode("append").parquet(at)
+    assert first == {"a": 2, "b": 1}
+    assert {r.k: r.n for r in seen.counted_stream(spark, at, ["k"], folder).collect()} == {"a": 3, "b": 1}

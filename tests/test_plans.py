@@ -7,6 +7,8 @@ from tessera import plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DATA = "/root/testdata/sf0.001"
+#: Queries for rare rows, of which so small tables hold none.
+MAY_BE_EMPTY = ("page_same_listing", "part_duplicate_components", "order_contains_supplier")
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +27,7 @@ def rows(frame, columns):
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, duck, name):
     found = plans.QUERIES[name](spark, DATA).toPandas()
-    assert len(found) or name in ("event_unseen", "page_same_listing", "part_duplicate_components", "part_price_matches", "part_mutual_best", "part_pairs_not_dismissed", "order_contains_supplier")
+    assert len(found) or name in MAY_BE_EMPTY
     if name in plans.ORACLES:
         want = duck.sql(plans.ORACLES[name]).df()
         columns = sorted(want.columns)
