@@ -25,7 +25,7 @@ class Garment:
     generic: bool = False
 
 
-# Common kinds of garments.
+# Common kinds of garments, of our own choice; a larger dictionary can be passed.
 GARMENTS = (
     Garment("hoodie", "tops", ("hoodie", "hoodies", "hooded sweatshirt")),
     Garment("sweatshirt", "tops", ("sweatshirt", "crewneck")),

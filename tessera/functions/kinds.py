@@ -5,28 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import urls
+from . import garments, urls
 
-# Category rules, the first that matches wins.
+# Category rules, the first that matches wins; Russian stems, asked where no rule matches.
 CATEGORY_RULES = [
     (r"\bdress\s*shirt\b", "shirts"),
     (r"\bpolo\b(?!\s*neck)", "tops"),
-    (r"\b(?:footwear|shoes?|boots?(?!\s*-?cut)|trainers?|sneakers?|sandals?|slides?|loafers?|heels?|pumps?|mules?|slippers?)\b", "footwear"),
-    (r"\b(?:shorts|bermudas?)\b", "shorts"),
-    (r"\b(?:swim(?:wear|suit|ming)?|bikini|beachwear|trunks)\b", "swimwear"),
-    (r"\b(?:jumpsuit|playsuit|dungarees?|overalls?|boilersuit|catsuit|romper|onesie)\b", "jumpsuits"),
-    (r"\b(?:jacket|coat|outerwear|parka|anorak|windbreaker|bomber|trench|puffer|raincoat|overcoat|poncho|cape|gilet)\b", "outerwear"),
-    (r"\b(?:blazer|waistcoat|tuxedo|suit)\b", "blazers"),
-    (r"\b(?:knitwear|knit|sweater|jumper|cardigan|turtleneck|rollneck|pullover)\b", "knitwear"),
-    (r"\b(?:skirt|kilt)\b", "skirts"),
-    (r"\b(?:dress|gown|frock|sundress|kaftan|caftan)\b", "dresses"),
-    (r"\b(?:t[-\s]?shirt|tee|tank|camisole|cami|singlet)\b", "tops"),
-    (r"\b(?:shirt|overshirt|shacket|oxford|flannel|chambray)\b", "shirts"),
-    (r"\b(?:hoodie|sweatshirt|blouse|bodysuit|tunic|bralette|top|vest)\b", "tops"),
-    (r"\b(?:jeans?|denim)\b(?!\s*jacket)", "jeans"),
-    (r"\b(?:trousers?|pants?|chinos?|leggings?|joggers?|culottes?|slacks)\b", "bottoms"),
-    (r"\b(?:bag|backpack|rucksack|handbag|tote|clutch|satchel|holdall|suitcase|briefcase|pouch)\b", "bags"),
-    (r"\b(?:belt|tie|scarf|hats?|caps?|beanie|gloves?|socks?|sunglasses|necklace|ring|bracelet|earrings?|watch|wallet|umbrella)\b", "accessories"),
+    (r"\b(air\s*max|air\s*force|af1|air\s*jordan|jordan\s*\d|nike\s*blazer|\bdunk\b|cortez|vapormax|pegasus|samba|gazelle|superstar|stan\s*smith|ozweego|adilette|ultra\s?boost|nmd|yeezy\s*(?:boost|slide|foam|\d)|new\s*balance\s*\d+|chuck\s*taylor|sk8-?hi|old\s*skool|birkenstock|crocs|uggs?)\b", "footwear"),
+    (r"\b(footwear|shoes?(?!\s*(?:bag|box|tree|horn|care|lace|rack))|boots?(?!\s*-?cut)|trainers?|sneakers?|sandals?|slides?|sliders?|loafers?|heels?|pumps?|espadrilles?|mules?|brogues?|derbys?|plimsolls?|hi-?tops?|high-?tops?|low-?tops?|slippers?|flip-?flops?|clogs?|moccasins?)\b", "footwear"),
+    (r"\b(shorts|bermudas?|(chino|cargo|denim|cycling|running|sweat|board|swim|swimming|beach)\s*shorts?)\b", "shorts"),
+    (r"\b(swim(wear|suit|ming)?|bikini|beachwear|trunks|rash\s*guard)\b", "swimwear"),
+    (r"\b(jumpsuit|playsuit|dungarees?|overalls?|boilersuit|catsuit|romper|onesie)\b", "jumpsuits"),
+    (r"\b(jacket|coat|outerwear|parka|anorak|windbreaker|bomber|trench|puffer|raincoat|overcoat|peacoat|mackintosh|poncho|cape|gilet|(puffer|padded|quilted|down|shell)\s*vest)\b", "outerwear"),
+    (r"\b(blazer|waistcoat|tuxedo|suit)\b", "blazers"),
+    (r"\b(knitwear|knit|sweater|jumper|cardigan|turtleneck|rollneck|roll\s*neck|polo\s*neck|funnel\s*neck|pullover|(sweater|knit)\s*vest)\b", "knitwear"),
+    (r"\b(skirt|kilt)\b", "skirts"),
+    (r"\b(dress|gown|frock|sundress|kaftan|caftan)\b", "dresses"),
+    (r"\b(t[-\s]?shirt|tee|tank(\s*top)?|camisole|cami|singlet|crop\s*top|vest\s*top)\b", "tops"),
+    (r"\b(shirt|overshirt|shacket|oxford|flannel|chambray)\b", "shirts"),
+    (r"\b(hoodie|sweatshirt|blouse|polo|bodysuit|tunic|bralette|\btop\b|vest)\b", "tops"),
+    (r"\bcrew(?:neck)?\b(?!\s*socks?)|\bcrew[-\s]neck\b", "tops"),
+    (r"\b(jeans?|denim)\b(?!\s*jacket)", "jeans"),
+    (r"\b(trousers?|pants?(?!y)|chinos?|leggings?|joggers?|sweatpants?|tracksuit|culottes?|slacks)\b", "bottoms"),
+    (r"\b(bag|backpack|rucksack|handbag|tote|clutch|satchel|holdall|luggage|suitcase|briefcase|crossbody|messenger\s*bag|duffel|pouch)\b", "bags"),
+    (r"\b(belt|tie|bow\s*tie|scarf|scarves|hats?|caps?|beanie|gloves?|mittens?|socks?|sunglasses|jewellery|jewelry|necklace|bracelet|earrings?|watch|wallet|cardholder|purse|umbrella|keyring|headband|bandana|cufflinks?|suspenders?|braces)\b", "accessories"),
+]
+RUSSIAN_RULES = [
+    ("шорт", "shorts"),
+    ("купальник|плавк|купальн|бикини", "swimwear"),
+    ("комбинезон", "jumpsuits"),
+    ("куртк|пальто|плащ|парк|пухов|ветровк|бомбер|тренч|дублёнк|дубленк|шуба|шубы|анорак|пончо|накидк", "outerwear"),
+    ("пиджак|блейзер|смокинг|жакет", "blazers"),
+    ("кофт|свитер|джемпер|кардиган|водолазк|пуловер", "knitwear"),
+    ("юбк", "skirts"),
+    ("плать|сарафан", "dresses"),
+    ("футболк|майк|блузк|худи|свитшот|толстовк|кроп.?топ", "tops"),
+    ("рубашк|сорочк", "shirts"),
+    ("джинс|деним", "jeans"),
+    ("брюк|штан|легинс|лосин|джоггер|чинос", "bottoms"),
+    ("обувь|ботинк|кроссовк|кросс|кеды|туфл|сапог|сандал|лофер|босонож|мокасин|балетк|слайд|\\bугг", "footwear"),
+    ("сумк|рюкзак|клатч|портфель|чемодан|барсетк", "bags"),
+    ("ремень|ремни|галстук|шарф|платок|платк|шапк|кепк|берет|перчатк|варежк|носк|носок|очки|часы|кошел|бабочк|запонк|подтяжк|ободок", "accessories"),
 ]
 # Words that state a gender, and the style vocabulary.
 WOMEN = r"\bwomen\b|\bwomens\b|female|ladies|\bgirl|femme|/women/"
@@ -35,13 +54,19 @@ STYLES = ["minimal", "streetwear", "classic", "sporty", "casual", "formal", "vin
 
 
 def category(text: Column) -> Column:
-    """The category of the first rule that matches; null if none does."""
+    """The category of the first rule that matches, of the Russian ones only
+    where no other does; null if none does."""
     low, out = F.lower(text), F
-    for pattern, name in CATEGORY_RULES:
+    for pattern, name in CATEGORY_RULES + RUSSIAN_RULES:
         out = out.when(low.rlike(pattern), name)
     return out.otherwise(F.lit(None).cast("string"))
 
 
+def piece_category(text: Column) -> Column:
+    """The category of a title: its head noun's, else that of the rules."""
+    return F.coalesce(garments.garment_category(text), category(text))
+
+
 def retail_category(text: Column) -> Column:
     """struct<category, gender> of a shop's category path."""
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from . import text, urls
 from .binding import let
 
-# Microdata fields, words of shops' titles, and terms of styles.
+# Microdata fields and words of shops' titles. Terms of styles, of our own choice.
 FIELDS = ["name", "brand", "description", "image", "price", "priceCurrency", "sku", "gtin13", "color", "material"]
 BOILERPLATE = r"(?i)^(?:buy(?:\s+online)?|shop(?:\s+online)?|online(?:\s+(?:store|shop))?|official(?:\s+(?:site|store))?|free\s+shipping|fast\s+delivery|sale|discounts?|price|best\s+price|new\s+arrivals?)$"
 SEPARATORS = r"\s+[|—–·•]\s+|\s+-\s+"

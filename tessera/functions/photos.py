@@ -15,7 +15,10 @@ SIZE_PARAMS = [
 ]
 RENDITION = r"(?i)_(?:[0-9]{1,5}x[0-9]{0,5}(?:_crop_[a-z]+)?|pico|icon|thumb|small|compact|medium|large|grande|master|original)(?=\.[a-z0-9]+$)"
 FORMATS = r"(?i)(?:\.(?:jpe?g|png|webp|avif))+$"
-NO_PHOTO = r"^(?:missing|default|blank|empty|none|null|undefined|logo)$|(?:^|[-_.])(?:placeholder|no[-_]?(?:image|photo|picture|img)|coming[-_]?soon|missing[-_]?(?:image|photo|picture|product))"
+NO_PHOTO = (
+    r"^(?:missing|default|blank|empty|none|null|undefined|logo|(?:store|site|shop|brand)[-_]?logo|og[-_]?(?:image|default)|social[-_]?(?:share|image)|share[-_]?image|default[-_]?(?:image|og|share|product))$"
+    r"|(?:^|[-_.])(?:placeholder|no[-_]?(?:image|photo|picture|img)|noimage|nophoto|nopicture|image[-_]?(?:not[-_]?)?(?:available|unavailable)|coming[-_]?soon|missing[-_]?(?:image|photo|picture|product))(?:[-_.]|$)"
+)
 CAMERA = r"^(?:dsc|dscf|dscn|img|mg|imag|dji|gopr|pxl|photo|image)?[0-9]+$|^p[0-9]{7}$"
 LEAST_FRAME, MOST_DIFFERING = 8, 2
 # Where an image host keeps uploads, its transformations, and blanks that a page fills in.

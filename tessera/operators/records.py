@@ -55,7 +55,7 @@ def normalized(raw: Column, url: Column) -> Column:
     missing = F.array_compact(F.array(F.when(name == "", "name"), F.when(price <= 0, "price"), F.when(currency == "", "currency")))
     return F.struct(
         name.alias("name"), maker.alias("brand"), price.alias("price"), currency.alias("currency"), money.to_usd(price, currency).alias("price_usd"),
-        F.coalesce(kinds.category(name), F.lit("accessories")).alias("category"), kinds.read_gender(F.concat_ws(" ", name, F.regexp_replace(urls.path(url), "[^A-Za-z]+", " "))).alias("gender"),
+        F.coalesce(kinds.piece_category(name), F.lit("accessories")).alias("category"), kinds.read_gender(F.concat_ws(" ", name, F.regexp_replace(urls.path(url), "[^A-Za-z]+", " "))).alias("gender"),
         shade.alias("color"), codes.gtin(raw["gtin"]).alias("gtin"), missing.alias("missing"),
     )
 

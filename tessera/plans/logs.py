@@ -100,10 +100,19 @@ def document_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@R.query("select doc_id, lang as name, 10.0::double as price, 20.0::double as former_price, 'a.jpg,b.jpg' as images, 'S,M' as sizes, true as available from documents")
+@R.query("""with d as (select doc_id, lang, n_chars % 90 + 10 as a, n_chars % 70 + 20 as b, n_chars % 130 as f, n_chars % 3 as k from documents)
+select doc_id, lang as name, least(a, b)::double as price, case when f > least(a, b) then f::double end as former_price, case when k = 0 then 'a.jpg,b.jpg' else 'b.jpg,a.jpg' end as images, case when k = 1 then 'S' else 'S,M' end as sizes, k = 2 as available from d""")
 def storefront_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A storefront's product JSON as a record."""
-    body = F.concat(F.lit('{"title":"'), F.col("lang"), F.lit('","vendor":"v","images":[{"src":"b.jpg","position":2},{"src":"a.jpg","position":1}],"variants":[{"price":"12.00","compare_at_price":"20.00","option1":"S","available":false},{"price":"10.00","compare_at_price":null,"option1":"M","available":true}]}'))
+    n = F.col("n_chars")
+    written = lambda v: F.concat(F.lit('"'), v.cast("string"), F.lit('.00"'))
+    image = lambda name, place: F.struct(F.lit(name).alias("src"), place.cast("int").alias("position"))
+    body = F.concat(
+        F.lit('{"title":"'), F.col("lang"), F.lit('","vendor":"v","images":'),
+        F.to_json(F.array(image("b.jpg", F.when(n % 3 == 0, 2).otherwise(1)), image("a.jpg", F.when(n % 3 == 0, 1).otherwise(2)))),
+        F.lit(',"variants":[{"price":'), written(n % 90 + 10), F.lit(',"compare_at_price":'), written(n % 130), F.lit(',"option1":"S","available":false},{"price":'),
+        written(n % 70 + 20), F.lit(',"compare_at_price":null,"option1":"'), F.when(n % 3 == 1, "S").otherwise("M"), F.lit('","available":'), F.when(n % 3 == 2, "true").otherwise("false"), F.lit("}]}"),
+    )
     p = table(spark, sf_dir, "documents").select("doc_id", documents.storefront_product(body).alias("p"))
     return p.select("doc_id", "p.name", "p.price", "p.former_price", F.array_join("p.images", ",").alias("images"), F.array_join("p.sizes", ",").alias("sizes"), "p.available")
 

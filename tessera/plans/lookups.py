@@ -37,11 +37,14 @@ def products_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").filter(F.col("p_type") == "PROMO").select("p_partkey", "p_name")
 
 
-@R.query("select event_id, case when event_id % 3 = 2 then 0 else 2 end as n_ids, case when event_id % 3 = 2 then null else 'a' end as first_id from events")
+@R.query("select event_id, case event_id % 3 when 2 then 0 else 1 + (event_id % 2) end::int as n_ids, case event_id % 3 when 0 then event_type when 1 then user_id::varchar end as first_id from events")
 def settings_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of ids in JSON settings; an older name of the key counts where
     the newer is absent, malformed text is empty."""
-    body = _case("event_id", ['{"extraStores":["a","b"],"stores":["x"]}', '{"stores":["a","b"]}', "{bad"])
+    listed = lambda c: F.to_json(F.when(F.col("event_id") % 2 == 0, F.array(c)).otherwise(F.array(c, F.lit("z"))))
+    newer = F.concat(F.lit('{"extraStores":'), listed(F.col("event_type")), F.lit(',"stores":["x"]}'))
+    older = F.concat(F.lit('{"stores":'), listed(F.col("user_id").cast("string")), F.lit("}"))
+    body = F.when(F.col("event_id") % 3 == 0, newer).when(F.col("event_id") % 3 == 1, older).otherwise("{bad")
     s = F.from_json(body, "extraStores array<string>, stores array<string>")
     ids = F.coalesce(s["extraStores"], s["stores"], F.array().cast("array<string>"))
     return table(spark, sf_dir, "events").select("event_id", F.size(ids).alias("n_ids"), F.try_element_at(ids, F.lit(1)).alias("first_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,13 +67,34 @@ def part_dark_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(spark, sf_dir).filter(F.size(groups) > 0).select("p_partkey", colour.is_dark(F.array("label"), groups).alias("dark"))
 
 
-RULES = "case " + " ".join(f"when regexp_matches(n, '{p}') then '{c}'" for p, c in kinds.CATEGORY_RULES if "(?!" not in p) + " end"
+# This dialect can't look ahead: what mustn't follow is taken out with its word first.
+AHEAD = {
+    r"\bpolo\b(?!\s*neck)": r"\bpolo\s*neck",
+    "(?!\\s*-?cut)": r"\bboots?\s*-?cut|\bshoes?\s*(?:bag|box|tree|horn|care|lace|rack)",
+    "(?!\\s*socks?)": r"\bcrew(?:neck)?\s*socks?",
+    "(?!\\s*jacket)": r"\b(?:jeans?|denim)\s*jacket",
+    "(?!y)": r"\bpants?y",
+}
+
+
+def _rule(pattern: str) -> str:
+    text = "n"
+    for shape, gone in AHEAD.items():
+        if shape in pattern:
+            text = f"regexp_replace({text}, '{gone}', ' ', 'g')"
+    return f"regexp_matches({text}, '" + re.sub(r"\(\?!(?:[^()]|\([^()]*\))*\)", "", pattern) + "')"
+
+
+RULES = "case " + " ".join(f"when {_rule(p)} then '{c}'" for p, c in kinds.CATEGORY_RULES + kinds.RUSSIAN_RULES) + " end"
 #: Garments so that the rules have something to match.
-GARMENTS = ["ring", "dress shirt", "swim shorts", "denim jacket", "knit dress", "crew socks", "tote bag", "suit"]
+GARMENTS = [
+    "ring", "dress shirt", "swim shorts", "denim jacket", "knit dress", "crew socks", "tote bag", "suit", "polo", "polo neck", "bootcut jeans", "boots", "shoe bag",
+    "air max 90", "crewneck", "pants", "panty", "Кожаная куртка", "кроссовки", "худи", "платье", "rash guard", "tank top", "jeans jacket vest", "scarf",
+]
 
 
 @R.query(
-    "with g as (select p_partkey, lower(p_name || ' ' || case p_partkey % 8 " + " ".join(f"when {k} then '{g}'" for k, g in enumerate(GARMENTS)) + " end) as n, case p_partkey % 3 when 0 then 'Women > Shoes' when 1 then 'men/tops' else 'Unisex' end as trail from part) "
+    "with g as (select p_partkey, lower(p_name || ' ' || case p_partkey % " + str(len(GARMENTS)) + " " + " ".join(f"when {k} then '{g}'" for k, g in enumerate(GARMENTS)) + " end) as n, case p_partkey % 3 when 0 then 'Women > Shoes' when 1 then 'men/tops' else 'Unisex' end as trail from part) "
     + f"select p_partkey, {RULES} as category, case when regexp_matches(lower(trail), '^(women|girls|ladies|femme|woman)') then 'women' when regexp_matches(lower(trail), '^(men|boys|homme|man\\b)') then 'men' when contains(lower(trail), 'unisex') then 'unisex' end as gender from g"
 )
 def part_category(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,7 +335,12 @@ def colour_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", colour.relation(one(0), one(1)).alias("relation"))
 
 
-@R.query("select distinct p_brand, 'dark' as styles from part")
+STYLE_LIST = "[" + ", ".join(f"'{x}'" for x in kinds.STYLES) + "]"
+
+
+@R.query(f"select p_partkey, array_to_string(list_filter({STYLE_LIST}, lambda x: x = {STYLE_LIST}[p_partkey % {len(kinds.STYLES)} + 1] or x = {STYLE_LIST}[p_size % {len(kinds.STYLES)} + 1]), ',') as styles from part")
 def normal_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Styles kept if known, in the vocabulary's order."""
-    return table(spark, sf_dir, "part").select("p_brand").distinct().select("p_brand", F.array_join(kinds.normal_styles(F.array(F.lit(" Dark "), F.lit("loud"))), ",").alias("styles"))
+    """Styles kept if known, once each, in the vocabulary's order."""
+    style = lambda key: F.element_at(F.array(*map(F.lit, kinds.STYLES)), (F.col(key) % len(kinds.STYLES) + 1).cast("int"))
+    said = F.array(F.upper(style("p_size")), F.col("p_name"), F.concat(F.lit(" "), style("p_partkey")), style("p_size"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(kinds.normal_styles(said), ",").alias("styles"))

@@ -57,10 +57,12 @@ def photo_renditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@R.query("select p_partkey, p_partkey % 3 = 0 as frame from part")
+@R.query("with n as (select p_partkey, lpad((p_partkey % 1000)::varchar, 3, '0') as a, lpad((p_size * 7 % 1000)::varchar, 3, '0') as b, p_size % 5 = 0 as other from part) select p_partkey, not other and (a[1] <> b[1])::int + (a[2] <> b[2])::int + (a[3] <> b[3])::int between 1 and 2 as frame from n")
 def photo_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Photos of one series, told by names that differ in one or two places."""
-    return table(spark, sf_dir, "part").select("p_partkey", photos.numbered_frame(F.lit("lookbook_01"), _case("p_partkey", ["lookbook_02", "lookbook_01", "otherone_99"])).alias("frame"))
+    a = F.concat(F.lit("lookbook_"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"))
+    b = F.concat(F.when(F.col("p_size") % 5 == 0, "longer_lookbook_").otherwise("lookbook_"), F.lpad((F.col("p_size") * 7 % 1000).cast("string"), 3, "0"))
+    return table(spark, sf_dir, "part").select("p_partkey", photos.numbered_frame(a, b).alias("frame"))
 
 
 NAMES = ["Nike Air Max 90 'Core Black' CW2288-111", "Air Max 90 - M", "Men's Detroit Jacket SS24", "Black Detroit Jacket 2024", "Samba OG", "550"]
@@ -161,14 +163,15 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("page_id", "r.name", "r.brand", "r.price", "r.currency", "r.price_usd", "r.category", "r.color", F.array_join("r.missing", ",").alias("missing"), records.needs_model(F.col("r"), F.lit(1)).alias("ask_model"))
 
 
-@R.query("select page_id, 2 as n, case when page_id % 3 = 1 then 9.0 else 5.0 end::double as first_price, case when page_id % 3 = 1 then 2.0 else 9.0 end::double as last_price from pages")
+@R.query("""with s as (select o_orderkey, o_custkey % 7 as fresh, o_custkey % 5 as a, 5 + o_orderkey % 3 as b, o_totalprice as price from orders)
+select o_orderkey, case when fresh in (a, b) then 2 else 3 end as n, case when fresh = a then price else 1.0 end::double as first_price, case when fresh = a then 2.0 when fresh = b then price else 2.0 end::double as second_price from s""")
 def retailer_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An offer put in place of the same page's or store's, or added."""
-    entry = lambda u, p: F.struct(u.alias("url"), F.lit(p).alias("price"))
-    held = F.when(F.col("page_id") % 3 == 2, F.array(entry(F.lit("https://a.com/x"), 5.0))).otherwise(F.array(entry(F.lit("https://a.com/x"), 5.0), entry(F.lit("https://b.com/y"), 2.0)))
-    fresh = F.when(F.col("page_id") % 3 == 0, "http://www.b.com/y/?utm_source=z").when(F.col("page_id") % 3 == 1, "https://a.com/other").otherwise("https://c.com/z")
-    rows = table(spark, sf_dir, "pages").select("page_id", records.with_retailer(held, entry(fresh, 9.0)).alias("r"))
-    return rows.select("page_id", F.size("r").alias("n"), F.col("r")[0]["price"].alias("first_price"), F.col("r")[1]["price"].alias("last_price"))
+    entry = lambda n, page, p: F.struct(F.concat(F.lit("https://s"), n.cast("string"), F.lit(page)).alias("url"), p.cast("double").alias("price"))
+    held = F.array(entry(F.col("o_custkey") % 5, ".com/x", F.lit(1.0)), entry(5 + F.col("o_orderkey") % 3, ".com/y", F.lit(2.0)))
+    fresh = entry(F.col("o_custkey") % 7, ".com/x/?utm_source=z", F.col("o_totalprice"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", records.with_retailer(held, fresh).alias("r"))
+    return rows.select("o_orderkey", F.size("r").alias("n"), F.col("r")[0]["price"].alias("first_price"), F.col("r")[1]["price"].alias("second_price"))
 
 
 @R.query(
@@ -206,19 +209,25 @@ def gender_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_brand").distinct().join(sure, "p_brand", "left").select("p_brand", F.coalesce("gender", F.lit("unisex")).alias("gender"))
 
 
-@R.query("select c_custkey, 'https://shop.com/women' as address, 'Shoes' as label from customer")
+@R.query("select c_custkey, case when c_custkey % 4 = 0 then 'https://shop.com/sale/' || c_nationkey else 'https://shop.com/' || lower(c_mktsegment) end as address, case when c_custkey % 4 = 0 then 'Sale' else c_mktsegment end as label from customer")
 def category_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category links: the shop's own, without tracking, labelled."""
-    links = F.array(F.struct(F.lit("https://shop.com/women?utm_source=a#x").alias("url"), F.lit("Shoes").alias("label")), F.struct(F.lit("https://other.com/w").alias("url"), F.lit("No").alias("label")), F.struct(F.lit("https://shop.com/cart").alias("url"), F.lit("Cart").alias("label")))
+    link = lambda url, label: F.struct(url.alias("url"), label.alias("label"))
+    segment = F.concat(F.when(F.col("c_custkey") % 4 == 0, "https://other.com/").otherwise("https://www.shop.com//"), F.lower("c_mktsegment"), F.lit("/?utm_source="), "c_name", F.lit("#top"))
+    sale = F.concat(F.lit("http://shop.com/sale/"), F.col("c_nationkey").cast("string"))
+    links = F.array(link(F.concat(F.lit("https://shop.com/cart/"), "c_name"), F.lit("Cart")), link(segment, F.col("c_mktsegment")), link(sale, F.lit("Sale")))
     own = F.filter(links, lambda x: urls.same_store(x["url"], F.lit("https://www.shop.com")) & ~urls.non_product_path(urls.path(x["url"])))
     return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://"), urls.listing_key(own[0]["url"])).alias("address"), own[0]["label"].alias("label"))
 
 
-@R.query("select s_suppkey, 'USD' as currency, 4.0::double as least_price, 12.0::double as most_price from supplier")
+@R.query("""with s as (select s_suppkey, case s_suppkey % 4 when 0 then 'GBP' when 1 then 'EUR' when 2 then 'USD' else '' end as currency, (s_suppkey % 9 + 1)::double as a, (s_nationkey + 3)::double as b from supplier)
+select s_suppkey, currency, case when currency <> '' then least(a, b) end as least_price, case when currency <> '' then greatest(a, b) end as most_price from s""")
 def storefront_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A storefront's JSON over what the page said: its price counts only
     where a currency is known."""
-    said = F.struct(F.lit("$4").alias("price"), F.lit(None).cast("string").alias("currency"))
-    offers = F.transform(F.array(F.lit("4.00"), F.lit("12.00")), lambda p: p.cast("double"))
+    key, amount = F.col("s_suppkey") % 4, (F.col("s_suppkey") % 9 + 1).cast("string")
+    price = F.when(key == 1, F.concat(amount, F.lit(" €"))).when(key == 2, F.concat(F.lit("$"), amount)).otherwise(amount)
+    said = F.struct(price.alias("price"), F.when(key == 0, "GBP").otherwise(" ").alias("currency"))
+    offers = F.transform(F.array(F.concat(amount, F.lit(".00")), (F.col("s_nationkey") + 3).cast("string")), lambda p: p.cast("double"))
     currency = F.coalesce(records.stated(said["currency"]), money.currency_from_text(said["price"]))
     return table(spark, sf_dir, "supplier").select("s_suppkey", currency.alias("currency"), F.when(currency != "", F.array_min(offers)).alias("least_price"), F.when(currency != "", F.array_max(offers)).alias("most_price"))
