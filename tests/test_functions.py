@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import brand, codes, colour, garments, kinds, markup, money, photos, piece, text, urls
-from tessera.operators import catalogue, records, sinks
+from tessera.operators import catalogue, matching, records, sinks
 from tessera.sources import documents
 from tessera.streaming import seen
 
@@ -220,3 +220,86 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
     rows.limit(1).write.mode("append").parquet(at)
     assert first == {"a": 2, "b": 1}
     assert {r.k: r.n for r in seen.counted_stream(spark, at, ["k"], folder).collect()} == {"a": 3, "b": 1}
+
+
+def piece_pair(spark, brands, a, b, cat_a=None, cat_b=None, strict=False, colours_a=(), colours_b=()):
+    shades = lambda c: F.array(*map(F.lit, c)).cast("array<string>")
+    same = piece.same_piece([F.lit(x) for x in brands], F.lit(a), F.lit(b), shades(colours_a), shades(colours_b), F.lit(cat_a), F.lit(cat_b), strict)
+    return spark.range(1).select(same).first()[0]
+
+
+def test_pieces_by_category_spelling_and_strictness(spark):
+    pair = lambda *a, **k: piece_pair(spark, *a, **k)
+    assert pair(["etnies"], "Emerson", "Etnies Shoes Emerson", "footwear", "footwear")
+    assert not pair(["etnies"], "Emerson", "Etnies Shoes Emerson", "footwear", "accessories")
+    assert not pair(["adidas"], "Classic", "Classic Shoes", "footwear", "footwear")
+    assert not pair(["Nike"], "Windrunner Hoodie", "Windrunner Skirt", "tops", "skirts")
+    assert pair(["Carhartt WIP", "Carhartt"], "Carhartt WIP Detroit Jacket Black Rinsed", "Detroit Jacket", "outerwear", "outerwear", colours_a=["Black (rinsed)"])
+    assert pair(["Nike", "Jordan"], "Nike Air Jordan 1 Retro High OG", "Jordan 1 Retro High OG")
+    assert pair(["adidas"], "Samba OG Shoes", "adidas Samba OG 'Cloud White Core Black'", colours_a=["Cloud White / Core Black / Gum"])
+    assert pair([""], "Air Max 90", "Air Max 90") is False
+    assert pair(["Nike"], "Air Max 90", "Air Max 90", strict=True) and not pair(["Nike"], "Classic Logo Tee", "Classic Logo Tee", strict=True)
+    assert pair(["New Balance"], "9060", "New Balance 9060 U9060EEB NEW") and not pair(["New Balance"], "9060", "9060", strict=True)
+    assert not pair(["Nike"], "2024", "2024")
+
+
+CARD = "card int, pos int, url string, retailers array<struct<name:string,url:string>>, brand string, name string, colours array<string>, category string, price double, part_number string"
+PAGE = "page int, url string, store string, brand string, name string, colours array<string>, stated boolean, category string, price double, codes array<string>, links_only boolean"
+
+
+def cards_of(spark, *rows):
+    made = [(n, n, r.get("url", f"https://first.com/p/{n}"), r.get("retailers"), r.get("brand"), r["name"], r.get("colours"), r.get("category"), r.get("price"), r.get("mpn")) for n, r in enumerate(rows)]
+    return spark.createDataFrame(made, CARD)
+
+
+def pages_of(spark, *rows):
+    made = [
+        (n, r.get("url", f"https://second.com/q/{n}"), r.get("store"), r.get("brand"), r["name"], r.get("colours"), r.get("stated"), r.get("category"), r.get("price"), r.get("codes"), r.get("links_only"))
+        for n, r in enumerate(rows)
+    ]
+    return spark.createDataFrame(made, PAGE)
+
+
+def test_same_items(spark):
+    cards = cards_of(
+        spark,
+        dict(brand="Nike", name="Nike Air Force 1 '07", colours=["White"], price=115.0),
+        dict(brand="adidas", name="Samba OG Shoes", colours=["Cloud White / Core Black / Gum"]),
+        dict(brand="New Balance", name="New Balance 9060", colours=["Grey"]),
+        dict(brand="Jordan", name="Air Jordan 1 Retro High OG", colours=["Black/White"]),
+        dict(brand=None, name="Bullet Hole Jeans", colours=["Blue"], category="jeans", price=500.0),
+        dict(brand="Levi's", name="Levi's 501 Original Jeans", colours=["Blue"], category="jeans"),
+        dict(brand="Acme", name="Yori Text Zip-up (Grey/Black)", retailers=[("Shop", "https://shop.com/a")]),
+        dict(brand="Acme", name="Renamed", retailers=[("Shop", "https://shop.com/b")]),
+        dict(brand="Zed", name="Nuvola Quartz Parka", colours=["Black"]),
+        dict(brand="Zed", name="Nuvola Quartz Parka", colours=["Red"], retailers=[("Second", "https://second.com/x")]),
+    )
+    want = {
+        0: (dict(brand="Nike", name="Кросівки чоловічі Nike Air Force 1 '07 CW2288-111", colours=["White"], price=110.0), 0, "colour"),
+        1: (dict(brand="adidas", name="adidas Samba OG 'Cloud White Core Black'", colours=["White"]), 1, "colour"),
+        2: (dict(brand="New Balance", name="New Balance 9060 U9060EEB NEW", colours=["Grey"]), 2, "colour"),
+        3: (dict(brand="Nike", name="Nike Air Jordan 1 Retro High OG", colours=["White/Black"]), 3, "colour"),
+        4: (dict(brand="Mowalola", name="Mowalola Bullet Hole Jeans", colours=["Blue"], category="jeans", price=520.0), 4, "colour"),
+        5: (dict(brand="Mowalola", name="Mowalola Bullet Hole Jeans", colours=["Blue"], category="jeans", price=5200.0), None, "price"),
+        6: (dict(brand="Levis", name="Levis 501 Original Jeans", colours=["Blue"], category="jeans"), 5, "colour"),
+        7: (dict(brand="Acme", name="Yori Text Zip-up (Black/White)", url="https://shop.com/a?utm_source=x"), None, "other variant"),
+        8: (dict(brand="Acme", name="Yori Text Zip-up (grey/black)"), 6, "variant"),
+        9: (dict(brand="Other", name="Anything", url="https://www.shop.com/b/"), 7, "page"),
+        10: (dict(brand="Zed", name="Nuvola Quartz Parka", colours=["Red"]), 9, "colour"),
+        11: (dict(brand="Zed", name="Nuvola Quartz Parka", colours=["Green"]), None, "other colour"),
+        12: (dict(brand="Zed", name="Nuvola Quartz Parka"), 8, "model"),
+        13: (dict(brand="Zed", name="Nuvola Quartz Parka", colours=["Red"], stated=False, store="second"), 8, "model"),
+        14: (dict(brand=None, name="Something Else"), None, "no brand"),
+        15: (dict(brand="Zed", name="Something Else"), None, "no card"),
+        16: (dict(brand="Zed", name="Nuvola Quartz Parka", url=None), None, "no address"),
+        17: (dict(brand=None, name=None, url="https://second.com/q/17"), None, "no brand"),
+    }
+    found = {r.page: (r.card, r.how, r.stale) for r in matching.same_items(pages_of(spark, *(p for p, _, _ in want.values())), cards, "page", "card").collect()}
+    assert found == {n: (card, how, int(n == 7)) for n, (_, card, how) in want.items()}
+    assert matching.same_items(pages_of(spark, want[0][0]), cards.limit(0), "page", "card").first().how == "no card"
+
+
+def test_a_link_takes_the_one_card_of_its_name(spark):
+    cards = cards_of(spark, dict(brand="Zed", name="Nuvola Quartz Parka", colours=["Black"]))
+    pages = pages_of(spark, *(dict(brand="Zed", name="Nuvola Quartz Parka", colours=["Red"], links_only=x) for x in (True, False)))
+    assert {r.page: (r.card, r.how) for r in matching.same_items(pages, cards, "page", "card").collect()} == {0: (0, "link"), 1: (None, "other colour")}
