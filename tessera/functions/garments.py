@@ -1,13 +1,18 @@
 """Garments in names, by their head noun.
 
-A dictionary lists kinds with a category and terms. Of the terms in a name the
-last one before "with" decides, the longest of those at one place; weak terms
-(fabrics and cuts) count only where nothing else is named. A larger dictionary
-can be passed wherever one is taken.
+A dictionary lists kinds with a category and terms, the most specific first.
+Of the terms in a name the last one before "with" decides, in a name with
+Cyrillic terms the first one; the longest of those at one place. Where that is
+a generic kind, the most specific kind of its category in the name is taken.
+Weak terms (fabrics and cuts) count only where nothing else is named. A larger
+dictionary can be passed wherever one is taken; it becomes one constant of the
+plan, so thousands of terms cost no more planning than a few.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -18,6 +23,10 @@ from .binding import let
 
 @dataclass(frozen=True)
 class Garment:
+    """Terms are lower-case words: Latin ones stand whole, the last with or
+    without a plural's ending; each Cyrillic word is the front of one, or one
+    as a whole with a "!" behind it. A "~" in front makes a term weak."""
+
     kind: str
     category: str
     terms: tuple[str, ...]
@@ -27,48 +36,116 @@ class Garment:
 
 # Common kinds of garments, of our own choice; a larger dictionary can be passed.
 GARMENTS = (
-    Garment("hoodie", "tops", ("hoodie", "hoodies", "hooded sweatshirt")),
-    Garment("sweatshirt", "tops", ("sweatshirt", "crewneck")),
-    Garment("t-shirt", "tops", ("t shirt", "tee", "tees")),
-    Garment("polo", "tops", ("polo shirt", "polo")),
-    Garment("shirt", "shirts", ("shirt", "shirts", "overshirt"), generic=True),
-    Garment("sweater", "knitwear", ("sweater", "jumper", "pullover")),
-    Garment("cardigan", "knitwear", ("cardigan",)),
-    Garment("jacket", "outerwear", ("jacket", "jackets"), generic=True),
-    Garment("bomber", "outerwear", ("bomber", "bomber jacket")),
-    Garment("parka", "outerwear", ("parka",)),
-    Garment("coat", "outerwear", ("coat", "overcoat"), generic=True),
-    Garment("blazer", "blazers", ("blazer", "suit jacket")),
-    Garment("dress", "dresses", ("dress", "gown")),
-    Garment("skirt", "skirts", ("skirt",)),
-    Garment("jeans", "jeans", ("jeans",)),
-    Garment("trousers", "bottoms", ("trousers", "pants", "chinos")),
-    Garment("shorts", "shorts", ("shorts",)),
-    Garment("sneakers", "footwear", ("sneakers", "trainers")),
-    Garment("boots", "footwear", ("boots", "boot")),
-    Garment("bag", "bags", ("bag", "tote")),
-    Garment("ring", "accessories", ("ring",)),
-    Garment("denim", "jeans", ("denim",), weak=True),
-    Garment("knit", "knitwear", ("knit",), weak=True),
+    Garment("hoodie", "tops", ("hoodie", "hooded sweatshirt", "худи")),
+    Garment("sweatshirt", "tops", ("sweatshirt", "crewneck", "свитшот", "світшот")),
+    Garment("longsleeve", "tops", ("longsleeve", "long sleeve tee", "лонгслив", "лонгслів")),
+    Garment("t-shirt", "tops", ("t shirt", "tee", "футболк")),
+    Garment("polo", "tops", ("polo shirt", "polo", "поло!")),
+    Garment("tank", "tops", ("tank top", "майка!", "майки!")),
+    Garment("blouse", "tops", ("blouse", "блуз")),
+    Garment("shirt", "shirts", ("shirt", "overshirt", "рубашк", "сорочк"), generic=True),
+    Garment("cardigan", "knitwear", ("cardigan", "кардиган", "кардіган")),
+    Garment("turtleneck", "knitwear", ("turtleneck", "roll neck", "водолазк")),
+    Garment("sweater", "knitwear", ("sweater", "jumper", "pullover", "свитер", "светр", "джемпер")),
+    Garment("bomber", "outerwear", ("bomber", "bomber jacket", "flight jacket", "бомбер")),
+    Garment("parka", "outerwear", ("parka", "парка!", "парки!", "парку!")),
+    Garment("puffer", "outerwear", ("puffer", "puffer jacket", "down jacket", "пуховик")),
+    Garment("raincoat", "outerwear", ("raincoat", "rain jacket", "дождевик", "дощовик")),
+    Garment("windbreaker", "outerwear", ("windbreaker", "ветровк", "вітровк")),
+    Garment("gilet", "outerwear", ("gilet", "жилет")),
+    Garment("jacket", "outerwear", ("jacket", "куртк"), generic=True),
+    Garment("trench", "outerwear", ("trench coat", "trench", "тренч")),
+    Garment("coat", "outerwear", ("coat", "overcoat", "пальто!"), generic=True),
+    Garment("blazer", "blazers", ("blazer", "suit jacket", "пиджак", "піджак")),
+    Garment("dress", "dresses", ("dress", "gown", "плать", "сукн")),
+    Garment("skirt", "skirts", ("skirt", "юбк", "спідниц")),
+    Garment("jeans", "jeans", ("jeans", "джинсы!", "джинси!")),
+    Garment("joggers", "bottoms", ("joggers", "джоггер")),
+    Garment("trousers", "bottoms", ("trousers", "pants", "chinos", "брюк", "штан")),
+    Garment("shorts", "shorts", ("shorts", "шорт")),
+    Garment("loafers", "footwear", ("loafer", "лофер")),
+    Garment("sandals", "footwear", ("sandal", "сандал")),
+    Garment("sneakers", "footwear", ("sneaker", "trainer", "кроссовк", "кросівк")),
+    Garment("boots", "footwear", ("boot", "ботинк", "черевик")),
+    Garment("shoes", "footwear", ("shoe", "обувь!", "взуття!")),
+    Garment("backpack", "bags", ("backpack", "рюкзак")),
+    Garment("bag", "bags", ("bag", "tote", "сумк")),
+    Garment("cap", "accessories", ("cap", "кепк")),
+    Garment("beanie", "accessories", ("beanie", "шапк")),
+    Garment("scarf", "accessories", ("scarf", "scarves", "шарф")),
+    Garment("belt", "accessories", ("belt", "ремень!", "пояс!")),
+    Garment("ring", "accessories", ("ring", "кольц")),
+    Garment("denim", "jeans", ("denim", "деним"), weak=True),
+    Garment("knit", "knitwear", ("knit", "вязан"), weak=True),
 )
+# Words behind which a title lists what comes with the piece.
+ATTACHED = " (?:with|w|featuring|feat|incl|including|plus) "
+FIELDS = {"rank": "int", "kind": "string", "category": "string", "generic": "boolean", "strong": "boolean", "length": "int", "spelled": "string", "mirrored": "string", "stems": "string"}
+ROW = f"array<struct<{','.join(f'{f}:{t}' for f, t in FIELDS.items())}>>"
+
+
+def _spellings(term: str) -> Iterator[dict[str, str]]:
+    """How a term is looked for: whole words, read from the right as well, or
+    for Cyrillic ones an expression of stems."""
+    if re.search("[а-яёіїєґ]", term):
+        yield {"stems": "".join(f" {w[:-1]}" if w.endswith("!") else rf" {w}\p{{L}}*" for w in term.split(" ")) + " "}
+    else:
+        for ending in ("", "s", "es"):
+            yield {"spelled": f" {term}{ending} ", "mirrored": f" {term}{ending} "[::-1]}
+
+
+def _table(garments: tuple[Garment, ...]) -> Column:
+    rows = [
+        {"rank": n, "kind": g.kind, "category": g.category, "generic": g.generic, "strong": not (g.weak or term.startswith("~")), "length": len(term.strip("~")), **spelling}
+        for n, g in enumerate(garments)
+        for term in g.terms
+        for spelling in _spellings(term.strip("~"))
+    ]
+    # A split of a literal, unlike parsed JSON, is worked out once, by the optimizer.
+    column = lambda f: F.split(F.lit("|".join(str(r.get(f, "")) for r in rows)), "[|]")
+    return F.arrays_zip(*map(column, FIELDS)).cast(ROW)
+
+
+def _last(text: Column, g: Column) -> Column:
+    """Where a term ends last in a text; 0 if it isn't there."""
+    return F.when(F.contains(text, g["spelled"]), F.length(text) - F.call_function("instr", F.reverse(text), g["mirrored"])).otherwise(0)
 
 
 def garment(text: Column, garments: tuple[Garment, ...] = GARMENTS) -> Column:
     """struct<kind, category, generic, strong> of the head noun; null if no
     term occurs."""
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    head = F.concat(F.substring_index(plain, " with ", 1), F.lit(" "))
-
-    def found(spelled: Column) -> Column:
-        hits = [
-            F.struct((F.lit(not g.weak)).alias("strong"), (F.length(spelled) - F.instr(F.reverse(spelled), f" {term} "[::-1])).alias("end"), F.lit(len(term)).alias("length"), F.lit(g.kind).alias("kind"), F.lit(g.category).alias("category"), F.lit(g.generic).alias("generic"), F.contains(spelled, F.lit(f" {term} ")).alias("hit"))
-            for g in garments
-            for term in g.terms
-        ]
-        best = F.array_max(F.filter(F.array(*hits), lambda h: h["hit"]))
-        return F.when(best.isNotNull(), F.struct(best["kind"].alias("kind"), best["category"].alias("category"), best["generic"].alias("generic"), best["strong"].alias("strong")))
-
-    return let(head, found)
+    facts = F.struct(plain.alias("all"), F.concat(F.split(plain, ATTACHED, 2)[0], F.lit(" ")).alias("front"), plain.rlike(r"\p{IsCyrillic}").alias("cyrillic"))
+
+    def hits(t: Column) -> Column:
+        placed = F.transform(
+            _table(garments),
+            lambda g: F.struct(
+                F.when((g["spelled"] != ""), _last(t["all"], g)).otherwise(0).alias("end"),
+                F.when((g["spelled"] != ""), _last(t["front"], g)).otherwise(0).alias("end_in_front"),
+                F.when((g["stems"] != "") & t["cyrillic"], F.regexp_instr(t["all"], g["stems"])).otherwise(0).alias("start"),
+                g.alias("g"),
+            ),
+        )
+        return F.filter(placed, lambda h: (h["end"] > 0) | (h["start"] > 0))
+
+    def head(pool: Column) -> Column:
+        best = lambda keep, place: F.array_max(F.transform(F.filter(pool, keep), lambda h: F.struct(place(h).alias("at"), h["g"]["length"].alias("length"), (-h["g"]["rank"]).alias("back"), h["g"].alias("g"))))["g"]
+        by_stem = best(lambda h: h["start"] > 0, lambda h: -h["start"])
+        return F.coalesce(by_stem, best(lambda h: h["end_in_front"] > 0, lambda h: h["end_in_front"]), best(lambda h: h["end"] > 0, lambda h: h["end"]))
+
+    def named(v: Column) -> Column:
+        alike = F.filter(v["pool"], lambda h: h["g"]["category"] == v["head"]["category"])
+        first = F.array_min(F.transform(alike, lambda h: F.struct(h["g"]["rank"].alias("rank"), (-h["g"]["length"]).alias("length"), h["g"].alias("g"))))["g"]
+        told = lambda g: F.struct(g["kind"].alias("kind"), g["category"].alias("category"), g["generic"].alias("generic"), g["strong"].alias("strong"))
+        return F.when(v["head"].isNotNull(), told(F.when(v["head"]["generic"], first).otherwise(v["head"])))
+
+    def found(every: Column) -> Column:
+        strong = F.filter(every, lambda h: h["g"]["strong"])
+        pool = F.when(F.size(strong) > 0, strong).otherwise(every)
+        return let(pool, lambda p: let(F.struct(p.alias("pool"), head(p).alias("head")), named))
+
+    return let(facts, lambda t: let(hits(t), found))
 
 
 def garment_category(text: Column, garments: tuple[Garment, ...] = GARMENTS) -> Column:
@@ -81,12 +158,13 @@ def garment_label(text: Column, tree: Column, garments: tuple[Garment, ...] = GA
     head noun's kind or one of its terms, in any number and spelling, and is
     filed under the kind's category; null if there is none."""
     key = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
-    plain = lambda c: F.regexp_replace(key(c), "e?s$", "")
+    plural = lambda a, b: (a == F.concat(b, F.lit("s"))) | (a == F.concat(b, F.lit("es")))
+    alike = lambda a, b: (a == b) | plural(a, b) | plural(b, a)
     called = F.create_map(*[x for g in garments for x in (F.lit(g.kind), F.array(*(F.lit(t) for t in dict.fromkeys((g.kind, *g.terms)))))])
     labels = F.map_entries(tree)
 
     def found(g: Column) -> Column:
-        fit = lambda wanted: F.filter(labels, lambda e: (plain(e["key"]) == plain(wanted)) & (e["value"] == g["category"]))
+        fit = lambda wanted: F.filter(labels, lambda e: alike(key(e["key"]), key(wanted)) & (e["value"] == g["category"]))
         each = F.transform(F.try_element_at(called, g["kind"]), lambda wanted: F.try_element_at(fit(wanted), F.lit(1))["key"])
         return F.try_element_at(F.filter(each, lambda x: x.isNotNull()), F.lit(1))
 

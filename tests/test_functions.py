@@ -222,25 +222,39 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
     assert {r.k: r.n for r in seen.counted_stream(spark, at, ["k"], folder).collect()} == {"a": 3, "b": 1}
 
 
-def piece_pair(spark, brands, a, b, cat_a=None, cat_b=None, strict=False, colours_a=(), colours_b=()):
-    shades = lambda c: F.array(*map(F.lit, c)).cast("array<string>")
-    same = piece.same_piece([F.lit(x) for x in brands], F.lit(a), F.lit(b), shades(colours_a), shades(colours_b), F.lit(cat_a), F.lit(cat_b), strict)
-    return spark.range(1).select(same).first()[0]
-
-
 def test_pieces_by_category_spelling_and_strictness(spark):
-    pair = lambda *a, **k: piece_pair(spark, *a, **k)
-    assert pair(["etnies"], "Emerson", "Etnies Shoes Emerson", "footwear", "footwear")
-    assert not pair(["etnies"], "Emerson", "Etnies Shoes Emerson", "footwear", "accessories")
-    assert not pair(["adidas"], "Classic", "Classic Shoes", "footwear", "footwear")
-    assert not pair(["Nike"], "Windrunner Hoodie", "Windrunner Skirt", "tops", "skirts")
-    assert pair(["Carhartt WIP", "Carhartt"], "Carhartt WIP Detroit Jacket Black Rinsed", "Detroit Jacket", "outerwear", "outerwear", colours_a=["Black (rinsed)"])
-    assert pair(["Nike", "Jordan"], "Nike Air Jordan 1 Retro High OG", "Jordan 1 Retro High OG")
-    assert pair(["adidas"], "Samba OG Shoes", "adidas Samba OG 'Cloud White Core Black'", colours_a=["Cloud White / Core Black / Gum"])
-    assert pair([""], "Air Max 90", "Air Max 90") is False
-    assert pair(["Nike"], "Air Max 90", "Air Max 90", strict=True) and not pair(["Nike"], "Classic Logo Tee", "Classic Logo Tee", strict=True)
-    assert pair(["New Balance"], "9060", "New Balance 9060 U9060EEB NEW") and not pair(["New Balance"], "9060", "9060", strict=True)
-    assert not pair(["Nike"], "2024", "2024")
+    cases = [
+        (["etnies"], "Emerson", "Etnies Shoes Emerson", "footwear", "footwear", [], False, True),
+        (["etnies"], "Emerson", "Etnies Shoes Emerson", "footwear", "accessories", [], False, False),
+        (["adidas"], "Classic", "Classic Shoes", "footwear", "footwear", [], False, False),
+        (["Nike"], "Windrunner Hoodie", "Windrunner Skirt", "tops", "skirts", [], False, False),
+        (["Carhartt WIP", "Carhartt"], "Carhartt WIP Detroit Jacket Black Rinsed", "Detroit Jacket", "outerwear", "outerwear", ["Black (rinsed)"], False, True),
+        (["Nike", "Jordan"], "Nike Air Jordan 1 Retro High OG", "Jordan 1 Retro High OG", None, None, [], False, True),
+        (["adidas"], "Samba OG Shoes", "adidas Samba OG 'Cloud White Core Black'", None, None, ["Cloud White / Core Black / Gum"], False, True),
+        ([""], "Air Max 90", "Air Max 90", None, None, [], False, False),
+        (["Nike"], "Air Max 90", "Air Max 90", None, None, [], True, True),
+        (["Nike"], "Classic Logo Tee", "Classic Logo Tee", None, None, [], True, False),
+        (["New Balance"], "9060", "New Balance 9060 U9060EEB NEW", None, None, [], False, True),
+        (["New Balance"], "9060", "9060", None, None, [], True, False),
+        (["Nike"], "2024", "2024", None, None, [], False, False),
+        (["Nike"], None, None, None, None, [], False, False),
+    ]
+    rows = [(n, makers[0], makers[-1], *rest) for n, (makers, *rest) in enumerate(cases)]
+    d = spark.createDataFrame(rows, "n int, maker string, other string, a string, b string, cat_a string, cat_b string, colours array<string>, strict boolean, want boolean")
+    c, none = F.col, F.array().cast("array<string>")
+    same = piece.same_piece([c("maker"), c("other")], c("a"), c("b"), c("colours"), none, c("cat_a"), c("cat_b"), c("strict"))
+    assert [r.n for r in d.select("n", "want", same.alias("same")).collect() if r.same is not r.want] == []
+
+
+def test_garments_by_head_and_script(spark):
+    kinds_ = {
+        "Reversible Bomber Nylon Jacket": "bomber", "Belt Scarf": "scarf", "Skater Jeans/Shorts with Belt Keychain": "shorts", "With Scarf": "scarf",
+        "Куртка-бомбер": "bomber", "Платье-рубашка": "dress", "Паркет": None, "Парка зимняя": "parka", "Knit Dresses": "dress", "Brushes": None,
+    }
+    assert values(spark, list(kinds_), lambda v: garments.garment(v)["kind"]) == list(kinds_.values())
+    many = tuple(garments.Garment(f"kind{n}", "tops", (f"~term{n}", f"стем{n} слов!")) for n in range(3000))
+    found = values(spark, ["A Term2999 term7", "стем12а слов", "стем12а слово"], lambda v: F.to_json(garments.garment(v, many)))
+    assert found == ['{"kind":"kind2999","category":"tops","generic":false,"strong":false}'.replace("2999", "7"), '{"kind":"kind12","category":"tops","generic":false,"strong":true}', None]
 
 
 CARD = "card int, pos int, url string, retailers array<struct<name:string,url:string>>, brand string, name string, colours array<string>, category string, price double, part_number string"
