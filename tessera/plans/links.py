@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import brand, colour, garments, kinds, piece
-from ..operators import catalogue, records
+from ..operators import catalogue, matching, records
 from ..sources.tables import table
 from .orders import RATE, _code, _sql_code
 from .records import _case, _sql_case
@@ -187,3 +187,36 @@ def page_genders(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(F.col("p_partkey") % 2 == 0, "for women; he is a man").otherwise("cut for women")
     found = kinds.gender_from_page(name, F.concat(F.lit("https://shop-men.com/"), place, F.lit("/x")), crumbs, said)
     return table(spark, sf_dir, "part").select("p_partkey", found.alias("f")).select("p_partkey", "f.gender", "f.source")
+
+
+@R.query(
+    """with m as (select p_partkey as id, p_partkey // 4 as model, p_brand, p_size, p_retailprice as price, p_partkey % 3 as shop, case p_partkey % 4 when 0 then 'Black' when 1 then 'White' when 2 then 'Red' end as shade from part),
+g as (select id, model, case when p_size % 5 <> 0 then p_brand end as maker, price * case when p_size % 7 = 0 then 10 else 1 end as price, p_size % 4 as shop, case p_size % 3 when 0 then 'Black' when 1 then 'Red' end as shade, p_size % 11 = 0 as moved from m),
+j as (select g.id as page, m.id as card, maker is null as bare, maker is not null or greatest(g.price, m.price) <= 4 * least(g.price, m.price) as priced, m.shop = g.shop as own,
+  g.shade is not null as told, case when m.shade is null then 1 when m.shade = g.shade then 4 else 0 end as fit from g join m on m.model = g.model and (maker is null or maker = m.p_brand)),
+b as (select page, count(*) as n, count(*) filter (priced) as near, min(card) filter (priced and not own) as other, arg_max(card, (fit, not own, -card)) filter (priced and fit > 0 and (not own or fit = 4)) as best from j group by page)
+select id as page, coalesce(case when moved then id when shade is null then other else best end, -1) as card,
+  case when moved then 'page' when near = 0 then 'price' when shade is null and other is not null then 'model' when best is not null and shade is not null then 'colour' when other is null then 'own store' else 'other colour' end as how, 0 as stale from g left join b on page = id"""
+)
+def same_item_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The card that a page of another store is a listing of, by address, maker,
+    name, price and colour (-1: none), and why there is none."""
+    p = table(spark, sf_dir, "part")
+    spelled = F.translate(F.lpad(F.floor(F.col("p_partkey") / 4).cast("string"), 7, "0"), "0123456789", "abcdefghij")
+    name = F.concat(F.lit("z"), spelled, F.lit(" y"), spelled, F.lit(" jacket"))
+    shades = lambda c: F.when(c.isNotNull(), F.array(c))
+    no_text, key = F.lit(None).cast("string"), F.col("p_partkey")
+    card_url = F.concat(F.lit("https://s"), (key % 3).cast("string"), F.lit(".com/c"), key.cast("string"))
+    page_url = F.concat(F.lit("https://www.s"), (F.col("p_size") % 4).cast("string"), F.lit(".com/p"), key.cast("string"))
+    cards = p.select(
+        key.alias("card"), key.alias("pos"), card_url.alias("url"), F.lit(None).cast("array<struct<name:string,url:string>>").alias("retailers"), F.col("p_brand").alias("brand"), name.alias("name"),
+        shades(F.when(key % 4 == 0, "Black").when(key % 4 == 1, "White").when(key % 4 == 2, "Red")).alias("colours"), no_text.alias("category"), F.col("p_retailprice").alias("price"), no_text.alias("part_number"),
+    )
+    size = F.col("p_size")
+    maker = F.when(size % 5 != 0, F.col("p_brand"))
+    pages = p.select(
+        key.alias("page"), F.when(size % 11 == 0, F.concat(card_url, F.lit("/?utm_source=x"))).otherwise(page_url).alias("url"), no_text.alias("store"), maker.alias("brand"),
+        F.concat_ws(" ", F.when(size % 2 == 0, maker), name).alias("name"), shades(F.when(size % 3 == 0, "black").when(size % 3 == 1, "red")).alias("colours"), F.lit(True).alias("stated"),
+        no_text.alias("category"), (F.col("p_retailprice") * F.when(size % 7 == 0, 10).otherwise(1)).alias("price"), F.lit(None).cast("array<string>").alias("codes"), F.lit(False).alias("links_only"),
+    )
+    return matching.same_items(pages, cards, "page", "card").withColumn("card", F.coalesce("card", F.lit(-1).cast("long")))
