@@ -9,8 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, decontaminate, langid, near_dedup, quality_rules, secret_scan, suffix_dedup, token_counts, token_files
+from . import bpe_codec, chat_format, decontaminate, exact_dedup, langid, near_dedup, periodic_runs, quality_rules, secret_scan, suffix_dedup
+from . import token_counts, token_files, vector_codes
 from .tables import shared_folder, table
+from .words import words
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +121,64 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents of equal text, the one that stays, and a digest of
+    each text. Null texts are empty and form a group; of repeated rows one
+    stays; a null doc_id comes last; an empty table gives no rows."""
+    found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), digest="text_sha256")
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all sound embeddings by codebooks fitted to them, and their
+    errors. Null and non-finite vectors are left out; equal labels, and nulls
+    together, share an error; repeated rows are coded each; an empty table gives
+    no rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.fit(vectors)
+    coded = vector_codes.encode(vectors, books, carry=("label",))
+    found = vector_codes.with_group_error(coded, "label", "label_error")
+    digest = F.sha2(F.lit(",".join(map(str, books.listed()))), 256)
+    return found.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def _planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents, by a hash of their key, get a
+    tail that repeats itself, as op13's contract has it. Null keys and texts
+    without words stay as they are."""
+    hashed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    chosen = hashed.withColumn("w", F.when(F.col("h") % 10 == 0, words(F.col("text"))))
+    sized = chosen.withColumns({"n": F.size("w"), "g": F.floor(F.col("h") / 10)})
+    placed = sized.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    placed = placed.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    tail = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", source(i).cast("int")))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in all documents, after a tenth of them got a
+    repeating tail; the run that repeats most, and digests of all runs and of
+    the collapsed text. Null and empty texts have no runs and nulls for the
+    best; repeated rows and empty tables pass through; texts are read whole."""
+    found = periodic_runs.find_runs(_planted(table(spark, sf_dir, "documents")))
+    # Ratios are compared as products; an equal one that comes later doesn't win.
+    more = lambda best, r: r["length"] * best["period"] > best["length"] * r["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(more(b, r), r).otherwise(b))
+    line = lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_codec": op2_bpe_codec,
@@ -130,6 +190,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 # All pairs with a common shingle, then labels spread along links.
@@ -233,9 +296,55 @@ with c as (
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from told
 """
 
+OP11_SQL = """
+with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+  doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
+from d
+"""
+
+# One round assigns every part by comparing it with all entries of its position,
+# and takes the floored means.
+_OP12_ASSIGNED = """
+  select vec_id, part, x, arg_min(entry, (d, entry)) as entry, min(d) as d
+  from (select p.vec_id, p.part, p.x, b.entry, list_sum(list_transform(list_zip(p.x, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+    from parts p join {books} b using (part))
+  group by vec_id, part, x
+"""
+_OP12_UPDATED = """
+  select b.part, b.entry, case when count(s.position) = 0 then any_value(b.y) else list(s.mean order by s.position) end as y
+  from {books} b left join (
+    select part, entry, position, (sum(v) - (sum(v) % count(*) + count(*)) % count(*)) // count(*) as mean
+    from (select part, entry, unnest(range(1, len(x) + 1)) as position, unnest(x) as v from {assigned}) group by part, entry, position
+  ) s using (part, entry) group by b.part, b.entry
+"""
+OP12_SQL = f"""
+with v as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(256 * x)::bigint) as c from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), parts as (
+  select vec_id, part, c[part * (len(c) // 16) + 1:(part + 1) * (len(c) // 16)] as x from v, range(16) as r(part)
+), seeds as (
+  select vec_id, row_number() over (order by vec_id) - 1 as entry from v order by vec_id limit 64
+), books0 as (select part, entry, x as y from parts join seeds using (vec_id)
+), assigned0 as ({_OP12_ASSIGNED.format(books="books0")}
+), books1 as ({_OP12_UPDATED.format(books="books0", assigned="assigned0")}
+), assigned1 as ({_OP12_ASSIGNED.format(books="books1")}
+), books2 as ({_OP12_UPDATED.format(books="books1", assigned="assigned1")}
+), assigned2 as ({_OP12_ASSIGNED.format(books="books2")}
+), coded as (
+  select vec_id, string_agg(printf('%02x', entry), '' order by part) as code, sum(d)::bigint as error from assigned2 group by vec_id
+), told as (
+  select sha256(string_agg(array_to_string(y, ','), ',' order by part, entry)) as codebooks_sha256 from books2
+)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded join v using (vec_id), told
+"""
+
 ORACLES: dict[str, str] = {
     "op3_near_dedup": OP3_SQL,
     "op4_decontamination": OP4_SQL,
     "op8_quality_rules": OP8_SQL,
     "op10_chat_format": OP10_SQL,
+    "op11_exact_dedup": OP11_SQL,
+    "op12_vector_codes": OP12_SQL,
 }

@@ -49,3 +49,29 @@ def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
     """`df`, marked for broadcasting if it has few enough rows; a larger one is
     left to be shuffled."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+#: Groups that are broadcast as hot, at most; smaller ones need this many rows.
+HOT_GROUPS = 100_000
+HOT_ROWS = 1_000
+
+
+def joined_to_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, spread: str) -> DataFrame:
+    """`rows` left-joined with `groups`, one row for each value of `on` (which
+    isn't null) with its number of rows in `size`.
+
+    No value gathers its rows in one task: groups that hold at least HOT_ROWS
+    rows and one in HOT_GROUPS of all rows, at most HOT_GROUPS of them, are
+    broadcast, and their rows are dealt out by `spread` in the shuffle that
+    joins the rest.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) >= max(HOT_ROWS, -(-total // HOT_GROUPS))
+    carried = [c for c in groups.columns if c != on]
+    packed = groups.select(F.col(on).alias("group_on"), F.struct(*carried).alias("group"), is_hot.alias("is_hot"))
+    hot = packed.filter("is_hot").select(F.col("group_on").alias("hot_on"), F.col("group").alias("hot"))
+    cold = packed.filter("not is_hot").select("group_on", "group", F.lit(0).alias("group_salt"))
+    marked = rows.join(F.broadcast(hot), F.col(on) == F.col("hot_on"), "left")
+    marked = marked.withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 16))).cast("int"))
+    joined = marked.join(cold, (F.col(on) == F.col("group_on")) & (F.col("salt") == F.col("group_salt")), "left")
+    return joined.select(*(F.col(c) for c in rows.columns), *(F.coalesce(F.col("hot")[c], F.col("group")[c]).alias(c) for c in carried))
