@@ -27,18 +27,20 @@ REPEAT_PERCENT = 30
 #: Ratio: the rank of its lower quantile (and, from above, of the upper one),
 #: then (distances of that quantile from the median, least distance from it)
 #: at which a document counts as an outlier, upwards and downwards. The
-#: sketches decide but for groups without any spread. Repeated lines are absent
-#: from most documents, so that their quartiles only widen the least distance.
+#: sketches decide but for groups without any spread.
 RATIOS = {
     "plain_share": (0.25, None, (12.0, 0.02)),
-    "dup_line_share": (0.25, (12.0, 0.5), None),
+    "dup_line_share": (0.25, (3.0, 0.0), None),
     "mean_word": (0.1, (5.0, 0.25), (5.0, 0.25)),
 }
+#: Ratios that are zero for most documents: their sketches take the others, so
+#: that a document is compared with those that have any.
+SPARSE = ("dup_line_share",)
 #: Share of its language's spread that a group's is taken for at least, so that
 #: a group of copies, which has none, doesn't drop all other documents.
 LEAST_SPREAD = 0.5
-#: Base-passing documents that a language and source need for thresholds of
-#: their own; with fewer, those of the language as a whole hold.
+#: Base-passing documents that a language and source need in a ratio's sketch
+#: for thresholds of their own; with fewer, those of the language as a whole hold.
 LEAST_GROUP = 50
 #: Inverse of the sketches' rank error.
 ACCURACY = 10_000
@@ -102,10 +104,12 @@ def _ratios(measured: DataFrame) -> DataFrame:
 
 
 def quantiles(measured: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """The quantiles of each group's ratios, by sketches, and its size."""
+    """The quantiles of each group's ratios, by sketches, and how many documents
+    each is taken of."""
     points = lambda low: F.array(F.lit(low), F.lit(0.5), F.lit(1 - low))
-    sketches = [F.percentile_approx(r, points(low), F.lit(ACCURACY)).alias(r) for r, (low, _, _) in RATIOS.items()]
-    return measured.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sketches)
+    taken = {r: F.when(F.col(r) > 0, F.col(r)) if r in SPARSE else F.col(r) for r in RATIOS}
+    sketches = [F.percentile_approx(taken[r], points(low), F.lit(ACCURACY)).alias(r) for r, (low, _, _) in RATIOS.items()]
+    return measured.groupBy(*by).agg(*(F.count(taken[r]).alias(f"n_{r}") for r in RATIOS), *sketches)
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
@@ -116,7 +120,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
     both = own.join(whole, F.col("lang").eqNullSafe(F.col("of")), "left")
     bounds: list[Column] = []
     for r, (_, *sides) in RATIOS.items():
-        low, mid, high = (F.when(F.col("n") >= LEAST_GROUP, F.col(r)[k]).otherwise(F.col(f"whole_{r}")[k]) for k in range(3))
+        low, mid, high = (F.when(F.col(f"n_{r}") >= LEAST_GROUP, F.col(r)[k]).otherwise(F.col(f"whole_{r}")[k]) for k in range(3))
         whole_low, whole_mid, whole_high = (F.col(f"whole_{r}")[k] for k in range(3))
         spreads = (high - mid, LEAST_SPREAD * (whole_high - whole_mid)), (mid - low, LEAST_SPREAD * (whole_mid - whole_low))
         for name, sign, side, (spread, least) in zip(("most", "least"), (1, -1), sides, spreads, strict=True):

@@ -260,17 +260,18 @@ with w as (
 ), r as (
   select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, (word_chars - n_marks) / greatest(word_chars, 1) as s, n_dup_lines / greatest(n_lines, 1) as d, word_chars / greatest(n_words, 1) as c from m
 ), own as (
-  select lang, source, count(*) as n, quantile_disc(s, [0.25, 0.5, 0.75]) as s, quantile_disc(d, [0.25, 0.5, 0.75]) as d, quantile_disc(c, [0.1, 0.5, 0.9]) as c from r where not base_failed group by lang, source
+  select lang, source, count(*) as n, count(*) filter (where d > 0) as nd, quantile_disc(s, [0.25, 0.5, 0.75]) as s,
+    quantile_disc(d, [0.25, 0.5, 0.75]) filter (where d > 0) as d, quantile_disc(c, [0.1, 0.5, 0.9]) as c from r where not base_failed group by lang, source
 ), whole as (
-  select lang, quantile_disc(s, [0.25, 0.5, 0.75]) as s, quantile_disc(d, [0.25, 0.5, 0.75]) as d, quantile_disc(c, [0.1, 0.5, 0.9]) as c from r where not base_failed group by lang
+  select lang, quantile_disc(s, [0.25, 0.5, 0.75]) as s, quantile_disc(d, [0.25, 0.5, 0.75]) filter (where d > 0) as d, quantile_disc(c, [0.1, 0.5, 0.9]) as c from r where not base_failed group by lang
 ), q as (
   select own.lang, own.source, whole.s as ws, whole.d as wd, whole.c as wc,
-    case when n >= 50 then own.s else whole.s end as qs, case when n >= 50 then own.d else whole.d end as qd, case when n >= 50 then own.c else whole.c end as qc
+    case when n >= 50 then own.s else whole.s end as qs, case when nd >= 50 then own.d else whole.d end as qd, case when n >= 50 then own.c else whole.c end as qc
   from own join whole on own.lang is not distinct from whole.lang
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not coalesce(s < qs[2] - greatest(12 * greatest(qs[2] - qs[1], 0.5 * (ws[2] - ws[1])), 0.02)
-    or d > qd[2] + greatest(12 * greatest(qd[3] - qd[2], 0.5 * (wd[3] - wd[2])), 0.5)
+    or d > qd[2] + 3 * greatest(qd[3] - qd[2], 0.5 * (wd[3] - wd[2]))
     or c > qc[2] + greatest(5 * greatest(qc[3] - qc[2], 0.5 * (wc[3] - wc[2])), 0.25)
     or c < qc[2] - greatest(5 * greatest(qc[2] - qc[1], 0.5 * (wc[2] - wc[1])), 0.25), false) as kept
 from r left join q on r.lang is not distinct from q.lang and r.source is not distinct from q.source

@@ -53,8 +53,10 @@ SLICE_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 19
 #: Occurrences from which a gram's strings are dealt out one by one.
 HOT = 200_000
-#: Bytes of text for each bucket of anchors, which is what a task holds.
+#: Bytes of text for each bucket of anchors, which is what a task holds, and the
+#: least while there are cores without a bucket.
 BUCKET_BYTES = 16 << 20
+LEAST_BUCKET_BYTES = 1 << 20
 MOST_TASKS = 20_000
 
 _LEAST_PARTS = "spark.sql.files.minPartitionNum"
@@ -444,7 +446,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buc
     The texts are read three times and have to come in the same portions each
     time. Files do; anything else is first written to the shared folder
     (`settle`). `buckets` are the shares of the anchors that are sorted at
-    once, by default one for each BUCKET_BYTES of text; `slice_bytes` of text
+    once, by default one for each BUCKET_BYTES of text, or for each core; `slice_bytes` of text
     are handled together, and a gram of more than `hot` units is dealt out
     string by string.
     """
@@ -454,7 +456,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buc
         source = settled(source, "texts")
     if not buckets:
         size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = -(-max(size, 1) // BUCKET_BYTES)
+        cores = spark.sparkContext.defaultParallelism
+        buckets = max(1, -(-size // BUCKET_BYTES), min(cores, size // LEAST_BUCKET_BYTES))
     if spark.conf.get(_LEAST_PARTS, None) is None:
         # Else the portions of small files follow the number of cores, which
         # changes when executors come and go.

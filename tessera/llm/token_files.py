@@ -53,8 +53,10 @@ HAS_CHECKSUMS = 0x80
 
 #: Plain bytes after which a frame is closed.
 FRAME_BYTES = 1 << 20
-#: Bytes of text, and of 64 for each document, that a task encodes; tasks at most.
+#: Bytes of text, and of 64 for each document, that a task encodes at most, and
+#: at least while there are cores without a task; tasks at most.
 TASK_BYTES = 64 << 20
+LEAST_TASK_BYTES = 2 << 20
 MOST_TASKS = 20_000
 #: Plain bytes and documents after which a shard is closed.
 SHARD_BYTES = 256 << 20
@@ -323,6 +325,12 @@ def put_in_place(store: fs.FileSystem, trial: str, final: str) -> None:
         store.move(trial, final)
 
 
+def shares(size: int, most: int, least: int, cores: int) -> int:
+    """How many tasks `size` bytes are dealt to: `most` bytes each, but as many
+    as there are cores while each gets `least` bytes."""
+    return max(1, min(MOST_TASKS, max(-(-size // most), min(cores, size // least))))
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 1, key: str = "doc_id", text: str = "text", tasks: int | None = None, shard_docs: int = SHARD_DOCS) -> list[Shard]:
     """Encode all rows and write them to `folder` in ascending key order.
 
@@ -330,7 +338,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     however many, don't have to meet in one task; rows of one key are ordered
     by that hash and then by text, null keys come first, and a null text is
     empty. `end_id` is appended to each document. There are as many tasks as
-    the size of the texts asks for, and a task closes its shard and begins
+    the size of the texts asks for, or the cores (`shares`), and a task closes its shard and begins
     another when that is large (SHARD_BYTES, `shard_docs`), so that no index grows without bound. A shard
     is written under a name of its own attempt and then moved, so a task that
     runs again or twice leaves whole files only. The driver gets one row per
@@ -343,7 +351,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     if not tasks:
         size = source.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64)).first()[0] or 0
-        tasks = min(MOST_TASKS, -(-max(size, 1) // TASK_BYTES))
+        tasks = shares(size, TASK_BYTES, LEAST_TASK_BYTES, spark.sparkContext.defaultParallelism)
     dealt = source.withColumn("tie", F.xxhash64("text")).repartitionByRange(tasks, "key", "tie").sortWithinPartitions("key", "tie", "text").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

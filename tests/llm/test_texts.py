@@ -137,6 +137,24 @@ def test_thresholds_follow_the_group(spark):
     assert bounds["marked"] < bounds["plain"]
 
 
+def test_bounds_of_all_ratios_follow_the_group(spark):
+    # Two sources that differ in repeated lines and length of words.
+    def page(k, repeats, letters):
+        lines = [f"{'abcdefghij'[:letters]}{k}x{j} some more words" for j in range(10)]
+        return "\n".join(lines + lines[: k % repeats])
+
+    rows = [(k, page(k, 3, 2), "en", "few") for k in range(120)] + [(200 + k, page(k, 9, 4 + k % 3), "en", "many") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    rated = quality_rules._ratios(quality_rules.measures(docs).withColumn("base_failed", F.lit(False)))
+    bounds = {r.of_source: r for r in quality_rules.thresholds(rated).collect()}
+    for name in ("most_dup_line_share", "most_mean_word", "least_mean_word"):
+        assert bounds["few"][name] != bounds["many"][name]
+    assert bounds["few"].most_dup_line_share < bounds["many"].most_dup_line_share
+    # Nobody repeats a line: there is nothing to compare with, and no bound.
+    clean = rated.filter("dup_line_share = 0")
+    assert {r.most_dup_line_share for r in quality_rules.thresholds(clean).collect()} == {None}
+
+
 def brute_language(model_rows, texts):
     """Multinomial naive Bayes, one gram at a time, over the same buckets."""
     import math

@@ -196,3 +196,9 @@ def test_digests_of_the_query(spark):
     ids = TIKTOKEN.encode_ordinary(text)
     assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_shares_of_text():
+    mega = 1 << 20
+    shares = lambda size, cores: token_files.shares(size, 64 * mega, 4 * mega, cores)
+    assert [shares(0, 8), shares(3 * mega, 8), shares(25 * mega, 8), shares(25 * mega, 2), shares(6400 * mega, 8)] == [1, 1, 6, 2, 100]
