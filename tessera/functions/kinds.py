@@ -68,10 +68,11 @@ def piece_category(text: Column) -> Column:
 
 
 def retail_category(text: Column) -> Column:
-    """struct<category, gender> of a shop's category path."""
+    """struct<category, gender> of a shop's category path: the head noun's
+    category, else that of the rules, else accessories."""
     low = F.lower(F.coalesce(text, F.lit("")))
     who = F.when(low.rlike("^(women|girls|ladies|femme|woman)"), "women").when(low.rlike(r"^(men|boys|homme|man\b)"), "men").when(low.contains("unisex"), "unisex")
-    return F.struct(F.coalesce(category(low), F.lit("accessories")).alias("category"), who.alias("gender"))
+    return F.struct(F.coalesce(piece_category(low), F.lit("accessories")).alias("category"), who.alias("gender"))
 
 
 def gender(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import brand, colour, garments, kinds, piece
+from ..functions import brand, colour, kinds, piece
 from ..operators import catalogue, matching, records
 from ..sources.tables import table
 from .orders import RATE, _code, _sql_code
@@ -148,19 +148,6 @@ def model_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "f.name", "f.brand", F.array_join("f.used", ",").alias("used"), F.size("f.images").alias("n_images"))
 
 
-TITLES = [t for g in garments.GARMENTS if not g.weak for t in g.terms]
-TREE = {"Hoodies": "tops", "T-Shirts": "tops", "Skirts": "skirts", "Boot": "footwear", "Rings": "bags", "Bags": "bags", "Tote": "bags", "Jumpers": "knitwear"}
-LABELLED = [next((x for t in dict.fromkeys((g.kind, *g.terms)) for x, c in TREE.items() if c == g.category and x.lower().replace("-", "").removesuffix("s") == t.replace(" ", "").replace("-", "").removesuffix("s")), None) for g in garments.GARMENTS if not g.weak for _ in g.terms]
-
-
-@R.query(f"select p_partkey, {_sql_case('p_partkey', LABELLED)} as label from part")
-def garment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tree's label of a title's garment."""
-    title = F.concat_ws(" ", "p_brand", _case("p_partkey", TITLES), F.lit("with"), "p_name")
-    tree = F.create_map(*[F.lit(x) for pair in TREE.items() for x in pair])
-    return table(spark, sf_dir, "part").select("p_partkey", garments.garment_label(title, tree).alias("label"))
-
-
 SHADES = list(colour.STRONG)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import colour, garments, kinds
+from ..functions import colour, kinds
 from ..operators import catalogue, sinks
 from ..sources.tables import table
 from .records import _case, _sql_case
@@ -66,18 +66,6 @@ def name_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select("r_regionkey", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("logos"))
 
 
-HEADS = ["Pullover Hoodie", "Knit Dress", "Suit Jacket", "Boots with Denim Bag", "Raw Denim", "Nothing"]
-KINDS = ["hoodie", "dress", "blazer", "boots", "denim", None]
-STRONG = ["tops", "dresses", "blazers", "footwear", None, None]
-
-
-@R.query(f"select p_partkey, {_sql_case('p_partkey', KINDS)} as kind, {_sql_case('p_partkey', STRONG)} as category, p_partkey % 6 in (1, 2, 3, 4) as conflict from part")
-def garment_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The head noun's garment, its category, and conflicts with a hoodie."""
-    n = _case("p_partkey", HEADS)
-    return table(spark, sf_dir, "part").select("p_partkey", garments.garment(n)["kind"].alias("kind"), garments.garment_category(n).alias("category"), garments.garments_conflict(n, F.lit("Zip Hoodie")).alias("conflict"))
-
-
 TREE = [("Tops", "Polo Shirts", "tops"), ("Tops", "T-Shirts", "tops"), ("Shoes", "Boots & Heels", "footwear"), ("Shoes", "Sneakers", "footwear"), ("Bags", "Bags", "bags")]
 TITLES = ["long polo shirt", "heel in suede", "sneaker low", "two bags", "hat"]
 LABELS = ["Polo Shirts", "Boots & Heels", "Sneakers", "Bags", None]

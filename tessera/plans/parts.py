@@ -67,43 +67,6 @@ def part_dark_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(spark, sf_dir).filter(F.size(groups) > 0).select("p_partkey", colour.is_dark(F.array("label"), groups).alias("dark"))
 
 
-# This dialect can't look ahead: what mustn't follow is taken out with its word first.
-AHEAD = {
-    r"\bpolo\b(?!\s*neck)": r"\bpolo\s*neck",
-    "(?!\\s*-?cut)": r"\bboots?\s*-?cut|\bshoes?\s*(?:bag|box|tree|horn|care|lace|rack)",
-    "(?!\\s*socks?)": r"\bcrew(?:neck)?\s*socks?",
-    "(?!\\s*jacket)": r"\b(?:jeans?|denim)\s*jacket",
-    "(?!y)": r"\bpants?y",
-}
-
-
-def _rule(pattern: str) -> str:
-    text = "n"
-    for shape, gone in AHEAD.items():
-        if shape in pattern:
-            text = f"regexp_replace({text}, '{gone}', ' ', 'g')"
-    return f"regexp_matches({text}, '" + re.sub(r"\(\?!(?:[^()]|\([^()]*\))*\)", "", pattern) + "')"
-
-
-RULES = "case " + " ".join(f"when {_rule(p)} then '{c}'" for p, c in kinds.CATEGORY_RULES + kinds.RUSSIAN_RULES) + " end"
-#: Garments so that the rules have something to match.
-GARMENTS = [
-    "ring", "dress shirt", "swim shorts", "denim jacket", "knit dress", "crew socks", "tote bag", "suit", "polo", "polo neck", "bootcut jeans", "boots", "shoe bag",
-    "air max 90", "crewneck", "pants", "panty", "Кожаная куртка", "кроссовки", "худи", "платье", "rash guard", "tank top", "jeans jacket vest", "scarf",
-]
-
-
-@R.query(
-    "with g as (select p_partkey, lower(p_name || ' ' || case p_partkey % " + str(len(GARMENTS)) + " " + " ".join(f"when {k} then '{g}'" for k, g in enumerate(GARMENTS)) + " end) as n, case p_partkey % 3 when 0 then 'Women > Shoes' when 1 then 'men/tops' else 'Unisex' end as trail from part) "
-    + f"select p_partkey, {RULES} as category, case when regexp_matches(lower(trail), '^(women|girls|ladies|femme|woman)') then 'women' when regexp_matches(lower(trail), '^(men|boys|homme|man\\b)') then 'men' when contains(lower(trail), 'unisex') then 'unisex' end as gender from g"
-)
-def part_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category rules over garment names and the gender of a shop's trail."""
-    kind = F.element_at(F.array(*map(F.lit, GARMENTS)), (F.col("p_partkey") % len(GARMENTS) + 1).cast("int"))
-    trail = F.when(F.col("p_partkey") % 3 == 0, "Women > Shoes").when(F.col("p_partkey") % 3 == 1, "men/tops").otherwise("Unisex")
-    return table(spark, sf_dir, "part").select("p_partkey", kinds.category(F.concat_ws(" ", "p_name", kind)).alias("category"), kinds.retail_category(trail)["gender"].alias("gender"))
-
-
 @R.query("select p_partkey, case when p_partkey % 3 = 0 then 'unisex' when p_partkey % 3 = 1 then 'women' end as stated, case when p_partkey % 3 = 0 then 'women' when p_partkey % 3 = 1 then 'women' end as first_word from part")
 def part_gender(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both genders are unisex where a text is read as a statement; the first

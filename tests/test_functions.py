@@ -252,7 +252,7 @@ def test_garments_by_head_and_script(spark):
         "Куртка-бомбер": "bomber", "Платье-рубашка": "dress", "Паркет": None, "Парка зимняя": "parka", "Knit Dresses": "dress", "Brushes": None,
     }
     assert values(spark, list(kinds_), lambda v: garments.garment(v)["kind"]) == list(kinds_.values())
-    many = tuple(garments.Garment(f"kind{n}", "tops", (f"~term{n}", f"стем{n} слов!")) for n in range(3000))
+    many = tuple(garments.Garment(f"kind{n}", "tops", (), (f"~term{n}", f"стем{n} слов!")) for n in range(3000))
     found = values(spark, ["A Term2999 term7", "стем12а слов", "стем12а слово"], lambda v: F.to_json(garments.garment(v, many)))
     assert found == ['{"kind":"kind2999","category":"tops","generic":false,"strong":false}'.replace("2999", "7"), '{"kind":"kind12","category":"tops","generic":false,"strong":true}', None]
 
