@@ -41,6 +41,17 @@ def constant(values: Sequence[object], kind: str = "string") -> Column:
     return F.split(F.lit("|".join(str(v) for v in values)), "[|]").cast(f"array<{kind}>")
 
 
+def looked_up(word: Column, table: dict[str, str]) -> Column:
+    """What a table says of a word, found by hash; null if it has none. Words
+    hold no space and values no space or "="."""
+    slots = 1 << max(4, (2 * len(table)).bit_length())
+    filed = defaultdict(list)
+    for key, value in table.items():
+        filed[zlib.crc32(key.encode()) % slots].append(f"{key}={value}")
+    bucket = F.get(constant([" ".join(filed[s]) for s in range(slots)]), (F.crc32(word.cast("binary")) % slots).cast("int"))
+    return let(bucket, lambda b: F.when(b != "", F.try_element_at(F.str_to_map(b, F.lit(" "), F.lit("=")), word)))
+
+
 def parsed(term: str, plurals: bool = True) -> list[str]:
     """The words of a term, each with its mark."""
     stems, words = bool(CYRILLIC.search(term)), []

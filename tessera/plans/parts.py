@@ -16,57 +16,6 @@ from .registry import Registry
 R = Registry()
 
 
-def _lexicon(with_field: bool) -> str:
-    pairs = {w: b for source in ([colour.STRONG, colour.FIELD] if with_field else [colour.STRONG]) for b, ws in source.items() for w in ws}
-    return "map {" + ", ".join(f"'{w}': '{b}'" for w, b in pairs.items()) + "}"
-
-
-def _sql_map(pairs: dict[str, str]) -> str:
-    return "map {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "}"
-
-
-NAME = "p_name || ' / ' || case p_partkey % 4 when 0 then 'navy and white' when 1 then 'core black' when 2 then 'stone' else 'plain' end"
-
-LAST_WORD = "string_split(" + NAME + ", ' ')[-1]"
-
-
-def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tail = F.when(F.col("p_partkey") % 4 == 0, "navy and white").when(F.col("p_partkey") % 4 == 1, "core black").when(F.col("p_partkey") % 4 == 2, "stone").otherwise("plain")
-    return table(spark, sf_dir, "part").select("*", F.concat("p_name", F.lit(" / "), tail).alias("label"))
-
-
-COLOURED = f"""
-with w as (select p_partkey, list_filter(list_transform(list_filter(regexp_split_to_array(lower({NAME}), '[^\\p{{L}}]+'), lambda x: length(x) >= 3), lambda x: {_lexicon(False)}[x]), lambda x: x is not null) as strong,
-  list_filter(list_transform(list_filter(regexp_split_to_array(lower({NAME}), '[^\\p{{L}}]+'), lambda x: length(x) >= 3), lambda x: {_lexicon(True)}[x]), lambda x: x is not null) as either from part)
-"""
-
-
-@R.query(COLOURED + "select p_partkey, array_to_string(strong, ' ') as colour_words, coalesce(strong[-1], either[-1]) as canonical, coalesce(" + _sql_map(colour.HEX) + f"[coalesce(strong[-1], either[-1])], '{colour.UNKNOWN_HEX}') as hex, coalesce(" + _sql_map(colour.NAMED_HEX) + "[" + LAST_WORD + "], " + _sql_map(colour.HEX) + "[" + _lexicon(True) + "[" + LAST_WORD + f"]], '{colour.UNKNOWN_HEX}') as last_hex from w join part using (p_partkey)")
-def part_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colour words, the canonical colour and its swatch."""
-    label = F.col("label")
-    return _named(spark, sf_dir).select("p_partkey", F.array_join(colour.colour_words(label), " ").alias("colour_words"), colour.canonical(label, True).alias("canonical"), colour.to_hex(label).alias("hex"), colour.to_hex(F.substring_index(label, " ", -1)).alias("last_hex"))
-
-
-GROUPED = f"""
-with p as (select p_partkey, unnest(regexp_split_to_array({NAME}, '[/,&+·|]|\\band\\b')) as part, generate_subscripts(regexp_split_to_array({NAME}, '[/,&+·|]|\\band\\b'), 1) as n from part),
-b as (select p_partkey, n, list_filter(list_transform(list_filter(regexp_split_to_array(lower(part), '[^\\p{{L}}]+'), lambda x: length(x) >= 3), lambda x: {_lexicon(False)}[x]), lambda x: x is not null)[-1] as base from p),
-o as (select p_partkey, base, min(n) as n from b where base is not null group by p_partkey, base),
-g as (select p_partkey, string_agg(upper(base[1:1]) || base[2:], ' ' order by n) || case when count(*) > 1 then ' Multicolor' else '' end as names from o group by p_partkey)
-"""
-
-
-@R.query(GROUPED + "select part.p_partkey, coalesce(names, '') as colour_groups from part left join g using (p_partkey)")
-def part_colour_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named(spark, sf_dir).select("p_partkey", F.array_join(colour.group_names(F.col("label")), " ").alias("colour_groups"))
-
-
-@R.query(GROUPED + "select p_partkey, (contains(names, 'Black')) and not regexp_matches(names, 'White|Beige|Yellow|Pink|Orange') or (not regexp_matches(names, 'White|Beige|Yellow|Pink|Orange') and regexp_matches(" + NAME + ", '" + colour.DARK_WORDS + "')) as dark from part join g using (p_partkey)")
-def part_dark_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = colour.group_names(F.col("label"))
-    return _named(spark, sf_dir).filter(F.size(groups) > 0).select("p_partkey", colour.is_dark(F.array("label"), groups).alias("dark"))
-
-
 @R.query("select p_partkey, case when p_partkey % 3 = 0 then 'unisex' when p_partkey % 3 = 1 then 'women' end as stated, case when p_partkey % 3 = 0 then 'women' when p_partkey % 3 = 1 then 'women' end as first_word from part")
 def part_gender(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both genders are unisex where a text is read as a statement; the first

@@ -317,3 +317,20 @@ def test_a_link_takes_the_one_card_of_its_name(spark):
     cards = cards_of(spark, dict(brand="Zed", name="Nuvola Quartz Parka", colours=["Black"]))
     pages = pages_of(spark, *(dict(brand="Zed", name="Nuvola Quartz Parka", colours=["Red"], links_only=x) for x in (True, False)))
     assert {r.page: (r.card, r.how) for r in matching.same_items(pages, cards, "page", "card").collect()} == {0: (0, "link"), 1: (None, "other colour")}
+
+
+def test_colours_by_tier_phrase_and_stem(spark):
+    field = {
+        "Black Linen": "black", "Navy Marl": "blue", "Stone": "beige", "Heather": "grey", "Rose Gold": "pink", "gold rose": "pink", "skyblue": "blue", "Тёмно-синий": "blue",
+        "серьги": None, "Серая": "grey", "снежный": "white", "меланж": "grey", "Off-White / jet": "white", "Cloud White": "white", "xx": None, "олень": None,
+    }
+    assert values(spark, list(field), lambda v: colour.canonical(v, True)) == list(field.values())
+    named = {"Stone Island Jacket": [], "Linen Shirt Sky Blue": ["blue"], "Navy, red and forest green": ["blue", "red", "green"], "Джинсовая куртка": []}
+    assert values(spark, list(named), colour.colour_words) == list(named.values())
+    assert values(spark, ["camo", "Black и Red", "stone"], lambda v: colour.group_names(v, True)) == [["Multicolor"], ["Black", "Red", "Multicolor"], ["Beige"]]
+    assert values(spark, ["XL", "a_b", "b.jpg?x", "new"], lambda v: colour.why_not(v, codes.is_size(v))) == ['"XL" is a size', '"a_b" is a file name', '"b.jpg?x" is a file name', '"new" is not a colour name']
+
+
+def test_makers_of_models(spark):
+    named = {"Dunk Low 'Panda'": "Nike", "Sambas": None, "adidas Samba OG": "Adidas", "550 'White Green'": "New Balance", "Levi's 550": None, "Club C 85 Vintage": "Reebok"}
+    assert values(spark, list(named), lambda v: piece.brand_from_model(v, F.array(F.lit("Adidas"), F.lit("x")))) == list(named.values())
