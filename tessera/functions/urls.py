@@ -215,3 +215,52 @@ def product_json_url(url: Column) -> Column:
     """The JSON twin of a storefront's product page; null for other pages."""
     handle = F.regexp_extract(path(url), "(?i)/products/([^/]+?)(?:\\.js(?:on)?)?/?$", 1)
     return F.when(handle != "", F.concat(F.regexp_extract(url, "^([^/]+//[^/?#]+)", 1), F.lit("/products/"), handle, F.lit(".json")))
+
+
+#: Characters of a path that an address spells as their UTF-8 bytes.
+UNSAFE = r"[^!-~]|[\"<>`{}]"
+_DEFAULT_PORTS = r"(?i)^(http://[^/?#]*):80$|^(https://[^/?#]*):443$"
+
+
+def _encoded(text: Column) -> Column:
+    each = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(UNSAFE), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c))
+    return F.when(text.rlike(UNSAFE), F.array_join(each, "")).otherwise(text)
+
+
+def _without_dots(place: Column) -> Column:
+    """A path with "." and ".." segments followed, never above its root."""
+    dot, up = r"^(?:\.|(?i)%2e)$", r"^(?:\.|(?i)%2e){2}$"
+    parts = F.split(F.substr(place, F.lit(2)), "/")
+    shorter = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, s: F.when(s.rlike(up), shorter(a)).when(s.rlike(dot), a).otherwise(F.array_append(a, s)))
+    # A path that ends in dots ends in a slash.
+    whole = F.when(F.element_at(parts, -1).rlike(f"{dot}|{up}"), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(place.rlike(r"(?i)/(?:\.|%2e)"), F.concat(F.lit("/"), F.array_join(whole, "/"))).otherwise(place)
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """The web address that a link on the page `base` leads to, without its
+    fragment; null for other schemes and where `base` is no address.
+
+    Links may be whole, without scheme ("//host/..."), from the root, from the
+    page's folder, or only a query; "." and ".." are followed, hosts are lower
+    case without a default port, and what an address can't hold is encoded.
+    """
+    raw = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(href, F.lit("")), r"[\t\n\r]", "")), "#.*$", "")
+    scheme = F.lower(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    place = F.when(path(base) == "", "/").otherwise(path(base))
+    folder = F.regexp_extract(place, "^(.*/)", 1)
+    asked = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    whole = (
+        F.when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), raw)
+        .when(raw.startswith("//"), F.concat(scheme, F.lit(":"), raw))
+        .when(raw.startswith("/"), F.concat(origin, raw))
+        .when(raw.startswith("?"), F.concat(origin, place, raw))
+        .when(raw == "", F.concat(origin, place, asked))
+        .otherwise(F.concat(origin, folder, raw))
+    )
+    start = F.regexp_replace(F.lower(F.regexp_extract(whole, r"(?i)^(https?://[^/?#]*)", 1)), _DEFAULT_PORTS, "$1$2")
+    own = F.when(path(whole) == "", "/").otherwise(F.regexp_replace(path(whole), r"\\", "/"))
+    tail = _encoded(F.regexp_extract(whole, r"^[^?#]*(\?[^#]*)", 1))
+    return F.when((origin != "") & start.rlike("^https?://[^/]"), F.concat(start, _encoded(_without_dots(own)), tail))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import colours, garments, links, logs, lookups, markup, orders, pages, parts, records
+from . import colours, crawl, garments, links, logs, lookups, markup, orders, pages, parts, records
 
-MODULES = (pages, parts, orders, logs, records, lookups, markup, links, garments, colours)
+MODULES = (pages, parts, orders, logs, records, lookups, markup, links, garments, colours, crawl)
 QUERIES = {n: q for m in MODULES for n, q in m.R.queries.items()}
 ORACLES = {n: s for m in MODULES for n, s in m.R.oracles.items()}

@@ -18,3 +18,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not at and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (at or "file:///tmp/tessera-shared").rstrip("/")
+
+
+def written(df: DataFrame, at: str) -> DataFrame:
+    """`df` written to a folder and read back, which cuts its lineage."""
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
