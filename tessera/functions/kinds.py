@@ -50,7 +50,7 @@ RUSSIAN_RULES = [
 # Words that state a gender, and the style vocabulary.
 WOMEN = r"\bwomen\b|\bwomens\b|female|ladies|\bgirl|femme|/women/"
 MEN = r"\bmen\b|\bmens\b|\bmale\b|\bboy|homme|/men/"
-STYLES = ["minimal", "streetwear", "classic", "sporty", "casual", "formal", "vintage", "boho", "dark", "romantic", "preppy", "avant-garde", "workwear"]
+STYLES = ["minimal", "streetwear", "classic", "avant-garde", "romantic", "utilitarian", "bohemian", "preppy", "sporty", "dark", "maximalist", "coastal", "academic"]
 
 
 def category(text: Column) -> Column:

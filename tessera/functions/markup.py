@@ -13,15 +13,11 @@ from pyspark.sql import types as T
 from . import text, urls
 from .binding import let
 
-# Microdata fields and words of shops' titles. Terms of styles, of our own choice.
+# Microdata fields and words of shops' titles.
 FIELDS = ["name", "brand", "description", "image", "price", "priceCurrency", "sku", "gtin13", "color", "material"]
 BOILERPLATE = r"(?i)^(?:buy(?:\s+online)?|shop(?:\s+online)?|online(?:\s+(?:store|shop))?|official(?:\s+(?:site|store))?|free\s+shipping|fast\s+delivery|sale|discounts?|price|best\s+price|new\s+arrivals?)$"
 SEPARATORS = r"\s+[|—–·•]\s+|\s+-\s+"
 GENERIC_LABELS = ["www", "shop", "store", "m", "en", "com", "net", "org", "co", "uk", "example"]
-STYLE_TERMS = {
-    "minimal": "minimal(?:ist|ism)?|clean lines", "streetwear": "streetwear|oversized|graphic tee", "classic": "classic|timeless|heritage",
-    "sporty": "sport(?:y|ing)?|athletic|running", "formal": "formal|tailored|evening", "vintage": "vintage|retro", "workwear": "workwear|utility|cargo",
-}
 
 
 def microdata(html: Column) -> Column:
@@ -107,18 +103,6 @@ def apply_rule(html: Column, rule: Column) -> Column:
     return F.pandas_udf(_searched, T.StringType())(html, rule)
 
 
-def style_evidence(value: Column, terms: dict[str, str] = STYLE_TERMS) -> Column:
-    """map of style to the first of its terms in a text."""
-    low = F.lower(F.coalesce(value, F.lit("")))
-    pairs = F.array(*(F.struct(F.lit(s).alias("k"), F.regexp_extract(low, rf"\b({p})\b", 1).alias("v")) for s, p in terms.items()))
-    return F.map_from_entries(F.filter(pairs, lambda p: p["v"] != ""))
-
-
-def inferred_styles(value: Column, most: int = 3, terms: dict[str, str] = STYLE_TERMS) -> Column:
-    """At most three styles with evidence, in the vocabulary's order."""
-    return F.slice(F.map_keys(style_evidence(value, terms)), 1, most)
-
-
 def repaired_retailers(retailers: Column, brand: Column) -> Column:
     """Retailers named like the brand, though not its own site, get the name
     that their address gives."""

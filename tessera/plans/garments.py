@@ -37,24 +37,32 @@ def _words(term: str) -> list[str]:
 
 
 KINDS_SQL = _values([(n, g.kind, g.category, g.kind in GENERIC, "|".join(g.labels)) for n, g in enumerate(GARMENTS)])
-TERMS_SQL = _values(
-    [
-        (n, " ".join(_words(t)), len(_words(t)) + ("/" in t), not t.startswith("~"), bool(re.search("[а-я]", t)), re.search("/(.*)/", t)[1] if "/" in t else None, len(re.sub("[~!/]", "", t)))
-        for n, t in TERMS
-    ]
-)
+def term_rows(listed: list[tuple[int, str]]) -> str:
+    """A table of terms: (rank, term, n, strong, stem, shape, len)."""
+    return _values(
+        [
+            (n, " ".join(_words(t)), len(_words(t)) + ("/" in t), not t.startswith("~"), bool(re.search("[а-яі]", t)), re.search("/(.*)/", t)[1] if "/" in t else None, len(re.sub("[~!/]", "", t)))
+            for n, t in listed
+        ]
+    )
+
+
+def spotted(titles: str, rows: str) -> str:
+    """CTEs from titles (id, title) and a table of terms to hits (id, i, e, ...)
+    and w (id, w), the words."""
+    return f"""titles as ({titles}), t(rank, term, n, strong, stem, shape, len) as {rows},
+w as (select id, list_filter(string_split(regexp_replace(replace(lower(coalesce(title, '')), 'ё', 'е'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') as w from titles),
+places as (select id, w, unnest(range(1, len(w) + 1)) as i from w),
+hits as (select id, i, i + n - 1 as e, t.*, list_min(list_filter(range(1, len(w) + 1), lambda x: w[x] in ({", ".join(map(_quoted, ATTACHED))}))) as cut from places join t on case
+  when shape is not null then array_to_string(w[i:i + n - 2], ' ') = term and regexp_full_match(coalesce(w[i + n - 1], ''), shape)
+  when not stem then array_to_string(w[i:i + n - 1], ' ') = replace(term, '!', '') or (not contains(term, '!') and array_to_string(w[i:i + n - 1], ' ') in (term || 's', term || 'es'))
+  else i + n - 1 <= len(w) and list_bool_and(list_transform(range(1, n + 1), lambda j: case when ends_with(string_split(term, ' ')[j], '!') then w[i + j - 1] || '!' = string_split(term, ' ')[j] else starts_with(w[i + j - 1], string_split(term, ' ')[j]) end)) end)"""
 
 
 def matched(titles: str) -> str:
     """CTEs from titles (id, title) to named (id, kind, category, generic,
     labels, strong)."""
-    return f"""titles as ({titles}), k(rank, kind, category, generic, labels) as {KINDS_SQL}, t(rank, term, n, strong, stem, shape, len) as {TERMS_SQL},
-w as (select id, list_filter(string_split(regexp_replace(replace(lower(coalesce(title, '')), 'ё', 'е'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') as w from titles),
-places as (select id, w, unnest(range(1, len(w) + 1)) as i from w),
-hits as (select id, i, i + n - 1 as e, t.*, list_min(list_filter(range(1, len(w) + 1), lambda x: w[x] in ({", ".join(map(_quoted, ATTACHED))}))) as cut from places join t on case
-  when shape is not null then array_to_string(w[i:i + n - 2], ' ') = term and regexp_full_match(coalesce(w[i + n - 1], ''), shape)
-  when not stem then array_to_string(w[i:i + n - 1], ' ') in (term, term || 's', term || 'es')
-  else i + n - 1 <= len(w) and list_bool_and(list_transform(range(1, n + 1), lambda j: case when ends_with(string_split(term, ' ')[j], '!') then w[i + j - 1] || '!' = string_split(term, ' ')[j] else starts_with(w[i + j - 1], string_split(term, ' ')[j]) end)) end),
+    return f"""{spotted(titles, term_rows(TERMS))}, k(rank, kind, category, generic, labels) as {KINDS_SQL},
 pool as (select *, bool_or(stem) over (partition by id) as any_stem, bool_or(e < cut) over (partition by id) as any_front from (select *, bool_or(strong) over (partition by id) as any_strong from hits) where strong = any_strong),
 heads as (select *, row_number() over (partition by id order by case when any_stem then (case when stem then i else 1000000 end) when any_front then (case when e < cut then -e else 1000000 end) else -e end, len desc, rank) as place from pool),
 h as (select id, rank as head, strong from heads where place = 1),

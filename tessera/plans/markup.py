@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import markup, photos, urls
+from ..functions import kinds, markup, photos, styles, urls
 from ..sources import documents
 from ..sources.tables import table
+from .garments import _quoted, spotted, term_rows
 from .pages import ROBOTS_SQL, _robots, sql
 from .registry import Registry
 
@@ -44,11 +45,24 @@ def page_site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@R.query("select p_partkey, case when p_partkey % 2 = 0 then 'streetwear,classic,vintage' else '' end as styles, case when p_partkey % 2 = 0 then 'oversized' end as evidence from part")
+STYLED = [(n, t) for n, s in enumerate(kinds.STYLES) for t in styles.STYLE_TERMS[s]]
+SAID = [t.replace("!", "") for _, t in STYLED]
+_PICK = "(select [" + ", ".join(map(_quoted, SAID)) + f"])[1 + ({{n}}) % {len(SAID)}]"
+_SAID_SQL = f"select p_partkey as id, split_part(p_name, ' ', 1) || ' ' || {_PICK.format(n='p_partkey * 5 + p_size')} || case when p_size % 2 = 0 then 's, ' else '-' end || {_PICK.format(n='p_partkey * 3')} || ' / ' || {_PICK.format(n='p_size')} as title from part"
+
+
+@R.query(
+    f"with {spotted(_SAID_SQL, term_rows(STYLED))}, first as (select id, rank, arg_min(array_to_string(w.w[i:e], ' '), i * 1000 + rank) as said from hits join w using (id) group by id, rank), "
+    + "listed as (select id, list(rank order by rank) as ranks, max(said) filter (where rank = 1) as evidence from first group by id) "
+    + "select p_partkey, coalesce(array_to_string(list_transform(ranks[1:3], lambda r: ([" + ", ".join(map(_quoted, kinds.STYLES)) + "])[r + 1]), ','), '') as styles, evidence from part left join listed on id = p_partkey"
+)
 def style_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Styles by their terms, three at most, with the term that told."""
-    said = F.when(F.col("p_partkey") % 2 == 0, "An Oversized classic with retro, workwear pockets").otherwise("plain")
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(markup.inferred_styles(said), ",").alias("styles"), markup.style_evidence(said)["streetwear"].alias("evidence"))
+    """Styles by their terms, three at most, with what first told one."""
+    said = F.array(*map(F.lit, SAID))
+    pick = lambda n: F.get(said, (F.expr(n) % len(SAID)).cast("int"))
+    text = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" "), pick("p_partkey * 5 + p_size"), F.when(F.col("p_size") % 2 == 0, "s, ").otherwise("-"), pick("p_partkey * 3"), F.lit(" / "), pick("p_size"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    return rows.select("p_partkey", F.array_join(styles.inferred_styles(F.col("text")), ",").alias("styles"), styles.style_evidence(F.col("text"))["streetwear"].alias("evidence"))
 
 
 @R.query("select s_suppkey, case when s_suppkey % 2 = 0 then 'Farfetch' else 'Acme' end as shown from supplier")

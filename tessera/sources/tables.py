@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,3 +25,13 @@ def written(df: DataFrame, at: str) -> DataFrame:
     """`df` written to a folder and read back, which cuts its lineage."""
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+#: Rows of a few values up to which a table is broadcast (some 30 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """`df`, marked for broadcasting if it has few enough rows, which are
+    counted; a larger one is left to be shuffled."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

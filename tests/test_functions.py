@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import brand, codes, colour, garments, kinds, markup, money, photos, piece, text, urls
+from tessera.functions import brand, codes, colour, garments, kinds, markup, money, photos, piece, styles, text, urls
 from tessera.operators import catalogue, matching, records, sinks
 from tessera.sources import documents
 from tessera.streaming import seen
@@ -160,7 +160,8 @@ def test_markup(spark):
     assert values(spark, ["a.jpg 1x, b,c.jpg 2x", "a.jpg", ""], markup.srcset_urls) == [["a.jpg", "b,c.jpg"], ["a.jpg"], []]
     titles = ["Shop online | Coat - Red — Acme", "Sale Rail Tote | Acme", "Acme", "", None]
     assert values(spark, titles, lambda t: markup.tidy_title(t, F.array(F.lit("acme")))) == ["Coat - Red", "Sale Rail Tote", "", "", ""]
-    assert values(spark, ["Retro runner, retro", ""], markup.inferred_styles) == [["vintage"], []]
+    said = ["Tennis preppy, tennis cargos", "", "ab", "Классическая юбка", "Lace necklace"]
+    assert values(spark, said, styles.inferred_styles) == [["utilitarian", "preppy", "sporty"], [], [], ["classic"], []]
     assert values(spark, ["&#x27;&eacute;", None], markup.decode_all_entities) == ["'é", None]
 
 
