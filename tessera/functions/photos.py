@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import urls
+from . import colour, garments, urls
 from .binding import let
 
 # Parameters that size a photo, suffixes of renditions, file names without a photo.
@@ -149,3 +149,112 @@ def gallery(candidates: Column, trusted: Column, name: Column, most: int = 20) -
         return ~is_placeholder(u) & F.exists(trusted, kin)
 
     return F.slice(distinct_photos(F.concat(trusted, F.filter(candidates, accepted))), 1, most)
+
+
+# Words that describe many pieces, file names of furniture, formats
+# that are no photo, and how alike file names of one shoot are.
+DESCRIBING = [
+    "leather", "suede", "wool", "cotton", "linen", "denim", "nylon", "silk", "cashmere", "fleece", "knit", "knitted", "jersey", "canvas", "velvet", "corduroy", "satin",
+    "mesh", "faux", "vegan", "oversized", "relaxed", "regular", "slim", "straight", "wide", "cropped", "long", "short", "classic", "vintage", "washed", "heavy",
+    "heavyweight", "light", "lightweight", "basic", "essential", "logo", "print", "printed", "graphic", "striped", "stripe", "check", "plain", "zip", "hooded", "mens",
+    "womens", "unisex", "kids", "new", "sale",
+]
+FURNITURE = r"(?i)(?:sprite|placeholder|transparent|blank|pixel|spacer|logo|favicon|icon[-_.]|badge|payment|visa|mastercard|paypal|klarna|afterpay|social|instagram|facebook|tiktok|banner|nav[-_.]|menu|header|footer|newsletter|review|rating|star|flag|loader|spinner|swatch|材质)"
+NO_IMAGE = r"(?i)\.(?:js|mjs|css|json|xml|html?|php|aspx?|svg|ico|woff2?|ttf|otf|eot|mp4|webm|mov|m3u8|pdf|txt|zip|gz)$"
+LEAST_WORD, LEAST_LONE_WORD, LEAST_CODE, LEAST_STEM, MOST_TAIL = 4, 6, 6, 10, 12
+
+
+def upgraded(src: Column, page_url: Column) -> Column:
+    """The full-size address of an image reference on a page; null for what is
+    no photo."""
+    whole = full_size(urls.resolved(F.replace(F.coalesce(src, F.lit("")), F.lit("&amp;"), F.lit("&")), page_url))
+    place = urls.path(whole)
+    image = place.rlike(FORMATS) | (place.rlike(r"/[^/.]+/?$"))
+    return F.when((src != "") & ~place.rlike(NO_IMAGE) & image, whole)
+
+
+def photo_host(url: Column) -> Column:
+    """Where a photo is served from: the account of an image host, else the host."""
+    return F.coalesce(F.concat(F.lit("account:"), chain(url)["account"]), urls.store_host(url))
+
+
+def _file(url: Column) -> Column:
+    """A photo's own file name, lower case, without its format."""
+    upload = chain(url)["tail"]
+    return F.regexp_replace(F.lower(F.substring_index(F.coalesce(upload, urls.path(url)), "/", -1)), FORMATS, "")
+
+
+def stem(url: Column) -> Column:
+    """The letters and digits of a file name, without a 32-digit id behind it."""
+    return F.regexp_replace(F.regexp_replace(_file(url), "[^a-z0-9]", ""), "[0-9a-f]{32}$", "")
+
+
+def frame_code(url: Column) -> Column:
+    """The code of a file named <code>_<frame>; null for other names."""
+    code = F.regexp_extract(_file(url), "^([a-z0-9]*[0-9][a-z0-9]*)_[0-9]{1,2}$", 1)
+    return F.when(F.length(code) >= LEAST_CODE, code)
+
+
+def _describes_many(word: Column) -> Column:
+    return word.isin(DESCRIBING) | (F.size(colour.colour_words(word)) > 0) | garments.garment(word).isNotNull()
+
+
+def name_phrases(name: Column) -> Column:
+    """Neighbouring words of a name as one, where one of them is its own; the
+    word of a name of one, if it is long and its own."""
+    words = F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    single = F.transform(words, lambda w: F.when((F.length(w) >= 5) & w.endswith("s"), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w))
+    own = F.transform(F.filter(single, lambda w: F.length(w) >= LEAST_WORD), lambda w: F.struct(w.alias("w"), _describes_many(w).alias("many")))
+
+    def phrases(o: Column) -> Column:
+        pairs = F.transform(F.slice(o, F.lit(2), F.greatest(F.size(o) - 1, F.lit(0))), lambda x, i: F.when(~(x["many"] & o[i]["many"]), F.concat(o[i]["w"], x["w"])))
+        lone = F.when((F.length(o[0]["w"]) >= LEAST_LONE_WORD) & ~o[0]["many"], F.array(o[0]["w"])).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(o) == 0, F.array().cast("array<string>")).when(F.size(o) == 1, lone).otherwise(F.array_distinct(F.array_compact(pairs)))
+
+    return let(own, phrases)
+
+
+def harvested(candidates: Column, trusted: Column, page_url: Column, name: Column) -> Column:
+    """What a page shows of its piece besides the `trusted` photos (arrays of
+    references), in order: photos whose file is named after the piece or its
+    page's code, and, next to trusted ones on their host, those of the trusted
+    frames' code, or else of a name that starts or runs like a trusted one and
+    is no furniture's. A photo held already comes again as a better copy only.
+    Without a trusted photo only names count."""
+    whole = lambda a: F.array_compact(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda u: upgraded(u, page_url)))
+    slug = F.regexp_replace(F.array_join(F.slice(F.reverse(F.filter(F.split(urls.path(page_url), "/"), lambda s: s != "")), 1, 2), " "), urls.PAGE_SUFFIX, "")
+    tail = F.array_join(F.reverse(F.split(slug, " ")), " ")
+    shown = lambda u: F.struct(u.alias("url"), image_key(u).alias("key"), rendition_rank(u).alias("rank"), photo_host(u).alias("host"), stem(u).alias("stem"), frame_code(u).alias("code"))
+    facts = F.struct(
+        F.transform(whole(trusted), shown).alias("trusted"),
+        F.transform(whole(candidates), shown).alias("all"),
+        F.concat(name_phrases(name), name_phrases(tail), F.array_distinct(F.regexp_extract_all(F.lower(tail), F.lit("[0-9]{6,}"), 0))).alias("names"),
+    )
+
+    def accepted(f: Column, c: Column) -> Column:
+        named = F.exists(f["names"], lambda p: F.contains(c["stem"], p))
+        codes = F.array_compact(F.transform(f["trusted"], lambda t: t["code"]))
+
+        def kin(t: Column) -> Column:
+            alike = common_stem(t["stem"], c["stem"])
+            return (t["stem"] != "") & (((alike >= LEAST_STEM) & (F.length(c["stem"]) - alike <= MOST_TAIL)) | numbered_frame(t["stem"], c["stem"]))
+
+        beside = F.exists(f["trusted"], lambda t: (t["host"] != "") & (t["host"] == c["host"]))
+        same = F.when(F.size(codes) > 0, F.coalesce(F.array_contains(codes, c["code"]), F.lit(False))).otherwise(named | F.exists(f["trusted"], kin))
+        own = F.when(F.size(f["trusted"]) == 0, named).otherwise(beside & same)
+        return (c["stem"] != "") & (named | ~urls.path(c["url"]).rlike(FURNITURE)) & own
+
+    def walked(f: Column) -> Column:
+        held_type, out_type = "array<struct<key:string,rank:double>>", "array<string>"
+        held = F.transform(f["trusted"], lambda t: F.struct(t["key"].alias("key"), t["rank"].cast("double").alias("rank"))).cast(held_type)
+        start = F.struct(held.alias("held"), F.array().cast(out_type).alias("out"))
+
+        def step(s: Column, c: Column) -> Column:
+            had = F.array_max(F.transform(F.filter(s["held"], lambda h: h["key"] == c["key"]), lambda h: h["rank"]))
+            taken = F.when(had.isNotNull(), c["rank"] > had).otherwise(accepted(f, c))
+            grown = F.struct(F.array_append(s["held"], F.struct(c["key"].alias("key"), c["rank"].cast("double").alias("rank"))).cast(held_type).alias("held"), F.array_append(s["out"], c["url"]).cast(out_type).alias("out"))
+            return F.when(taken, grown).otherwise(s)
+
+        return F.aggregate(f["all"], start, step)["out"]
+
+    return let(facts, walked)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_folder
+from ..sources.tables import shared_folder, written
 
 
 def ordered_hydrate(items: DataFrame, products: DataFrame, owner: str, place: str, key: str, product_key: str, shown: list[str]) -> DataFrame:
@@ -53,26 +53,40 @@ def code_links(rows: DataFrame, node: str, key: str) -> DataFrame:
     return keyed.join(least, key).filter(F.col(node) > F.col("a")).select("a", F.col(node).alias("b"))
 
 
-def linked_groups(edges: DataFrame) -> DataFrame:
-    """(node, component) by spreading the least label along links; each round
-    is written to the session's checkpoint folder."""
-    spark = edges.sparkSession
+def _star(links: DataFrame, upwards: bool) -> DataFrame:
+    """links (a, b), a < b, after each node's neighbours above it (or below it)
+    are linked to the least of its neighbours and itself instead. The least is
+    an aggregate that joins back, so no node's neighbours are gathered."""
+    out = links.select(F.col("b").alias("node"), F.col("a").alias("other"))
+    if upwards:
+        out = out.union(links.select(F.col("a").alias("node"), F.col("b").alias("other")))
+    least = out.groupBy("node").agg(F.min("other").alias("least")).select(F.col("node").alias("of"), F.least("node", "least").alias("least"))
+    both = out.join(least, F.col("node") == F.col("of"))
+    if upwards:
+        return both.filter("other > node").select(F.col("least").alias("a"), F.col("other").alias("b")).filter("a < b").distinct()
+    moved = both.filter("other <> least").select(F.col("least").alias("a"), F.col("other").alias("b"))
+    return moved.union(least.filter("least <> of").select(F.col("least").alias("a"), F.col("of").alias("b"))).distinct()
 
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
 
-    both = kept(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct())
-    labels = kept(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"))
+def linked_groups(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node with a link: the least node that links
+    lead to.
+
+    Large and small star steps take turns until nothing moves, some logarithm
+    of the longest path times; each round is written to the session's
+    checkpoint folder. A giant component's label is never a join key.
+    """
+    spark = edges.sparkSession
+    folder, n = f"{shared_folder(spark)}/links-{uuid.uuid4().hex}", 0
+    now = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{folder}/0")
+    before = None
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
-        # A label's own label is a shortcut.
-        far = labels.select(F.col("node").alias("l"), F.col("component").alias("far"))
-        new = kept(labels.join(near, F.col("node") == F.col("a")).join(far, F.col("component") == F.col("l"), "left").select("node", F.least("component", "near", F.coalesce("far", "component")).alias("new"), "component"))
-        if new.filter("new <> component").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", F.col("new").alias("component"))
+        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
+        if seen == before or not seen[0]:
+            own = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+            return own.union(now.select(F.col("b").alias("node"), F.col("a").alias("component")))
+        before, n = seen, n + 1
+        now = written(_star(_star(now, True), False), f"{folder}/{n}")
 
 
 def mutual_best(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:

@@ -74,17 +74,19 @@ def candidates(pages: DataFrame, cards: DataFrame, page: str, card: str) -> Data
     distinct. A key that very many share is left to the join's own splitting."""
     none = F.array().cast("array<string>")
     given = lambda c: F.coalesce(F.col(c), none)
+    facts = piece.facts(F.col("name"), F.col("brand"), given("colours")).alias("facts")
     ours = pages.select(
         F.col(page), F.struct(
             "url", "store", "brand", "name", given("colours").alias("colours"), "stated", "category", "price", "links_only",
             F.array_union(piece.article_codes(F.col("name")), F.transform(given("codes"), lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", ""))).alias("all_codes"),
+            facts,
         ).alias("p"),
     )
     no_store = F.array().cast("array<struct<name:string,url:string>>")
     theirs = cards.select(
         F.col(card), F.struct(
             "pos", "url", F.coalesce("retailers", no_store).alias("retailers"), "brand", "name", given("colours").alias("colours"), "category", "price",
-            piece.item_codes(F.col("name"), F.col("part_number")).alias("all_codes"),
+            piece.item_codes(F.col("name"), F.col("part_number")).alias("all_codes"), facts,
         ).alias("c"),
     )
     asked = ours.withColumn("page_keys", F.array_distinct(_page_keys(F.col("p")))).withColumn("k", F.explode("page_keys"))
@@ -112,15 +114,18 @@ def judged(pairs: DataFrame) -> DataFrame:
         F.when(by_field(p), p["colours"]).otherwise(F.array(piece.variant_in(p["name"]))).alias("shades"),
     ).withColumn("by_code", F.col("fit") & piece.share_code(p["all_codes"], c["all_codes"]))
     makers = _brands(p["brand"], c["brand"])
-    same = piece.same_piece(makers, p["name"], c["name"], p["colours"], c["colours"], p["category"], c["category"], ~F.col("fit"))
+    told = told.withColumn("sides", piece.in_company(p["name"], p["facts"], c["name"], c["facts"], makers, F.array_union(p["colours"], c["colours"])))
+    x, y = F.col("sides")[0], F.col("sides")[1]
+    named = F.size(F.array_union(p["facts"]["spellings"], c["facts"]["spellings"])) > 0
+    same = named & piece.same_by_facts(x, y, p["category"], c["category"], ~F.col("fit"))
     told = told.withColumn("is_piece", (F.col("fit") | F.col("one_bare")) & (F.col("by_code") | same))
     near = money.prices_agree(F.coalesce(p["price"], F.lit(0.0)), F.coalesce(c["price"], F.lit(0.0)))
-    told = told.withColumn("priced", F.col("is_piece") & (F.col("fit") | near | F.col("by_code") | piece.same_model_name(makers, p["name"], c["name"])))
+    told = told.withColumn("priced", F.col("is_piece") & (F.col("fit") | near | F.col("by_code") | (named & (x["bare"] == y["bare"]) & piece.is_model(x["bare"]))))
     related = F.create_map(*[F.lit(x) for pair in RANK.items() for x in pair])
     return told.select(
         "*",
         (F.col("priced") & ~F.col("other_variant")).alias("open"),
-        (piece.full_key(p["name"], makers) == piece.full_key(c["name"], makers)).alias("same_name"),
+        (F.array_join(x["bare"], " ") == F.array_join(y["bare"], " ")).alias("same_name"),
         F.coalesce(F.try_element_at(related, colour.relation(joined(F.col("shades")), joined(c["colours"]))), F.lit(0)).alias("rank"),
         F.size(F.array_intersect(text_words(F.col("shades")), text_words(c["colours"]))).alias("shared"),
     )

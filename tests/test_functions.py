@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import brand, codes, colour, garments, kinds, markup, money, photos, piece, styles, text, urls
-from tessera.operators import catalogue, matching, records, sinks
+from tessera.operators import catalogue, duplicates, gallery, matching, records, sinks
 from tessera.sources import documents
 from tessera.streaming import seen
 
@@ -335,3 +335,56 @@ def test_colours_by_tier_phrase_and_stem(spark):
 def test_makers_of_models(spark):
     named = {"Dunk Low 'Panda'": "Nike", "Sambas": None, "adidas Samba OG": "Adidas", "550 'White Green'": "New Balance", "Levi's 550": None, "Club C 85 Vintage": "Reebok"}
     assert values(spark, list(named), lambda v: piece.brand_from_model(v, F.array(F.lit("Adidas"), F.lit("x")))) == list(named.values())
+
+
+def test_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "SLOT", 7)
+    rows = [(k, "hot" if k % 3 else f"b{k % 5}", k * k) for k in range(100)] + [(200, None, 0)]
+    found = duplicates.block_pairs(spark.createDataFrame(rows, "id long, block string, v long"), "id", "block").collect()
+    got = sorted((min(r.a_id, r.b_id), max(r.a_id, r.b_id)) for r in found)
+    assert got == sorted((x, y) for x, b, _ in rows for y, d, _ in rows if x < y and b is not None and b == d)
+    assert all(r.a_v == r.a_id**2 and r.b_v == r.b_id**2 for r in found)
+
+
+def test_name_links_pick_each_other(spark):
+    schema = "id long, brand string, name string, colours array<string>, price double, stores array<string>, store string"
+    card = lambda k, name, colours, store, price=100.0, brand_="Etnies": (k, brand_, name, colours, price, [store], store)
+    rows = [
+        card(1, "Emerson Kingpin", ["Black / White"], "a.com"), card(2, "Emerson Kingpin", ["Black / Grey"], "a.com"), card(3, "Emerson Kingpin", ["Black"], "b.com"),
+        card(4, "Marana Kingpin", ["Red"], "a.com"), card(5, "etnies Marana Kingpin Shoes", ["red"], "b.com"), card(6, "Marana Kingpin", ["Red"], "c.com", 500.0), card(7, "Marana Kingpin", ["Red"], "a.com"),
+        card(8, "Jameson Kingpin", None, "a.com"), card(9, "Jameson Kingpin", ["Toro Bravo"], "b.com", None), card(10, "Jameson Kingpin Toro Bravo", ["Toro Bravo"], "c.com"), card(11, "Jameson Kingpin", ["Navy"], "d.com", 10.0, ""),
+    ]
+    found = duplicates.name_links(spark.createDataFrame(rows, schema)).collect()
+    # 3 could be either of a.com's; 4 and 7 are two of one store, so 5 picks neither; 8 has no colour.
+    assert sorted(map(tuple, found)) == [(8, 9), (8, 10), (9, 10)]
+
+
+def test_families_are_chains(spark):
+    rows = [(1, "g", "Acme", "Ritual Jacket", None), (2, "g", "Acme", "Ritual Woven Hoodie", None), (3, "g", "Acme", "Ritual Woven Dress", None), (4, "g", "Acme", "Cypher Jacket", None), (5, "h", "", "Ritual Jacket", None), (6, "h", "Acme", "Acme Ritual", None), (7, "h", None, "", None)]
+    found = duplicates.model_families(spark.createDataFrame(rows, "id long, gid string, brand string, name string, category string"), "gid").collect()
+    assert {r.id: r.family for r in found} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7}
+
+
+def test_gallery_harvest(spark):
+    page = "https://www.shop.com/shopping/easy-tote-item-27412345.aspx"
+    named = "Classic Easy Tote"
+    cases = [
+        # Named after the piece or its code; furniture of its own name stays.
+        ([], ["https://cdn.x.com/a/my-easytote-logo.jpg", "/img/27412345_99_1000.jpg", "/img/other-bag.jpg", "/img/classic-tote-insert.jpg"], ["https://cdn.x.com/a/my-easytote-logo.jpg", "https://www.shop.com/img/27412345_99_1000.jpg"]),
+        # Beside a trusted one: by front, by frame, on its host only.
+        (["/i/all-birds_0010.jpg?width=30"], ["/i/all-birds_0017.jpg", "https://t.com/i/all-birds_0018.jpg", "/i/all-stars-banner.jpg", "/i/all-birds_0010.jpg"], ["https://www.shop.com/i/all-birds_0017.jpg"]),
+        (["/i/sku1204551.jpg"], ["/i/sku1204552.jpg", "/i/sku9903341.jpg", "/i/IMG_4417.jpg"], ["https://www.shop.com/i/sku1204552.jpg"]),
+        # Frames of a code: the code decides.
+        (["/i/251149M237012_1.jpg"], ["/i/251149M237012_2.jpg", "/i/251149M237013_1.jpg", "/i/classic-easytote-2.jpg"], ["https://www.shop.com/i/251149M237012_2.jpg"]),
+        (["/i/a.js", None], [None, "", "mailto:x"], []),
+    ]
+    rows = spark.createDataFrame([(k, t, c) for k, (t, c, _) in enumerate(cases)], "k int, t array<string>, c array<string>")
+    found = {r.k: r.h for r in rows.select("k", photos.harvested(F.col("c"), F.col("t"), F.lit(page), F.lit(named)).alias("h")).collect()}
+    assert found == {k: want for k, (_, _, want) in enumerate(cases)}
+    assert values(spark, ["Black Leather Jacket", "Tree Runners", "Cruiser", "Jacket", None], photos.name_phrases) == [[], ["treerunner"], ["cruiser"], [], []]
+
+
+def test_shop_photos(spark):
+    shown = spark.createDataFrame([(p, "s.com", u) for p in range(6) for u in ("https://s.com/logo.png", f"https://s.com/p{p}.jpg")] + [(9, "t.com", "https://s.com/logo.png")], "page int, store string, photo string")
+    left = {(r.page, r.photo[14:]) for r in gallery.without_shop_photos(shown).collect()}
+    assert left == {(p, f"p{p}.jpg") for p in range(6)} | {(9, "logo.png")}
