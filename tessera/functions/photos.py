@@ -214,22 +214,28 @@ def name_phrases(name: Column) -> Column:
     return let(own, phrases)
 
 
-def harvested(candidates: Column, trusted: Column, page_url: Column, name: Column) -> Column:
-    """What a page shows of its piece besides the `trusted` photos (arrays of
-    references), in order: photos whose file is named after the piece or its
-    page's code, and, next to trusted ones on their host, those of the trusted
-    frames' code, or else of a name that starts or runs like a trusted one and
-    is no furniture's. A photo held already comes again as a better copy only.
-    Without a trusted photo only names count."""
-    whole = lambda a: F.array_compact(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda u: upgraded(u, page_url)))
-    slug = F.regexp_replace(F.array_join(F.slice(F.reverse(F.filter(F.split(urls.path(page_url), "/"), lambda s: s != "")), 1, 2), " "), urls.PAGE_SUFFIX, "")
-    tail = F.array_join(F.reverse(F.split(slug, " ")), " ")
-    shown = lambda u: F.struct(u.alias("url"), image_key(u).alias("key"), rendition_rank(u).alias("rank"), photo_host(u).alias("host"), stem(u).alias("stem"), frame_code(u).alias("code"))
-    facts = F.struct(
-        F.transform(whole(trusted), shown).alias("trusted"),
-        F.transform(whole(candidates), shown).alias("all"),
-        F.concat(name_phrases(name), name_phrases(tail), F.array_distinct(F.regexp_extract_all(F.lower(tail), F.lit("[0-9]{6,}"), 0))).alias("names"),
-    )
+def page_identity(page_url: Column, name: Column) -> Column:
+    """What a page's own photos may be called: phrases of the piece's name and
+    of the address's last two segments, and the codes in these."""
+    last = F.reverse(F.slice(F.reverse(F.filter(F.split(urls.path(page_url), "/"), lambda s: s != "")), 1, 2))
+    slug = F.regexp_replace(F.array_join(last, " "), urls.PAGE_SUFFIX, "")
+    codes = F.array_distinct(F.regexp_extract_all(F.lower(slug), F.lit("[0-9]{6,}"), F.lit(0)))
+    return let(slug, lambda s: F.concat(F.flatten(F.transform(F.array(name, s), name_phrases)), codes))
+
+
+def shot(url: Column) -> Column:
+    """What is compared of a photo: struct<url, key, rank, host, stem, code>."""
+    rank = rendition_rank(url).cast("double")
+    return F.struct(url.alias("url"), image_key(url).alias("key"), rank.alias("rank"), photo_host(url).alias("host"), stem(url).alias("stem"), frame_code(url).alias("code"))
+
+
+def harvested(candidates: Column, trusted: Column, identity: Column) -> Column:
+    """Of a page's `candidates` (array of `shot`), in order, those that show its
+    piece besides the `trusted` ones: photos whose file is named as `identity`
+    has it, and, next to trusted ones on their host, those of the trusted frames'
+    code, or else of a name that starts or runs like a trusted one and is no
+    furniture's. A photo held already comes again as a better copy only. Without
+    a trusted photo only names count."""
 
     def accepted(f: Column, c: Column) -> Column:
         named = F.exists(f["names"], lambda p: F.contains(c["stem"], p))
@@ -245,16 +251,23 @@ def harvested(candidates: Column, trusted: Column, page_url: Column, name: Colum
         return (c["stem"] != "") & (named | ~urls.path(c["url"]).rlike(FURNITURE)) & own
 
     def walked(f: Column) -> Column:
-        held_type, out_type = "array<struct<key:string,rank:double>>", "array<string>"
-        held = F.transform(f["trusted"], lambda t: F.struct(t["key"].alias("key"), t["rank"].cast("double").alias("rank"))).cast(held_type)
-        start = F.struct(held.alias("held"), F.array().cast(out_type).alias("out"))
+        held = F.transform(f["trusted"], lambda t: F.struct(t["key"].alias("key"), t["rank"].alias("rank")))
+        start = F.struct(held.cast("array<struct<key:string,rank:double>>").alias("held"), F.slice(f["all"], 1, 0).alias("out"))
 
         def step(s: Column, c: Column) -> Column:
             had = F.array_max(F.transform(F.filter(s["held"], lambda h: h["key"] == c["key"]), lambda h: h["rank"]))
             taken = F.when(had.isNotNull(), c["rank"] > had).otherwise(accepted(f, c))
-            grown = F.struct(F.array_append(s["held"], F.struct(c["key"].alias("key"), c["rank"].cast("double").alias("rank"))).cast(held_type).alias("held"), F.array_append(s["out"], c["url"]).cast(out_type).alias("out"))
+            grown = F.struct(F.array_append(s["held"], F.struct(c["key"].alias("key"), c["rank"].alias("rank"))).alias("held"), F.array_append(s["out"], c).alias("out"))
             return F.when(taken, grown).otherwise(s)
 
         return F.aggregate(f["all"], start, step)["out"]
 
-    return let(facts, walked)
+    return let(F.struct(trusted.alias("trusted"), candidates.alias("all"), identity.alias("names")), walked)
+
+
+def best_copies(shots: Column) -> Column:
+    """The addresses of the best copy of each photo, in order of first
+    appearance, without those that are blanks only."""
+    keys = F.array_distinct(F.transform(shots, lambda s: s["key"]))
+    best = lambda k: F.array_max(F.transform(F.filter(F.transform(shots, lambda s, i: F.struct(s["rank"].alias("rank"), (-i).alias("place"), s["url"].alias("url"), s["key"].alias("key"))), lambda s: s["key"] == k), lambda s: s))
+    return F.transform(F.filter(F.transform(keys, best), lambda b: b["rank"] >= 0), lambda b: b["url"])

@@ -15,11 +15,23 @@ SHOP_PAGES = 5
 def harvests(pages: DataFrame, key: str) -> DataFrame:
     """(key, photos): the gallery of each page (key, url, name, trusted,
     candidates): the trusted photos and what `photos.harvested` adds, the best
-    copy of each, in order."""
+    copy of each, in order. Keys are unique.
+
+    References become rows, so that each address is taken apart once, and come
+    together again page by page.
+    """
     none = F.array().cast("array<string>")
-    whole = F.array_compact(F.transform(F.coalesce("trusted", none), lambda u: photos.upgraded(u, F.col("url"))))
-    found = pages.select(key, whole.alias("whole"), photos.harvested(F.col("candidates"), F.col("trusted"), F.col("url"), F.col("name")).alias("more"))
-    return found.select(key, photos.distinct_photos(F.concat("whole", "more")).alias("photos"))
+    own = pages.select(F.col(key).alias("key"), "url", photos.page_identity(F.col("url"), F.col("name")).alias("identity"), F.coalesce("trusted", none).alias("trusted"), F.coalesce("candidates", none).alias("candidates"))
+    every = own.select("key", "url", F.size("trusted").alias("n"), F.posexplode(F.concat("trusted", "candidates")).alias("place", "src"))
+    # Exploded as an array of one, an address is worked out once.
+    whole = every.select("key", "n", "place", F.explode_outer(F.array(photos.upgraded(F.col("src"), F.col("url")))).alias("photo")).filter("photo is not null")
+    shots = whole.select("key", "n", "place", photos.shot(F.col("photo")).alias("shot"))
+    gathered = shots.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "n", "shot"))).alias("shots"))
+    of = lambda keep: F.transform(F.filter("shots", keep), lambda s: s["shot"])
+    parted = gathered.join(own.select("key", "identity"), "key").select("key", "identity", of(lambda s: s["place"] < s["n"]).alias("trusted"), of(lambda s: s["place"] >= s["n"]).alias("candidates"))
+    found = parted.select("key", "trusted", photos.harvested(F.col("candidates"), F.col("trusted"), F.col("identity")).alias("more"))
+    listed = found.select("key", photos.best_copies(F.concat("trusted", "more")).alias("photos"))
+    return own.select("key").join(listed, "key", "left").select(F.col("key").alias(key), F.coalesce("photos", none).alias("photos"))
 
 
 def without_shop_photos(shown: DataFrame, most_pages: int = SHOP_PAGES) -> DataFrame:

@@ -378,9 +378,10 @@ def test_gallery_harvest(spark):
         (["/i/251149M237012_1.jpg"], ["/i/251149M237012_2.jpg", "/i/251149M237013_1.jpg", "/i/classic-easytote-2.jpg"], ["https://www.shop.com/i/251149M237012_2.jpg"]),
         (["/i/a.js", None], [None, "", "mailto:x"], []),
     ]
-    rows = spark.createDataFrame([(k, t, c) for k, (t, c, _) in enumerate(cases)], "k int, t array<string>, c array<string>")
-    found = {r.k: r.h for r in rows.select("k", photos.harvested(F.col("c"), F.col("t"), F.lit(page), F.lit(named)).alias("h")).collect()}
-    assert found == {k: want for k, (_, _, want) in enumerate(cases)}
+    rows = spark.createDataFrame([(k, page, named, t, c) for k, (t, c, _) in enumerate(cases)], "k int, url string, name string, trusted array<string>, candidates array<string>")
+    found = {r.k: r.photos for r in gallery.harvests(rows, "k").collect()}
+    first = {1: "all-birds_0010.jpg", 2: "sku1204551.jpg", 3: "251149M237012_1.jpg"}
+    assert found == {k: [f"https://www.shop.com/i/{first[k]}" for _ in first if k in first][:1] + want for k, (_, _, want) in enumerate(cases)}
     assert values(spark, ["Black Leather Jacket", "Tree Runners", "Cruiser", "Jacket", None], photos.name_phrases) == [[], ["treerunner"], ["cruiser"], [], []]
 
 
