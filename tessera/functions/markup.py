@@ -112,3 +112,29 @@ def repaired_retailers(retailers: Column, brand: Column) -> Column:
 def shuffled_order(key: Column, seed: int = 42) -> Column:
     """A fixed order that looks shuffled: sort by this, then by the key."""
     return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), key.cast("string")))
+
+
+# Fixed value: where the generator of the fixed shuffle starts.
+SHUFFLE_SEED = 0x4A3F2E1D
+
+
+def shuffled(values: Column, seed: int = SHUFFLE_SEED) -> Column:
+    """An array in a fixed shuffle: swaps from the last place down, each with a
+    place drawn by a 32-bit xorshift generator, so that arrays of one length are
+    always shuffled alike. The generator is folded over the places first, then
+    the swaps over the array, whose work grows with the square of its length."""
+    int32 = seed - (1 << 32) if seed >= 1 << 31 else seed
+    step = lambda s, by: s.bitwiseXOR(F.shiftleft(s, by) if by > 0 else F.shiftright(s, -by))
+
+    def draw(state: Column, i: Column) -> Column:
+        def drawn(s: Column) -> Column:
+            unsigned = s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+            other = F.shiftright(unsigned * (i + 1).cast("long"), 32).cast("int")
+            return F.struct(s.alias("s"), F.array_append(state["swaps"], F.struct(i.alias("i"), other.alias("j"))).alias("swaps"))
+
+        return let(step(step(step(state["s"], 13), -17), 5), drawn)
+
+    places = F.when(F.size(values) > 1, F.sequence(F.size(values) - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(int32).cast("int").alias("s"), F.array().cast("array<struct<i:int,j:int>>").alias("swaps"))
+    swap = lambda a, d: F.transform(a, lambda x, k: F.when(k == d["i"], F.get(a, d["j"])).when(k == d["j"], F.get(a, d["i"])).otherwise(x))
+    return F.aggregate(F.aggregate(places, start, draw)["swaps"], values, swap)

@@ -111,3 +111,25 @@ def page_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
     others = [F.lit(f"https://x.com/i/{n}.jpg") for n in ("red-wool-coat", "unrelated", "placeholder")] + [F.lit("https://y.com/i/red-wool-coat.jpg")]
     found = photos.gallery(F.array(at("0002"), *others), F.array(at("0001")), F.lit("Red Wool Coat"))
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(found, ",").alias("gallery"))
+
+
+# The generator's state, an unsigned number here, and the list, one swap a round.
+_XOR = "xor({s}, ({s} << 13) & 4294967295)", "xor({s}, floor((case when {s} >= 2147483648 then {s} - 4294967296 else {s} end) / 131072)::bigint & 4294967295)", "xor({s}, ({s} << 5) & 4294967295)"
+
+
+def _next(state: str) -> list[str]:
+    """CTE columns of one draw: three shifts, one after the other."""
+    return [x.replace("{s}", s) for x, s in zip(_XOR, (state, "s1", "s2"), strict=True)]
+
+
+@R.query(
+    f"""with recursive lists as (select o_custkey, list(o_orderkey order by o_orderkey) as a from orders group by o_custkey),
+r as (select o_custkey, a, len(a) - 1 as i, {markup.SHUFFLE_SEED}::bigint as s from lists
+  union all select o_custkey, list_transform(a, lambda x, k: case when k = i + 1 then a[1 + (s3 * (i + 1)) // 4294967296] when k = 1 + (s3 * (i + 1)) // 4294967296 then a[i + 1] else x end), i - 1, s3
+  from (select *, {_next("s")[2]} as s3 from (select *, {_next("s")[1]} as s2 from (select *, {_next("s")[0]} as s1 from r where i > 0))))
+select o_custkey, array_to_string(a, ',') as shuffled from r where i <= 0"""
+)
+def shuffled_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders in the fixed shuffle of lists."""
+    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("a"))
+    return lists.select("o_custkey", F.array_join(markup.shuffled(F.col("a")).cast("array<string>"), ",").alias("shuffled"))

@@ -389,3 +389,18 @@ def test_shop_photos(spark):
     shown = spark.createDataFrame([(p, "s.com", u) for p in range(6) for u in ("https://s.com/logo.png", f"https://s.com/p{p}.jpg")] + [(9, "t.com", "https://s.com/logo.png")], "page int, store string, photo string")
     left = {(r.page, r.photo[14:]) for r in gallery.without_shop_photos(shown).collect()}
     assert left == {(p, f"p{p}.jpg") for p in range(6)} | {(9, "logo.png")}
+
+
+def test_fixed_shuffle(spark):
+    def brute(a):
+        s, a = 0x4A3F2E1D, list(a)
+        for i in range(len(a) - 1, 0, -1):
+            s = (s ^ (s << 13)) & 0xFFFFFFFF
+            s = (s ^ ((s - (1 << 32) if s >> 31 else s) >> 17)) & 0xFFFFFFFF
+            s = (s ^ (s << 5)) & 0xFFFFFFFF
+            j = int(s / 0x100000000 * (i + 1))
+            a[i], a[j] = a[j], a[i]
+        return a
+
+    rows = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 2, 3, 10, 57)] + [(None,)], "a array<int>").select("a", markup.shuffled(F.col("a")).alias("s")).collect()
+    assert all(r.s == (None if r.a is None else brute(r.a)) for r in rows)
