@@ -9,7 +9,7 @@ Each step looks only at rows that the one before couldn't tell apart:
    (SHA-256), and equal hashes are groups of equal texts.
 
 Texts are never shuffled. What survives a step is kept as a bitmap, a Bloom
-filter with one hash, of at most PLACES words of 64 bits, which is broadcast and
+filter with one hash and a bounded size (`tables.bitmap`), which is broadcast and
 looked up while the rows are read again: a row that passes by chance costs a
 needless hash and nothing else. Groups of very many rows are joined to their
 rows by a broadcast whose number of rows is bounded. Everything is DataFrame
@@ -21,13 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import joined_to_groups, settled
+from .tables import bitmap, joined_to_groups, settled, tested
 from .words import GAP
 
 #: Characters of a text that its prefix hash covers.
 PREFIX = 64
-#: Words of 64 bits in a bitmap, at most: some 30 MB when broadcast.
-PLACES = 1 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -35,26 +33,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), GAP, " ")
 
 
-def _place(of: Column) -> Column:
-    return F.shiftrightunsigned(of, 6).bitwiseAND(F.lit(PLACES - 1)).cast("int")
-
-
-def _bitmap(groups: DataFrame, columns: list[str]) -> DataFrame:
-    """(place, word): the bits of all `groups`, in PLACES rows at most."""
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    marks = groups.select(F.xxhash64(*columns).alias("h")).select(_place(F.col("h")).alias("place"), bit.alias("bit"))
-    return marks.groupBy("place").agg(F.bit_or("bit").alias("word"))
-
-
-def _tested(rows: DataFrame, bitmap: DataFrame, columns: list[str]) -> DataFrame:
-    """`rows` with `passed`, true for all rows whose `columns` are in the bitmap
-    and for few others."""
-    probed = rows.withColumn("h", F.xxhash64(*columns)).withColumn("place", _place(F.col("h")))
-    found = probed.join(F.broadcast(bitmap), "place", "left")
-    bit = F.expr("shiftrightunsigned(word, cast(h & 63 as int)) & 1L")
-    return found.withColumn("passed", F.coalesce(bit == 1, F.lit(False))).drop("h", "place", "word")
-
-
 def _repeated(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop("n")
 
@@ -63,9 +41,9 @@ def _survivors(texts: DataFrame) -> DataFrame:
     """The bitmap of (length, prefix) that two rows or more of texts (text) share."""
     outline = F.octet_length("text").alias("length"), F.xxhash64(F.substring("text", 1, PREFIX)).alias("prefix")
     outlines = settled(texts.select(*outline), "outlines")
-    lengths = _bitmap(_repeated(outlines, ["length"]), ["length"])
-    close = _tested(outlines, lengths, ["length"]).filter("passed").select("length", "prefix")
-    return _bitmap(_repeated(close, ["length", "prefix"]), ["length", "prefix"])
+    lengths = bitmap(_repeated(outlines, ["length"]), ["length"])
+    close = tested(outlines, lengths, ["length"]).filter("passed").select("length", "prefix")
+    return bitmap(_repeated(close, ["length", "prefix"]), ["length", "prefix"])
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "keep_id", digest: str | None = None) -> DataFrame:
@@ -89,9 +67,9 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k
         raise ValueError(f"columns of one name among {names}")
     rows = docs.select(F.col(key).alias("key"), normalised(F.col(text)).alias("text"))
     outlined = rows.withColumns({"length": F.octet_length("text"), "prefix": F.xxhash64(F.substring("text", 1, PREFIX))})
-    tested = _tested(outlined, _survivors(rows.select("text")), ["length", "prefix"])
+    marked = tested(outlined, _survivors(rows.select("text")), ["length", "prefix"])
     full = F.unhex(F.sha2("text", 256))
-    hashed = tested.select("key", "passed", (full if digest else F.when(F.col("passed"), full)).alias("hash"))
+    hashed = marked.select("key", "passed", (full if digest else F.when(F.col("passed"), full)).alias("hash"))
     # A row's number lives in what is written, so that it stays what it was.
     hashed = settled(hashed.withColumn("row", F.monotonically_increasing_id()), "hashed")
 

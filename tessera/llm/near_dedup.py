@@ -50,7 +50,8 @@ from pyspark.sql import functions as F
 from .arrowmap import mapped, text_slices
 from .graph import components
 from .shingles import mix, shingle_sets
-from .tables import sent_if_small, settled
+from . import tables
+from .tables import bitmap, sent_if_small, settled, tested
 
 #: Similarity, in per cent, from which documents are linked.
 LINK_PERCENT = 80
@@ -373,7 +374,12 @@ def _links(found: DataFrame, classes: DataFrame, rows: DataFrame, percent: int)
     of_rows = classes.select("doc", F.col("key").alias("of_key"), F.col("text_id").alias("of_text"))
     groups = settled(whole.union(parted).join(of_rows, "doc"), "groups")
     same = F.col("key").eqNullSafe(F.col("of_key")) & (F.col("text_id") == F.col("of_text"))
-    texts = rows.join(sent_if_small(groups, groups.count()), same).select("group", "doc", "text")
+    grouped = groups.count()
+    if grouped > tables.BROADCAST_ROWS:
+        # Texts are about to be shuffled: first leave out those of no group.
+        marks = bitmap(groups.select(F.col("of_key").alias("key"), F.col("of_text").alias("text_id")), ["key", "text_id"])
+        rows = tested(rows, marks, ["key", "text_id"]).filter("passed").drop("passed")
+    texts = rows.join(sent_if_small(groups, grouped), same).select("group", "doc", "text")
     return settled(_confirmed(texts, percent), "links"), parted.isEmpty()
 
 
@@ -438,10 +444,21 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     """
     judged = settled(near_duplicates(docs, key, text, percent).select(F.col(key).alias("its_key"), F.col("text_id").alias("its_text"), "kept"), "judged")
 
+    own = [F.col(key).cast("long"), F.xxhash64(F.col(text).cast("string"))]
+
     def rows_of(some: DataFrame, how: str) -> DataFrame:
-        some = sent_if_small(some, some.count())
-        its = docs[key].cast("long").eqNullSafe(some["its_key"])
-        return docs.join(some, its & (F.xxhash64(docs[text].cast("string")) == some["its_text"]), how)
+        n = some.count()
+
+        def joined(rows: DataFrame) -> DataFrame:
+            its = rows[key].cast("long").eqNullSafe(some["its_key"])
+            return rows.join(sent_if_small(some, n), its & (F.xxhash64(rows[text].cast("string")) == some["its_text"]), how)
+
+        if n <= tables.BROADCAST_ROWS:
+            return joined(docs)
+        # Only rows that may be among `some` are shuffled.
+        marked = tested(docs.select(F.struct(*docs.columns).alias("row"), F.struct(*own).alias("own")), bitmap(some, [F.struct("its_key", "its_text")]), ["own"])
+        may, not_ = (marked.filter(F.col("passed") == yes).select("row.*") for yes in (True, False))
+        return joined(may).unionByName(not_) if how == "left_anti" else joined(may)
 
     pairs = judged.groupBy("its_key", "its_text", "kept").count()
     # Not kept, or more than once there.

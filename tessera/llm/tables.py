@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few numbers up to which a table is broadcast (some 30 MB).
@@ -75,3 +75,30 @@ def joined_to_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, spr
     marked = marked.withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 16))).cast("int"))
     joined = marked.join(cold, (F.col(on) == F.col("group_on")) & (F.col("salt") == F.col("group_salt")), "left")
     return joined.select(*(F.col(c) for c in rows.columns), *(F.coalesce(F.col("hot")[c], F.col("group")[c]).alias(c) for c in carried))
+
+
+#: Words of 64 bits in a bitmap, at most: some 30 MB when broadcast.
+PLACES = 1 << 20
+
+
+def _bits(columns: list) -> tuple[Column, Column]:
+    """The word and the bit of rows in a bitmap."""
+    of = F.xxhash64(*columns)
+    return F.shiftrightunsigned(of, 6).bitwiseAND(F.lit(PLACES - 1)).cast("int"), of.bitwiseAND(F.lit(63)).cast("int")
+
+
+def bitmap(groups: DataFrame, columns: list) -> DataFrame:
+    """(bitmap_place, bitmap_word): the bits of all rows of `groups` by their
+    `columns`, in PLACES rows at most, however many rows there are."""
+    place, bit = _bits(columns)
+    marks = groups.select(place.alias("bitmap_place"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+    return marks.groupBy("bitmap_place").agg(F.bit_or("bit").alias("bitmap_word"))
+
+
+def tested(rows: DataFrame, marked: DataFrame, columns: list) -> DataFrame:
+    """`rows` with `passed`: true for all rows whose `columns` are in the bitmap,
+    and, where that is full, for others. The bitmap is broadcast."""
+    place, bit = _bits(columns)
+    found = rows.join(F.broadcast(marked), place == F.col("bitmap_place"), "left")
+    own = F.call_function("shiftrightunsigned", F.col("bitmap_word"), bit).bitwiseAND(F.lit(1).cast("long"))
+    return found.withColumn("passed", F.coalesce(own == 1, F.lit(False))).drop("bitmap_place", "bitmap_word")

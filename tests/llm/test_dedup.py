@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tessera.llm import decontaminate, near_dedup, suffix_array, suffix_dedup
+from tessera.llm import decontaminate, near_dedup, suffix_array, suffix_dedup, tables
 from tessera.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -271,3 +271,15 @@ def test_repeats_in_long_texts(spark):
     rows = [(1, filler(100) + passage), (2, filler(at_edge) + passage + filler(700_000) + passage[:60]), (3, passage[200:])]
     found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), buckets=3).collect()
     assert sorted(((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in found), key=str) == brute_repeats(rows)
+
+
+def test_large_groups_are_filtered_before_texts_move(spark, monkeypatch):
+    rng = random.Random(4)
+    page = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*page, f"x{k}"]) for k in range(6)] + [" ".join(f"o{k}.{j}" for j in range(rng.randint(3, 30))) for k in range(30)] + ["", None, "o0.0"]
+    rows = [(k, t, "clash") for k, t in enumerate(texts)] + [(0, texts[0], "clash"), (None, texts[1], "clash"), (7, None, "clash"), (7, texts[7], "clash"), (7, texts[7], "clash")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, passed string")
+    told = lambda df: sorted(map(repr, df.collect()))
+    kept, judged = told(near_dedup.one_of_each(docs)), told(near_dedup.near_duplicates(docs))
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    assert told(near_dedup.near_duplicates(docs)) == judged and told(near_dedup.one_of_each(docs)) == kept

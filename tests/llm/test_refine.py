@@ -66,7 +66,7 @@ def test_exact_duplicates_read_full_content_of_few(spark):
     bitmap = exact_dedup._survivors(texts)
     assert bitmap.count() == 1
     outlined = texts.withColumns({"length": F.octet_length("text"), "prefix": F.xxhash64(F.substring("text", 1, exact_dedup.PREFIX))})
-    assert {r.text for r in exact_dedup._tested(outlined, bitmap, ["length", "prefix"]).filter("passed").collect()} == {"twice"}
+    assert {r.text for r in tables.tested(outlined, bitmap, ["length", "prefix"]).filter("passed").collect()} == {"twice"}
 
 
 def brute_codes(vectors, parts=16, entries=64, rounds=2):
