@@ -124,3 +124,21 @@ def part_dark_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a label with a colour is dark."""
     groups = colour.group_names(F.col("label"))
     return _labelled(spark, sf_dir).filter(F.size(groups) > 0).select("p_partkey", colour.is_dark(F.array("label"), groups).alias("dark"))
+
+
+# Two labels of each part: one as above, one of two words of its own, or none.
+_TWO = f"select 2 * p_partkey as id, case when p_size % 11 = 0 then '' else label end as label from ({LABELS_SQL}) join part on p_partkey = id union all select 2 * p_partkey + 1, case when p_size % 7 = 0 then '' when p_size % 4 = 0 then upper(split_part(p_name, ' ', 1)) else (select {_WORDS_SQL})[1 + (p_partkey * 7 + p_size) % {len(WORDS)}] || '  ' || split_part(p_name, ' ', 1) end from part"
+
+
+@R.query(
+    f"with {read(_TWO)}, told as (select labels.id, trim(regexp_replace(lower(label), '\\s+', ' ', 'g')) as t, list_distinct(list(base) filter (where rank = 0 and base is not null)) as s, arg_max(base, (-rank, place)) as c from labels left join hits using (id) group by labels.id, label), "
+    + "both_ as (select a.id // 2 as p_partkey, a.t as x, b.t as y, coalesce(a.s, []) as sx, coalesce(b.s, []) as sy, a.c as cx, b.c as cy from told a join told b on b.id = a.id + 1 where a.id % 2 = 0) "
+    + "select p_partkey, case when x = '' and y = '' then 'none' when x = '' or y = '' then 'unknown' when x = y then 'same' when len(sx) > 0 and len(sy) > 0 then case when not (list_has_all(sx, sy) or list_has_all(sy, sx)) then 'different' when len(sx) = len(sy) then 'near' else 'partial' end when cx = cy then 'near' else 'different' end as relation from both_"
+)
+def colour_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two labels of a part relate."""
+    pick = F.get(F.array(*map(F.lit, WORDS)), (F.expr("p_partkey * 7 + p_size") % len(WORDS)).cast("int"))
+    word = F.split_part("p_name", F.lit(" "), F.lit(1))
+    one = F.when(F.col("p_size") % 11 == 0, "").otherwise(_label())
+    other = F.when(F.col("p_size") % 7 == 0, "").when(F.col("p_size") % 4 == 0, F.upper(word)).otherwise(F.concat(pick, F.lit("  "), word))
+    return table(spark, sf_dir, "part").select("p_partkey", one.alias("a"), other.alias("b")).select("p_partkey", colour.relation(F.col("a"), F.col("b")).alias("relation"))

@@ -79,12 +79,17 @@ def two_pass_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.agg(F.count(F.lit(1)).alias("tagged"), F.sum("toxic").cast("long").alias("right_"), F.count_if(good).alias("tagged_in_good"), F.coalesce(F.sum(F.when(good, F.col("toxic"))), F.lit(0)).cast("long").alias("right_in_good"))
 
 
-@R.query("select doc_id, case doc_id % 3 when 0 then '80% wool, 20% polyamide' when 1 then '100% cotton' else '' end as composition, case doc_id % 3 when 0 then 'Wool mix' when 1 then 'Cotton' end as material from documents")
+@R.query(
+    "with n as (select doc_id, 1 + n_chars % 99 as p, lang, source from documents) select doc_id, case doc_id % 3 when 0 then p || '% wool, ' || (100 - p) || '% polyamide' when 1 then '100% cotton' else '' end as composition, "
+    + "case doc_id % 3 when 0 then lang || ' mix' when 1 then coalesce(source, 'Cotton') end as material from n"
+)
 def document_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fibres with their percentages, and a value out of a list of specs."""
-    k = F.col("doc_id") % 3
-    said = F.when(k == 0, "20% off! 80 % Wool, 20% polyamide and 5% elastane").when(k == 1, "100% cotton 30% linen").otherwise("none")
-    specs = F.array(F.struct(F.lit("Care").alias("key"), F.lit("cold").alias("value")), F.struct(F.when(k == 2, "Weight").otherwise("Fabric:").alias("key"), F.when(k == 0, "Wool mix").otherwise("Cotton").alias("value")))
+    k, p = F.col("doc_id") % 3, 1 + F.col("n_chars") % 99
+    mixed = F.concat(F.lit("20% off! "), p.cast("string"), F.lit(" % Wool, "), (100 - p).cast("string"), F.lit("% polyamide and 5% elastane"))
+    said = F.when(k == 0, mixed).when(k == 1, "100% cotton 30% linen").otherwise("none")
+    value = F.when(k == 0, F.concat("lang", F.lit(" mix"))).otherwise(F.coalesce("source", F.lit("Cotton")))
+    specs = F.array(F.struct(F.lit("Care").alias("key"), F.lit("cold").alias("value")), F.struct(F.when(k == 2, "Weight").otherwise("Fabric:").alias("key"), value.alias("value")))
     return table(spark, sf_dir, "documents").select("doc_id", text.composition(said).alias("composition"), text.spec_value(specs, "material").alias("material"))
 
 

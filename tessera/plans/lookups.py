@@ -66,12 +66,20 @@ def name_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select("r_regionkey", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("logos"))
 
 
-TREE = [("Tops", "Polo Shirts", "tops"), ("Tops", "T-Shirts", "tops"), ("Shoes", "Boots & Heels", "footwear"), ("Shoes", "Sneakers", "footwear"), ("Bags", "Bags", "bags")]
-TITLES = ["long polo shirt", "heel in suede", "sneaker low", "two bags", "hat"]
-LABELS = ["Polo Shirts", "Boots & Heels", "Sneakers", "Bags", None]
-
-
-@R.query(f"select p_partkey, {_sql_case('p_partkey', LABELS)} as label, {_sql_case('p_partkey', ['Tops', 'Shoes', 'Shoes', 'Bags', None])} as grp from part")
+TREE = [("Tops", "Polo Shirts", "tops"), ("Tops", "T-Shirts", "tops"), ("Shoes", "Boots & Heels", "footwear"), ("Shoes", "Sneakers", "footwear"), ("Bags", "Bags", "bags"), ("Home", "Small Rings", "home"), ("Home", "Widgets", "home"), ("Home", "Hot Gears & Bolts", "home")]
+TITLED = ["polo shirt", "heel", "t shirts", "two bags", "hat", "sneaker", "boots", "shirt polo"]
+_TITLE_SQL = "lower(p_name || ' ' || (select [" + ", ".join(f"'{t}'" for t in TITLED) + f"])[1 + p_partkey % {len(TITLED)}] || ' ' || (select [" + ", ".join(f"'{t}'" for t in TITLED) + f"])[1 + p_size % {len(TITLED)}])"
+# A word and its singular spellings.
+_FORMS = "list_distinct(list_filter([{0}, case when {0} like '%ies' and length({0}) > 4 then {0}[:-4] || 'y' end, case when {0} like '%es' and length({0}) > 3 then {0}[:-3] end, case when {0} like '%s' and {0} not like '%ss' and length({0}) > 3 then {0}[:-2] end], lambda f: f is not null))"
+
+
+@R.query(
+    "with t(grp, label) as (values " + ", ".join(f"('{g}', '{n}')" for g, n, _ in TREE) + "), halves as (select grp, label, unnest(string_split(label, ' & ')) as half from t), "
+    + f"l as (select *, list_transform(list_filter(regexp_split_to_array(lower(half), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: {_FORMS.format('x')}) as forms from halves), "
+    + f"p as (select p_partkey, flatten(list_transform(regexp_split_to_array({_TITLE_SQL}, '[^a-z0-9]+'), lambda x: {_FORMS.format('x')})) as own from part), "
+    + "hits as (select p_partkey, label, grp, len(forms) as n, length(half) as size from p join l on len(list_filter(forms, lambda f: not list_has_any(f, own))) = 0), "
+    + "best as (select p_partkey, arg_max(label, (n, size, label)) as label, arg_max(grp, (n, size, label)) as grp from hits group by p_partkey) select part.p_partkey, label, grp from part left join best using (p_partkey)"
+)
 def subcategory_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label of a tree whose words, in any number, stand in a title; the
     one with most words; either half of an "A & B" label will do. Titles and
@@ -79,17 +87,20 @@ def subcategory_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = lambda words: F.flatten(F.transform(words, kinds.word_forms))
     labels = spark.createDataFrame(TREE, "grp string, label string, bucket string").withColumn("half", F.explode(F.split("label", " & ")))
     labels = labels.withColumn("words", F.filter(F.split(F.lower("half"), "[^a-z0-9]+"), lambda w: w != "")).withColumn("word", F.explode(F.array_distinct(forms(F.slice("words", 1, 1)))))
-    titles = table(spark, sf_dir, "part").select("p_partkey", F.split(F.lower(_case("p_partkey", TITLES)), "[^a-z0-9]+").alias("own")).withColumn("own", F.array_distinct(forms(F.col("own"))))
+    pick = lambda n: F.get(F.array(*map(F.lit, TITLED)), (F.expr(n) % len(TITLED)).cast("int"))
+    title = F.concat_ws(" ", "p_name", pick("p_partkey"), pick("p_size"))
+    titles = table(spark, sf_dir, "part").select("p_partkey", F.split(F.lower(title), "[^a-z0-9]+").alias("own")).withColumn("own", F.array_distinct(forms(F.col("own"))))
     hits = titles.withColumn("word", F.explode("own")).join(F.broadcast(labels), "word")
     full = hits.filter(F.forall("words", lambda w: F.arrays_overlap(kinds.word_forms(w), F.col("own"))))
     best = full.groupBy("p_partkey").agg(F.max_by(F.struct("label", "grp"), F.struct(F.size("words"), F.length("half"), "label")).alias("b"))
     return titles.select("p_partkey").join(best, "p_partkey", "left").select("p_partkey", "b.label", "b.grp")
 
 
-@R.query("with t as (select unnest([{'g': 'Tops', 'b': 'tops', 'n': 2}, {'g': 'Shoes', 'b': 'footwear', 'n': 2}, {'g': 'Bags', 'b': 'bags', 'n': 1}]) as t) select t.b as bucket, t.g as grp, t.n::bigint as n_labels, case when t.n = 1 then 'Bags' end as single_label from t")
+@R.query("with t as (select distinct p_type as grp, p_brand || '/' || p_size as bucket, p_name as label from part), n as (select bucket, grp, count(*) as n_labels, min(label) as least from t group by all) select bucket, grp, n_labels, case when n_labels = 1 then least end as single_label from n")
 def tree_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bucket to group and labels; a bucket's only label stands for it."""
-    t = spark.createDataFrame(TREE, "grp string, label string, bucket string")
+    """A tree's buckets with their groups and labels; a bucket's only label
+    stands for it."""
+    t = table(spark, sf_dir, "part").select(F.col("p_type").alias("grp"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("bucket"), F.col("p_name").alias("label")).distinct()
     return t.groupBy("bucket", "grp").agg(F.count(F.lit(1)).alias("n_labels"), F.when(F.count(F.lit(1)) == 1, F.min("label")).alias("single_label"))
 
 

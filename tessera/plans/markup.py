@@ -15,13 +15,14 @@ from .registry import Registry
 
 R = Registry()
 
-MARKUP = '<div itemprop="name">Red <b>Coat</b></div><meta itemprop="price" content="12"><meta property="og:image" content="a.jpg"><meta property="og:image" content="b.jpg"><img src="a.jpg"><img data-src="c.jpg"><div style="background-image: url(\'d.jpg\')"></div><img srcset="e,1.jpg 1x, f.jpg 2x">'
+MARKUP = '<div itemprop="name">Red <b>Coat</b> {n}</div><meta itemprop="price" content="{n}"><meta property="og:image" content="https://{h}/a{n}.jpg"><meta property="og:image" content="b.jpg"><img src="https://{h}/a{n}.jpg"><img data-src="c{n}.jpg"><div style="background-image: url(\'d.jpg\')"></div><img srcset="e,{n}.jpg 1x, f.jpg 2x">'
 
 
-@R.query("select page_id, 'Red Coat' as name, '12' as price, 'a.jpg,b.jpg' as metas, 'a.jpg,c.jpg,d.jpg,e,1.jpg,f.jpg' as images from pages")
+@R.query(sql("with p as (select page_id, {host} as h, page_id::varchar as n from pages) select page_id, 'Red Coat ' || n as name, n as price, 'https://' || h || '/a' || n || '.jpg,b.jpg' as metas, 'https://' || h || '/a' || n || '.jpg,c' || n || '.jpg,d.jpg,e,' || n || '.jpg,f.jpg' as images from p"))
 def page_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Microdata, repeated meta tags, and photos from all kinds of tags."""
-    h = F.concat(F.lit(MARKUP), F.col("html"))
+    put = F.replace(F.replace(F.lit(MARKUP), F.lit("{n}"), F.col("page_id").cast("string")), F.lit("{h}"), urls.store_host(F.col("url")))
+    h = F.concat(put, F.col("html"))
     m = markup.microdata(h)
     return table(spark, sf_dir, "pages").select("page_id", m["name"].alias("name"), m["price"].alias("price"), F.array_join(markup.all_meta(h, "og:image"), ",").alias("metas"), F.array_join(markup.image_candidates(h), ",").alias("images"))
 

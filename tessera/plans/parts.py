@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import brand, codes, colour, kinds, money
+from ..functions import brand, codes, kinds, money
 from ..operators import catalogue
 from ..sources.tables import table
 from .registry import Registry
@@ -16,12 +16,24 @@ from .registry import Registry
 R = Registry()
 
 
-@R.query("select p_partkey, case when p_partkey % 3 = 0 then 'unisex' when p_partkey % 3 = 1 then 'women' end as stated, case when p_partkey % 3 = 0 then 'women' when p_partkey % 3 = 1 then 'women' end as first_word from part")
+WHO = ["for Women", "Men's", "ladies and gents", "Unisex", "herren", "boys", "women/men", "plain", "femme", "genderless tee", "female fit"]
+_WHO_SQL = "lower(p_name || ' ' || (select [" + ", ".join("'" + w.replace("'", "''") + "'" for w in WHO) + f"])[1 + (p_partkey * 3 + p_size) % {len(WHO)}])"
+# Words as such, as this dialect has no word boundary beside an apostrophe worth relying on.
+_HAS = "len(list_filter(regexp_split_to_array({t}, '[^a-z0-9]+'), lambda x: x in ({words}))) > 0"
+_QUOTED = lambda words: ", ".join(f"'{w}'" for w in words.split())
+
+
+@R.query(
+    f"with t as (select p_partkey, {_WHO_SQL} as t from part), f as (select *, {_HAS.format(t='t', words=_QUOTED('women womens female ladies femme damen'))} as w, {_HAS.format(t='t', words=_QUOTED('men mens male gents homme herren'))} as m, "
+    + f"{_HAS.format(t='t', words=_QUOTED('women womens girl'))} or contains(t, 'female') or contains(t, 'ladies') or contains(t, 'femme') as w1, {_HAS.format(t='t', words=_QUOTED('men mens male'))} or regexp_matches(t, '(^|[^a-z0-9])boy') or contains(t, 'homme') as m1 from t) "
+    + "select p_partkey, case when contains(t, 'unisex') or contains(t, 'genderless') or (w and m) then 'unisex' when w then 'women' when m then 'men' end as stated, case when w1 then 'women' when m1 then 'men' when contains(t, 'unisex') then 'unisex' end as first_word from f"
+)
 def part_gender(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both genders are unisex where a text is read as a statement; the first
     that matches counts in free text."""
-    said = F.when(F.col("p_partkey") % 3 == 0, "for Women and Men").when(F.col("p_partkey") % 3 == 1, "ladies").otherwise("all")
-    return table(spark, sf_dir, "part").select("p_partkey", kinds.read_gender(said).alias("stated"), kinds.gender(said).alias("first_word"))
+    said = F.concat_ws(" ", "p_name", F.get(F.array(*map(F.lit, WHO)), ((F.col("p_partkey") * 3 + F.col("p_size")) % len(WHO)).cast("int")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", said.alias("said"))
+    return rows.select("p_partkey", kinds.read_gender(F.col("said")).alias("stated"), kinds.gender(F.col("said")).alias("first_word"))
 
 
 @R.query("with d as (select p_partkey, lpad(p_partkey::varchar, 11, '7') as body from part), s as (select p_partkey, body, (select sum(x::int * case when i % 2 = 1 then 3 else 1 end) from (select unnest(string_split(body, '')) as x, generate_subscripts(string_split(body, ''), 1) as i)) as s from d), c as (select p_partkey, body || case when p_partkey % 2 = 0 then ((10 - s % 10) % 10)::varchar else '0' end as code, (10 - s % 10) % 10 as want from s) select p_partkey, case when right(code, 1)::int = want then code else '' end as gtin, regexp_replace(code, '^0+', '') as gtin_key from c")
@@ -239,14 +251,6 @@ def word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("word", F.size(kinds.word_forms(F.col("word"))).cast("int").alias("n"))
 
 
-@R.query("select p_partkey, case p_partkey % 6 when 0 then 'same' when 1 then 'near' when 2 then 'partial' when 3 then 'different' when 4 then 'unknown' else 'near' end as relation from part")
-def colour_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How two labels relate, one case after the other."""
-    pairs = [("Core  Black", "core black"), ("White/Grey", "grey white leather"), ("black", "black white"), ("red", "blue"), ("red", ""), ("stone", "sand")]
-    one = lambda side: F.element_at(F.array(*(F.lit(p[side]) for p in pairs)), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", colour.relation(one(0), one(1)).alias("relation"))
-
-
 STYLE_LIST = "[" + ", ".join(f"'{x}'" for x in kinds.STYLES) + "]"
 
 

@@ -24,15 +24,23 @@ def _sql_case(key: str, values: list) -> str:
     return f"case {key} % {len(values)} " + " ".join(f"when {k} then {shown(v)}" for k, v in enumerate(values)) + " end"
 
 
-PHOTOS = ["https://www.cdn.shopify.com/s/files/1/23/products/Coat_grande.JPG?v=1", "https://cdn.shopify.com/s/files/1/23/products/coat.jpg", "https://x.com/wp-content/uploads/coat-300x400.png", "https://x.com/i/coat@2x.jpg.webp", "https://x.com/i/placeholder.png"]
-KEYS = ["shopify/products/coat", "shopify/products/coat", "x.com/wp-content/uploads/coat", "x.com/i/coat@2x", "x.com/i/placeholder"]
+# One photo in several spellings, named after the part.
+PHOTOS = [
+    "https://www.cdn.shopify.com/s/files/1/{s}/products/{w}-{k}_grande.JPG?v={s}", "https://cdn.shopify.com/s/files/1/9/products/{w}-{k}.jpg", "https://x{s}.com/wp-content/uploads/{w}-{k}-300x400.png",
+    "https://www.x{s}.com/i/{w}{k}@2x.jpg.webp", "https://x{s}.com/i/{w}-placeholder.png", "https://res.img.com/acc{s}/image/upload/w_{k},c_fill/v1/{w}/{k}.jpg", "https://x{s}.com/{w}/logo.svg",
+]
+KEYS = ["'shopify/products/' || w || '-' || k", "'shopify/products/' || w || '-' || k", "'x' || s || '.com/wp-content/uploads/' || w || '-' || k", "'x' || s || '.com/i/' || w || k || '@2x'", "'x' || s || '.com/i/' || w || '-placeholder'", "'res.img.com/acc' || s || '/' || w || '/' || k", "'x' || s || '.com/' || w || '/logo.svg'"]
 
 
-@R.query(f"select p_partkey, {_sql_case('p_partkey', KEYS)} as image_key, p_partkey % 5 = 4 as placeholder from part")
+@R.query(
+    "with n as (select p_partkey, split_part(p_name, ' ', 2) as w, p_partkey as k, p_size as s from part) select p_partkey, case p_partkey % 7 " + " ".join(f"when {n} then {k}" for n, k in enumerate(KEYS)) + " end as image_key, p_partkey % 7 in (4) as placeholder from n"
+)
 def photo_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What photo an address shows, and addresses that show none."""
-    u = _case("p_partkey", PHOTOS)
-    return table(spark, sf_dir, "part").select("p_partkey", photos.image_key(u).alias("image_key"), photos.is_placeholder(u).alias("placeholder"))
+    fill = lambda c, name, value: F.replace(c, F.lit("{" + name + "}"), value.cast("string"))
+    u = fill(fill(fill(_case("p_partkey", PHOTOS), "s", F.col("p_size")), "w", F.split_part("p_name", F.lit(" "), F.lit(2))), "k", F.col("p_partkey"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", u.alias("u"))
+    return rows.select("p_partkey", photos.image_key(F.col("u")).alias("image_key"), photos.is_placeholder(F.col("u")).alias("placeholder"))
 
 
 UPLOADS = "'https://img.x.com/acct/image/upload/'"
