@@ -115,9 +115,16 @@ def real_brand(value: Column) -> Column:
 
 
 def position_in(text: Column, brand: Column) -> Column:
-    """Where a brand stands in a text as words of its own; -1 if it doesn't."""
-    spaced = F.concat(F.lit(" "), F.regexp_replace(fold(text), r"[^\p{L}\p{N}]", " "), F.lit(" "))
-    return F.call_function("instr", spaced, F.concat(F.lit(" "), F.regexp_replace(fold(brand), r"[^\p{L}\p{N}]", " "), F.lit(" "))) - 1
+    """Where a brand stands in a folded text as words of its own, not as half
+    of a hyphenated one; -1 if it doesn't."""
+
+    def found(v: Column) -> Column:
+        spelled = F.regexp_replace(F.regexp_replace(v["brand"], r"([.*+?^${}()|\[\]\\])", r"\\$1"), " ", r"\\s+")
+        alone = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?<![\p{L}\p{N}][-‐–])"), spelled, F.lit(r"(?![\p{L}\p{N}])(?![-‐–][\p{L}\p{N}])"))
+        there = (v["brand"] != "") & F.contains(v["text"], F.substring_index(v["brand"], " ", 1))
+        return F.when(there, F.regexp_instr(v["text"], alone).cast("int") - 1).otherwise(-1)
+
+    return let(F.struct(fold(text).alias("text"), fold(brand).alias("brand")), found)
 
 
 def model_word(name: Column, brand: Column) -> Column:

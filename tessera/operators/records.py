@@ -86,13 +86,19 @@ def decided_brand(said: Column, in_name: Column, from_model: Column, name: Colum
     return let(facts, decided)
 
 
+# Fixed value: whom a piece is for, as names open with it.
+LEADING = r"^(?:(?:men|women|kids?|boys?|girls?|unisex|toddlers?|baby|youth)(?:['’]s|s['’]|s)?\s+)*"
+
+
 def brands_in_names(names: DataFrame, brands: DataFrame, key: str, name: str, known: str) -> DataFrame:
     """(key, brand) of the known brand that a name states first, the longest of
-    equal ones; short brands only at the front. Names and brands meet on the
-    brand's first word, so no name is compared with every brand."""
+    equal ones; brands of three letters or fewer only at the front, behind whom
+    the piece is for. Names and brands meet on the brand's first word, so no
+    name is compared with every brand."""
     folded = names.select(key, F.col(name).alias("the_name"), F.explode_outer(F.array_distinct(F.filter(F.split(brand.fold(F.col(name)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("word"))
     listed = brands.select(F.col(known).alias("brand"), F.try_element_at(F.filter(F.split(brand.fold(F.col(known)), r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.lit(1)).alias("word")).filter("word is not null").distinct()
-    hits = folded.join(listed, "word").withColumn("at", brand.position_in(F.col("the_name"), F.col("brand"))).filter((F.col("at") >= 0) & ((F.length(urls.compact(F.col("brand"))) > 3) | (F.col("at") == 0)))
+    front = F.length(F.regexp_extract(brand.fold(F.col("the_name")), LEADING, 0))
+    hits = folded.join(listed, "word").withColumn("at", brand.position_in(F.col("the_name"), F.col("brand"))).filter((F.col("at") >= 0) & ((F.length(urls.compact(F.col("brand"))) > 3) | (F.col("at") == front)))
     return hits.groupBy(key).agg(F.min_by("brand", F.struct("at", -F.length("brand"), "brand")).alias("brand"))
 
 

@@ -66,12 +66,15 @@ def style_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.array_join(styles.inferred_styles(F.col("text")), ",").alias("styles"), styles.style_evidence(F.col("text"))["streetwear"].alias("evidence"))
 
 
-@R.query("select s_suppkey, case when s_suppkey % 2 = 0 then 'Farfetch' else 'Acme' end as shown from supplier")
+@R.query("select s_suppkey, case when s_suppkey % 3 = 0 then s_name when s_suppkey % 3 = 1 then 'Shop' || s_nationkey || 'x' else 'acme' || s_nationkey end as shown from supplier")
 def retailer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retailers that were given the brand's name get their own."""
-    url = F.when(F.col("s_suppkey") % 2 == 0, "https://www.farfetch.com/x").otherwise("https://acme.com/x")
-    fixed = markup.repaired_retailers(F.array(F.struct(F.lit("acme").alias("name"), url.alias("url"))), F.lit("Acme"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.initcap(fixed[0]["name"]).alias("shown"))
+    """Retailers that were given the brand's name get their own, but for the
+    brand's own site."""
+    k, nation = F.col("s_suppkey") % 3, F.col("s_nationkey").cast("string")
+    own = F.concat(F.lit("acme"), nation)
+    url = F.concat(F.lit("https://www."), F.when(k == 2, own).otherwise(F.concat(F.lit("shop"), nation, F.lit("x"))), F.lit(".co.uk/p"))
+    fixed = markup.repaired_retailers(F.array(F.struct(F.when(k == 0, F.col("s_name")).otherwise(own).alias("name"), url.alias("url"))), F.initcap(own))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", fixed[0]["name"].alias("shown"))
 
 
 @R.query("select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by md5('42:' || o_orderkey), o_orderkey) as place from orders")
@@ -92,14 +95,29 @@ def robots_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.allowed(pages.select(urls.store_host(u).alias("host"), asked.alias("path")).distinct(), rules)
 
 
-@R.query("select page_id, 'Tee' as group_name, 'Red' as color, 'S,M' as sizes, 10.0::double as least_price, 12.5::double as most_price, 'https://x.com/b' as other_colours, 'Men > Tees' as trail from pages")
+SHADES = ["Red", "Blue", "Ecru"]
+_SHADE = "(['Red', 'Blue', 'Ecru'])[1 + (page_id + {0}) % 3]"
+
+
+@R.query(
+    f"select page_id, 'Tee ' || page_id as group_name, case when page_id % 2 = 0 then {_SHADE.format(1)} else {_SHADE.format(0)} end as color, case when page_id % 2 = 0 then 'L' else 'S,M' end as sizes, "
+    + "(case when page_id % 2 = 0 then 9 + page_id % 5 else 10 + page_id % 90 end)::double as least_price, case when page_id % 2 = 0 then 9 + page_id % 5 else 12.5 + page_id % 90 end::double as most_price, "
+    + "case when page_id % 2 = 0 then 'https://x.com/a?v=' || page_id || ',https://x.com/b' else 'https://y.com/' || page_id end as other_colours, 'Men > Tees ' || page_id as trail from pages"
+)
 def page_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variant groups put into the pages: the first variant's colour, its
-    sizes and prices, the other colours' addresses, and the breadcrumbs."""
-    group = '{"@type":"ProductGroup","name":"Tee","hasVariant":[{"color":"Red","size":"S","url":"https://x.com/a?v=1","offers":{"price":"10"}},{"color":"Red","size":"M","url":"https://x.com/a","offers":{"price":"12,50"}},{"color":"Blue","size":"M","url":"https://x.com/b","offers":{"price":9}}]}'
-    crumbs = '{"@type":"BreadcrumbList","itemListElement":[{"position":2,"name":"Tees"},{"position":1,"item":{"name":"Men"}}]}'
-    block = "".join(f'<script type="application/ld+json">{b}</script>' for b in (group, crumbs))
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.lit(block), F.col("html")).alias("html"))
+    """Variant groups put into the pages: the variant that is the page's own,
+    else the first, with its colour's sizes and prices, the other colours'
+    addresses, and the breadcrumbs."""
+    n = F.col("page_id")
+    shade = lambda k: F.get(F.array(*map(F.lit, SHADES)), ((n + k) % 3).cast("int"))
+    text = lambda c: c.cast("string")
+    variant = lambda colour, size, url, price: F.struct(colour.alias("color"), F.lit(size).alias("size"), url.alias("url"), F.struct(text(price).alias("price")).alias("offers"))
+    other = F.when(n % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("https://y.com/"), text(n)))
+    variants = [variant(shade(0), "S", F.concat(F.lit("https://x.com/a?v="), text(n)), n % 90 + 10), variant(shade(0), "M", F.lit("https://x.com/b"), F.concat(text(n % 90 + 12), F.lit(",50"))), variant(shade(1), "L", other, n % 5 + 9)]
+    group = F.to_json(F.struct(F.lit("ProductGroup").alias("@type"), F.concat(F.lit("Tee "), text(n)).alias("name"), F.array(*variants).alias("hasVariant")))
+    crumbs = F.concat(F.lit('{"@type":"BreadcrumbList","itemListElement":[{"position":2,"name":"Tees '), text(n), F.lit('"},{"position":1,"item":{"name":"Men"}}]}'))
+    script = lambda c: F.concat(F.lit('<script type="application/ld+json">'), c, F.lit("</script>"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(script(group), script(crumbs), F.col("html")).alias("html"))
     shown = documents.shown_variants(documents.product_variants(pages, "page_id", "html"), pages, "page_id", "url")
     trail = pages.select("page_id", F.array_join(documents.breadcrumbs(F.col("html")), " > ").alias("trail"))
     return shown.join(trail, "page_id").select("page_id", "group_name", "color", F.array_join("sizes", ",").alias("sizes"), "least_price", "most_price", F.array_join("other_colours", ",").alias("other_colours"), "trail")

@@ -106,13 +106,18 @@ def same_code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b.withColumn("maker_b", brand.maker_key(F.col("brand_b"))), "k").filter("a < b").filter(piece.same_codes(none, none, F.col("mpn_a"), F.col("mpn_b"), F.col("brand_a"), F.col("brand_b"))).select("a", "b")
 
 
-@R.query("select p_partkey, 'nike' as brand from part where p_partkey % 2 = 0")
+KNOWN = ["Nikelane", "On", "Arket", "Studio Nord", "Ace"]
+_KNOWN_SQL = "(['Nikelane', 'On', 'Arket', 'Studio Nord', 'Ace'])[1 + p_partkey % 5]"
+
+
+@R.query(f"select p_partkey, {_KNOWN_SQL} as brand from part where p_size % 6 in (1, 5) or (p_size % 6 = 0 and length({_KNOWN_SQL}) > 3)")
 def brands_in_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The brand that a name states first; a hyphenated word isn't one, and a
-    short brand counts only at the front."""
-    names = table(spark, sf_dir, "part").select("p_partkey", _case("p_partkey", ["Shoe Nike On", "Market On Shoe"]).alias("name"))
-    known = spark.createDataFrame([("nike",), ("On",), ("Arket",)], "known string")
-    return records.brands_in_names(names, known, "p_partkey", "name", "known")
+    """The brand that a name states first, as words of its own, not as half
+    of a hyphenated one; a short brand counts only at the front, or behind whom the piece is for."""
+    b, form = _case("p_partkey", KNOWN), F.col("p_size") % 6
+    name = F.when(form == 0, F.concat_ws(" ", "p_name", F.upper(b))).when(form == 1, F.concat_ws(" ", F.lower(b), "p_name")).when(form == 2, F.concat(b, F.lit("-"), "p_name")).when(form == 3, F.concat(F.lit("x"), b, F.lit(" "), "p_name")).when(form == 5, F.concat_ws(" ", F.lit("Women's Kids"), b, "p_name")).otherwise(F.col("p_name"))
+    names = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
+    return records.brands_in_names(names, spark.createDataFrame([(k,) for k in KNOWN], "known string"), "p_partkey", "name", "known")
 
 
 DECIDED = [("GOAT", "Nike Dunk", "goat.com"), ("Acme", "Acme Tee", "shop.com"), ("30% Off", "Samba OG", "shop.com"), ("shop", "Nike Dunk", "shop.com"), ("Unknown", "Tee", "x.com")]

@@ -404,3 +404,12 @@ def test_fixed_shuffle(spark):
 
     rows = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 2, 3, 10, 57)] + [(None,)], "a array<int>").select("a", markup.shuffled(F.col("a")).alias("s")).collect()
     assert all(r.s == (None if r.a is None else brute(r.a)) for r in rows)
+
+
+def test_brands_as_words_of_their_own(spark):
+    cases = [("Pull-On Boot", "On", -1), ("On Cloud 5", "On", 0), ("Market", "Arket", -1), ("Кросівки Nike Air", "nike", 9), ("Levi's 501", "Levi's", 0), ("Acne  Studios Tee", "Acne Studios", 0), ("a+b", "A+B", 0), ("x", "", -1), (None, "x", -1)]
+    rows = spark.createDataFrame([(t, b) for t, b, _ in cases], "t string, b string").select(brand.position_in(F.col("t"), F.col("b")).alias("p")).collect()
+    assert [r.p for r in rows] == [p for *_, p in cases]
+    names = spark.createDataFrame([(1, "Women's On Cloud 5"), (2, "Ash Grey Hoodie Nike"), (3, "Pull-On Boot")], "id int, name string")
+    known = spark.createDataFrame([("On",), ("Nike",), ("Lee",)], "k string")
+    assert {r.id: r.brand for r in records.brands_in_names(names, known, "id", "name", "k").collect()} == {1: "On", 2: "Nike"}
