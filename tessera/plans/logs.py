@@ -122,10 +122,17 @@ def storefront_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "p.name", "p.price", "p.former_price", F.array_join("p.images", ",").alias("images"), F.array_join("p.sizes", ",").alias("sizes"), "p.available")
 
 
-@R.query("select doc_id, 2 as n_pieces, doc_id::varchar as first_id from documents")
+@R.query("select doc_id, (case when doc_id % 3 = 0 then 1 else 2 end + case when n_chars % 2 = 0 then 1 else 0 end)::int as n_pieces, case when doc_id % 3 = 0 then coalesce(source, 'b') || '-2' else doc_id::varchar end as first_id from documents")
 def shared_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Looks in an address: base64, JSON, and only valid pieces."""
-    body = F.concat(F.lit('[{"id":"'), F.col("doc_id").cast("string"), F.lit('","name":"a","image":"https://x/a.jpg"},{"id":"2","name":"b"},{"id":"3","name":"c","image":"ftp://x"}]'))
-    encoded = F.translate(F.base64(F.encode(body, "UTF-8")), "+/", "-_")
+    id_, image = F.col("doc_id").cast("string"), F.lit("https://x/a.jpg")
+    part = lambda key, name, photo: F.struct(key.alias("id"), name.alias("name"), photo.alias("image"))
+    pieces = F.array(
+        part(id_, F.lit("a"), F.when(F.col("doc_id") % 3 == 0, "ftp://x").otherwise(image)),
+        part(F.concat(F.coalesce("source", F.lit("b")), F.lit("-2")), F.coalesce("lang", F.lit("?")), image),
+        part(F.lit("3"), F.lit("c"), F.when(F.col("n_chars") % 2 == 0, image).otherwise("ftp://y")),
+        part(F.lit(None).cast("string"), F.lit("d"), image),
+    )
+    encoded = F.translate(F.base64(F.encode(F.to_json(pieces), "UTF-8")), "+/", "-_")
     p = table(spark, sf_dir, "documents").select("doc_id", documents.shared_look(encoded).alias("p"))
     return p.select("doc_id", F.size("p").alias("n_pieces"), F.col("p")[0]["id"].alias("first_id"))

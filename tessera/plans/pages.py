@@ -429,16 +429,28 @@ def store_title_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("host", "n_titles", F.when(F.col("n_titles") >= 3, cut).otherwise("").alias("suffix"))
 
 
-@R.query("select page_id, 0 as pos, 'piece ' || page_id as name, 'B' as brand, null as url, '4006381333931' as gtin, (page_id % 90 + 10)::varchar as price, 'EUR' as currency, false as in_list from pages union all select page_id, 1, 'other', null, null, null, null, null, true from pages")
+@R.query(
+    sql(
+        """with p as (select page_id, {host} as host, page_id % 3 as n from pages)
+select page_id, 0 as pos, 'piece ' || page_id as name, host as brand, null as url, '4006381333931' as gtin, (page_id % 90 + 10)::varchar as price, 'EUR' as currency, false as in_list from p
+union all select page_id, k, 'other ' || k, null, 'https://' || host || '/' || k, null, (page_id + k)::varchar, null, true from p, range(1, 4) as r(k) where k <= n"""
+    )
+)
 def page_product_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product nodes of JSON-LD put into the pages, walked breadth first."""
-    p = table(spark, sf_dir, "pages")
-    block = F.concat(
-        F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Product","name":"piece '), F.col("page_id").cast("string"),
-        F.lit('","brand":{"name":"B"},"gtin13":"4006381333931","offers":{"price":"'), (F.col("page_id") % 90 + 10).cast("string"),
-        F.lit('","priceCurrency":"EUR"}},{"@type":"ItemList","itemListElement":[{"item":{"@type":"Product","name":"other"}}]}]}</script><script type="application/ld+json">{bad</script>'),
+    """Product nodes of JSON-LD put into the pages, walked breadth first: a
+    piece and none to two others in a list."""
+    n, host = F.col("page_id"), urls.store_host(F.col("url"))
+    text = lambda c: c.cast("string")
+    kind = lambda k: F.lit(k).alias("@type")
+    piece = F.struct(
+        kind("Product"), F.concat(F.lit("piece "), text(n)).alias("name"), F.struct(host.alias("name")).alias("brand"), F.lit("4006381333931").alias("gtin13"),
+        F.struct(text(n % 90 + 10).alias("price"), F.lit("EUR").alias("priceCurrency")).alias("offers"),
     )
-    return documents.product_nodes(p.select("page_id", F.concat("html", block).alias("html")), "page_id", "html")
+    one = lambda k: F.struct(F.struct(F.array(F.lit("Thing"), F.lit("Product")).alias("@type"), F.concat(F.lit("other "), text(k)).alias("name"), F.concat(F.lit("https://"), host, F.lit("/"), text(k)).alias("url"), F.array(F.struct((n + k).alias("lowPrice"))).alias("offers")).alias("item"))
+    listed = F.struct(kind("ItemList"), F.transform(F.filter(F.array(F.lit(1), F.lit(2)), lambda k: k <= n % 3), one).alias("itemListElement"))
+    graph = F.concat(F.lit('{"@graph":['), F.to_json(piece), F.lit(","), F.to_json(listed), F.lit("]}"))
+    block = F.concat(F.lit('<script type="application/ld+json">'), graph, F.lit('</script><script type="application/ld+json">{bad</script>'))
+    return documents.product_nodes(table(spark, sf_dir, "pages").select("page_id", F.concat("html", block).alias("html")), "page_id", "html")
 
 
 @R.query(r"""with t as (select page_id, unnest(regexp_extract_all('<meta name="description" content="a &amp; b"><meta name="description" content="second">' || html, '(?is)<meta\s[^>]*>')) as t from pages),
