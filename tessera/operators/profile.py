@@ -9,6 +9,7 @@ for each style, and words speak only for styles where they mostly do.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, kinds, styles, urls
 from ..functions.binding import let
-from ..sources.tables import sent_if_small
+from ..sources.tables import sent_if_small, shared_folder, written
 
 # How much a habit takes to count.
 BRAND_MIN_PIECES, STORE_STYLE_MIN, BRAND_STYLE_SHARE = 3, 5, 0.6
@@ -70,8 +71,13 @@ class Profile:
 
 def built(labelled: DataFrame, dictionary: styles.Dictionary = styles.STYLE_TERMS) -> Profile:
     """The profile of labelled pieces (brand, name, description, url, styles,
-    gender, colours, groups). Only sums for each style reach the driver."""
-    rows = labelled.select(
+    gender, colours, groups). Only sums for each style reach the driver.
+
+    What is read off a piece, and the tallies, are written to the session's
+    checkpoint folder: several passes need them, and reading is most of the work.
+    """
+    folder = f"{shared_folder(labelled.sparkSession)}/profile-{uuid.uuid4().hex}"
+    read = labelled.select(
         brand_key(F.col("brand")).alias("brand"),
         urls.store_host(F.coalesce("url", F.lit(""))).alias("store"),
         kinds.normal_styles(F.coalesce("styles", F.array().cast("array<string>"))).alias("styles"),
@@ -79,9 +85,10 @@ def built(labelled: DataFrame, dictionary: styles.Dictionary = styles.STYLE_TERM
         styles.inferred_styles(F.concat_ws(" ", "name", "description"), len(kinds.STYLES), dictionary).alias("words"),
         colour.is_dark(F.coalesce("colours", F.array().cast("array<string>")), F.coalesce("groups", F.array().cast("array<string>"))).alias("dark"),
     )
+    rows = written(read, f"{folder}/pieces")
     styled = rows.filter(F.size("styles") > 0)
-    by_style = tallies(styled, "styles", ["brand", "store"])
-    by_gender = tallies(rows.filter("gender is not null").withColumn("gender", F.array("gender")), "gender", ["brand", "store"])
+    by_style = written(tallies(styled, "styles", ["brand", "store"]), f"{folder}/styles")
+    by_gender = written(tallies(rows.filter("gender is not null").withColumn("gender", F.array("gender")), "gender", ["brand", "store"]), f"{folder}/genders")
 
     signals = styled.select("brand", "styles", F.explode(F.concat(F.transform("words", lambda s: F.concat(F.lit("words:"), s)), F.when(F.col("dark"), F.array(F.lit("dark"))).otherwise(F.array().cast("array<string>")))).alias("signal"))
     of = F.regexp_replace("signal", "^words:", "")

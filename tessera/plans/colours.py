@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, colour
-from ..sources.tables import table
+from ..sources.tables import dealt
 from .garments import _quoted, _values
 from .registry import Registry
 
@@ -35,7 +35,7 @@ def _label() -> Column:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", _label().alias("label"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", _label().alias("label"))
 
 
 TIERS_SQL = _values([(w, base, rank) for rank, tier in enumerate((colour.STRONG, colour.FIELD, colour.YARNS)) for base, words in tier.items() for w in words])
@@ -122,8 +122,9 @@ def part_field_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def part_dark_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a label with a colour is dark."""
-    groups = colour.group_names(F.col("label"))
-    return _labelled(spark, sf_dir).filter(F.size(groups) > 0).select("p_partkey", colour.is_dark(F.array("label"), groups).alias("dark"))
+    # Exploded as an array of one, groups are worked out once, and behind the deal.
+    grouped = _labelled(spark, sf_dir).select("p_partkey", "label", F.explode(F.array(colour.group_names(F.col("label")))).alias("groups"))
+    return grouped.filter(F.size("groups") > 0).select("p_partkey", colour.is_dark(F.array("label"), F.col("groups")).alias("dark"))
 
 
 # Two labels of each part: one as above, one of two words of its own, or none.
@@ -141,4 +142,4 @@ def colour_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.split_part("p_name", F.lit(" "), F.lit(1))
     one = F.when(F.col("p_size") % 11 == 0, "").otherwise(_label())
     other = F.when(F.col("p_size") % 7 == 0, "").when(F.col("p_size") % 4 == 0, F.upper(word)).otherwise(F.concat(pick, F.lit("  "), word))
-    return table(spark, sf_dir, "part").select("p_partkey", one.alias("a"), other.alias("b")).select("p_partkey", colour.relation(F.col("a"), F.col("b")).alias("relation"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", one.alias("a"), other.alias("b")).select("p_partkey", colour.relation(F.col("a"), F.col("b")).alias("relation"))

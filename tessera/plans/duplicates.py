@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import duplicates
-from ..sources.tables import table
+from ..sources.tables import dealt
 from .garments import _quoted, _values
 from .registry import Registry
 
@@ -33,7 +33,7 @@ NUMBERED = "n as (select p_partkey as id, " + ", ".join(f"{v} as {k}" for k, v i
 def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = {k: F.expr(v.replace("//", "div")) for k, v in CHOSEN.items()}
     of = lambda values, k: F.get(F.array(*map(F.lit, values)), F.col(k).cast("int"))
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *(c.alias(k) for k, c in numbers.items()))
+    p = dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *(c.alias(k) for k, c in numbers.items()))
     store = F.concat(F.lit("shop"), F.col("s").cast("string"), F.lit(".com"))
     return p.select(
         "id", of(BRANDS, "b").alias("brand"), F.concat_ws(" ", of(BRANDS, "b"), of(MODELS, "m"), of(SECOND, "w"), of(GARMENTS, "g")).alias("name"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import garments, kinds
 from ..functions.garments import ATTACHED, GARMENTS, GENERIC
-from ..sources.tables import table
+from ..sources.tables import dealt
 from .registry import Registry
 
 R = Registry()
@@ -89,7 +89,7 @@ def _title() -> Column:
 @R.query(f"with {matched(TITLES_SQL)} select p_partkey, kind, case when strong then category end as category, coalesce(kind <> 'hoodie' and not generic, false) as conflict from part left join named on id = p_partkey")
 def garment_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The head noun's garment, its category, and conflicts with a hoodie."""
-    titled = table(spark, sf_dir, "part").select("p_partkey", _title().alias("title"))
+    titled = dealt(spark, sf_dir, "part").select("p_partkey", _title().alias("title"))
     n = F.col("title")
     return titled.select("p_partkey", garments.garment(n)["kind"].alias("kind"), garments.garment_category(n).alias("category"), garments.garments_conflict(n, F.lit("Zip Hoodie")).alias("conflict"))
 
@@ -107,7 +107,7 @@ def garment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree's label of a title's garment: the first of its kind's that the
     tree has, in any spelling, under the same category."""
     tree = F.create_map(*[F.lit(x) for pair in TREE.items() for x in pair])
-    return table(spark, sf_dir, "part").select("p_partkey", garments.garment_label(_title(), tree).alias("label"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", garments.garment_label(_title(), tree).alias("label"))
 
 
 # This dialect can't look ahead: what mustn't follow is taken out with its word first.
@@ -151,5 +151,5 @@ def part_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     and gender of a shop's trail."""
     pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values)).cast("int"))
     trail = F.concat(pick(TRAILS), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), "p_name")).otherwise(""))
-    told = table(spark, sf_dir, "part").select("p_partkey", kinds.piece_category(F.concat_ws(" ", "p_name", pick(RULED))).alias("category"), kinds.retail_category(trail).alias("r"))
+    told = dealt(spark, sf_dir, "part").select("p_partkey", kinds.piece_category(F.concat_ws(" ", "p_name", pick(RULED))).alias("category"), kinds.retail_category(trail).alias("r"))
     return told.select("p_partkey", "category", F.col("r.category").alias("trail_category"), F.col("r.gender").alias("gender"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import brand, colour, kinds, piece
 from ..operators import catalogue, matching, records
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from .orders import RATE, _code, _sql_code
 from .records import _case, _sql_case
 from .registry import Registry
@@ -26,7 +26,7 @@ def brand_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     or only in its name."""
     own = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" ", "p_brand", "p_name")).otherwise(F.col("p_name"))
     said = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).when(F.col("p_partkey") % 7 == 0, "Unknown")
-    return table(spark, sf_dir, "part").select("p_partkey", brand.fits(F.col("p_brand"), F.col("p_name"), said, own).alias("fits"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", brand.fits(F.col("p_brand"), F.col("p_name"), said, own).alias("fits"))
 
 
 ALIASES = [n for names in brand.MAKERS for n in names]
@@ -37,7 +37,7 @@ FAMILIES = ["|".join(names) for names in brand.MAKERS for _ in names]
 def maker_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All names of a brand's maker; a brand outside the families is itself."""
     said = F.when(F.col("p_size") % 2 == 0, F.concat(_case("p_partkey", ALIASES), F.lit(" line"))).otherwise(F.col("p_brand"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(brand.maker_names(said), "|").alias("names"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", F.array_join(brand.maker_names(said), "|").alias("names"))
 
 
 @R.query("with h as (select s_suppkey, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') as label from supplier) select 'www.' || label || '.com' as host, min_by(s_name, s_suppkey) as brand from h join supplier using (s_suppkey) group by label")
@@ -57,7 +57,7 @@ LONGEST = "list_sort(list_transform(list_filter(string_split({x}, ' '), lambda w
 def name_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a piece's cards are looked up by."""
     found = piece.lookups(F.col("p_brand"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string")))
-    return table(spark, sf_dir, "part").select("p_partkey", found.alias("f")).select("p_partkey", "f.word", "f.model", "f.ordered")
+    return dealt(spark, sf_dir, "part").select("p_partkey", found.alias("f")).select("p_partkey", "f.word", "f.model", "f.ordered")
 
 
 #: A number to every name, so that few parts share one.
@@ -74,7 +74,7 @@ NAMED = f"with n as (select p_partkey, p_brand, p_size, p_name, {TOKENS.format(x
 @R.query(NAMED + " select a.p_partkey as a, b.p_partkey as b, a.full_ = b.full_ and length(a.full_) >= 8 as same from t a join t b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey")
 def same_model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether two listings of a brand and size bear one model's name."""
-    p = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", _numbered().alias("name"))
+    p = dealt(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", _numbered().alias("name"))
     a, b = p.withColumnsRenamed({"p_partkey": "a", "name": "name_a"}), p.withColumnsRenamed({"p_partkey": "b", "name": "name_b"})
     return a.join(b, ["p_brand", "p_size"]).filter("a < b").select("a", "b", piece.same_model_name(F.col("p_brand"), F.col("name_a"), F.col("name_b")).alias("same"))
 
@@ -83,7 +83,7 @@ def same_model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def variant_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of one model as groups: by their names, and, where a name is too
     short to tell, by the page that a colour row leads to."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(spark, sf_dir, "part")
     name = _numbered()
     pieces = p.select("p_partkey", "p_brand", name.alias("name"), F.array().cast("array<string>").alias("colours")).withColumn("brand", F.col("p_brand"))
     page = F.concat(F.lit("https://shop.com/products/"), F.col("p_partkey").cast("string"))
@@ -101,7 +101,7 @@ COLOURS = ["Black", "Navy", "White", "Black"]
 @R.query(NAMED + f", k as (select *, {_sql_case('p_partkey', COLOURS)} as c from t) select a.p_partkey as a, b.p_partkey as b from k a join k b on a.p_brand = b.p_brand and a.full_ = b.full_ and a.p_partkey < b.p_partkey where length(a.full_) >= 8 and a.c <> b.c")
 def colour_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one piece in different colours."""
-    p = table(spark, sf_dir, "part").withColumn("c", F.array(_case("p_partkey", COLOURS)))
+    p = dealt(spark, sf_dir, "part").withColumn("c", F.array(_case("p_partkey", COLOURS)))
     pieces = p.select("p_partkey", F.col("p_brand").alias("brand"), _numbered().alias("name"), F.col("c").alias("colours"))
     other = lambda x, y: piece.colour_sibling(x["brand"], x["name"], y["name"], x["colours"], y["colours"])
     return records.siblings_by_name(pieces, "p_partkey", other).filter("a < b")
@@ -157,7 +157,7 @@ def markup_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit('<b data-color="#fff"></b><i data-product-colour-name="'), _case("p_partkey", SHADES), F.lit('">'))
     script = F.concat(F.lit('{"color": "theme", "color":"'), "p_name", F.lit('"} Colour: Noir<'))
     html = F.when(F.col("p_size") % 3 == 0, F.concat(script, said)).when(F.col("p_size") % 3 == 1, F.regexp_replace(script, "Noir", "noir")).otherwise("Color: as pictured")
-    return table(spark, sf_dir, "part").select("p_partkey", colour.from_markup(html).alias("colour"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", colour.from_markup(html).alias("colour"))
 
 
 @R.query(
@@ -173,7 +173,7 @@ def page_genders(spark: SparkSession, sf_dir: str) -> DataFrame:
     crumbs = F.when(F.col("p_size") % 3 == 0, "Home > Men > Women").otherwise("Home")
     said = F.when(F.col("p_partkey") % 2 == 0, "for women; he is a man").otherwise("cut for women")
     found = kinds.gender_from_page(name, F.concat(F.lit("https://shop-men.com/"), place, F.lit("/x")), crumbs, said)
-    return table(spark, sf_dir, "part").select("p_partkey", found.alias("f")).select("p_partkey", "f.gender", "f.source")
+    return dealt(spark, sf_dir, "part").select("p_partkey", found.alias("f")).select("p_partkey", "f.gender", "f.source")
 
 
 @R.query(
@@ -188,7 +188,7 @@ select id as page, coalesce(case when moved then id when shade is null then othe
 def same_item_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The card that a page of another store is a listing of, by address, maker,
     name, price and colour (-1: none), and why there is none."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(spark, sf_dir, "part")
     spelled = F.translate(F.lpad(F.floor(F.col("p_partkey") / 4).cast("string"), 7, "0"), "0123456789", "abcdefghij")
     name = F.concat(F.lit("z"), spelled, F.lit(" y"), spelled, F.lit(" jacket"))
     shades = lambda c: F.when(c.isNotNull(), F.array(c))

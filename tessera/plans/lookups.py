@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, kinds
 from ..operators import catalogue, sinks
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from .records import _case, _sql_case
 from .registry import Registry
 
@@ -54,7 +54,7 @@ def settings_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def colour_group_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour names joined to a small dimension of groups."""
     groups = spark.createDataFrame([(k, n.capitalize()) for k, n in enumerate(colour.HEX)], "group_id int, name string")
-    names = table(spark, sf_dir, "part").select("p_brand", F.explode(colour.group_names(F.col("p_name"))).alias("name"))
+    names = dealt(spark, sf_dir, "part").select("p_brand", F.explode(colour.group_names(F.col("p_name"))).alias("name"))
     return names.join(F.broadcast(groups), "name").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -89,7 +89,7 @@ def subcategory_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = labels.withColumn("words", F.filter(F.split(F.lower("half"), "[^a-z0-9]+"), lambda w: w != "")).withColumn("word", F.explode(F.array_distinct(forms(F.slice("words", 1, 1)))))
     pick = lambda n: F.get(F.array(*map(F.lit, TITLED)), (F.expr(n) % len(TITLED)).cast("int"))
     title = F.concat_ws(" ", "p_name", pick("p_partkey"), pick("p_size"))
-    titles = table(spark, sf_dir, "part").select("p_partkey", F.split(F.lower(title), "[^a-z0-9]+").alias("own")).withColumn("own", F.array_distinct(forms(F.col("own"))))
+    titles = dealt(spark, sf_dir, "part").select("p_partkey", F.split(F.lower(title), "[^a-z0-9]+").alias("own")).withColumn("own", F.array_distinct(forms(F.col("own"))))
     hits = titles.withColumn("word", F.explode("own")).join(F.broadcast(labels), "word")
     full = hits.filter(F.forall("words", lambda w: F.arrays_overlap(kinds.word_forms(w), F.col("own"))))
     best = full.groupBy("p_partkey").agg(F.max_by(F.struct("label", "grp"), F.struct(F.size("words"), F.length("half"), "label")).alias("b"))

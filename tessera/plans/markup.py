@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kinds, markup, photos, styles, urls
 from ..sources import documents
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from .garments import _quoted, spotted, term_rows
 from .pages import ROBOTS_SQL, _robots, sql
 from .registry import Registry
@@ -62,7 +62,7 @@ def style_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.array(*map(F.lit, SAID))
     pick = lambda n: F.get(said, (F.expr(n) % len(SAID)).cast("int"))
     text = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" "), pick("p_partkey * 5 + p_size"), F.when(F.col("p_size") % 2 == 0, "s, ").otherwise("-"), pick("p_partkey * 3"), F.lit(" / "), pick("p_size"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    rows = dealt(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
     return rows.select("p_partkey", F.array_join(styles.inferred_styles(F.col("text")), ",").alias("styles"), styles.style_evidence(F.col("text"))["streetwear"].alias("evidence"))
 
 

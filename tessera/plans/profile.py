@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, kinds, styles
 from ..operators import profile
-from ..sources.tables import table
+from ..sources.tables import dealt
 from .garments import _quoted, spotted, term_rows
 from .markup import STYLED
 from .registry import Registry
@@ -31,7 +31,7 @@ DETAILS = {
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = dealt(spark, sf_dir, "part")
     d = {k: F.expr(v) for k, v in DETAILS.items()}
     of = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
     shop = F.when(d["shop"] % 3 == 0, F.concat(F.lit("kids.shop"), (d["shop"] / 3).cast("int").cast("string"))).otherwise(F.concat(F.lit("shop"), (d["shop"] % 3).cast("string")))
@@ -100,5 +100,5 @@ GENDER_ROWS = "(select 'brand' as level, brand as key, [gender] as vals from lab
 def profile_genders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genders of silent pages by setting, brand or store."""
     rows = _labelled(spark, sf_dir)
-    pieces = rows.join(table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") == 7, "men").alias("setting")), "p_partkey")
+    pieces = rows.join(dealt(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") == 7, "men").alias("setting")), "p_partkey")
     return profile.proposed_genders(pieces, profile.built(rows), "p_partkey")

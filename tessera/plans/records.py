@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import brand, codes, colour, money, photos, piece, text, urls
 from ..operators import catalogue, records
 from ..sources import documents
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from .registry import Registry
 
 R = Registry()
@@ -39,7 +39,7 @@ def photo_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What photo an address shows, and addresses that show none."""
     fill = lambda c, name, value: F.replace(c, F.lit("{" + name + "}"), value.cast("string"))
     u = fill(fill(fill(_case("p_partkey", PHOTOS), "s", F.col("p_size")), "w", F.split_part("p_name", F.lit(" "), F.lit(2))), "k", F.col("p_partkey"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", u.alias("u"))
+    rows = dealt(spark, sf_dir, "part").select("p_partkey", u.alias("u"))
     return rows.select("p_partkey", photos.image_key(F.col("u")).alias("image_key"), photos.is_placeholder(F.col("u")).alias("placeholder"))
 
 
@@ -59,7 +59,7 @@ def photo_renditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     many = F.array(blank, ten, F.concat(F.lit("https://y.com/a"), size, F.lit("_small.jpg")), other, F.concat(F.lit("https://y.com/a"), size, F.lit(".jpg")), F.lit("https://z.com/b_{width}x.jpg"))
     sized = F.concat(F.lit("https://y.com/"), "p_name", F.lit("_200x.jpg?w=10&v="), size, F.lit("&H=3"))
     best = F.transform(photos.distinct_photos(many), lambda u: F.regexp_replace(u, "_small", ""))
-    return table(spark, sf_dir, "part").select(
+    return dealt(spark, sf_dir, "part").select(
         "p_partkey", F.array_join(best, ",").alias("photos"), photos.full_size(sized).alias("full_size"),
         photos.rendition_rank(ten).alias("rank"), photos.filled_template(blank, F.array(ten, other)).alias("filled"),
     )
@@ -70,7 +70,7 @@ def photo_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Photos of one series, told by names that differ in one or two places."""
     a = F.concat(F.lit("lookbook_"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"))
     b = F.concat(F.when(F.col("p_size") % 5 == 0, "longer_lookbook_").otherwise("lookbook_"), F.lpad((F.col("p_size") * 7 % 1000).cast("string"), 3, "0"))
-    return table(spark, sf_dir, "part").select("p_partkey", photos.numbered_frame(a, b).alias("frame"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", photos.numbered_frame(a, b).alias("frame"))
 
 
 NAMES = ["Nike Air Max 90 'Core Black' CW2288-111", "Air Max 90 - M", "Men's Detroit Jacket SS24", "Black Detroit Jacket 2024", "Samba OG", "550"]
@@ -83,7 +83,7 @@ def piece_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     maker of a model in it."""
     n = _case("p_partkey", NAMES)
     words = piece.tokens(n, F.lit("nike"), F.array(F.lit("Core Black")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(words, " ").alias("tokens"), F.array_join(piece.article_codes(n), " ").alias("codes"), F.coalesce(piece.brand_from_model(n), F.lit("")).alias("maker"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", F.array_join(words, " ").alias("tokens"), F.array_join(piece.article_codes(n), " ").alias("codes"), F.coalesce(piece.brand_from_model(n), F.lit("")).alias("maker"))
 
 
 PAIRS = [("Air Max 90", "Nike Air Max 90 Black"), ("Jordan 4 Retro", "Jordan 4 Retro Toro Bravo"), ("Detroit Jacket", "Detroit Jacket 2024"), ("Dunk Low DV0833-105", "Low Dunk dv0833 105"), ("Gazelle Indoor", "Gazelle Bold")]
@@ -93,14 +93,14 @@ PAIRS = [("Air Max 90", "Nike Air Max 90 Black"), ("Jordan 4 Retro", "Jordan 4 R
 def same_piece_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether two names are one piece, and one model line."""
     a, b, none = _case("p_partkey", [p[0] for p in PAIRS]), _case("p_partkey", [p[1] for p in PAIRS]), F.array().cast("array<string>")
-    return table(spark, sf_dir, "part").select("p_partkey", piece.same_piece(F.lit("nike"), a, b, none, none).alias("same"), piece.same_family(F.lit("nike"), a, b).alias("family"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", piece.same_piece(F.lit("nike"), a, b, none, none).alias("same"), piece.same_family(F.lit("nike"), a, b).alias("family"))
 
 
 @R.query("select a.p_partkey as a, b.p_partkey as b from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_type = b.p_type and a.p_partkey < b.p_partkey")
 def same_code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One part number under one maker: a join on the number's key, then the
     makers' agreement."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws("-", "p_type", F.col("p_size").cast("string")).alias("mpn")).withColumn("k", codes.code_key(F.col("mpn")))
+    p = dealt(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws("-", "p_type", F.col("p_size").cast("string")).alias("mpn")).withColumn("k", codes.code_key(F.col("mpn")))
     a, b = p.select("k", F.col("p_partkey").alias("a"), F.col("p_brand").alias("brand_a"), F.col("mpn").alias("mpn_a")), p.select("k", F.col("p_partkey").alias("b"), F.col("p_brand").alias("brand_b"), F.col("mpn").alias("mpn_b"))
     none = F.lit("")
     return a.join(b.withColumn("maker_b", brand.maker_key(F.col("brand_b"))), "k").filter("a < b").filter(piece.same_codes(none, none, F.col("mpn_a"), F.col("mpn_b"), F.col("brand_a"), F.col("brand_b"))).select("a", "b")
@@ -116,7 +116,7 @@ def brands_in_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     of a hyphenated one; a short brand counts only at the front, or behind whom the piece is for."""
     b, form = _case("p_partkey", KNOWN), F.col("p_size") % 6
     name = F.when(form == 0, F.concat_ws(" ", "p_name", F.upper(b))).when(form == 1, F.concat_ws(" ", F.lower(b), "p_name")).when(form == 2, F.concat(b, F.lit("-"), "p_name")).when(form == 3, F.concat(F.lit("x"), b, F.lit(" "), "p_name")).when(form == 5, F.concat_ws(" ", F.lit("Women's Kids"), b, "p_name")).otherwise(F.col("p_name"))
-    names = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
+    names = dealt(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
     return records.brands_in_names(names, spark.createDataFrame([(k,) for k in KNOWN], "known string"), "p_partkey", "name", "known")
 
 
@@ -129,7 +129,7 @@ def brand_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     said, name, host = (_case("p_partkey", [d[k] for d in DECIDED]) for k in range(3))
     in_name = F.when(name.startswith("Nike"), "nike")
     d = records.decided_brand(said, in_name, piece.brand_from_model(name), name, host)
-    return table(spark, sf_dir, "part").select("p_partkey", d.alias("d")).select("p_partkey", "d.brand", "d.source")
+    return dealt(spark, sf_dir, "part").select("p_partkey", d.alias("d")).select("p_partkey", "d.brand", "d.source")
 
 
 CHOSEN = ["Navy", "Clay", None, "Black"]
@@ -141,7 +141,7 @@ def colour_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda o, v: F.struct(F.lit(o).alias("origin"), v.alias("value"))
     first, second = _case("p_partkey", ["Sale", "XL", "Trucker Tee", "$20"]), _case("p_partkey", ["Navy", "Clay", "50%", "Black"])
     found = colour.choose(F.array(one("swatch", first), one("label", second)), F.lit("Trucker Tee"), F.lit("b"), codes.is_size, ["label"])
-    return table(spark, sf_dir, "part").select("p_partkey", found.alias("colour"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", found.alias("colour"))
 
 
 @R.query(f"select p_partkey, {_sql_case('p_partkey', ['Blue', 'Washed Black', 'Red', ''])} as colours, {_sql_case('p_partkey', ['', 'Washed Black', '', ''])} as from_name from part")
@@ -149,7 +149,7 @@ def colour_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour lists without labels that can't be colours."""
     name = _case("p_partkey", ["Tee", "Jeans - Washed Black", "Red Tee", "Tee - M"])
     labels = F.when(F.col("p_partkey") % 4 == 0, F.array(F.lit("Blue"), F.lit("img_1.jpg"))).otherwise(F.array(F.lit("XL")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(colour.repaired(name, labels, codes.is_size), ",").alias("colours"), F.coalesce(colour.from_name(name, codes.is_size), F.lit("")).alias("from_name"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", F.array_join(colour.repaired(name, labels, codes.is_size), ",").alias("colours"), F.coalesce(colour.from_name(name, codes.is_size), F.lit("")).alias("from_name"))
 
 
 @R.query("select page_id, 'Coat' as name, 'Acme' as brand, (page_id % 90 + 10)::double as price, 'EUR' as currency, floor((page_id % 90 + 10) / 0.85::double * 100 + 0.5) / 100 as price_usd, 'outerwear' as category, 'Blue' as color, '' as missing, true as ask_model from pages")

@@ -10,6 +10,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks a core for rows that are much work each.
+TASKS_PER_CORE = 4
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are much work each, dealt to all cores. A task reads
+    megabytes of a file, or a row group at least: of narrow rows that is a
+    million, and the work of a whole table would lie in one or two tasks."""
+    return table(spark, sf_dir, name).repartition(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: the cluster names it in
     spark.checkpoint.dir; a local session without one gets a folder in /tmp,
