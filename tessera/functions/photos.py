@@ -34,34 +34,49 @@ def file_name(url: Column) -> Column:
 
 def image_key(url: Column) -> Column:
     """What photo it is, whatever its size, density and format."""
-    path = F.lower(urls.path(url))
-    shop = F.regexp_extract(path, r"^(?:/s/files/(?:[0-9]+/)+|/cdn/shop/)((?:files|products)/.+)$", 1)
-    host, place = F.when(shop != "", F.lit("shopify")).otherwise(urls.store_host(url)), F.when(shop != "", F.concat(F.lit("/"), shop)).otherwise(path)
-    place = F.regexp_replace(place, RENDITION, "")
-    place = F.when(place.contains("/wp-content/uploads/"), F.regexp_replace(place, r"-[0-9]{2,4}x[0-9]{2,4}(?=\.[a-z0-9]+$)", "")).otherwise(place)
-    place = F.regexp_replace(F.regexp_replace(F.regexp_replace(place, r"@[23]x(?=\.[a-z0-9]+$)", ""), r"\.(?:jpe?g|png)\.(?:webp|avif)$", ".jpg"), FORMATS, "")
+
+    def shown(path: Column) -> Column:
+        shop = F.regexp_extract(path, r"^(?:/s/files/(?:[0-9]+/)+|/cdn/shop/)((?:files|products)/.+)$", 1)
+        return let(F.struct(path.alias("path"), shop.alias("shop")), keyed)
+
+    def keyed(v: Column) -> Column:
+        path, shop = v["path"], v["shop"]
+        host, place = F.when(shop != "", F.lit("shopify")).otherwise(urls.store_host(url)), F.when(shop != "", F.concat(F.lit("/"), shop)).otherwise(path)
+        place = F.regexp_replace(place, RENDITION, "")
+        place = let(place, lambda p: F.when(p.contains("/wp-content/uploads/"), F.regexp_replace(p, r"-[0-9]{2,4}x[0-9]{2,4}(?=\.[a-z0-9]+$)", "")).otherwise(p))
+        place = F.regexp_replace(F.regexp_replace(F.regexp_replace(place, r"@[23]x(?=\.[a-z0-9]+$)", ""), r"\.(?:jpe?g|png)\.(?:webp|avif)$", ".jpg"), FORMATS, "")
+        return F.concat(host, place)
+
     # Of an upload with transformations, the account and the upload tell.
     upload = let(chain(url), lambda c: F.concat(c["account"], F.lit("/"), F.regexp_replace(F.regexp_replace(F.lower(c["tail"]), "^v[0-9]+/", ""), FORMATS, "")))
-    return F.coalesce(upload, F.concat(host, place))
+    return F.coalesce(upload, let(F.lower(urls.path(url)), shown))
 
 
 def chain(url: Column) -> Column:
     """struct<account, head, steps, tail> of an address that names an upload
     and the transformations on the way to it; null for other addresses."""
     place = F.regexp_extract(url, f"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*({UPLOAD})", 1)
-    head = F.concat(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), place)
-    rest = F.split(F.regexp_replace(F.substr(url, F.length(head) + 1), "[?#].*$", ""), "/")
     step = lambda s: s.rlike(BLANK) | F.forall(F.split(s, ","), lambda part: part.rlike(STEP))
-    # The last part is the upload's name, whatever it looks like.
-    first = F.array_position(F.transform(rest, lambda s, n: step(s) & (n < F.size(rest) - 1)), False) - 1
-    account = F.concat(urls.store_host(url), F.lit("/"), F.regexp_extract(place, "^/([^/]+)/image/", 1))
 
-    def parted(n: Column) -> Column:
+    def parted(v: Column) -> Column:
+        rest, n = v["rest"], v["n"]
         tail = F.array_join(F.slice(rest, n + 1, F.greatest(F.size(rest) - n, F.lit(1))), "/")
         steps = F.when(n > 0, F.slice(rest, F.lit(1), n)).otherwise(F.array().cast("array<string>"))
-        return F.struct(account.alias("account"), head.alias("head"), steps.alias("steps"), tail.alias("tail"))
+        account = F.concat(urls.store_host(url), F.lit("/"), F.regexp_extract(v["place"], "^/([^/]+)/image/", 1))
+        return F.struct(account.alias("account"), v["head"].alias("head"), steps.alias("steps"), tail.alias("tail"))
+
+    def counted(v: Column) -> Column:
+        rest = v["rest"]
+        # The last part is the upload's name, whatever it looks like.
+        first = F.array_position(F.transform(rest, lambda s, n: step(s) & (n < F.size(rest) - 1)), False) - 1
+        return let(F.struct(v["place"].alias("place"), v["head"].alias("head"), rest.alias("rest"), first.cast("int").alias("n")), parted)
 
-    return F.when(place != "", let(first.cast("int"), parted))
+    def headed(place: Column) -> Column:
+        head = F.concat(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), place)
+        rest = let(head, lambda h: F.struct(place.alias("place"), h.alias("head"), F.split(F.regexp_replace(F.substr(url, F.length(h) + 1), "[?#].*$", ""), "/").alias("rest")))
+        return F.when(place != "", let(rest, counted))
+
+    return F.when(url.contains("/image/"), let(place, headed))
 
 
 def rendition_rank(url: Column) -> Column:
@@ -89,10 +104,13 @@ def filled_template(url: Column, siblings: Column) -> Column:
     def filled(c: Column) -> Column:
         own = F.filter(F.transform(siblings, lambda s, i: F.struct(rendition_rank(s).alias("rank"), (-i).alias("place"), chain(s).alias("chain"))), lambda x: (x["chain"]["account"] == c["account"]) & (x["rank"] >= 0))
         best = F.array_max(F.transform(own, lambda x: F.struct(x["rank"], x["place"], x["chain"]["steps"].alias("steps"))))["steps"]
+        return let(F.struct(best.alias("best")), lambda b: joined(c, b["best"]))
+
+    def joined(c: Column, best: Column) -> Column:
         steps = F.flatten(F.transform(c["steps"], lambda s: F.when(s.rlike(BLANK), F.coalesce(best, F.array().cast("array<string>"))).otherwise(F.array(s))))
         return F.concat(c["head"], F.array_join(F.array_append(steps, c["tail"]), "/"))
 
-    return let(chain(url), filled)
+    return let(chain(url), lambda c: F.when(c.isNotNull(), filled(c)))
 
 
 def full_size(url: Column) -> Column:
@@ -117,9 +135,13 @@ def distinct_photos(photos: Column) -> Column:
     """The largest rendition of each photo of an array, in order of first
     appearance; templates without a photo are dropped."""
     rows = F.transform(photos, lambda u, i: F.struct(image_key(u).alias("k"), rendition_rank(u).alias("rank"), i.alias("i"), u.alias("u")))
-    keys = F.array_distinct(F.transform(rows, lambda r: r["k"]))
-    best = F.transform(keys, lambda k: F.array_max(F.transform(F.filter(rows, lambda r: r["k"] == k), lambda r: F.struct(r["rank"], -r["i"], r["u"]))))
-    return F.transform(F.filter(best, lambda b: b["rank"] >= 0), lambda b: b["u"])
+
+    def best(rows: Column) -> Column:
+        keys = F.array_distinct(F.transform(rows, lambda r: r["k"]))
+        return F.transform(keys, lambda k: F.array_max(F.transform(F.filter(rows, lambda r: r["k"] == k), lambda r: F.struct(r["rank"], -r["i"], r["u"]))))
+
+    # Bound, an address is taken apart once, not once for each key.
+    return F.transform(F.filter(let(rows, best), lambda b: b["rank"] >= 0), lambda b: b["u"])
 
 
 def common_stem(a: Column, b: Column) -> Column:
@@ -196,7 +218,7 @@ def frame_code(url: Column) -> Column:
 
 
 def _describes_many(word: Column) -> Column:
-    return word.isin(DESCRIBING) | (F.size(colour.colour_words(word)) > 0) | garments.garment(word).isNotNull()
+    return word.isin(DESCRIBING) | colour.names_colour(word) | garments.garment(word).isNotNull()
 
 
 def name_phrases(name: Column) -> Column:

@@ -14,11 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TASKS_PER_CORE = 4
 
 
+def dealt_evenly(df: DataFrame) -> DataFrame:
+    """Rows that are much work each, dealt to all cores."""
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows are much work each, dealt to all cores. A task reads
     megabytes of a file, or a row group at least: of narrow rows that is a
     million, and the work of a whole table would lie in one or two tasks."""
-    return table(spark, sf_dir, name).repartition(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return dealt_evenly(table(spark, sf_dir, name))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tessera.functions import colour
+from tessera.functions import colour, photos
+from tessera.plans import links
 from tessera.plans.colours import _labelled
 from tessera.sources.tables import TASKS_PER_CORE
 
@@ -18,3 +19,23 @@ def test_rows_of_one_row_group_are_dealt(spark):
 def test_phrases_are_read_as_listed(spark):
     told = spark.range(1).select(colour.colour_words(F.lit("Dusty rose gold §5 black")).alias("c")).first()
     assert told.c == ["pink", "black"]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_addresses_are_taken_apart_once(spark):
+    df = spark.range(1).select(photos.distinct_photos(F.array(F.col("id").cast("string"))).alias("p"))
+    assert _plan(df).count("_grande") + _plan(df).count("grande|") <= 3
+
+
+def test_colours_of_words(spark):
+    words = ["offwhite", "black90", "ab", "чёрная", "jacket", "аллея", "rosegold2", "blackish", ""]
+    told = spark.createDataFrame([(w,) for w in words], "w string").select("w", colour.names_colour(F.col("w")).alias("yes"), (F.size(colour.colour_words(F.col("w"))) > 0).alias("want")).collect()
+    assert all(r.yes == r.want for r in told) and {r.w for r in told if r.yes} >= {"offwhite", "black90", "чёрная"}
+
+
+def test_names_are_read_before_pairs(spark):
+    above = _plan(links.same_model_names(spark, DATA)).split("Join ")[0]
+    assert "regexp_replace" not in above
