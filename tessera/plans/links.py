@@ -74,9 +74,10 @@ NAMED = f"with n as (select p_partkey, p_brand, p_size, p_name, {TOKENS.format(x
 @R.query(NAMED + " select a.p_partkey as a, b.p_partkey as b, a.full_ = b.full_ and length(a.full_) >= 8 as same from t a join t b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey")
 def same_model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether two listings of a brand and size bear one model's name."""
-    p = dealt(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", _numbered().alias("name"))
-    a, b = p.withColumnsRenamed({"p_partkey": "a", "name": "name_a"}), p.withColumnsRenamed({"p_partkey": "b", "name": "name_b"})
-    return a.join(b, ["p_brand", "p_size"]).filter("a < b").select("a", "b", piece.same_model_name(F.col("p_brand"), F.col("name_a"), F.col("name_b")).alias("same"))
+    named = dealt(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", F.explode(F.array(piece.model_name(F.col("p_brand"), _numbered()))).alias("name"))
+    p = named.select("p_brand", "p_size", "p_partkey", F.col("name.words").alias("words"), F.col("name.sound").alias("sound"))
+    a, b = (p.select("p_brand", "p_size", F.col("p_partkey").alias(s), F.struct("words", "sound").alias(f"name_{s}")) for s in "ab")
+    return a.join(b, ["p_brand", "p_size"]).filter("a < b").select("a", "b", piece.same_by_model(F.col("name_a"), F.col("name_b")).alias("same"))
 
 
 @R.query(NAMED + " select p_partkey, min(p_partkey) over (partition by p_brand, full_) as component from t qualify count(*) over (partition by p_brand, full_) > 1")
