@@ -100,10 +100,14 @@ def same_piece_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def same_code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One part number under one maker: a join on the number's key, then the
     makers' agreement."""
-    p = dealt(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws("-", "p_type", F.col("p_size").cast("string")).alias("mpn")).withColumn("k", codes.code_key(F.col("mpn")))
-    a, b = p.select("k", F.col("p_partkey").alias("a"), F.col("p_brand").alias("brand_a"), F.col("mpn").alias("mpn_a")), p.select("k", F.col("p_partkey").alias("b"), F.col("p_brand").alias("brand_b"), F.col("mpn").alias("mpn_b"))
+    rows = dealt(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws("-", "p_type", F.col("p_size").cast("string")).alias("mpn"))
     none = F.lit("")
-    return a.join(b.withColumn("maker_b", brand.maker_key(F.col("brand_b"))), "k").filter("a < b").filter(piece.same_codes(none, none, F.col("mpn_a"), F.col("mpn_b"), F.col("brand_a"), F.col("brand_b"))).select("a", "b")
+    said = rows.select("p_brand", F.explode(F.array(codes.code_key(F.col("mpn")))).alias("k"), "mpn").distinct()
+    a, b = (said.select("k", F.col("p_brand").alias(f"brand_{s}"), F.col("mpn").alias(f"mpn_{s}")) for s in "ab")
+    # What brands and numbers say is told once of two spellings, not of two parts.
+    alike = a.join(b, "k").filter(piece.same_codes(none, none, F.col("mpn_a"), F.col("mpn_b"), F.col("brand_a"), F.col("brand_b"))).drop("k")
+    one, other = (rows.select(F.col("p_partkey").alias(s), F.col("p_brand").alias(f"brand_{s}"), F.col("mpn").alias(f"mpn_{s}")) for s in "ab")
+    return alike.join(one, ["brand_a", "mpn_a"]).join(other, ["brand_b", "mpn_b"]).filter("a < b").select("a", "b")
 
 
 KNOWN = ["Nikelane", "On", "Arket", "Studio Nord", "Ace"]
@@ -205,12 +209,12 @@ r as (select *, row_number() over (partition by incoming order by fit desc, gap,
 def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best card for each incoming piece: candidates by brand and name,
     ranked by fit, then price, then age."""
-    p = table(spark, sf_dir, "part")
-    own = ["p_brand", "p_name"]
-    a = p.select(*own, F.col("p_partkey").alias("incoming"), F.col("p_type").alias("type_a"), F.col("p_retailprice").alias("price_a"))
-    b = p.select(*own, F.col("p_partkey").alias("card"), F.col("p_type").alias("type_b"), F.col("p_retailprice").alias("price_b"))
-    pairs = a.join(b, own).filter("incoming <> card").withColumn("fit", F.col("type_a") == F.col("type_b")).withColumn("gap", F.abs(F.col("price_a") - F.col("price_b")))
-    return records.best_match(pairs, "incoming", [F.desc("fit"), F.col("gap"), F.col("card")]).select("incoming", "card", "fit")
+    p = table(spark, sf_dir, "part").select("p_brand", "p_name", "p_type", F.col("p_partkey").alias("card"), "p_retailprice")
+    found = records.nearest_by(p, ["p_brand", "p_name", "p_type"], "p_retailprice", "card")
+    wider = records.nearest_by(p, ["p_brand", "p_name"], "p_retailprice", "card")
+    both = found.select("card", F.col("nearest").alias("same")).join(wider.select("card", F.col("nearest").alias("other")), "card")
+    best = both.select(F.col("card").alias("incoming"), F.coalesce("same", "other").alias("card"), F.col("same").isNotNull().alias("fit"))
+    return best.filter("card is not null")
 
 
 @R.query("with g as (select p_brand, case p_partkey % 3 when 0 then 'women' when 1 then 'men' end as gender from part where p_size % 2 = 0), t as (select p_brand, gender, count(*) as c from g where gender is not null group by all), d as (select p_brand, sum(c)::bigint as n, arg_min(gender, (-c, gender)) as gender, max(c) as top from t group by p_brand) select p.p_brand, coalesce(case when d.top >= 0.6 * d.n and d.n >= 3 then d.gender end, 'unisex') as gender from (select distinct p_brand from part) p left join d using (p_brand)")
