@@ -14,9 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TASKS_PER_CORE = 4
 
 
-def dealt_evenly(df: DataFrame) -> DataFrame:
-    """Rows that are much work each, dealt to all cores."""
-    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+def dealt_evenly(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows that are much work each, dealt to all cores, by keys if there are
+    any: a join of few bytes that makes many rows isn't left to few tasks."""
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import colour, photos
+from tessera.operators import catalogue, duplicates, records
 from tessera.plans import links
 from tessera.plans.colours import _labelled
 from tessera.sources.tables import TASKS_PER_CORE
@@ -39,3 +40,41 @@ def test_colours_of_words(spark):
 def test_names_are_read_before_pairs(spark):
     above = _plan(links.same_model_names(spark, DATA)).split("Join ")[0]
     assert "regexp_replace" not in above
+
+
+def _priced(spark):
+    prices = [1.0, 1.0, 2.0, 3.0, 3.0, 3.0, 5.0, 8.0, 9.0, 50.0, 51.0, 400.0]
+    return spark.createDataFrame([(g, g * 100 + n, p + 0.1 * (g * n % 3)) for g in range(12) for n, p in enumerate(prices[g % 4 :])], "g int, id int, price double")
+
+
+def _paired(rows):
+    a, b = (rows.select("g", F.col("id").alias(s), F.col("price").alias(f"price_{s}")) for s in "ab")
+    return a.join(b, "g").filter("a <> b")
+
+
+def _told(df, *columns):
+    return {tuple(r) for r in df.select(*columns).collect()}
+
+
+def test_mutual_best_without_pairs(spark):
+    rows = _priced(spark)
+    pairs = _paired(rows).withColumn("score", F.least("price_a", "price_b") / F.greatest("price_a", "price_b")).filter("score >= 0.25")
+    want, found = catalogue.mutual_best(pairs, "a", "b", "score"), catalogue.mutual_nearest(rows, ["g"], "price", "id", 4.0)
+    assert _told(found, "a", "b") == _told(want, "a", "b") != set()
+    assert "Join" not in _plan(found).split("\n")[-1] and "a <> b" not in _plan(found)
+
+
+def test_nearest_without_pairs(spark):
+    rows = _priced(spark)
+    want = records.best_match(_paired(rows), "a", [F.abs(F.col("price_a") - F.col("price_b")), F.col("b")])
+    assert _told(records.nearest_by(rows, ["g"], "price", "id").filter("nearest is not null"), "id", "nearest") == _told(want, "a", "b")
+
+
+def test_copies_are_judged_as_classes(spark):
+    names = ["Nike Air Max 90"] * 400 + ["Nike Air Max 90 Sneakers"] * 400 + ["Nike ab"] * 2
+    pieces = spark.createDataFrame([(n, "g", "Nike", name, None) for n, name in enumerate(names)], "id int, gid string, brand string, name string, category string")
+    found = {r.id: r.family for r in duplicates.model_families(pieces, "gid").collect()}
+    assert {found[n] for n in range(800)} == {0} and (found[800], found[801]) == (800, 801)
+    coloured = pieces.limit(2).withColumn("colours", F.array(F.lit("Black"))).withColumn("url", F.lit("https://x.com/a"))
+    classes, members = records.classed(coloured, "id", ["brand", "name", "colours"])
+    assert classes.count() == 1 and members.count() == 2
