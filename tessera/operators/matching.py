@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import brand, colour, money, piece, urls
 from ..functions.binding import let
+from ..sources.tables import dealt_evenly, shared_folder, written
 
 # How well colours fit, the best first.
 RANK = {"same": 4, "near": 3, "partial": 2, "unknown": 1, "none": 1}
@@ -89,8 +92,10 @@ def candidates(pages: DataFrame, cards: DataFrame, page: str, card: str) -> Data
             piece.item_codes(F.col("name"), F.col("part_number")).alias("all_codes"), facts,
         ).alias("c"),
     )
-    asked = ours.withColumn("page_keys", F.array_distinct(_page_keys(F.col("p")))).withColumn("k", F.explode("page_keys"))
-    held = theirs.withColumn("card_keys", F.array_distinct(_card_keys(F.col("c")))).withColumn("k", F.explode("card_keys"))
+    # Worked out once, read by both the keys and the pairs.
+    folder = f"{shared_folder(pages.sparkSession)}/items-{uuid.uuid4().hex}"
+    asked = written(ours.withColumn("page_keys", F.array_distinct(_page_keys(F.col("p")))), f"{folder}/pages").withColumn("k", F.explode("page_keys"))
+    held = written(theirs.withColumn("card_keys", F.array_distinct(_card_keys(F.col("c")))), f"{folder}/cards").withColumn("k", F.explode("card_keys"))
     return asked.join(held, "k").filter(F.array_min(F.array_intersect("page_keys", "card_keys")) == F.col("k")).select(page, card, "p", "c")
 
 
@@ -162,7 +167,8 @@ def same_items(pages: DataFrame, cards: DataFrame, page: str, card: str) -> Data
 
     One join on the keys that pages and cards share and one aggregation by page.
     """
-    j = judged(candidates(pages, cards, page, card))
+    # Pairs are few bytes and much work each: judged in even shares.
+    j = judged(dealt_evenly(candidates(pages, cards, page, card)))
     pos = F.struct(F.col("c.pos"), F.col(card))
     first = lambda keep: F.min(F.when(keep, pos))
     direct = F.col("own_page") | (F.col("linked") & ~F.col("other_variant"))
