@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,14 +13,22 @@ USD_RATES = {
     "CHF": 0.8, "CAD": 1.37, "AUD": 1.5, "NZD": 1.65, "RUB": 80.0, "INR": 88.0, "CNY": 7.1, "KRW": 1380.0, "HKD": 7.8, "SGD": 1.28,
     "AED": 3.67, "BRL": 5.4, "MXN": 18.5, "ILS": 3.3, "RON": 4.3, "HUF": 335.0, "BGN": 1.66, "ZAR": 17.5, "THB": 32.0, "TWD": 30.0,
 }
-# Markers that name a currency, in order of precedence.
-MARKERS = [
+# Markers that name a currency, in order of precedence. They
+# stand in families, each with a test that is true where one of it is in the
+# text, so a family that isn't there costs one test and not one a marker.
+DOLLARS = [
     (r"(?i)(?<![A-Za-z])US\s?\$", "USD"), (r"(?i)(?<![A-Za-z])CA?\s?\$", "CAD"), (r"(?i)(?<![A-Za-z])AU?\s?\$", "AUD"),
     (r"(?i)(?<![A-Za-z])NZ\s?\$", "NZD"), (r"(?i)(?<![A-Za-z])HK\s?\$", "HKD"), (r"(?i)(?<![A-Za-z])SG?\s?\$", "SGD"),
-    (r"(?<![A-Za-z])R\s?\$", "BRL"), ("£", "GBP"), ("€", "EUR"), ("₴", "UAH"), ("₽", "RUB"), ("₺", "TRY"), ("₹", "INR"), ("₩", "KRW"),
-    ("₪", "ILS"), (r"(?i)(CN|RM)\s?¥|元", "CNY"), ("¥", "JPY"), ("zł", "PLN"), ("Kč", "CZK"), ("(?i)CHF", "CHF"), ("(?iu)грн", "UAH"),
-    ("(?iu)руб", "RUB"), ("(?iu)лв", "BGN"), ("kr", "SEK"), (r"\$", "USD"),
+    (r"(?<![A-Za-z])R\s?\$", "BRL"),
+]
+DOLLAR = r"(?<![A-Za-z])(?:(?i:US|CA?|AU?|NZ|HK|SG?)|R)\s?\$"
+SIGNS = [
+    ("£", "GBP"), ("€", "EUR"), ("₴", "UAH"), ("₽", "RUB"), ("₺", "TRY"), ("₹", "INR"), ("₩", "KRW"), ("₪", "ILS"),
+    (r"(?i)(CN|RM)\s?¥|元", "CNY"), ("¥", "JPY"), ("zł", "PLN"), ("Kč", "CZK"),
 ]
+SIGN = "[£€₴₽₺₹₩₪¥元]|zł|Kč"
+WORDS = [("(?iu)грн", "UAH"), ("(?iu)руб", "RUB"), ("(?iu)лв", "BGN")]
+WORD = "(?iu)грн|руб|лв"
 ISO_CODES = [
     "USD", "EUR", "GBP", "UAH", "RUB", "PLN", "CZK", "SEK", "NOK", "DKK", "CHF", "CAD", "AUD", "NZD", "JPY", "CNY", "TRY", "INR", "KRW",
     "HKD", "SGD", "AED", "BRL", "MXN", "ILS", "RON", "HUF", "BGN", "ZAR", "THB", "TWD",
@@ -55,29 +65,46 @@ def parse_price(text: Column) -> Column:
     A comma after the last dot is a decimal comma; one to three digits, a dot
     and exactly three more are thousands.
     """
-    kept = F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9.,]", "")
-    last = lambda c: F.length(kept) - F.length(F.substring_index(kept, c, -1))
-    has = lambda c: F.instr(kept, c) > 0
-    comma = F.when(has(","), last(",")).otherwise(0)
-    dot = F.when(has("."), last(".")).otherwise(0)
-    european = F.regexp_replace(F.regexp_replace(kept, r"\.", ""), r"^([^,]*),", "$1.")
-    plain = F.when(kept.rlike(r"^[0-9]{1,3}\.[0-9]{3}$"), F.regexp_replace(kept, r"\.", "")).otherwise(F.regexp_replace(kept, ",", ""))
-    number = F.when(comma > dot, european).otherwise(plain)
-    value = F.coalesce(F.regexp_extract(number, r"^([0-9]*\.?[0-9]*)", 1).try_cast("double"), F.lit(0.0))
-    return F.when(value > MOST_PRICE, 0.0).otherwise(value)
+    kept = F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9.,]+", "")
+    without = lambda x, c: F.replace(x, F.lit(c), F.lit(""))
+    # 1.234,99: to the second comma, without dots, the comma a dot
+    european = F.replace(without(F.substring_index(kept, ",", 2), "."), F.lit(","), F.lit("."))
+    # 1,234.99: to the second dot, without commas; 1.267 without its dot
+    plain = F.when(kept.rlike(r"^[0-9]{1,3}\.[0-9]{3}$"), without(kept, ".")).otherwise(F.substring_index(without(kept, ","), ".", 2))
+    number = F.when(kept.rlike(",[0-9]*$"), european).otherwise(plain)
+    value = F.coalesce(number.try_cast("double"), F.lit(0.0))
+    # both sides are always worked out, so Spark works the amount out once; an endless one makes NaN
+    return F.nanvl(value * (value <= MOST_PRICE).cast("double"), F.lit(0.0))
+
+
+def _first_of(raw: Column, markers: list[tuple[str, str]]) -> Column:
+    """The currency of the first marker that is in the text; that of the last
+    is taken as given."""
+    out = F
+    for pattern, code in markers[:-1]:
+        out = out.when(raw.contains(pattern) if re.escape(pattern) == pattern else raw.rlike(pattern), code)
+    return out.otherwise(markers[-1][1])
 
 
 def currency_from_text(text: Column) -> Column:
     """The currency that a price text names; "" if none."""
     raw = F.coalesce(text, F.lit(""))
-    out = F
-    for pattern, code in MARKERS:
-        out = out.when(raw.rlike(pattern), code)
+    beyond_ascii = F.octet_length(raw) > F.char_length(raw)
     upper = F.upper(raw)
-    near = F.regexp_extract_all(upper, F.lit(rf"(?:[0-9].{{0,7}}\b({'|'.join(ISO_CODES)})\b|\b({'|'.join(ISO_CODES)})\b.{{0,7}}[0-9])"), 0)
-    first = F.regexp_extract(F.coalesce(F.try_element_at(near, F.lit(1)), F.lit("")), rf"\b({'|'.join(ISO_CODES)})\b", 1)
-    front, back = F.regexp_extract(raw, r"^([A-Z]{3})\s*[0-9.,]", 1), F.regexp_extract(raw, r"[0-9.,]\s*([A-Z]{3})$", 1)
-    return out.otherwise(F.coalesce(*(F.when(x != "", x) for x in (first, front, back)), F.lit("")))
+    code = rf"\b({'|'.join(ISO_CODES)})\b"
+    near = rf"(?:[0-9].{{0,7}}{code}|{code}.{{0,7}}[0-9])"
+    # three capitals in front of the amount, else behind it
+    beside = F.regexp_replace(F.regexp_extract(raw, r"^[A-Z]{3}\s*[0-9.,]|[0-9.,]\s*[A-Z]{3}$", 0), "[^A-Z]", "")
+    return (
+        F.when(raw.contains("$") & raw.rlike(DOLLAR), _first_of(raw, DOLLARS))
+        .when(beyond_ascii & raw.rlike(SIGN), _first_of(raw, SIGNS))
+        .when(raw.rlike("(?i)CHF"), "CHF")
+        .when(beyond_ascii & raw.rlike(WORD), _first_of(raw, WORDS))
+        .when(raw.contains("kr"), "SEK")
+        .when(raw.contains("$"), "USD")
+        .when(upper.rlike(r"\b[A-Z]{3}\b") & upper.rlike(near), F.regexp_extract(F.regexp_extract(upper, near, 0), code, 1))
+        .otherwise(beside)
+    )
 
 
 def price_in_text(text: Column) -> Column:

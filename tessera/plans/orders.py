@@ -80,7 +80,8 @@ WRITTEN = "case l_orderkey % 5 when 0 then '$' || c || '.' || r when 1 then c ||
 
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices as shops write them."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.floor("l_extendedprice").alias("c"), F.lpad((F.col("l_orderkey") % 90 + 10).cast("string"), 2, "0").alias("r")).distinct()  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.floor("l_extendedprice").alias("c")).distinct()  # noqa: E741
+    l = l.withColumn("r", F.lpad((F.col("l_orderkey") % 90 + 10).cast("string"), 2, "0"))  # noqa: E741
     c, r, k = F.col("c").cast("string"), F.col("r"), F.col("l_orderkey") % SHAPES
     thousands, rest = F.floor(F.col("c") / 1000).cast("string"), F.lpad((F.col("c") % 1000).cast("string"), 3, "0")
     text = (

@@ -40,6 +40,20 @@ def test_prices(spark):
     assert values(spark, ["18\n$215", "18 $120", "4 000 ₴ now", "none"], money.price_in_text) == ["$215", "$120", "4 000 ₴", ""]
 
 
+def test_markers_go_by_precedence(spark):
+    want = {
+        "C$ 5 or US$ 4": "USD", "R$ 5": "BRL", "r$ 5": "USD", "BASIC$ 5": "USD", "nz $5 €": "NZD", "5 Kč, 1 €": "EUR", "RM ¥5": "CNY", "¥5": "JPY", "5 元 zł": "CNY",
+        "chf 5 руб": "CHF", "CHF 5 Kč": "CZK", "5 ЛВ kr": "BGN", "5 руб 3 грн": "UAH", "$4 kr": "SEK", "é $4": "USD", "Try it 5 usd": "TRY", "Try it": "", "XYZ 5 USD": "USD", "XYZ5": "XYZ", "5 VAT": "VAT",
+    }
+    assert dict(zip(want, values(spark, list(want), money.currency_from_text))) == want
+    shown = {money.DOLLAR: "US$ ca$ AU$ NZ$ hk$ S$ R$", money.SIGN: "£ € ₴ ₽ ₺ ₹ ₩ ₪ 元 ¥ zł Kč", money.WORD: "грн РУБ лв"}
+    for (gate, texts), family in zip(shown.items(), (money.DOLLARS, money.SIGNS, money.WORDS)):
+        assert values(spark, texts.split(), lambda t, g=gate: t.rlike(g)) == [True] * len(family)
+        assert values(spark, texts.split(), money.currency_from_text) == [c for _, c in family]
+    odd = ["1.2.3", "1,2,3", "1.234.567,8,9", ".5", "5.", ",", ".", "1.2345", "9" * 400, "500000", "500000.01", "1,234.5.6"]
+    assert values(spark, odd, money.parse_price) == [1.2, 1.2, 0.0, 0.5, 5.0, 0.0, 0.0, 1.2345, 0.0, 500000.0, 0.0, 1234.5]
+
+
 def test_conversion_rounds_halves_up(spark):
     got = spark.range(1).select(money.to_usd(F.lit(4000.0), F.lit("uah")), money.to_usd(F.lit(1.005), F.lit("USD")), money.to_usd(F.lit(1.0), F.lit("XXX"))).first()
     assert tuple(got) == (97.56, 1.0, None)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera.functions import colour, photos
 from tessera.operators import catalogue, duplicates, records
 from tessera.plans import gallery as gallery_plans
-from tessera.plans import links
+from tessera.plans import links, orders
 from tessera.plans.colours import _labelled
 from tessera.sources.tables import TASKS_PER_CORE
 
@@ -85,3 +85,16 @@ def test_page_numbers_name_no_photo(spark, tmp_path):
     spark.createDataFrame([(200009, "https://a.example.com/en/200009?x=1", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     shown = gallery_plans.page_harvest(spark, str(tmp_path)).first()
     assert "a-very-long-other-name" not in shown.photos and shown.n_photos == 2
+
+
+def test_prices_are_read_by_compiled_code(spark):
+    """HotSpot leaves methods above 8,000 bytes to its interpreter."""
+    key = "spark.sql.adaptive.enabled"
+    spark.conf.set(key, "false")
+    try:
+        plan = orders.price_parse(spark, DATA)._jdf.queryExecution().executedPlan()
+        code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+        sizes = [code.apply(n)._3().maxMethodCodeSize() for n in range(code.size())]
+    finally:
+        spark.conf.unset(key)
+    assert sizes and max(sizes) < 8000
